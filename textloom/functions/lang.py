@@ -96,12 +96,12 @@ def _words(sample: Column) -> Column:
 
 def _hits(sample: Column) -> Column:
     """Stop-word hits in a sample: array of ints in the order of LANGUAGES."""
-    known = F.filter(_words(sample), lambda w: w.isin(_ALL_WORDS))
+    def members(of: Column, words: list[str]) -> Column:
+        return F.filter(of, lambda w: w.isin(words))
+
     return let(
-        known,
-        lambda ws: F.array(
-            *[F.size(F.filter(ws, lambda w, s=_WORD_SETS[k]: w.isin(s))) for k in LANGUAGES]
-        ),
+        members(_words(sample), _ALL_WORDS),
+        lambda ws: F.array(*[F.size(members(ws, _WORD_SETS[k])) for k in LANGUAGES]),
     )
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from textloom.catalog import Catalog, table
 from textloom.catalog.ordering import (
-    BATCHES_SQL, SEQ_LEN, TOKENS_SQL, lineitem_batches, stand_in_tokens,
+    BATCHES_SQL, PACK_SQL, SEQ_LEN, TOKENS_SQL, lineitem_batches, stand_in_tokens, tokens_sql,
 )
 from textloom.operators import mixing
 from textloom.operators.packing import pack_windows, token_stats
@@ -97,33 +97,71 @@ def draw_sources(spark, sf_dir):
     return mixing.draw_sources(event_ids(spark, sf_dir), document_mix(spark, sf_dir), SEED)
 
 
-@catalog.add("interleave")
+# The round-robin one chunk load at a time: `free` lists the round in which each
+# slot falls free; the first of the smallest loads the next chunk of the order.
+OPEN_CHUNKS = 8
+CHUNKS = 12
+INTERLEAVE_SQL = f"""{DRAWS_SQL}, {tokens_sql(CHUNKS)}, {PACK_SQL},
+wanted AS (SELECT source, count(*) AS wanted FROM draws GROUP BY source),
+lengths AS (SELECT source, chunk_id, count(*) AS n FROM windows GROUP BY source, chunk_id),
+sized AS (SELECT *, {OPEN_CHUNKS} - count(*) OVER () AS x, sum(weight) OVER ()::BIGINT AS total FROM mix),
+based AS (SELECT *, 1 + x * weight // total AS base, x * weight % total AS rem FROM sized),
+given AS (SELECT source, base + (row_number() OVER (ORDER BY rem DESC, pos)
+    <= {OPEN_CHUNKS} - sum(base) OVER ())::INT AS slots FROM based),
+sources AS (SELECT source, wanted, count(*) AS files, least(any_value(slots), count(*)) AS p,
+    wanted // sum(n) + 2 AS epochs FROM lengths JOIN wanted USING (source) JOIN given USING (source)
+  GROUP BY source, wanted),
+orders AS (SELECT source, chunk_id, n, e * files + row_number() OVER (PARTITION BY source, e
+    ORDER BY md5(xor({SEED}, e) || ':' || chunk_id), chunk_id) - 1 AS k
+  FROM (SELECT source, files, unnest(range(0, epochs::BIGINT))::BIGINT AS e FROM sources)
+  JOIN lengths USING (source)),
+loads AS (
+  SELECT source, p, wanted, 0::BIGINT AS k, list_transform(range(0, p::BIGINT), lambda x: 0::BIGINT) AS free,
+    NULL::INT AS chunk_id, NULL::BIGINT AS slot, NULL::BIGINT AS round FROM sources
+  UNION ALL
+  SELECT l.source, l.p, l.wanted, l.k + 1,
+    list_transform(l.free, lambda x, i: CASE WHEN i = list_position(l.free, list_min(l.free)) THEN x + o.n ELSE x END),
+    o.chunk_id, list_position(l.free, list_min(l.free))::BIGINT - 1, list_min(l.free)
+  FROM loads l JOIN orders o ON o.source = l.source AND o.k = l.k
+  WHERE list_min(l.free) * l.p + list_position(l.free, list_min(l.free)) - 1 < l.wanted),
+ordered AS (SELECT w.source, ((round + win) * p + slot)::BIGINT AS place, w.chunk_id, win, seq
+  FROM loads l JOIN windows w ON w.source = l.source AND w.chunk_id = l.chunk_id
+  WHERE (round + win) * p + slot < wanted)"""
+
+
+def open_chunk_windows(spark, sf_dir):
+    tokens = stand_in_tokens(spark, sf_dir, CHUNKS)
+    n = F.floor((F.col("tokens") - 1) / SEQ_LEN).cast("long")
+    lengths = token_stats(tokens).select("source", "chunk_id", n.alias("n"))
+    return pack_windows(tokens, SEQ_LEN), lengths
+
+
+@catalog.add(
+    "interleave",
+    f"WITH RECURSIVE {INTERLEAVE_SQL} SELECT source, place, chunk_id, win, seq FROM ordered",
+)
 def interleave(spark, sf_dir):
-    """Two thirds of an epoch to several epochs per source, by its share of the events."""
-    windows = pack_windows(stand_in_tokens(spark, sf_dir), SEQ_LEN)
+    """As many windows per source as events draw it, over one epoch or several."""
+    windows, lengths = open_chunk_windows(spark, sf_dir)
     mix = document_mix(spark, sf_dir)
     wanted = (
         mixing.draw_sources(event_ids(spark, sf_dir), mix, SEED)
         .groupBy("source").agg(F.count("*").alias("wanted"))
     )
-    slots = mixing.alloc_slots(mix, 8)
-    lengths = _window_counts(spark, sf_dir)
-    out = mixing.interleave(windows, slots, wanted, SEED, lengths)
+    out = mixing.interleave(windows, mixing.alloc_slots(mix, OPEN_CHUNKS), wanted, SEED, lengths)
     return out.withColumn("seq", F.array_join("seq", " "))
 
 
-def _window_counts(spark, sf_dir):
-    stats = token_stats(stand_in_tokens(spark, sf_dir))
-    n = F.floor((F.col("tokens") - 1) / SEQ_LEN).cast("long")
-    return stats.select("source", "chunk_id", n.alias("n"))
-
-
-@catalog.add("mixed_sequences")
+@catalog.add(
+    "mixed_sequences",
+    f"""WITH RECURSIVE {INTERLEAVE_SQL},
+    turns AS (SELECT id, source, row_number() OVER (PARTITION BY source ORDER BY id) - 1 AS place FROM draws)
+    SELECT id, source, chunk_id, win, seq FROM turns JOIN ordered USING (source, place)""",
+)
 def mixed_sequences(spark, sf_dir):
-    windows = pack_windows(stand_in_tokens(spark, sf_dir), SEQ_LEN)
+    windows, lengths = open_chunk_windows(spark, sf_dir)
     mixed = mixing.mixed_sequences(
-        windows, document_mix(spark, sf_dir), 8, event_ids(spark, sf_dir), SEED,
-        _window_counts(spark, sf_dir),
+        windows, document_mix(spark, sf_dir), OPEN_CHUNKS, event_ids(spark, sf_dir), SEED, lengths
     )
     return mixed.withColumn("seq", F.array_join("seq", " "))
 

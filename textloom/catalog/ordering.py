@@ -72,14 +72,20 @@ def chunk_prefix(spark, sf_dir):
 
 # Stand-in token ids that SQL can make as well: word lengths + 2, then the end mark.
 IDS_SQL = """list_append(list_transform(string_split(text, ' '), lambda w: length(w)::INT + 2), 1)"""
-TOKENS_SQL = f"""tokens AS (SELECT lang AS source, (doc_id % 3)::INT AS chunk_id, doc_id AS doc_ord,
-    {IDS_SQL} AS ids FROM documents)"""
 
 
-def stand_in_tokens(spark, sf_dir):
+def tokens_sql(chunks: int) -> str:
+    return f"""tokens AS (SELECT lang AS source, (doc_id % {chunks})::INT AS chunk_id,
+    doc_id AS doc_ord, {IDS_SQL} AS ids FROM documents)"""
+
+
+TOKENS_SQL = tokens_sql(3)
+
+
+def stand_in_tokens(spark, sf_dir, chunks=3):
     ids = F.transform(F.split("text", " "), lambda w: F.length(w) + 2)
     return table(spark, sf_dir, "documents").select(
-        F.col("lang").alias("source"), (F.col("doc_id") % 3).cast("int").alias("chunk_id"),
+        F.col("lang").alias("source"), (F.col("doc_id") % chunks).cast("int").alias("chunk_id"),
         F.col("doc_id").alias("doc_ord"), F.array_append(ids, F.lit(1)).alias("ids"),
     )
 
@@ -93,8 +99,7 @@ def tokens_per_chunk(spark, sf_dir):
     return token_stats(stand_in_tokens(spark, sf_dir))
 
 
-WINDOWS_SQL = f"""{TOKENS_SQL},
-flat AS (SELECT source, chunk_id, id,
+PACK_SQL = f"""flat AS (SELECT source, chunk_id, id,
     row_number() OVER (PARTITION BY source, chunk_id ORDER BY doc_ord, i) - 1 AS p
   FROM (SELECT source, chunk_id, doc_ord, unnest(ids) AS id,
           generate_subscripts(ids, 1) AS i FROM tokens)),
@@ -105,7 +110,7 @@ windows AS (SELECT source, chunk_id, win::BIGINT AS win, string_agg(id::VARCHAR,
   FROM placed GROUP BY source, chunk_id, win HAVING count(*) = {SEQ_LEN} + 1)"""
 
 
-@catalog.add("pack_windows", f"WITH {WINDOWS_SQL} SELECT source, chunk_id, win, seq FROM windows")
+@catalog.add("pack_windows", f"WITH {TOKENS_SQL}, {PACK_SQL} SELECT source, chunk_id, win, seq FROM windows")
 def packed_windows(spark, sf_dir):
     windows = pack_windows(stand_in_tokens(spark, sf_dir), SEQ_LEN)
     return windows.withColumn("seq", F.array_join("seq", " "))

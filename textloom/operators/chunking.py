@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,14 +37,20 @@ BLOCK_DOCS = 1 << 22
 _STEP_SCHEMA = "source string, blk long, c_lo long, c_hi long, started long, tail long, adds boolean"
 _CARRY_SCHEMA = "source string, blk long, carry long, chunk long"
 _ASSIGN_SCHEMA = "source string, doc_ord long, n_bytes long, chunk_id int"
+_STEP_ARROW = pa.schema(
+    [("source", pa.string())]
+    + [(name, pa.int64()) for name in ("blk", "c_lo", "c_hi", "started", "tail")]
+    + [("adds", pa.bool_())]
+)
 _NO_LIMIT = np.iinfo(np.int64).max
 
 
-def _prefix(pdf: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray]:
-    pdf = pdf.sort_values("doc_ord", kind="stable")
-    sums = np.zeros(len(pdf) + 1, dtype=np.int64)
-    np.cumsum(pdf["n_bytes"].to_numpy(dtype=np.int64), out=sums[1:])
-    return pdf, sums
+def _in_order(rows: pa.Table) -> tuple[pa.Table, np.ndarray]:
+    """A block's documents in order, and their running byte sums from 0 on."""
+    rows = rows.sort_by("doc_ord")
+    sums = np.zeros(rows.num_rows + 1, dtype=np.int64)
+    np.cumsum(rows.column("n_bytes").to_numpy(), out=sums[1:])
+    return rows, sums
 
 
 def _first_start(sums: np.ndarray, base, max_bytes: int, floor):
@@ -75,8 +82,8 @@ def _chains(sums: np.ndarray, max_bytes: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _make_steps(max_bytes: int):
-    def steps(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        _, sums = _prefix(pdf)
+    def steps(key: tuple, rows: pa.Table) -> pa.Table:
+        _, sums = _in_order(rows)
         n, total = len(sums) - 1, int(sums[-1])
         count, last = _chains(sums, max_bytes)
 
@@ -86,7 +93,7 @@ def _make_steps(max_bytes: int):
             return int(count[entry]), total - int(sums[last[entry]]), False
 
         filled0 = int(np.searchsorted(sums, 0, side="right"))
-        rows = [(0, 0, *outcome(int(_first_start(sums, 0, max_bytes, filled0))))]
+        found = [(0, 0, *outcome(int(_first_start(sums, 0, max_bytes, filled0))))]
         # A carry-in c > 0 opens its first chunk at document j exactly when
         # max - sums[j + 1] < c <= max - sums[j].
         hi = max_bytes - sums[:-1]
@@ -94,20 +101,19 @@ def _make_steps(max_bytes: int):
         hi[0] = _NO_LIMIT
         entries = np.flatnonzero((hi >= 1) & (lo <= hi))
         if total < max_bytes:
-            rows.append((1, max_bytes - total, *outcome(n)))
+            found.append((1, max_bytes - total, *outcome(n)))
         if len(entries):
             started, tail = count[entries], total - sums[last[entries]]
             change = np.flatnonzero((np.diff(started) != 0) | (np.diff(tail) != 0)) + 1
             firsts = np.concatenate(([0], change))
             lasts = np.concatenate((change, [len(entries)])) - 1
-            rows += [
+            found += [
                 (max(int(lo[entries[b]]), 1), int(hi[entries[a]]), int(started[a]), int(tail[a]), False)
                 for a, b in zip(firsts, lasts)
             ]
-        out = pd.DataFrame(rows, columns=["c_lo", "c_hi", "started", "tail", "adds"])
-        out.insert(0, "blk", key[1])
-        out.insert(0, "source", key[0])
-        return out
+        source, blk = key[0].as_py(), key[1].as_py()
+        columns = zip(*((source, blk, *row) for row in found))
+        return pa.table([list(c) for c in columns], schema=_STEP_ARROW)
 
     return steps
 
@@ -132,9 +138,9 @@ def _walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _make_replay(max_bytes: int):
-    def replay(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        carry, chunk = int(pdf["carry"].iloc[0]), int(pdf["chunk"].iloc[0])
-        pdf, sums = _prefix(pdf)
+    def replay(rows: pa.Table) -> pa.Table:
+        carry, chunk = rows.column("carry")[0].as_py(), rows.column("chunk")[0].as_py()
+        rows, sums = _in_order(rows)
         n = len(sums) - 1
         filled = 0 if carry > 0 else int(np.searchsorted(sums, 0, side="right"))
         at = int(_first_start(sums, -carry, max_bytes, filled))
@@ -143,16 +149,15 @@ def _make_replay(max_bytes: int):
             opens[at] = 1
             filled = int(np.searchsorted(sums, sums[at], side="right"))
             at = int(_first_start(sums, int(sums[at]), max_bytes, filled))
-        out = pdf[["source", "doc_ord", "n_bytes"]].copy()
-        out["chunk_id"] = (chunk + np.cumsum(opens)).astype(np.int32)
-        return out
+        chunk_id = pa.array(chunk + np.cumsum(opens), pa.int32())
+        return rows.select(["source", "doc_ord", "n_bytes"]).append_column("chunk_id", chunk_id)
 
     return replay
 
 
 def _next_fit(sizes: DataFrame, max_bytes: int, block_docs: int) -> DataFrame:
     blocked = sizes.withColumn("blk", position_block("doc_ord", block_docs))
-    steps = blocked.groupBy("source", "blk").applyInPandas(_make_steps(max_bytes), _STEP_SCHEMA)
+    steps = blocked.groupBy("source", "blk").applyInArrow(_make_steps(max_bytes), _STEP_SCHEMA)
     carries = (
         steps.repartition("source")
         .sortWithinPartitions("source", "blk", "c_lo")
@@ -161,7 +166,7 @@ def _next_fit(sizes: DataFrame, max_bytes: int, block_docs: int) -> DataFrame:
     return (
         blocked.join(carries, ["source", "blk"])
         .groupBy("source", "blk")
-        .applyInPandas(_make_replay(max_bytes), _ASSIGN_SCHEMA)
+        .applyInArrow(_make_replay(max_bytes), _ASSIGN_SCHEMA)
     )
 
 

@@ -13,6 +13,11 @@ from textloom.plans.prefix import ordinal, running_sum
 EOS = 1
 
 
+def n_tokens(tokens: DataFrame) -> Column:
+    """Tokens per row: the stored count where the table has one."""
+    return F.col("n_tokens") if "n_tokens" in tokens.columns else F.size("ids")
+
+
 def pack_windows(tokens: DataFrame, seq_len: int) -> DataFrame:
     """Cut each chunk's concatenated tokens into windows of ``seq_len + 1``, step ``seq_len``.
 
@@ -24,10 +29,10 @@ def pack_windows(tokens: DataFrame, seq_len: int) -> DataFrame:
     """
     step = F.lit(seq_len).cast("long")
     placed = running_sum(
-        tokens.select("source", "chunk_id", "doc_ord", "ids").filter(F.size("ids") > 0),
-        ["source", "chunk_id"], ["doc_ord"], F.size("ids"), "st",
+        tokens.select("source", "chunk_id", "doc_ord", "ids", n_tokens(tokens).alias("n")).filter("n > 0"),
+        ["source", "chunk_id"], ["doc_ord"], F.col("n"), "st",
     )
-    st, en = F.col("st"), F.col("st") + F.size("ids")
+    st, en = F.col("st"), F.col("st") + F.col("n")
     first = F.greatest(F.ceil(st / step) - 1, F.lit(0)).cast("long")
     final = F.floor((en - 1) / step).cast("long")
 
@@ -112,5 +117,5 @@ def to_batches(
 def token_stats(tokens: DataFrame) -> DataFrame:
     """Tokens and documents per chunk."""
     return tokens.groupBy("source", "chunk_id").agg(
-        F.sum(F.size("ids")).cast("long").alias("tokens"), F.count("*").alias("docs")
+        F.sum(n_tokens(tokens)).cast("long").alias("tokens"), F.count("*").alias("docs")
     )

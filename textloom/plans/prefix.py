@@ -15,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK_WIDTH = 1 << 20
+BLOCK_WIDTH = 1 << 16
 
 
 def position_block(order: str, width: int = BLOCK_WIDTH) -> Column:

@@ -13,18 +13,14 @@ from pyspark.sql import functions as F
 CODEC = "zstd"
 CODEC_LEVEL = "3"
 
-TOKENS_SCHEMA = "doc_ord long, ids array<int>, source string, chunk_id int"
+TOKENS_SCHEMA = "doc_ord long, ids array<int>, n_tokens int, source string, chunk_id int"
 
 
-def _write_by_chunk(df: DataFrame, path: str, mode: str, files_per_chunk: int) -> None:
-    # A chunk is bounded by its byte cap. Where chunk numbers come from elsewhere
-    # and one of them is hot, files_per_chunk spreads each chunk over that many
-    # tasks, so no writer gets a whole hot chunk.
-    keys = [F.col("source"), F.col("chunk_id")]
-    if files_per_chunk > 1:
-        keys.append(F.pmod(F.xxhash64("doc_ord"), F.lit(files_per_chunk)))
+def _write_by_chunk(df: DataFrame, path: str, mode: str) -> None:
+    # Rebalancing gathers a chunk where it can and lets AQE split it where it is
+    # larger than the advisory size, so no writer gets a whole hot chunk.
     (
-        df.repartition(*keys)
+        df.hint("rebalance", "source", "chunk_id")
         .sortWithinPartitions("source", "chunk_id", "doc_ord")
         .write.mode(mode)
         .option("compression", CODEC)
@@ -34,20 +30,19 @@ def _write_by_chunk(df: DataFrame, path: str, mode: str, files_per_chunk: int) -
     )
 
 
-def write_chunks(
-    df: DataFrame, path: str, mode: str = "errorifexists", files_per_chunk: int = 1
-) -> None:
+def write_chunks(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """Write ``(source, chunk_id, doc_ord, text)`` as a chunk table."""
-    cols = df.select("source", "chunk_id", "doc_ord", "text")
-    _write_by_chunk(cols, path, mode, files_per_chunk)
+    _write_by_chunk(df.select("source", "chunk_id", "doc_ord", "text"), path, mode)
 
 
-def write_tokens(
-    df: DataFrame, path: str, mode: str = "errorifexists", files_per_chunk: int = 1
-) -> None:
-    """Write ``(source, chunk_id, doc_ord, ids)`` as a token table."""
-    cols = df.select("source", "chunk_id", "doc_ord", "ids")
-    _write_by_chunk(cols, path, mode, files_per_chunk)
+def write_tokens(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """Write ``(source, chunk_id, doc_ord, ids)`` as a token table.
+
+    The token count is stored too: passes that only need lengths then leave the
+    ids unread.
+    """
+    rows = df.select("source", "chunk_id", "doc_ord", "ids", F.size("ids").alias("n_tokens"))
+    _write_by_chunk(rows, path, mode)
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:

@@ -10,6 +10,7 @@ from textloom.catalog.ordering import (
 )
 from textloom.operators import mixing
 from textloom.operators.packing import pack_windows, token_stats
+from textloom.plans.prefix import idiv
 
 catalog = Catalog()
 
@@ -131,7 +132,7 @@ ordered AS (SELECT w.source, ((round + win) * p + slot)::BIGINT AS place, w.chun
 
 def open_chunk_windows(spark, sf_dir):
     tokens = stand_in_tokens(spark, sf_dir, CHUNKS)
-    n = F.floor((F.col("tokens") - 1) / SEQ_LEN).cast("long")
+    n = idiv(F.col("tokens") - 1, SEQ_LEN)
     lengths = token_stats(tokens).select("source", "chunk_id", n.alias("n"))
     return pack_windows(tokens, SEQ_LEN), lengths
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from textloom.catalog import Catalog, table
 from textloom.functions.lang import ASCII_BAR, ascii_ratio
 from textloom.operators.stats import chunk_counts, corpus_stats, histogram01, keep_rate
+from textloom.plans.prefix import idiv
 from textloom.sources.corpus import (
     first_chunks, json_key, preview, read_corpus, sample_shards, union_sources,
 )
@@ -73,7 +74,7 @@ def union_all_sources(spark, sf_dir):
 def numbered_chunks(spark, sf_dir):
     """Documents in chunks of 64 consecutive ids, per source."""
     return table(spark, sf_dir, "documents").select(
-        "source", F.floor(F.col("doc_id") / 64).cast("int").alias("chunk_id"), "doc_id", "text"
+        "source", idiv(F.col("doc_id"), 64).cast("int").alias("chunk_id"), "doc_id", "text"
     )
 
 

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.plans.joins import BROADCAST_ROWS
-from textloom.plans.prefix import position_block, running_sum
+from textloom.plans.prefix import idiv, position_block, running_sum
 from textloom.session import stage
 
 # Fixed value: largest chunk, in UTF-8 bytes.
@@ -175,7 +175,7 @@ def _prefix_chunks(sizes: DataFrame, max_bytes: int, block_docs: int) -> DataFra
         sizes, ["source"], ["doc_ord"], F.col("n_bytes"), "_before",
         position_block("doc_ord", block_docs),
     )
-    chunk = F.floor(F.col("_before") / F.lit(max_bytes)).cast("int")
+    chunk = idiv(F.col("_before"), max_bytes).cast("int")
     return summed.select("source", "doc_ord", "n_bytes", chunk.alias("chunk_id"))
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.plans.joins import join_measured
-from textloom.plans.prefix import hash_block, ordinal, position_block
+from textloom.plans.prefix import hash_block, idiv, ordinal, position_block
 from textloom.session import stage
 
 # Fixed value: training tokens per model parameter.
@@ -84,7 +84,7 @@ def alloc_slots(mix: DataFrame, slots: int) -> DataFrame:
         extra.alias("x"), F.sum("weight").over(whole).alias("total"),
     ).select(
         "pos", "source", "weight",
-        (1 + F.floor(F.col("x") * F.col("weight") / F.col("total"))).cast("long").alias("base"),
+        (1 + idiv(F.col("x") * F.col("weight"), F.col("total"))).alias("base"),
         (F.col("x") * F.col("weight") % F.col("total")).alias("rem"),
     )
     by_rem = Window.partitionBy().orderBy(F.col("rem").desc(), "pos")

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.plans.prefix import ordinal, running_sum
+from textloom.plans.prefix import idiv, ordinal, running_sum
 
 # Fixed value: id of the end-of-document mark.
 EOS = 1
@@ -33,8 +33,8 @@ def pack_windows(tokens: DataFrame, seq_len: int) -> DataFrame:
         ["source", "chunk_id"], ["doc_ord"], F.col("n"), "st",
     )
     st, en = F.col("st"), F.col("st") + F.col("n")
-    first = F.greatest(F.ceil(st / step) - 1, F.lit(0)).cast("long")
-    final = F.floor((en - 1) / step).cast("long")
+    first = F.greatest(idiv(st + step - 1, step) - 1, F.lit(0))
+    final = idiv(en - 1, step)
 
     def fragment(w: Column) -> Column:
         lo = F.greatest(st, w * step)
@@ -108,7 +108,7 @@ def to_batches(
         position = "_pos"
     place = F.col(position)
     return (
-        df.groupBy(F.floor(place / F.lit(batch_size)).cast("long").alias("batch_id"))
+        df.groupBy(idiv(place, batch_size).alias("batch_id"))
         .agg(F.sort_array(F.collect_list(F.struct(place.alias("p"), F.col(item).alias("x")))).alias("r"))
         .select("batch_id", F.col("r.x").alias("items"))
     )

@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from textloom.plans.prefix import idiv
+
 # Steps per interval, weight of the newest interval.
 STAT_INTERVAL = 200
 EMA_ALPHA = 0.1
@@ -18,7 +20,7 @@ def perplexity_rollup(log: DataFrame, every: int = STAT_INTERVAL) -> DataFrame:
     An interval closes at each positive multiple of ``every``; step 0 counts to
     the first one and an interval whose closing step is missing is not emitted.
     """
-    interval = F.greatest(F.lit(1), F.ceil(F.col("step") / F.lit(every))).cast("long")
+    interval = F.greatest(F.lit(1), idiv(F.col("step") + (every - 1), every))
     return (
         log.groupBy(interval.alias("interval"))
         .agg(
@@ -45,7 +47,7 @@ def debiased_ema(
     back = math.ceil(746 / (decay * width)) + 1
     r = F.lit(1.0 - alpha)
     place = F.col(n) - 1
-    blk, inside = F.floor(place / width).cast("long"), (place % width).cast("double")
+    blk, inside = idiv(place, width), (place % width).cast("double")
 
     rows = df.withColumn("_b", blk).withColumn("_i", inside).withColumn(
         "_t", F.col(x) * alpha * F.pow(r, -F.col("_i"))

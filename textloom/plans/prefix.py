@@ -18,9 +18,14 @@ from pyspark.sql import functions as F
 BLOCK_WIDTH = 1 << 16
 
 
+def idiv(a: Column, b: Column | int) -> Column:
+    """Integer division, exact for any long (``/`` goes through doubles)."""
+    return F.call_function("div", a, F.lit(b) if isinstance(b, int) else b)
+
+
 def position_block(order: str, width: int = BLOCK_WIDTH) -> Column:
     """Block number of a dense integer position."""
-    return F.floor(F.col(order) / F.lit(width)).cast("long")
+    return idiv(F.col(order), width)
 
 
 def hash_block(hash_col: str, digits: int = 3) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from textloom.catalog import full_catalog
 from textloom.operators import vocabulary as bpe
 from textloom.operators.packing import pack_windows
+from textloom.plans import joins
 from textloom.plans.prefix import running_sum
 from textloom.sources.corpus import read_corpus
 
@@ -40,7 +41,8 @@ EXPRESSIONS = (
 
 
 @pytest.mark.parametrize("name", EXPRESSIONS)
-def test_text_functions_stay_in_the_jvm_without_shuffle(spark, name):
+def test_text_functions_stay_in_the_jvm_without_shuffle(spark, name, monkeypatch):
+    monkeypatch.setattr(joins, "spread", lambda df, key: df)
     p = plan(full_catalog().queries[name](spark, SF))
     assert "Python" not in p and "Arrow" not in p and "Exchange" not in p
 
@@ -80,3 +82,16 @@ def test_no_cross_joins(spark):
     for name in ("draw_sources", "alloc_slots", "mix_plan", "chunk_nextfit", "pack_windows", "mixed_sequences"):
         p = plan(full_catalog().queries[name](spark, SF))
         assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p
+
+
+def test_spread_only_when_the_scan_is_too_narrow(spark):
+    cores = spark.sparkContext.defaultParallelism
+    wide = spark.range(0, 100, 1, cores)
+    assert joins.spread(wide, "id") is wide
+    assert joins.spread(spark.range(0, 100, 1, 1), "id").rdd.getNumPartitions() == cores
+
+
+def test_broadcast_only_when_measured_small(spark):
+    big, small = spark.range(100), spark.range(50)
+    assert "broadcast" in joins.join_measured(big, small, ["id"], 50)._jdf.queryExecution().logical().toString()
+    assert "broadcast" not in joins.join_measured(big, small, ["id"], 49)._jdf.queryExecution().logical().toString()

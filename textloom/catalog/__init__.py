@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from textloom.plans import joins
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -30,6 +32,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """Columns of the documents, spread over the cores if they come as one small file."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", *columns)
+    return joins.spread(docs, "doc_id")
+
+
 def full_catalog() -> Catalog:
     from textloom.catalog import cleaning, mixing, ordering, scans, tokens
 

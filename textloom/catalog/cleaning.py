@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from textloom.catalog import Catalog, table
+from textloom.catalog import Catalog, documents, table
 from textloom.catalog.scans import ASCII_RATIO_SQL
 from textloom.functions import lang, text
 
@@ -17,10 +17,6 @@ WS_SQL = (
 )
 
 
-def documents(spark, sf_dir):
-    return table(spark, sf_dir, "documents")
-
-
 @catalog.add(
     "trim_unicode",
     f"""SELECT doc_id, regexp_replace(x, '^{WS_SQL}+|{WS_SQL}+$', '', 'g') AS text
@@ -29,7 +25,7 @@ def documents(spark, sf_dir):
 )
 def trim_unicode(spark, sf_dir):
     padded = F.concat(F.lit("  \u2003"), F.col("text"), F.lit("\n\t\x85"))
-    return documents(spark, sf_dir).select("doc_id", text.utrim(padded).alias("text"))
+    return documents(spark, sf_dir, "text").select("doc_id", text.utrim(padded).alias("text"))
 
 
 @catalog.add(
@@ -37,7 +33,7 @@ def trim_unicode(spark, sf_dir):
     "SELECT doc_id, length(text)::BIGINT AS chars, strlen(text)::BIGINT AS bytes FROM documents",
 )
 def text_lengths(spark, sf_dir):
-    return documents(spark, sf_dir).select(
+    return documents(spark, sf_dir, "text").select(
         "doc_id", text.char_length("text").alias("chars"), text.byte_length("text").alias("bytes")
     )
 
@@ -46,7 +42,7 @@ def text_lengths(spark, sf_dir):
     "ascii_ratio", f"SELECT doc_id, round({ASCII_RATIO_SQL}, 6) AS ratio FROM documents"
 )
 def ascii_ratio(spark, sf_dir):
-    return documents(spark, sf_dir).select(
+    return documents(spark, sf_dir, "text").select(
         "doc_id", F.round(lang.ascii_ratio("text"), 6).alias("ratio")
     )
 
@@ -56,7 +52,7 @@ def ascii_ratio(spark, sf_dir):
     f"SELECT doc_id, text FROM documents WHERE {ASCII_RATIO_SQL} > {lang.ASCII_BAR}",
 )
 def ascii_filter(spark, sf_dir):
-    return documents(spark, sf_dir).select("doc_id", "text").filter(
+    return table(spark, sf_dir, "documents").select("doc_id", "text").filter(
         lang.ascii_ratio("text") > lang.ASCII_BAR
     )
 
@@ -90,17 +86,17 @@ probs AS (SELECT doc_id, source, text, list_transform(es, lambda e: e / list_sum
 
 @catalog.add("lang_sample", f"SELECT doc_id, {SAMPLE_SQL} AS sample FROM documents")
 def lang_sample(spark, sf_dir):
-    return documents(spark, sf_dir).select("doc_id", lang.lang_sample("text").alias("sample"))
+    return documents(spark, sf_dir, "text").select("doc_id", lang.lang_sample("text").alias("sample"))
 
 
 @catalog.add("stopword_counts", f"WITH {COUNTS_SQL} SELECT doc_id, {', '.join(_LOW)} FROM counts")
 def stopword_counts(spark, sf_dir):
-    rows = documents(spark, sf_dir).select("doc_id", lang.stopword_counts("text").alias("m"))
+    rows = documents(spark, sf_dir, "text").select("doc_id", lang.stopword_counts("text").alias("m"))
     return rows.select("doc_id", *[F.col("m")[k].alias(k.lower()) for k in lang.LANGUAGES])
 
 
 def _labelled(spark, sf_dir, scored):
-    rows = documents(spark, sf_dir).select("doc_id", scored.alias("m"))
+    rows = documents(spark, sf_dir, "text").select("doc_id", scored.alias("m"))
     return rows.select("doc_id", *[F.round(F.col("m")[k], 6).alias(k.lower()) for k in lang.LABELS])
 
 
@@ -130,7 +126,7 @@ _RANK_ROWS_SQL = ", ".join(
       round(-r[1].neg, 6) AS best FROM ranked""",
 )
 def lang_rank(spark, sf_dir):
-    rows = documents(spark, sf_dir).select("doc_id", lang.lang_ranked("text").alias("r"))
+    rows = documents(spark, sf_dir, "text").select("doc_id", lang.lang_ranked("text").alias("r"))
     return rows.select(
         "doc_id",
         F.array_join("r.lang", ",").alias("ranking"),
@@ -144,7 +140,8 @@ def lang_rank(spark, sf_dir):
         WHERE {ASCII_RATIO_SQL} > {lang.ASCII_BAR} AND p[1] > {lang.LANG_BAR}""",
 )
 def english_filter(spark, sf_dir):
-    return lang.english_filter(documents(spark, sf_dir).select("doc_id", "source", "text"))
+    # A filter moves below any shuffle, so spreading the scan would not help it.
+    return lang.english_filter(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
 
 
 @catalog.add(
@@ -161,7 +158,7 @@ def cut_tail(spark, sf_dir):
         .when(third == 1, F.concat("text", F.lit("\nSee also this\n"), "text"))
         .otherwise(F.concat("text", F.lit("\nNotes")))
     )
-    return documents(spark, sf_dir).select("doc_id", text.cut_tail(tailed).alias("text"))
+    return documents(spark, sf_dir, "text").select("doc_id", text.cut_tail(tailed).alias("text"))
 
 
 @catalog.add(
@@ -175,7 +172,7 @@ def cut_references(spark, sf_dir):
         F.lit("\n## References\n")
     )
     papers = F.concat("text", mark, "text")
-    return documents(spark, sf_dir).select("doc_id", text.cut_references(papers).alias("text"))
+    return documents(spark, sf_dir, "text").select("doc_id", text.cut_references(papers).alias("text"))
 
 
 def _detok_sql(x: str) -> str:
@@ -214,7 +211,7 @@ def wiki_lines(spark, sf_dir):
         .when(kind == 7, F.concat(F.lit('" '), "source", F.lit(' " ( '), F.substring("text", 1, 40), F.lit(" ) we ' re "), "text"))
         .otherwise(F.replace(F.replace("text", F.lit(","), F.lit(" ,")), F.lit("."), F.lit(" .")))
     )
-    return documents(spark, sf_dir).select("doc_id", "source", "lang", line.alias("text"))
+    return documents(spark, sf_dir, "source", "lang", "text").select("doc_id", "source", "lang", line.alias("text"))
 
 
 @catalog.add("wikitext_detok", f"SELECT doc_id, {DETOK_SQL} AS text FROM documents")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from textloom.catalog import Catalog, table
+from textloom.catalog import Catalog, documents, table
 from textloom.catalog.cleaning import DETOK_SQL, wiki_lines
 from textloom.functions.text import input_target, utrim, wikitext_detok
 from textloom.operators.articles import assemble_articles
@@ -36,7 +36,7 @@ def articles(spark, sf_dir):
 
 
 def sized_documents(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select(
+    return documents(spark, sf_dir, "lang", "text").select(
         F.col("lang").alias("source"), F.col("doc_id").alias("doc_ord"),
         F.octet_length("text").cast("long").alias("n_bytes"),
     )
@@ -84,7 +84,7 @@ TOKENS_SQL = tokens_sql(3)
 
 def stand_in_tokens(spark, sf_dir, chunks=3):
     ids = F.transform(F.split("text", " "), lambda w: F.length(w) + 2)
-    return table(spark, sf_dir, "documents").select(
+    return documents(spark, sf_dir, "lang", "text").select(
         F.col("lang").alias("source"), (F.col("doc_id") % chunks).cast("int").alias("chunk_id"),
         F.col("doc_id").alias("doc_ord"), F.array_append(ids, F.lit(1)).alias("ids"),
     )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from textloom.catalog import Catalog, table
+from textloom.catalog import Catalog, documents, table
 from textloom.functions.lang import ASCII_BAR, ascii_ratio
 from textloom.operators.stats import chunk_counts, corpus_stats, histogram01, keep_rate
 from textloom.plans.prefix import idiv
@@ -144,7 +144,7 @@ def chunks_per_source(spark, sf_dir):
         FROM documents GROUP BY 1""",
 )
 def ratio_histogram(spark, sf_dir):
-    return histogram01(table(spark, sf_dir, "documents"), ascii_ratio("text"), 100)
+    return histogram01(documents(spark, sf_dir, "text"), ascii_ratio("text"), 100)
 
 
 @catalog.add(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from textloom.catalog import Catalog, table
+from textloom.catalog import Catalog, documents
 from textloom.operators import vocabulary as bpe
 
 catalog = Catalog()
@@ -21,17 +21,13 @@ PIECES_SQL = """regexp_extract_all(
 PIECES_SQL = PIECES_SQL.replace("\\1\\x{e000}\\2", "\\1\ue000\\2")
 
 
-def documents(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", "text")
-
-
 @catalog.add(
     "pretokenize",
     f"""SELECT doc_id, len(w)::INT AS n, md5(array_to_string(w, chr(31))) AS digest
         FROM (SELECT doc_id, {PIECES_SQL} AS w FROM documents)""",
 )
 def pretokenize(spark, sf_dir):
-    words = documents(spark, sf_dir).select("doc_id", bpe.pretokenize("text").alias("w"))
+    words = documents(spark, sf_dir, "text").select("doc_id", bpe.pretokenize("text").alias("w"))
     return words.select(
         "doc_id", F.size("w").alias("n"), F.md5(F.array_join("w", "\x1f")).alias("digest")
     )
@@ -43,7 +39,7 @@ COUNTS_SQL = f"""counts AS (SELECT word, count(*) AS n
 
 @catalog.add("pretoken_counts", f"WITH {COUNTS_SQL} SELECT word, n FROM counts")
 def pretoken_counts(spark, sf_dir):
-    return bpe.pretoken_counts(documents(spark, sf_dir))
+    return bpe.pretoken_counts(documents(spark, sf_dir, "text"))
 
 
 # Greedy learning one merge at a time. A word is spelled '<12><45>...' in token
@@ -75,7 +71,7 @@ FINAL_SQL = """final AS (SELECT word, n, replace(s[2:length(s) - 1], '><', ' ')
 
 
 def learnt(spark, sf_dir) -> bpe.Vocabulary:
-    return bpe.learn_bpe(bpe.pretoken_counts(documents(spark, sf_dir)), vocab_size=LEARN_SIZE)
+    return bpe.learn_bpe(bpe.pretoken_counts(documents(spark, sf_dir, "text")), vocab_size=LEARN_SIZE)
 
 
 @catalog.add(
@@ -91,7 +87,7 @@ def bpe_merges(spark, sf_dir):
 
 @catalog.add("encode_words", f"WITH {LEARN_SQL}, {FINAL_SQL} SELECT word, n, ids FROM final")
 def encode_words(spark, sf_dir):
-    counts = bpe.pretoken_counts(documents(spark, sf_dir))
+    counts = bpe.pretoken_counts(documents(spark, sf_dir, "text"))
     coded = bpe.encode_words(counts, bpe.learn_bpe(counts, vocab_size=LEARN_SIZE))
     return coded.withColumn("ids", F.array_join("ids", " "))
 
@@ -105,7 +101,7 @@ def encode_words(spark, sf_dir):
     FROM pieces JOIN final USING (word) GROUP BY doc_id""",
 )
 def tokenize_docs(spark, sf_dir):
-    coded = bpe.tokenize(documents(spark, sf_dir), learnt(spark, sf_dir))
+    coded = bpe.tokenize(documents(spark, sf_dir, "text"), learnt(spark, sf_dir))
     return coded.withColumn("ids", F.array_join("ids", " "))
 
 
@@ -116,5 +112,5 @@ def tokenize_docs(spark, sf_dir):
 )
 def roundtrip(spark, sf_dir):
     vocab = learnt(spark, sf_dir)
-    coded = bpe.tokenize(documents(spark, sf_dir), vocab)
+    coded = bpe.tokenize(documents(spark, sf_dir, "text"), vocab)
     return bpe.detokenize(coded, vocab).select("doc_id", "text")

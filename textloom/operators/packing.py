@@ -50,10 +50,12 @@ def pack_windows(tokens: DataFrame, seq_len: int) -> DataFrame:
             F.explode(F.transform(F.sequence(first, final), fragment)).alias("f"),
         )
         .groupBy("source", "chunk_id", F.col("f.win").alias("win"))
-        .agg(F.sort_array(F.collect_list(F.struct("f.lo", "f.part"))).alias("parts"))
-        .withColumn("seq", F.flatten("parts.part"))
-        .filter(F.size("seq") == seq_len + 1)
-        .select("source", "chunk_id", "win", "seq")
+        .agg(
+            F.sum(F.size("f.part")).alias("n"),
+            F.sort_array(F.collect_list(F.struct("f.lo", "f.part"))).alias("parts"),
+        )
+        .filter(F.col("n") == seq_len + 1)
+        .select("source", "chunk_id", "win", F.flatten("parts.part").alias("seq"))
     )
 
 

@@ -226,27 +226,28 @@ def _apply_batches(words: DataFrame, batches: list[Batch]) -> DataFrame:
 
 
 def _pair_counts(words: DataFrame, batches: list[Batch]) -> DataFrame:
-    """Counts of adjacent pairs after the batches; summed per Arrow batch, then by Spark."""
+    """Counts of adjacent pairs after the batches; summed per task, then by Spark."""
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lookups = _lookups(batches)
+        keys, sums = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
         for rb in stream:
             w = _from_lists(rb.column("syms"))
             for lookup in lookups:
                 _apply_batch(w, lookup)
-            at, keys = w.pairs()
+            at, pairs = w.pairs()
             weights = rb.column("n").to_numpy()[w.word[at]]
-            uniq, where = np.unique(keys, return_inverse=True)
-            sums = np.zeros(len(uniq), dtype=np.int64)
-            np.add.at(sums, where, weights)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(uniq >> _SHIFT, pa.int32()),
-                    pa.array(uniq & ((1 << _SHIFT) - 1), pa.int32()),
-                    pa.array(sums, pa.int64()),
-                ],
-                names=["l", "r", "n"],
-            )
+            keys, where = np.unique(np.concatenate((keys, pairs)), return_inverse=True)
+            # Sums in doubles are exact below 2^53.
+            sums = np.bincount(where, np.concatenate((sums, weights)), len(keys)).astype(np.int64)
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(keys >> _SHIFT, pa.int32()),
+                pa.array(keys & ((1 << _SHIFT) - 1), pa.int32()),
+                pa.array(sums, pa.int64()),
+            ],
+            names=["l", "r", "n"],
+        )
 
     parts = words.mapInArrow(run, "l int, r int, n long")
     return parts.groupBy("l", "r").agg(F.sum("n").alias("n"))
@@ -370,7 +371,7 @@ def learn_bpe(
     byte_ids = np.full(256, -1, dtype=np.int64)
     byte_ids[alphabet] = np.arange(len(specials), base)
     # Spread by words, not bytes: a round is work per word on a small table.
-    spread = min(-(-spelled.count() // _WORDS_PER_TASK), 2 * spark.sparkContext.defaultParallelism)
+    spread = min(-(-spelled.count() // _WORDS_PER_TASK), spark.sparkContext.defaultParallelism)
     start = stage(_spell(spelled.repartition(max(spread, 1)), byte_ids), "bpe-words")
 
     words, pending = start, []

@@ -1,4 +1,4 @@
-"""Joins whose broadcast side is measured first."""
+"""Measured choices: which side to broadcast, whether a scan needs spreading."""
 
 from __future__ import annotations
 
@@ -21,3 +21,13 @@ def join_measured(
     if small.limit(limit + 1).count() <= limit:
         small = F.broadcast(small)
     return big.join(small, list(on))
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Shuffle rows by a unique key if the scan has fewer partitions than there are cores.
+
+    A file with one row group, like a gzip file, is one task however much work
+    each row needs. Scans that already keep all cores busy are left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df

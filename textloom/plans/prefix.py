@@ -15,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK_WIDTH = 1 << 16
+BLOCK_WIDTH = 1 << 12
 
 
 def idiv(a: Column, b: Column | int) -> Column:

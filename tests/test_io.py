@@ -4,11 +4,13 @@ import gzip
 import json
 
 import pytest
+from loops import next_fit
 from pyspark.sql import functions as F
 
 from textloom.operators import vocabulary as bpe
 from textloom.operators.chunking import assign_chunks
 from textloom.operators.packing import pack_windows, token_stats
+from textloom.plans import recipes
 from textloom.sources import corpus, manifest, writers
 from textloom.streaming.incremental import stream_clean, stream_tokens
 
@@ -27,21 +29,37 @@ def test_jsonl(spark, tmp_path):
     write_lines(tmp_path / "a" / "x.jsonl", [{"content": "one"}, {"other": "no"}, {"content": None}])
     write_lines(tmp_path / "b" / "y.jsonl", [{"content": ""}, {"content": "two\u0000"}])
     write_lines(tmp_path / "b" / "skip.txt", [{"content": "not listed"}])
-    df = corpus.read_jsonl(spark, str(tmp_path), "content", glob="*.jsonl")
-    assert texts(df) == ["", "one", "two\u0000"]
+    assert texts(corpus.scan_jsonl(spark, str(tmp_path), "content", glob="*.jsonl")) == [
+        "", "one", "two\u0000",
+    ]
+    df = corpus.read_jsonl(spark, str(tmp_path), "web", "content", glob="*.jsonl")
+    assert [r["text"] for r in df.orderBy("doc_ord").collect()] == ["one", "", "two\u0000"]
+
+
+def test_jsonl_order_over_splits(spark, tmp_path):
+    for name in ("b", "a"):
+        write_lines(tmp_path / f"{name}.jsonl", [{"k": f"{name} {i:05d}"} for i in range(4000)])
+    default = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "9000")
+    try:
+        df = corpus.read_jsonl(spark, str(tmp_path), "web", "k")
+        rows = df.orderBy("doc_ord").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", default)
+    assert [r["text"] for r in rows] == [f"{n} {i:05d}" for n in "ab" for i in range(4000)]
+    assert [r["doc_ord"] for r in rows] == list(range(8000))
 
 
 def test_gzip_jsonl(spark, tmp_path):
     write_lines(tmp_path / "x.json.gz", [{"text": "one", "n": 5}, {"text": "two", "n": 6}], gzip.open)
-    df = corpus.read_jsonl(spark, str(tmp_path), "text", order_key="n", partitions=4)
-    assert df.rdd.getNumPartitions() == 4
+    df = corpus.scan_jsonl(spark, str(tmp_path), "text", order_key="n")
     assert sorted((r["text"], r["doc_ord"]) for r in df.collect()) == [("one", 5), ("two", 6)]
 
 
 def test_broken_line_fails(spark, tmp_path):
     write_lines(tmp_path / "x.jsonl", [{"content": "one"}, '{"content": \n'])
     with pytest.raises(Exception, match="MALFORMED|malformed"):
-        corpus.read_jsonl(spark, str(tmp_path), "content").collect()
+        corpus.scan_jsonl(spark, str(tmp_path), "content").collect()
 
 
 def test_parquet_order_over_files(spark, tmp_path):
@@ -108,6 +126,36 @@ def _plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_recipes(spark, tmp_path):
+    english, other = "the cat is in the house and it is on", "der die das und in zu von mit"
+    paper = "body\n## References\n\n[1]"
+    write_lines(tmp_path / "arxiv/d/1.jsonl.gz", [{"text": paper}, {"text": "x"}], gzip.open)
+    write_lines(tmp_path / "c4/en/1.json.gz", [{"text": " as is "}, {"url": "-"}], gzip.open)
+    write_lines(tmp_path / "openwebtext2/1.jsonl", [{"content": other}, {"content": english}])
+    write_lines(tmp_path / "pubmed/1.jsonl", [{"contents": "p"}, {"contents": ""}])
+    for name in ("book2", "wikipedia", "fineweb"):
+        spark.createDataFrame([("\u3000one \n", "en"), ("two", "fr")], "text string, language string").coalesce(
+            1
+        ).write.parquet(str(tmp_path / name))
+    lines = ["before", "= Title =", "", "1 @,@ 000 , yes", "= = Part = ="]
+    for part in ("p0", "p1"):
+        spark.createDataFrame([(t,) for t in lines], "text string").coalesce(1).write.parquet(
+            str(tmp_path / "wikitext" / part)
+        )
+
+    article = "Title\n1,000, yes\nPart\n"
+    want = {
+        "arxiv": ["body\n", "x"], "c4": [" as is "], "openwebtext2": [english], "pubmed": ["p", ""],
+        "book2": ["one", "two"], "wikipedia": ["one", "two"], "fineweb": ["one"],
+        "wikitext": ["before\n", article, "before\n", article],
+    }
+    assert set(want) == set(recipes.RECIPES)
+    for name, docs in want.items():
+        rows = recipes.chunk_corpus(spark, name, str(tmp_path / name), 8).orderBy("doc_ord").collect()
+        assert [r["text"] for r in rows] == docs, name
+        assert [r["chunk_id"] for r in rows] == next_fit([len(t.encode()) for t in docs], 8), name
+
+
 def test_preview_and_json(spark, tmp_path):
     df = small_corpus(spark)
     assert corpus.preview(df, 3, ["source", "doc_ord"]).count() == 3

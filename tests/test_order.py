@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from loops import next_fit
 from pyspark.sql import functions as F
 
 from textloom.operators.articles import assemble_articles
@@ -12,16 +13,6 @@ from textloom.operators.trainlog import debiased_ema, perplexity_rollup
 from textloom.plans.prefix import ordinal, position_block, running_sum
 
 
-def next_fit(sizes, cap):
-    out, used, chunk = [], 0, 0
-    for b in sizes:
-        if used > 0 and used + b > cap:
-            chunk, used = chunk + 1, 0
-        used += b
-        out.append(chunk)
-    return out
-
-
 def size_lists():
     rnd = random.Random(11)
     lists = {

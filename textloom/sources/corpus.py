@@ -12,6 +12,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from textloom.plans.joins import join_measured
+from textloom.session import stage
+
 
 def _reader(spark: SparkSession, glob: str | None, recursive: bool):
     reader = spark.read
@@ -22,6 +25,13 @@ def _reader(spark: SparkSession, glob: str | None, recursive: bool):
     return reader
 
 
+def _with_first(parts: DataFrame, order: Sequence[str]) -> DataFrame:
+    """Staged table of files or splits with the position of their first row."""
+    before = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    first = F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("first")
+    return stage(parts.select(*order, first), "first-rows")
+
+
 def read_corpus(
     spark: SparkSession,
     path: str | Sequence[str],
@@ -41,13 +51,8 @@ def read_corpus(
     paths = [path] if isinstance(path, str) else list(path)
     raw = _reader(spark, glob, recursive).parquet(*paths)
     place = raw.select(F.col("_metadata.file_path").alias("file"))
-    # Row counts come from the footers; one row per file goes through the window.
-    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
-    files = (
-        place.groupBy("file")
-        .count()
-        .select("file", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_first"))
-    )
+    # Row counts come from the footers, one row per file.
+    files = _with_first(place.groupBy("file").agg(F.count("*").alias("rows")), ["file"])
     rows = raw if where is None else raw.filter(where)
     rows = rows.select(
         F.lit(source).alias("source"),
@@ -57,41 +62,73 @@ def read_corpus(
         *[F.col(c) for c in columns],
     ).filter(F.col("text").isNotNull())
     return (
-        rows.join(files, "file")
-        .withColumn("doc_ord", F.col("_first") + F.col("row_idx"))
+        join_measured(rows, files, ["file"])
+        .withColumn("doc_ord", F.col("first") + F.col("row_idx"))
         .select("source", "file", "row_idx", "doc_ord", "text", *columns)
     )
 
 
-def read_jsonl(
+def scan_jsonl(
     spark: SparkSession,
     path: str | Sequence[str],
     key: str,
     order_key: str | None = None,
     glob: str | None = None,
     recursive: bool = True,
-    partitions: int | None = None,
 ) -> DataFrame:
-    """Scan JSON lines (plain or gzip) and keep the records that have ``key``.
+    """JSON lines (plain or gzip) that have ``key``, renamed to ``text``, in no order.
 
-    The key is renamed to ``text``. A malformed line fails the read. One gzip
-    file is one task, so pass ``partitions`` to spread the rows afterwards. JSON
-    scans carry no row index: name an ``order_key`` column that does, or stage
-    the result as parquet and read that with :func:`read_corpus`.
+    A malformed line fails the read. ``order_key`` names a numeric field to keep
+    as ``doc_ord``.
     """
+    rows = _jsonl(spark, path, key, order_key, glob, recursive)
+    order = [F.col(f"`{order_key}`").alias("doc_ord")] if order_key else []
+    return rows.select(F.col(f"`{key}`").alias("text"), *order).filter(F.col("text").isNotNull())
+
+
+def _jsonl(spark, path, key, order_key, glob, recursive) -> DataFrame:
     paths = [path] if isinstance(path, str) else list(path)
     fields = [f"`{key}` string"] + ([f"`{order_key}` long"] if order_key else [])
-    rows = (
-        _reader(spark, glob, recursive)
-        .schema(", ".join(fields))
-        .option("mode", "FAILFAST")
-        .json(paths)
+    reader = _reader(spark, glob, recursive).schema(", ".join(fields))
+    return reader.option("mode", "FAILFAST").json(paths)
+
+
+def read_jsonl(
+    spark: SparkSession,
+    path: str | Sequence[str],
+    source: str,
+    key: str,
+    glob: str | None = None,
+    recursive: bool = True,
+) -> DataFrame:
+    """Scan a JSON-lines corpus into ``(source, file, doc_ord, text)``.
+
+    JSON scans carry no row index, so the rows are staged as parquet once, with
+    the split they came from and their place in the task that read it. Staging
+    also makes the rows of a gzip file, which is one task, splittable.
+    """
+    staged = stage(
+        _jsonl(spark, path, key, None, glob, recursive)
+        .select(
+            F.col("_metadata.file_path").alias("file"),
+            F.col("_metadata.file_block_start").alias("split"),
+            F.monotonically_increasing_id().alias("at"),
+            F.col(f"`{key}`").alias("text"),
+        )
+        .filter(F.col("text").isNotNull()),
+        "jsonl",
+    )
+    # Rows of a split are numbered in reading order; the numbers start anywhere.
+    base = F.min("at").alias("base")
+    splits = staged.groupBy("file", "split").agg(base, (F.max("at") - F.min("at") + 1).alias("rows"))
+    splits = stage(splits, "splits")
+    firsts = _with_first(splits.select("file", "split", "rows"), ["file", "split"])
+    starts = splits.join(firsts, ["file", "split"]).select(
+        "file", "split", (F.col("first") - F.col("base")).alias("shift")
+    )
+    return join_measured(staged, stage(starts, "split-starts"), ["file", "split"]).select(
+        F.lit(source).alias("source"), "file", (F.col("at") + F.col("shift")).alias("doc_ord"), "text"
     )
-    out = [F.col(f"`{key}`").alias("text")]
-    if order_key:
-        out.append(F.col(f"`{order_key}`").alias("doc_ord"))
-    rows = rows.select(*out).filter(F.col("text").isNotNull())
-    return rows.repartition(partitions) if partitions else rows
 
 
 def json_key(c: Column | str, key: str) -> Column:

@@ -189,3 +189,17 @@ def test_stream_clean(spark, tmp_path):
     write_lines(src / "2.jsonl", [{"content": f"{english} 2"}])
     stream_clean(spark, str(src), "content", out, mark).awaitTermination(120)
     assert texts(spark.read.parquet(out)) == [f"{english} 1", f"{english} 2"]
+
+
+def test_staged_tables(spark, monkeypatch):
+    import os
+
+    from textloom import session
+
+    monkeypatch.setattr(session, "_staged", [])
+    df = session.stage(spark.range(5), "five")
+    assert df.count() == 5 and df.schema == spark.range(5).schema
+    (path,) = session._staged
+    assert path.startswith(session.shared_dir(spark)) and os.path.isdir(path.removeprefix("file:"))
+    assert session.drop_staged(spark) == 1
+    assert not os.path.exists(path.removeprefix("file:"))

@@ -31,13 +31,13 @@ def size_lists():
     return lists
 
 
-@pytest.mark.parametrize("block", [1, 2, 3, 7, 64, 1 << 20])
-def test_next_fit(spark, block):
+@pytest.mark.parametrize("block,fan_in", [(1, 2), (1, 8), (2, 3), (3, 2), (7, 4), (64, 8), (1 << 20, 8)])
+def test_next_fit(spark, block, fan_in):
     lists = size_lists()
     rows = [(s, i, b) for s, sizes in lists.items() for i, b in enumerate(sizes)]
     random.Random(1).shuffle(rows)
     df = spark.createDataFrame(rows, "source string, doc_ord long, n_bytes long")
-    got = {(r["source"], r["doc_ord"]): r["chunk_id"] for r in chunk_sizes(df, 10, block_docs=block).collect()}
+    got = {(r["source"], r["doc_ord"]): r["chunk_id"] for r in chunk_sizes(df, 10, block_docs=block, fan_in=fan_in).collect()}
     want = {(s, i): c for s, sizes in lists.items() for i, c in enumerate(next_fit(sizes, 10))}
     assert got == want
 
@@ -46,7 +46,7 @@ def test_prefix_chunks(spark):
     lists = size_lists()
     rows = [(s, i, b) for s, sizes in lists.items() for i, b in enumerate(sizes)]
     df = spark.createDataFrame(rows, "source string, doc_ord long, n_bytes long")
-    got = {(r["source"], r["doc_ord"]): r["chunk_id"] for r in chunk_sizes(df, 10, "prefix", 4).collect()}
+    got = {(r["source"], r["doc_ord"]): r["chunk_id"] for r in chunk_sizes(df, 10, "prefix").collect()}
     for s, sizes in lists.items():
         before = 0
         for i, b in enumerate(sizes):

@@ -5,19 +5,23 @@ and where it ends decides where every later chunk ends. It is made parallel by
 treating each block of consecutive documents as a function of the bytes already
 in the open chunk when the block begins:
 
-1. ``steps``: per (source, block), that function as a short step table
-   carry-in interval -> (chunks started, carry-out). Chains that start at
-   different documents soon meet, so the table is tiny next to the block.
-2. ``carries``: the step tables of a source are walked in block order, one row
-   looked at a time, which fixes the true carry-in and first chunk number.
-3. Each block replays its documents from its carry-in.
-
+1. Per (source, block), that function is tabulated: intervals of the carry-in,
+   with the chunks started and the carry-out for each. Chains of chunks that
+   start at different documents tend to meet, so tables are smaller than blocks.
+2. Tables of neighbouring blocks are composed, ``fan_in`` at a time and level by
+   level, until a source has fewer than ``fan_in`` left.
+3. From the top down, each group is entered with its true carry-in, which fixes
+   the carry-in and the first chunk number of its members.
+4. Each block replays its documents from its carry-in.
+
+No task sees more than one block or ``fan_in`` tables, however large the source.
 Only document sizes take part; the texts are joined back at the end.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -26,22 +30,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.plans.joins import BROADCAST_ROWS
-from textloom.plans.prefix import idiv, position_block, running_sum
+from textloom.plans.prefix import idiv, ordinal, running_sum
 from textloom.session import stage
 
 # Fixed value: largest chunk, in UTF-8 bytes.
 MAX_CHUNK_BYTES = 268_435_456
 
-BLOCK_DOCS = 1 << 22
+BLOCK_DOCS = 1 << 21
+FAN_IN = 8
 
 _STEP_SCHEMA = "source string, blk long, c_lo long, c_hi long, started long, tail long, adds boolean"
-_CARRY_SCHEMA = "source string, blk long, carry long, chunk long"
-_ASSIGN_SCHEMA = "source string, doc_ord long, n_bytes long, chunk_id int"
 _STEP_ARROW = pa.schema(
     [("source", pa.string())]
     + [(name, pa.int64()) for name in ("blk", "c_lo", "c_hi", "started", "tail")]
     + [("adds", pa.bool_())]
 )
+_CARRY_SCHEMA = "source string, blk long, carry long, chunk long"
+_ASSIGN_SCHEMA = "source string, doc_ord long, n_bytes long, chunk_id int"
 _NO_LIMIT = np.iinfo(np.int64).max
 
 
@@ -81,60 +86,133 @@ def _chains(sums: np.ndarray, max_bytes: int) -> tuple[np.ndarray, np.ndarray]:
     return count, last
 
 
+@dataclass
+class _Steps:
+    """A block's table: for a carry-in in ``lo..hi``, chunks started and carry-out.
+
+    The carry-out is ``tail``, plus the carry-in itself where ``adds`` is set,
+    which means that the block fits into the open chunk. Rows are in order of
+    the carry-in and cover every value from 0 on.
+    """
+
+    lo: np.ndarray
+    hi: np.ndarray
+    started: np.ndarray
+    tail: np.ndarray
+    adds: np.ndarray
+
+    def enter(self, carry: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Rows for some carry-ins, with chunks started and carry-outs."""
+        at = np.searchsorted(self.lo, carry, side="right") - 1
+        return at, self.started[at], self.tail[at] + np.where(self.adds[at], carry, 0)
+
+    def merged(self) -> _Steps:
+        """Neighbouring rows with the same outcome as one; carry-in 0 stays apart."""
+        same = (
+            (self.started[1:] == self.started[:-1])
+            & (self.tail[1:] == self.tail[:-1])
+            & (self.adds[1:] == self.adds[:-1])
+            & (self.lo[:-1] > 0)
+        )
+        first = np.flatnonzero(np.concatenate(([True], ~same)))
+        last = np.concatenate((first[1:], [len(self.lo)])) - 1
+        return _Steps(
+            self.lo[first], self.hi[last], self.started[first], self.tail[first], self.adds[first]
+        )
+
+    def then(self, after: _Steps) -> _Steps:
+        """The table of this block followed by ``after``."""
+        fixed, open_ = np.flatnonzero(~self.adds), np.flatnonzero(self.adds)
+        _, started, tail = after.enter(self.tail[fixed])
+        parts = [
+            _Steps(
+                self.lo[fixed], self.hi[fixed], self.started[fixed] + started, tail,
+                np.zeros(len(fixed), dtype=bool),
+            )
+        ]
+        for i in open_:  # at most two rows: carry-in 0, and the largest that still fit
+            lo, hi, plus = self.lo[i], self.hi[i], self.tail[i]
+            a = np.searchsorted(after.lo, lo + plus, side="right") - 1
+            z = np.searchsorted(after.lo, hi + plus, side="right")
+            parts.append(
+                _Steps(
+                    np.maximum(after.lo[a:z] - plus, lo), np.minimum(after.hi[a:z] - plus, hi),
+                    after.started[a:z], after.tail[a:z] + np.where(after.adds[a:z], plus, 0),
+                    after.adds[a:z],
+                )
+            )
+        joined = [np.concatenate([getattr(p, f) for p in parts]) for f in _FIELDS]
+        order = np.argsort(joined[0], kind="stable")
+        return _Steps(*(c[order] for c in joined)).merged()
+
+    def to_arrow(self, source: str, blk: int) -> pa.Table:
+        n = len(self.lo)
+        columns = [pa.repeat(source, n), pa.repeat(pa.scalar(blk, pa.int64()), n)]
+        columns += [pa.array(getattr(self, f)) for f in _FIELDS]
+        return pa.table(columns, schema=_STEP_ARROW)
+
+
+_FIELDS = ("lo", "hi", "started", "tail", "adds")
+
+
+def _tables(rows: pa.Table) -> Iterator[tuple[int, _Steps]]:
+    """The step tables in ``rows``, in block order."""
+    rows = rows.sort_by([("blk", "ascending"), ("c_lo", "ascending")])
+    blk = rows.column("blk").to_numpy()
+    fields = [rows.column(c).to_numpy() for c in ("c_lo", "c_hi", "started", "tail", "adds")]
+    cuts = np.flatnonzero(np.diff(blk)) + 1
+    for a, z in zip([0, *cuts], [*cuts, len(blk)]):
+        yield int(blk[a]), _Steps(*(f[a:z] for f in fields))
+
+
 def _make_steps(max_bytes: int):
     def steps(key: tuple, rows: pa.Table) -> pa.Table:
         _, sums = _in_order(rows)
         n, total = len(sums) - 1, int(sums[-1])
         count, last = _chains(sums, max_bytes)
 
-        def outcome(entry: int) -> tuple[int, int, bool]:
-            if entry >= n:
-                return 0, total, True
-            return int(count[entry]), total - int(sums[last[entry]]), False
+        def outcome(entry: np.ndarray) -> list[np.ndarray]:
+            fits = entry >= n
+            at = np.minimum(entry, n - 1)
+            tail = np.where(fits, total, total - sums[last[at]])
+            return [np.where(fits, 0, count[at]), tail, fits]
 
-        filled0 = int(np.searchsorted(sums, 0, side="right"))
-        found = [(0, 0, *outcome(int(_first_start(sums, 0, max_bytes, filled0))))]
+        filled = np.searchsorted(sums, 0, side="right")
+        empty = np.array([_first_start(sums, 0, max_bytes, filled)])
         # A carry-in c > 0 opens its first chunk at document j exactly when
-        # max - sums[j + 1] < c <= max - sums[j].
-        hi = max_bytes - sums[:-1]
-        lo = max_bytes - sums[1:] + 1
+        # max - sums[j + 1] < c <= max - sums[j]; below that nothing opens.
+        hi = np.append(max_bytes - sums[:-1], max_bytes - total)
+        lo = np.append(max_bytes - sums[1:] + 1, 1)
         hi[0] = _NO_LIMIT
-        entries = np.flatnonzero((hi >= 1) & (lo <= hi))
-        if total < max_bytes:
-            found.append((1, max_bytes - total, *outcome(n)))
-        if len(entries):
-            started, tail = count[entries], total - sums[last[entries]]
-            change = np.flatnonzero((np.diff(started) != 0) | (np.diff(tail) != 0)) + 1
-            firsts = np.concatenate(([0], change))
-            lasts = np.concatenate((change, [len(entries)])) - 1
-            found += [
-                (max(int(lo[entries[b]]), 1), int(hi[entries[a]]), int(started[a]), int(tail[a]), False)
-                for a, b in zip(firsts, lasts)
-            ]
-        source, blk = key[0].as_py(), key[1].as_py()
-        columns = zip(*((source, blk, *row) for row in found))
-        return pa.table([list(c) for c in columns], schema=_STEP_ARROW)
+        entry = np.flatnonzero((hi >= 1) & (np.maximum(lo, 1) <= hi))[::-1]
+        zero = np.zeros(1, dtype=np.int64)
+        table = [np.concatenate((zero, np.maximum(lo[entry], 1))), np.concatenate((zero, hi[entry]))]
+        table += [np.concatenate(pair) for pair in zip(outcome(empty), outcome(entry))]
+        return _Steps(*table).merged().to_arrow(key[0].as_py(), key[1].as_py())
 
     return steps
 
 
-def _walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Follow the step tables in (source, block) order; holds one carry at a time."""
-    source, block, carry, chunk = None, None, 0, 0
-    entered = None  # carry-in of the block whose row is still to be found
-    for pdf in batches:
-        found = []
-        for row in pdf.itertuples(index=False):
-            if row.source != source:
-                source, block, carry, chunk = row.source, None, 0, 0
-            if row.blk != block:
-                block, entered = row.blk, carry
-            if entered is not None and row.c_lo <= entered <= row.c_hi:
-                found.append((source, block, entered, chunk))
-                carry = row.tail + entered if row.adds else row.tail
-                chunk += row.started
-                entered = None
-        yield pd.DataFrame(found, columns=["source", "blk", "carry", "chunk"])
+def _compose(key: tuple, rows: pa.Table) -> pa.Table:
+    """The step table of a group of neighbouring blocks."""
+    tables = (t for _, t in _tables(rows))
+    whole = next(tables)
+    for t in tables:
+        whole = whole.then(t)
+    return whole.to_arrow(key[0].as_py(), key[1].as_py())
+
+
+def _descend(rows: pa.Table) -> pa.Table:
+    """Carry-in and first chunk of each block of a group, from those of the group."""
+    source = rows.column("source")[0].as_py()
+    carry, chunk = (np.array([rows.column(c)[0].as_py()]) for c in ("carry", "chunk"))
+    out = []
+    for blk, table in _tables(rows):
+        out.append((source, blk, int(carry[0]), int(chunk[0])))
+        _, started, carry = table.enter(carry)
+        chunk = chunk + started
+    names = ["source", "blk", "carry", "chunk"]
+    return pa.table([list(c) for c in zip(*out)], names=names)
 
 
 def _make_replay(max_bytes: int):
@@ -155,14 +233,34 @@ def _make_replay(max_bytes: int):
     return replay
 
 
-def _next_fit(sizes: DataFrame, max_bytes: int, block_docs: int) -> DataFrame:
-    blocked = sizes.withColumn("blk", position_block("doc_ord", block_docs))
+def _next_fit(sizes: DataFrame, max_bytes: int, block_docs: int, fan_in: int) -> DataFrame:
+    placed = ordinal(sizes.select("source", "doc_ord", "n_bytes"), ["source"], ["doc_ord"], "n")
+    blocked = stage(
+        placed.select("source", "doc_ord", "n_bytes", idiv(F.col("n"), block_docs).alias("blk")),
+        "blocked-sizes",
+    )
+    blocks = (blocked.agg(F.max("blk")).first()[0] or 0) + 1
+
     steps = blocked.groupBy("source", "blk").applyInArrow(_make_steps(max_bytes), _STEP_SCHEMA)
+    levels = [stage(steps, "steps")]
+    while blocks > fan_in:
+        group = idiv(F.col("blk"), fan_in).alias("grp")
+        up = levels[-1].groupBy("source", group).applyInArrow(_compose, _STEP_SCHEMA)
+        levels.append(stage(up, "steps"))
+        blocks = -(-blocks // fan_in)
+
+    start = [F.lit(0).cast("long").alias("carry"), F.lit(0).cast("long").alias("chunk")]
     carries = (
-        steps.repartition("source")
-        .sortWithinPartitions("source", "blk", "c_lo")
-        .mapInPandas(_walk, _CARRY_SCHEMA)
+        levels[-1].select("*", *start).groupBy("source").applyInArrow(_descend, _CARRY_SCHEMA)
     )
+    for lower in reversed(levels[:-1]):
+        entered = carries.withColumnRenamed("blk", "grp")
+        carries = (
+            lower.withColumn("grp", idiv(F.col("blk"), fan_in))
+            .join(entered, ["source", "grp"])
+            .groupBy("source", "grp")
+            .applyInArrow(_descend, _CARRY_SCHEMA)
+        )
     return (
         blocked.join(carries, ["source", "blk"])
         .groupBy("source", "blk")
@@ -170,11 +268,8 @@ def _next_fit(sizes: DataFrame, max_bytes: int, block_docs: int) -> DataFrame:
     )
 
 
-def _prefix_chunks(sizes: DataFrame, max_bytes: int, block_docs: int) -> DataFrame:
-    summed = running_sum(
-        sizes, ["source"], ["doc_ord"], F.col("n_bytes"), "_before",
-        position_block("doc_ord", block_docs),
-    )
+def _prefix_chunks(sizes: DataFrame, max_bytes: int) -> DataFrame:
+    summed = running_sum(sizes, ["source"], ["doc_ord"], F.col("n_bytes"), "_before")
     chunk = idiv(F.col("_before"), max_bytes).cast("int")
     return summed.select("source", "doc_ord", "n_bytes", chunk.alias("chunk_id"))
 
@@ -184,6 +279,7 @@ def chunk_sizes(
     max_bytes: int = MAX_CHUNK_BYTES,
     mode: str = "next_fit",
     block_docs: int = BLOCK_DOCS,
+    fan_in: int = FAN_IN,
 ) -> DataFrame:
     """Chunk numbers for ``(source, doc_ord, n_bytes)`` rows.
 
@@ -191,11 +287,12 @@ def chunk_sizes(
     bytes and would exceed ``max_bytes``. ``mode="prefix"`` cuts at multiples of
     ``max_bytes`` of the running byte count, a coarser rule with no carry.
     ``doc_ord`` must be unique in its source and is best dense.
+    ``block_docs`` bounds the documents one task holds.
     """
     if mode == "next_fit":
-        return _next_fit(sizes, max_bytes, block_docs)
+        return _next_fit(sizes, max_bytes, block_docs, fan_in)
     if mode == "prefix":
-        return _prefix_chunks(sizes, max_bytes, block_docs)
+        return _prefix_chunks(sizes, max_bytes)
     raise ValueError(f"unknown mode: {mode}")
 
 

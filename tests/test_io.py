@@ -198,7 +198,7 @@ def test_staged_tables(spark, monkeypatch):
 
     monkeypatch.setattr(session, "_staged", [])
     df = session.stage(spark.range(5), "five")
-    assert df.count() == 5 and df.schema == spark.range(5).schema
+    assert sorted(r[0] for r in df.collect()) == list(range(5))
     (path,) = session._staged
     assert path.startswith(session.shared_dir(spark)) and os.path.isdir(path.removeprefix("file:"))
     assert session.drop_staged(spark) == 1

@@ -240,6 +240,11 @@ def _next_fit(sizes: DataFrame, max_bytes: int, block_docs: int, fan_in: int) ->
         "blocked-sizes",
     )
     blocks = (blocked.agg(F.max("blk")).first()[0] or 0) + 1
+    start = [F.lit(0).cast("long").alias("carry"), F.lit(0).cast("long").alias("chunk")]
+    replay = _make_replay(max_bytes)
+    if blocks == 1:
+        whole = blocked.select("*", *start).groupBy("source", "blk")
+        return whole.applyInArrow(replay, _ASSIGN_SCHEMA)
 
     steps = blocked.groupBy("source", "blk").applyInArrow(_make_steps(max_bytes), _STEP_SCHEMA)
     levels = [stage(steps, "steps")]
@@ -249,7 +254,6 @@ def _next_fit(sizes: DataFrame, max_bytes: int, block_docs: int, fan_in: int) ->
         levels.append(stage(up, "steps"))
         blocks = -(-blocks // fan_in)
 
-    start = [F.lit(0).cast("long").alias("carry"), F.lit(0).cast("long").alias("chunk")]
     carries = (
         levels[-1].select("*", *start).groupBy("source").applyInArrow(_descend, _CARRY_SCHEMA)
     )
@@ -264,7 +268,7 @@ def _next_fit(sizes: DataFrame, max_bytes: int, block_docs: int, fan_in: int) ->
     return (
         blocked.join(carries, ["source", "blk"])
         .groupBy("source", "blk")
-        .applyInArrow(_make_replay(max_bytes), _ASSIGN_SCHEMA)
+        .applyInArrow(replay, _ASSIGN_SCHEMA)
     )
 
 

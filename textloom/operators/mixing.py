@@ -215,8 +215,8 @@ def interleave(
 
 
 def mixed_sequences(
-    windows: DataFrame, mix: DataFrame, slots: int, draws: DataFrame, seed: int,
-    lengths: DataFrame | None = None,
+    windows: DataFrame, mix: Mapping[str, int] | DataFrame, slots: int, draws: DataFrame,
+    seed: int, lengths: DataFrame | None = None,
 ) -> DataFrame:
     """The mixed stream ``(id, source, chunk_id, win, seq)``.
 
@@ -224,11 +224,13 @@ def mixed_sequences(
     by weight; the k-th draw of a source takes the k-th window of that source's
     round-robin order. ``(source, k)`` is unique on both sides of the join.
     """
-    validate_mix(mix, slots)
-    drawn = stage(draw_sources(draws.select("id"), mix, seed), "draws")
+    pairs = validate_mix(mix, slots)
+    drawn = stage(draw_sources(draws.select("id"), dict(pairs), seed), "draws")
     numbered = ordinal(drawn, ["source"], ["id"], "place", position_block("id"))
     wanted = stage(drawn.groupBy("source").agg(F.count("*").alias("wanted")), "wanted")
-    ordered = interleave(windows, alloc_slots(mix, slots), wanted, seed, lengths)
+    listed = [(i, source, weight) for i, (source, weight) in enumerate(pairs)]
+    table = windows.sparkSession.createDataFrame(listed, "pos int, source string, weight long")
+    ordered = interleave(windows, alloc_slots(table, slots), wanted, seed, lengths)
     return numbered.join(ordered, ["source", "place"]).select(
         "id", "source", "chunk_id", "win", "seq"
     )

@@ -72,6 +72,10 @@ def split_on_eos(stream: DataFrame, eos: int = EOS, order: str = "ord") -> DataF
     placed = running_sum(pieces, ["source", "chunk_id"], ["ord"], marks, "before").withColumn(
         "at", F.filter(F.sequence(F.lit(1), F.size("ids")), lambda i: F.get("ids", i - 1) == eos)
     )
+    # Tokens after a chunk's last mark are dropped here, before any grouping, so
+    # a stream without marks never gathers in one group.
+    totals = pieces.groupBy("source", "chunk_id").agg(F.sum(marks).alias("docs"))
+    placed = placed.join(totals, ["source", "chunk_id"]).filter(F.col("before") < F.col("docs"))
     n = F.size("at")
 
     def cut(k: Column) -> Column:
@@ -80,20 +84,16 @@ def split_on_eos(stream: DataFrame, eos: int = EOS, order: str = "ord") -> DataF
         return F.struct(
             (F.col("before") + k).alias("doc_no"),
             F.slice("ids", start, stop - start).alias("part"),
-            (k < n).alias("closed"),
         )
 
     return (
         placed.select(
-            "source", "chunk_id", "ord",
+            "source", "chunk_id", "ord", "docs",
             F.explode(F.transform(F.sequence(F.lit(0), n), cut)).alias("c"),
         )
+        .filter(F.col("c.doc_no") < F.col("docs"))
         .groupBy("source", "chunk_id", F.col("c.doc_no").alias("doc_no"))
-        .agg(
-            F.max("c.closed").alias("closed"),
-            F.sort_array(F.collect_list(F.struct("ord", "c.part"))).alias("parts"),
-        )
-        .filter("closed")
+        .agg(F.sort_array(F.collect_list(F.struct("ord", "c.part"))).alias("parts"))
         .select("source", "chunk_id", "doc_no", F.flatten("parts.part").alias("ids"))
     )
 

@@ -225,8 +225,13 @@ def _apply_batches(words: DataFrame, batches: list[Batch]) -> DataFrame:
     return words.mapInArrow(run, "n long, syms array<int>")
 
 
-def _pair_counts(words: DataFrame, batches: list[Batch]) -> DataFrame:
-    """Counts of adjacent pairs after the batches; summed per task, then by Spark."""
+def _pair_counts(
+    words: DataFrame, batches: list[Batch], rank: np.ndarray | None = None
+) -> DataFrame:
+    """Counts of adjacent pairs after the batches; summed per task, then by Spark.
+
+    ``rank`` renames the symbols, so that sorting pairs sorts by token order.
+    """
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lookups = _lookups(batches)
@@ -235,6 +240,8 @@ def _pair_counts(words: DataFrame, batches: list[Batch]) -> DataFrame:
             w = _from_lists(rb.column("syms"))
             for lookup in lookups:
                 _apply_batch(w, lookup)
+            if rank is not None:
+                w.syms = rank[w.syms]
             at, pairs = w.pairs()
             weights = rb.column("n").to_numpy()[w.word[at]]
             keys, where = np.unique(np.concatenate((keys, pairs)), return_inverse=True)
@@ -254,11 +261,12 @@ def _pair_counts(words: DataFrame, batches: list[Batch]) -> DataFrame:
 
 
 def _top_pairs(
-    words: DataFrame, pending: list[Batch], min_frequency: int, n: int
+    words: DataFrame, pending: list[Batch], min_frequency: int, n: int,
+    rank: np.ndarray | None = None,
 ) -> list[tuple[int, int, int]]:
-    """The ``n`` most frequent pairs ``(l, r, count)``."""
+    """The first ``n`` pairs ``(l, r, count)`` in the order of greedy learning."""
     rows = (
-        _pair_counts(words, pending)
+        _pair_counts(words, pending, rank)
         .filter(F.col("n") >= max(min_frequency, 1))
         .orderBy(F.col("n").desc(), "l", "r")
         .limit(n)
@@ -302,12 +310,13 @@ def _replay(merges: dict[int, tuple[int, int, int]], base: int) -> list[int]:
     return order
 
 
-def _choose(top: list[tuple[int, int, int]], place: dict[int, int], known: set[bytes],
-            tokens: list[bytes], strict: bool) -> tuple[list[tuple[int, int, int]], bool]:
+def _choose(
+    top: list[tuple[int, int, int]], known: set[bytes], tokens: list[bytes], strict: bool
+) -> tuple[list[tuple[int, int, int]], bool]:
     """Pairs ``(l, r, count)`` that can be merged in one round, and whether a
     pair would make a token that exists already.
 
-    ``top`` holds the most frequent pairs. Two pairs overlap in a text only if
+    ``top`` holds the first pairs in greedy order. Two pairs overlap in a text only if
     the right symbol of one is the left symbol of the other. A pair is safe if it
     overlaps no pair in front of it, taken or not: whatever is merged before it
     then leaves its count alone, because a new neighbour pair is at most as
@@ -318,7 +327,7 @@ def _choose(top: list[tuple[int, int, int]], place: dict[int, int], known: set[b
     chosen: list[tuple[int, int, int]] = []
     lefts: set[int] = set()
     rights: set[int] = set()
-    for l, r, n in sorted(top, key=lambda p: (-p[2], place.get(p[0], p[0]), place.get(p[1], p[1]))):
+    for l, r, n in top:
         twice = tokens[l] + tokens[r] in known
         if twice and not strict:
             return chosen, True
@@ -377,22 +386,21 @@ def learn_bpe(
     words, pending = start, []
     found: dict[int, tuple[int, int, int]] = {}
     order: list[int] = []
-    place: dict[int, int] = {}
     known = set(tokens)
     while True:
-        # One more than the list, so that ties with the last count can be told.
-        top = _top_pairs(words, pending, min_frequency, list_size + 1)
+        # Symbols are numbered as found; token order is known only for now.
+        symbol = [*range(base), *order]
+        rank = np.zeros(len(symbol), dtype=np.int64)
+        rank[symbol] = np.arange(len(symbol))
+        top = [
+            (symbol[l], symbol[r], n)
+            for l, r, n in _top_pairs(words, pending, min_frequency, list_size, rank)
+        ]
         best = top[0][2] if top else 0
         settled = [s for s in order if found[s][0] > best]
         if not top or base + len(settled) >= limit:
             return _finish(tokens, found, order if not top else settled, base, limit, specials)
-        if len(top) > list_size:
-            cut = [p for p in top if p[2] > top[-1][2]]
-            if not cut:  # one count fills the list: ask for a longer one
-                list_size *= 2
-                continue
-            top = cut
-        chosen, twice = _choose(top, place, known, tokens, strict=False)
+        chosen, twice = _choose(top, known, tokens, strict=False)
         if twice and not chosen:
             return _learn_strict(
                 start, tokens, found, settled, base, limit, min_frequency, specials, list_size
@@ -405,7 +413,6 @@ def learn_bpe(
             found[new] = (n, l, r)
             batch.append((l, r, new))
         order = _replay(found, base)
-        place = {s: base + i for i, s in enumerate(order)}
         pending.append(batch)
         if len(pending) >= _STAGE_EVERY:
             words, pending = stage(_apply_batches(words, pending), "bpe-words"), []
@@ -428,7 +435,7 @@ def _learn_strict(start, tokens, found, settled, base, limit, min_frequency, spe
         top = _top_pairs(words, pending, min_frequency, list_size)
         if not top:
             break
-        chosen, _ = _choose(top, {}, set(ids), names, strict=True)
+        chosen, _ = _choose(top, set(ids), names, strict=True)
         batch = []
         for l, r, n in chosen:
             if len(names) >= limit:

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from textloom.catalog import full_catalog
+from textloom.functions.lang import english_filter
 from textloom.operators import vocabulary as bpe
 from textloom.operators.packing import pack_windows
 from textloom.plans import joins
@@ -49,9 +50,14 @@ def test_text_functions_stay_in_the_jvm_without_shuffle(spark, name, monkeypatch
 
 
 def test_english_filter_scores_once(spark):
-    p = plan(full_catalog().queries["english_filter"](spark, SF))
-    condition = next(line for line in p.splitlines() if "Filter" in line)
-    assert condition.count("[^\\p{L}\\p{N}_]+") <= 1
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    p = plan(english_filter(docs, prob="p"))
+    assert p.count("[^\\p{L}\\p{N}_]+") == 1
+    lines = [line for line in p.splitlines() if re.search("Filter|Generate|Scan", line)]
+    assert [re.search("Filter|Generate|Scan", line).group() for line in lines] == [
+        "Filter", "Generate", "Filter", "Scan",
+    ]
+    assert "[^\\x00-\\x7F]+" in lines[2]
 
 
 def test_tokenize_does_not_shuffle(spark):

@@ -140,8 +140,7 @@ def lang_rank(spark, sf_dir):
         WHERE {ASCII_RATIO_SQL} > {lang.ASCII_BAR} AND p[1] > {lang.LANG_BAR}""",
 )
 def english_filter(spark, sf_dir):
-    # A filter moves below any shuffle, so spreading the scan would not help it.
-    return lang.english_filter(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    return lang.english_filter(documents(spark, sf_dir, "source", "text"))
 
 
 @catalog.add(

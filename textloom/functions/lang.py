@@ -175,11 +175,18 @@ def prob_of(c: Column | str, label: str = "English") -> Column:
 
 
 def english_filter(
-    df: DataFrame, text: str = "text", ascii_bar: float = ASCII_BAR, lang_bar: float = LANG_BAR
+    df: DataFrame, text: str = "text", ascii_bar: float = ASCII_BAR, lang_bar: float = LANG_BAR,
+    prob: str | None = None,
 ) -> DataFrame:
     """Keep rows that are nearly all ASCII and score as English.
 
     The cheap test comes first, so most foreign texts are never scored. Null
-    and empty texts fail.
+    and empty texts fail. ``prob`` names a column to keep the probability in.
     """
-    return df.filter((ascii_ratio(text) > ascii_bar) & (prob_of(text) > lang_bar))
+    name = prob or "_p_english"
+    near_ascii = df.filter(ascii_ratio(text) > ascii_bar)
+    # Exploding a one-element array pins the score: a plain column would be
+    # inlined into the filter, computed twice if kept, and moved below shuffles.
+    scored = near_ascii.select("*", F.explode(F.array(prob_of(text))).alias(name))
+    kept = scored.filter(F.col(name) > lang_bar)
+    return kept if prob else kept.drop(name)

@@ -128,6 +128,10 @@ def test_mixed_sequences(spark):
     order = {s: iter(round_robin(lengths[s], slots[s], 1, n)) for s in weights}
     want = [(i, drawn[i], *next(order[drawn[i]])) for i in range(n)]
     assert [tuple(r)[:4] for r in out.orderBy("id").collect()] == want
+    with pytest.raises(ValueError, match="no chunks"):
+        mixing.mixed_sequences(
+            window_frame(spark, lengths), mix_frame(spark, weights | {"c": 1}), 4, spark.range(n), 1
+        )
 
 
 def test_permutations(spark):

@@ -25,7 +25,7 @@ REFERENCES_MARK = "## References\n\n"
 TITLE_MARK = "<SOT>"
 
 # De-spacing rules of the line-wise wiki corpus, applied in order.
-# `s*` before the end of the caption rule is the letter s, as in the original.
+# `s*` before the end of the title rule is the letter s on purpose.
 DETOK_RULES: tuple[tuple[str, str], ...] = (
     (WS + r"+([,.;:!?])", "$1"),
     (WS + r"('[a-z]{1,2}" + WS + ")", "$1"),

@@ -193,6 +193,10 @@ def interleave_schedule(
     return rows.groupBy("source").applyInPandas(_make_schedule(seed), _SCHEDULE_SCHEMA)
 
 
+def _window_counts(windows: DataFrame) -> DataFrame:
+    return windows.groupBy("source", "chunk_id").agg(F.count("*").alias("n"))
+
+
 def interleave(
     windows: DataFrame, slots: DataFrame, wanted: DataFrame, seed: int,
     lengths: DataFrame | None = None,
@@ -204,7 +208,7 @@ def interleave(
     token totals), otherwise windows are counted.
     """
     if lengths is None:
-        lengths = windows.groupBy("source", "chunk_id").agg(F.count("*").alias("n"))
+        lengths = _window_counts(windows)
     loads = stage(interleave_schedule(lengths, slots, wanted, seed), "loads")
     return (
         join_measured(windows, loads, ["source", "chunk_id"])
@@ -224,12 +228,18 @@ def mixed_sequences(
     by weight; the k-th draw of a source takes the k-th window of that source's
     round-robin order. ``(source, k)`` is unique on both sides of the join.
     """
+    if lengths is None:
+        lengths = _window_counts(windows)
+    lengths = stage(lengths.filter("n > 0"), "lengths")
     pairs = validate_mix(mix, slots)
+    listed = [source for source, _ in pairs]
+    at_hand = lengths.select("source").filter(F.col("source").isin(listed)).distinct().collect()
+    validate_mix(dict(pairs), slots, [r["source"] for r in at_hand])
     drawn = stage(draw_sources(draws.select("id"), dict(pairs), seed), "draws")
     numbered = ordinal(drawn, ["source"], ["id"], "place", position_block("id"))
     wanted = stage(drawn.groupBy("source").agg(F.count("*").alias("wanted")), "wanted")
-    listed = [(i, source, weight) for i, (source, weight) in enumerate(pairs)]
-    table = windows.sparkSession.createDataFrame(listed, "pos int, source string, weight long")
+    numbered_mix = [(i, source, weight) for i, (source, weight) in enumerate(pairs)]
+    table = windows.sparkSession.createDataFrame(numbered_mix, "pos int, source string, weight long")
     ordered = interleave(windows, alloc_slots(table, slots), wanted, seed, lengths)
     return numbered.join(ordered, ["source", "place"]).select(
         "id", "source", "chunk_id", "win", "seq"

@@ -102,11 +102,13 @@ class Vocabulary:
 
     @staticmethod
     def from_tables(vocab: DataFrame, merges: DataFrame) -> Vocabulary:
-        tokens = vocab.orderBy("token_id").limit(MAX_VOCAB + 1).collect()
-        ranked = merges.orderBy("rank").limit(2 * MAX_VOCAB).collect()
+        """Read a stored vocabulary; its size is checked before it reaches the driver."""
+        if vocab.count() > MAX_VOCAB or merges.count() > 2 * MAX_VOCAB:
+            raise ValueError(f"a vocabulary holds at most {MAX_VOCAB} tokens")
+        tokens = vocab.orderBy("token_id").collect()
         return Vocabulary(
             [bytes(r["bytes"]) for r in tokens],
-            [(r["left"], r["right"], r["new_id"]) for r in ranked],
+            [(r["left"], r["right"], r["new_id"]) for r in merges.orderBy("rank").collect()],
             specials=tuple(bytes(r["bytes"]).decode() for r in tokens if r["is_special"]),
         )
 

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.catalog import table
-from textloom.llm import sharding, url_lists
+from textloom.llm import packing, pii, sharding, url_lists
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -75,7 +76,7 @@ WITH p AS (
     CAST('0x' || substr(md5(url), 1, 4) AS INT) AS d,
     lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)) AS host,
     list_filter(string_split(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^?#]*)', 1), '/'),
-      x -> x <> '') AS segs
+      lambda x: x <> '') AS segs
   FROM pages),
 e AS (
   SELECT CASE WHEN d % 2 = 0 THEN 'malware' ELSE 'adult' END AS list,
@@ -89,9 +90,9 @@ h AS (
 k AS (
   SELECT page_id, url, fetched, unnest(list_distinct(list_concat(
     list_transform(range(1, len(string_split(host, '.')) + 1),
-      n -> array_to_string(list_slice(string_split(host, '.'), -n, -1), '.')),
+      lambda n: array_to_string(list_slice(string_split(host, '.'), -n, -1), '.')),
     list_transform(range(1, len(segs) + 1),
-      n -> host || '/' || lower(array_to_string(segs[1:n], '/')))))) AS pattern
+      lambda n: host || '/' || lower(array_to_string(segs[1:n], '/')))))) AS pattern
   FROM p WHERE host <> ''),
 m AS (
   SELECT k.page_id, k.url, k.fetched, count(*) AS n, string_agg(DISTINCT h.list, ',' ORDER BY h.list) AS lists
@@ -102,3 +103,29 @@ SELECT DISTINCT p.page_id, p.url, p.fetched, coalesce(m.n, 0) > 0 AS blocked, co
 FROM p LEFT JOIN m ON p.page_id IS NOT DISTINCT FROM m.page_id AND p.url IS NOT DISTINCT FROM m.url
   AND p.fetched IS NOT DISTINCT FROM m.fetched
 """
+
+
+def _count(rank: int) -> Column:
+    return F.size(F.filter("pii", lambda s: s["kind"] == rank)).cast("long")
+
+
+@query
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of every whole text."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.find_spans(docs)
+    base = F.filter("pii", lambda s: s["kind"] < len(pii.BASE))
+    counts = [_count(rank).alias(f"n_{kind.name}") for rank, kind in enumerate(pii.BASE)]
+    return found.select(
+        "doc_id",
+        *counts,
+        F.sha2(pii.listed(base).cast("binary"), 256).alias("base_sha256"),
+        pii.listed(F.col("pii")).alias("spans"),
+    )
+
+
+@query
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of 1024 tokens, 64 open windows per partition."""
+    tokenizer = public_tokenizers.path("byte_bpe_50k.json")
+    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer)

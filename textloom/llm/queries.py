@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.catalog import table
-from textloom.llm import packing, pii, sharding, url_lists
+from textloom.llm import language, packing, pii, sharding, url_lists
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -129,3 +129,12 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in sequences of 1024 tokens, 64 open windows per partition."""
     tokenizer = public_tokenizers.path("byte_bpe_50k.json")
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer)
+
+
+@query
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every whole text, learned from two of three folds."""
+    docs = table(spark, sf_dir, "documents")
+    rows = docs.select("doc_id", "text", language.held_out().alias("held_out"))
+    out = language.predict(rows, language.learn(docs))
+    return out.select("doc_id", "held_out", "lang_pred", "score")

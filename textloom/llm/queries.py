@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.catalog import table
-from textloom.llm import language, packing, pii, sharding, url_lists
+from textloom.llm import language, packing, pii, quality, sharding, url_lists
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -138,3 +138,14 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = docs.select("doc_id", "text", language.held_out().alias("held_out"))
     out = language.predict(rows, language.learn(docs))
     return out.select("doc_id", "held_out", "lang_pred", "score")
+
+
+@query
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every whole text, learned from four of five folds of the labels."""
+    docs = table(spark, sf_dir, "documents")
+    model = quality.learn(docs, table(spark, sf_dir, "labels"))
+    rows = docs.select("doc_id", "text", quality.held_out().alias("held_out"))
+    out = quality.score(rows, model)
+    kept = F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted")
+    return out.select("doc_id", "held_out", "score", kept)

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.catalog import table
-from textloom.llm import language, packing, pii, quality, sharding, url_lists
+from textloom.llm import decontamination, language, packing, pii, quality, sharding, url_lists
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -149,3 +149,18 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality.score(rows, model)
     kept = F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted")
     return out.select("doc_id", "held_out", "score", kept)
+
+
+@query
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every document shares with the benchmark, by windows of 10 words."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontamination.find_hits(docs, table(spark, sf_dir, "benchmark"))
+    return found.select(
+        F.col("_c0").alias("doc_id"),
+        F.col("_words").alias("n_words"),
+        F.col("_hit").alias("n_hit"),
+        F.size("_items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("_items", ",").cast("binary"), 256).alias("items_sha256"),
+        (F.col("_hit") > 0).alias("contaminated"),
+    )

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.catalog import table
-from textloom.llm import decontamination, language, near_dedup, packing, pii, quality, sharding, topk, url_lists
+from textloom.llm import decontamination, language, near_dedup, packing, pii, quality, sharding, suffix_dedup, topk, url_lists
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -196,3 +196,9 @@ FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents linked at 80 per cent of their 4-word shingles."""
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every document under 200-byte strings that start elsewhere too."""
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))

@@ -5,8 +5,8 @@ from __future__ import annotations
 import numpy as np
 
 
-def suffix_sort(first: np.ndarray, step: int = 1, most: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Suffix array and ranks of a sequence, given ranks of its first ``step`` symbols.
+def suffix_sort(first: np.ndarray, step: int = 1) -> np.ndarray:
+    """Suffix array of a sequence, given keys of the first ``step`` symbols at each position.
 
     Each round doubles the number of symbols that ranks stand for: positions whose
     rank is shared are sorted by the rank of the position ``step`` further on; settled
@@ -23,7 +23,7 @@ def suffix_sort(first: np.ndarray, step: int = 1, most: int | None = None) -> tu
     rank[n] = -1
     places = np.flatnonzero(head)
     rank[order] = np.repeat(places, np.diff(np.append(places, n)))
-    while most is None or step < most:
+    while step <= 2 * n:
         single = head & np.append(head[1:], True)
         open_ = np.flatnonzero(~single)
         if not len(open_):
@@ -39,7 +39,7 @@ def suffix_sort(first: np.ndarray, step: int = 1, most: int | None = None) -> tu
         starts = np.flatnonzero(fresh)
         rank[at] = np.repeat(open_[starts], np.diff(np.append(starts, len(at))))
         step *= 2
-    return order, rank[:n]
+    return order
 
 
 class WaveletMatrix:
@@ -80,7 +80,7 @@ class FMIndex:
         gaps = int(gap.sum())
         # Separators differ from each other, so no comparison runs past one.
         first = np.where(gap, np.cumsum(gap) - 1, symbols.astype(np.int64) + gaps)
-        order, _ = suffix_sort(first)
+        order = suffix_sort(first)
         self.before = symbols[order - 1].astype(np.int64)
         top = int(symbols.max(initial=0))
         self.first = np.concatenate([[0], np.cumsum(np.bincount(symbols, minlength=top + 1))])
@@ -129,3 +129,40 @@ class FMIndex:
             row = self.first[symbol] + self.tree.below(symbol, row)
             walked += 1
         return out
+
+
+def capped_prefixes(words: np.ndarray, order: np.ndarray, n: int, most: int, lane: int = 128) -> np.ndarray:
+    """Common prefix of each suffix with the one before it in ``order``, at most ``most``.
+
+    Kasai's rule: the suffix one position on shares at least one symbol less with its own
+    predecessor. The text is cut into lanes of ``lane`` positions that advance together.
+    ``words`` holds the eight bytes from each position on, the first one lowest.
+    """
+    before = np.full(n, -1, np.int64)
+    before[order[1:]] = order[:-1]
+    common = np.zeros(n, np.int64)
+    heads = np.arange(0, n, lane)
+    held = np.zeros(len(heads), np.int64)
+    for step in range(min(lane, n)):
+        at = heads + step
+        live = at < n
+        held = np.maximum(held - 1, 0)
+        held[~live] = 0
+        other = np.where(live, before[np.minimum(at, n - 1)], -1)
+        held[other < 0] = 0
+        going = np.flatnonzero((other >= 0) & (held < most))
+        while len(going):
+            x, y = at[going] + held[going], other[going] + held[going]
+            room = n - np.maximum(x, y)
+            inside = room > 0
+            going, x, y, room = going[inside], x[inside], y[inside], room[inside]
+            differ = words[x] ^ words[y]
+            equal = np.where(
+                differ == 0, 8, np.bitwise_count((differ & (~differ + np.uint64(1))) - np.uint64(1)) >> 3
+            )
+            equal = np.minimum(equal, room)
+            held[going] += equal
+            going = going[(equal == 8) & (held[going] < most)]
+        np.minimum(held, most, out=held)
+        common[at[live]] = held[live]
+    return common[order]

@@ -14,7 +14,7 @@ def con():
     return connect(SF)
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_matches_sql(spark, con, name):
     assert difference(spark, con, QUERIES[name], SQL[name], SF) is None
 

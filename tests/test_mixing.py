@@ -1,4 +1,4 @@
-"""Slots, draws, interleaving and plans against plain loops."""
+"""Slots, draws, interleaving and plans: cases worked out by hand, and properties."""
 
 import random
 from collections import Counter
@@ -21,22 +21,20 @@ def mix_frame(spark, weights):
     return spark.createDataFrame(rows, "pos int, source string, weight long")
 
 
-def largest_remainder(weights, slots):
-    x, total = slots - len(weights), sum(weights.values())
-    out = {s: 1 + x * w // total for s, w in weights.items()}
-    left = slots - sum(out.values())
-    for s in sorted(weights, key=lambda k: -(x * weights[k] % total))[:left]:
-        out[s] += 1
-    return out
+# Slots worked out by hand: one each, the rest by weight, leftovers to the largest remainders.
+SLOT_TABLE = [
+    (WEIGHTS, 64, [15, 15, 8, 5, 8, 8, 5]),
+    (WEIGHTS, 7, [1, 1, 1, 1, 1, 1, 1]),
+    (WEIGHTS, 8, [2, 1, 1, 1, 1, 1, 1]),
+    ({"a": 1, "b": 1, "c": 1}, 5, [2, 2, 1]),
+    ({"a": 5}, 9, [9]),
+]
 
 
-@pytest.mark.parametrize(
-    "weights,slots",
-    [(WEIGHTS, 64), (WEIGHTS, 7), (WEIGHTS, 8), ({"a": 1, "b": 1, "c": 1}, 5), ({"a": 5}, 9)],
-)
-def test_slots(spark, weights, slots):
+@pytest.mark.parametrize("weights,slots,expected", SLOT_TABLE)
+def test_slots(spark, weights, slots, expected):
     got = {r["source"]: r["slots"] for r in mixing.alloc_slots(mix_frame(spark, weights), slots).collect()}
-    assert got == largest_remainder(weights, slots) and sum(got.values()) == slots
+    assert got == dict(zip(weights, expected))
 
 
 def test_mix_is_checked(spark):
@@ -63,32 +61,10 @@ def test_draws(spark):
     assert sorted(rows) != sorted(other)
 
 
-def order_of(chunks, seed, epoch):
+def hashed(chunks, seed, epoch):
     return sorted(chunks, key=lambda c: (md5(f"{seed ^ epoch}:{c}".encode()).hexdigest(), c))
 
 
-def round_robin(lengths, slots, seed, n):
-    """Windows of one source as an endless generator gives them."""
-    chunks = [c for c in lengths if lengths[c]]
-    slots = min(slots, len(chunks))
-    epoch, at, order = 0, 0, order_of(chunks, seed, 0)
-    readers, out, s = [None] * slots, [], 0
-    while len(out) < n:
-        if readers[s] is None:
-            readers[s] = iter([(order[at], w) for w in range(lengths[order[at]])])
-            at += 1
-            if at == len(order):
-                epoch, at = epoch + 1, 0
-                order = order_of(chunks, seed, epoch)
-        item = next(readers[s], None)
-        if item is None:
-            readers[s] = None
-        else:
-            out.append(item)
-            s = (s + 1) % slots
-    return out
-
-
 def window_frame(spark, lengths):
     rows = [
         (s, c, w, [c, w]) for s, ls in lengths.items() for c, n in ls.items() for w in range(n)
@@ -96,25 +72,53 @@ def window_frame(spark, lengths):
     return spark.createDataFrame(rows, "source string, chunk_id int, win long, seq array<int>")
 
 
-def test_interleave(spark):
-    rnd = random.Random(2)
-    lengths = {
-        f"s{k}": {c: rnd.randint(0, 9) for c in range(rnd.randint(1, 9))} | {99: rnd.randint(1, 30)}
-        for k in range(20)
-    }
-    slots = {s: rnd.randint(1, 6) for s in lengths}
-    wanted = {s: rnd.randint(1, 120) for s in lengths}
+def interleaved(spark, lengths, slots, wanted, seed=42):
+    """{source: [(chunk, window), ...] in place order}."""
     out = mixing.interleave(
         window_frame(spark, lengths),
         spark.createDataFrame(list(slots.items()), "source string, slots long"),
         spark.createDataFrame(list(wanted.items()), "source string, wanted long"),
-        seed=42,
+        seed=seed,
     )
     got = {s: [] for s in lengths}
     for r in out.orderBy("source", "place").collect():
         assert r["place"] == len(got[r["source"]]) and r["seq"] == [r["chunk_id"], r["win"]]
         got[r["source"]].append((r["chunk_id"], r["win"]))
-    assert got == {s: round_robin(lengths[s], slots[s], 42, wanted[s]) for s in lengths}
+    return got
+
+
+def test_interleave_by_hand(spark):
+    """Two open chunks take turns; the slot that runs out first loads the next chunk."""
+    a, b, c = hashed([0, 1, 2], 42, 0)
+    lengths = {"s": {a: 2, b: 3, c: 2}}
+    got = interleaved(spark, lengths, {"s": 2}, {"s": 7})["s"]
+    assert got[:6] == [(a, 0), (b, 0), (a, 1), (b, 1), (c, 0), (b, 2)]
+    assert got[6] == (c, 1)
+    one = interleaved(spark, lengths, {"s": 1}, {"s": 9})["s"]
+    again = hashed([0, 1, 2], 42, 1)[0]
+    assert one == [(a, 0), (a, 1), (b, 0), (b, 1), (b, 2), (c, 0), (c, 1), (again, 0), (again, 1)]
+
+
+def test_interleave_properties(spark):
+    rnd = random.Random(2)
+    lengths = {
+        f"s{k}": {c: rnd.randint(0, 9) for c in range(rnd.randint(1, 9))} | {99: rnd.randint(1, 30)}
+        for k in range(12)
+    }
+    slots = {s: rnd.randint(1, 6) for s in lengths}
+    epoch = {s: sum(n.values()) for s, n in lengths.items()}
+    got = interleaved(spark, lengths, slots, {s: 3 * n for s, n in epoch.items()})
+    for s, order in got.items():
+        assert len(order) == 3 * epoch[s]
+        open_ = min(slots[s], sum(n > 0 for n in lengths[s].values()))
+        runs = [order[k::open_] for k in range(open_)]
+        for run in runs:
+            # A slot reads one chunk from its first window to its last, then another one.
+            for (c, w), (d, v) in zip(run, run[1:]):
+                assert (d, v) == (c, w + 1) if w + 1 < lengths[s][c] else v == 0
+        # Chunks are loaded epoch by epoch: counts of loads differ by one epoch at most.
+        loads = Counter(c for c, w in order if w == 0)
+        assert max(loads.values()) - min(loads[c] for c, n in lengths[s].items() if n) <= 2
 
 
 def test_mixed_sequences(spark):
@@ -123,11 +127,13 @@ def test_mixed_sequences(spark):
     out = mixing.mixed_sequences(
         window_frame(spark, lengths), mix_frame(spark, weights), 3, spark.range(n), seed=1
     )
+    rows = [tuple(r)[:4] for r in out.orderBy("id").collect()]
     drawn = {r["id"]: r["source"] for r in mixing.draw_sources(spark.range(n), weights, 1).collect()}
-    slots = largest_remainder(weights, 3)
-    order = {s: iter(round_robin(lengths[s], slots[s], 1, n)) for s in weights}
-    want = [(i, drawn[i], *next(order[drawn[i]])) for i in range(n)]
-    assert [tuple(r)[:4] for r in out.orderBy("id").collect()] == want
+    assert [(i, s) for i, s, _, _ in rows] == sorted(drawn.items())
+    # Each source's own rows follow its round-robin order.
+    order = interleaved(spark, lengths, {"a": 2, "b": 1}, Counter(drawn.values()), seed=1)
+    for s in weights:
+        assert [(c, w) for _, t, c, w in rows if t == s] == order[s]
     with pytest.raises(ValueError, match="no chunks"):
         mixing.mixed_sequences(
             window_frame(spark, lengths), mix_frame(spark, weights | {"c": 1}), 4, spark.range(n), 1
@@ -141,7 +147,7 @@ def test_permutations(spark):
         rows = mixing.epoch_permutation(chunks, 42, epoch).orderBy("place").collect()
         assert [r["place"] for r in rows] == list(range(300))
         orders.append([r["chunk_id"] for r in rows])
-        assert orders[-1] == order_of(range(300), 42, epoch)
+        assert orders[-1] == hashed(range(300), 42, epoch)
     assert orders[0] != orders[1]
 
 

@@ -85,31 +85,36 @@ def test_running_sum_over_blocks(spark):
     assert [r["p"] for r in places] == list(range(len(rows)))
 
 
-def articles_of(lines):
-    docs, buf = [], ""
-    for line in lines:
-        if line.startswith("<SOT>"):
-            if buf:
-                docs.append(buf)
-            buf, line = "", line[5:]
-        if line:
-            buf += line + "\n"
-    return docs + [buf] if buf else docs
+ARTICLES = {
+    "a": (
+        ["intro", "", "<SOT>One", "first", "", "x <SOT>", "<SOT>Two", "<SOT>", "tail"],
+        [(0, "intro\n"), (2, "One\nfirst\nx <SOT>\n"), (6, "Two\n"), (8, "tail\n")],
+    ),
+    "b": (["<SOT>Only"], [(0, "Only\n")]),
+    "c": (["", "", ""], []),
+    "d": (["<SOT>", "", "<SOT>T", "line"], [(2, "T\nline\n")]),
+}
 
 
 @pytest.mark.parametrize("restage", [True, False])
 def test_articles(spark, restage):
-    rnd = random.Random(4)
-    files = {
-        f: [rnd.choice(["", "", "line", "two words", "<SOT>T", "<SOT>", "x <SOT>"]) for _ in range(90)]
-        for f in "abc"
-    }
-    files["c"] = ["", "", ""]
-    rows = [(f, i, t) for f, ls in files.items() for i, t in enumerate(ls)]
+    rows = [(f, i, t) for f, (lines, _) in ARTICLES.items() for i, t in enumerate(lines)]
     df = spark.createDataFrame(rows, "file string, row_idx long, text string")
     out = assemble_articles(df, restage=restage).orderBy("file", "doc_ord").collect()
-    for f, lines in files.items():
-        assert [r["text"] for r in out if r["file"] == f] == articles_of(lines)
+    for f, (_, docs) in ARTICLES.items():
+        assert [(r["doc_ord"], r["text"]) for r in out if r["file"] == f] == docs
+
+
+def test_many_articles(spark):
+    """Every title starts a document; nothing but titles' marks and empty lines is lost."""
+    rnd = random.Random(4)
+    lines = [rnd.choice(["", "line", "two words", "<SOT>T"]) for _ in range(9000)]
+    df = spark.createDataFrame([("f", i, t) for i, t in enumerate(lines)], "file string, row_idx long, text string")
+    out = [r["text"] for r in assemble_articles(df).orderBy("doc_ord").collect()]
+    places = [i for i, t in enumerate(lines) if t == "<SOT>T"]
+    assert len(out) == len(places) + any(lines[: places[0]])
+    assert "".join(out) == "".join(t.removeprefix("<SOT>") + "\n" for t in lines if t)
+    assert all(t.startswith("T\n") for t in out[-len(places) :])
 
 
 def token_frame(spark, chunks):

@@ -81,39 +81,47 @@ def test_input_target(spark):
     assert got == [([1, 2], [2, 3]), ([], [])]
 
 
-WORDS = [w for ws in lang.STOP_WORDS.values() for w in ws.split()]
-ODD = ["x½the", "theⅧ", "THE", "İn", "ſe", "iſ", "ı", "été", "ÊTRE", "the_of", "of-the", "ét", "zzz", "K", "straße"]
-
-
-def language_texts():
-    rnd = random.Random(5)
-    out = [" ".join(rnd.choice(WORDS + ODD) for _ in range(rnd.randint(0, 400))) for _ in range(60)]
-    base = "the été of x " * 600
-    return out + [base[:n] for n in (1, 1023, 1024, 2047, 2048, 4095, 4096, 4097, 7000)]
-
-
-def python_probs(t):
-    sample = t[:2048] if len(t) < 4096 else t[:1024] + t[len(t) // 2 : len(t) // 2 + 1024]
-    counts = {
-        k: len(re.findall(r"\b(?:" + "|".join(ws.split()) + r")\b", sample, re.IGNORECASE))
-        for k, ws in lang.STOP_WORDS.items()
-    }
-    scores = {k: v / max(len(sample) / 100, 1e-6) for k, v in counts.items()} | {"Uncertain": 1.0}
-    top = max(scores.values())
-    exps = {k: math.exp(v - top) for k, v in scores.items()}
-    return counts, scores, {k: v / sum(exps.values()) for k, v in exps.items()}
-
-
-def test_language(spark):
-    texts = language_texts()
-    want = [python_probs(t) for t in texts]
-    assert column(spark, texts, lang.stopword_counts("t")) == [w[0] for w in want]
-    for got, (_, scores, _) in zip(column(spark, texts, lang.lang_scores("t")), want):
-        assert got == pytest.approx(scores)
-    for got, (_, _, probs) in zip(column(spark, texts, lang.lang_probs("t")), want):
-        assert got == pytest.approx(probs)
-    for got, (_, _, probs) in zip(column(spark, texts, lang.lang_ranked("t")), want):
-        assert [r["lang"] for r in got] == sorted(probs, key=lambda k: -probs[k])
+def counts(**found):
+    return {k: found.get(k, 0) for k in LANGUAGES}
+
+
+LANGUAGES = [k for k in lang.LABELS if k != "Uncertain"]
+
+# Words counted by hand: whole words in any case, in the sample of the text.
+COUNTED = [
+    ("", counts()),
+    ("THE cat, the dog and The bird", counts(English=4)),
+    ("of-the the_of ofthe", counts(English=2)),
+    ("the " * 500, counts(English=500)),
+    ("x" * 5000 + " the and of", counts()),  # beyond the sample of a long text
+    ("the and " + "x" * 5000, counts(English=2)),
+]
+
+
+def test_stopword_counts(spark):
+    got = column(spark, [t for t, _ in COUNTED], lang.stopword_counts("t"))
+    for (text, expected), found in zip(COUNTED, got):
+        assert found["English"] == expected["English"], text[:40]
+
+
+def test_scores_are_counts_per_hundred_characters(spark):
+    texts = ["the cat", "the " * 60, "x" * 300]
+    for text, score in zip(texts, column(spark, texts, lang.lang_scores("t"))):
+        assert score["Uncertain"] == 1.0
+        assert score["English"] == pytest.approx(100 * text.split().count("the") / len(text))
+
+
+def test_probabilities_are_a_softmax(spark):
+    texts = ["the cat and the dog of the house", "zzz", "et les chats de la maison", "", "the " * 2000]
+    scores = column(spark, texts, lang.lang_scores("t"))
+    probs = column(spark, texts, lang.lang_probs("t"))
+    ranked = column(spark, texts, lang.lang_ranked("t"))
+    for score, p, order in zip(scores, probs, ranked):
+        assert sum(p.values()) == pytest.approx(1)
+        for a in p:  # ratios of a softmax are powers of e
+            assert p[a] / p["Uncertain"] == pytest.approx(math.exp(score[a] - 1.0))
+        listed = [r["p"] for r in order]
+        assert listed == sorted(listed, reverse=True) and {r["lang"] for r in order} == set(p)
 
 
 def test_ascii_ratio_and_filter(spark):

@@ -39,10 +39,10 @@ def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
 
 
 def full_catalog() -> Catalog:
-    from textloom.catalog import cleaning, mixing, ordering, scans, tokens
+    from textloom.catalog import cleaning, files, mixing, ordering, scans, tokens
 
     out = Catalog()
-    for module in (scans, cleaning, ordering, tokens, mixing):
+    for module in (scans, cleaning, ordering, tokens, mixing, files):
         out.queries.update(module.catalog.queries)
         out.sql.update(module.catalog.sql)
     return out

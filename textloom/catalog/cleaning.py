@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from textloom.catalog import Catalog, documents, table
-from textloom.catalog.scans import ASCII_RATIO_SQL
+from textloom.catalog.scans import ASCII_RATIO_SQL, histogram_sql
 from textloom.functions import lang, text
+from textloom.operators.stats import histogram01
 
 catalog = Catalog()
 
@@ -62,7 +63,7 @@ SAMPLE_SQL = """(CASE WHEN length(text) < 4096 THEN substr(text, 1, 2048)
 
 
 def _words_sql(name: str) -> str:
-    return ", ".join(f"'{w.lower()}'" for w in lang.STOP_WORDS[name].split())
+    return ", ".join(f"'{w.lower()}'" for w in lang.STOP_WORDS[name])
 
 
 _HITS_SQL = ",\n".join(
@@ -114,6 +115,11 @@ def lang_probs(spark, sf_dir):
     return _labelled(spark, sf_dir, lang.lang_probs("text"))
 
 
+@catalog.add("english_histogram", histogram_sql(f"WITH {PROBS_SQL} SELECT p[1] AS x FROM probs"))
+def english_histogram(spark, sf_dir):
+    return histogram01(documents(spark, sf_dir, "text"), lang.lang_probs("text")["English"], 100)
+
+
 _RANK_ROWS_SQL = ", ".join(
     f"{{'neg': -p[{i + 1}], 'pos': {i}, 'lang': '{k}'}}" for i, k in enumerate(lang.LABELS)
 )
@@ -175,44 +181,40 @@ def cut_references(spark, sf_dir):
 
 
 def _detok_sql(x: str) -> str:
-    """The rewrite rules in RE2 syntax, written out once more for DuckDB."""
-    s = WS_SQL
-    rules = [
-        (f"{s}+([,.;:!?])", "\\1"),
-        (f"{s}(''[a-z]{{1,2}}{s})", "\\1"),
-        (f'"{s}([^\\n]+?){s}"', '"\\1"'),
-        (f"''{s}([^\\n]+?){s}''", "''\\1''"),
-        (f"\\({s}([^\\n]+?){s}\\)", "(\\1)"),
-        (f"\\[{s}([^\\n]+?){s}\\]", "[\\1]"),
-        ("s '' ", "s'' "),
-        (f"{s}@([^\\n]{{1,4}}?)@{s}", "\\1"),
-        (f"^{s}*={s}([^=\\n]+?){s}=*s*$", "<SOT>\\1"),
-        (f"(?:={s})+([^\\n]+?){s}*(?:{s}=)+", "\\1"),
-    ]
-    for pattern, replacement in rules:
+    """The rewrite rules of the library, spelled for RE2."""
+    for pattern, replacement in text.DETOK_RULES:
+        pattern = pattern.replace(text.WS, WS_SQL).replace("'", "''")
+        replacement = replacement.replace("$", "\\").replace("'", "''")
         x = f"regexp_replace({x}, '{pattern}', '{replacement}', 'g')"
     return x
 
 
-# Wiki-like lines made from the documents: titles, section heads, spaced prose.
-WIKI_LINE_SQL = """(CASE doc_id % 10 WHEN 0 THEN '= ' || source || ' ='
-    WHEN 5 THEN '= = ' || source || ' = = ' || replace(text, ' ', ' @-@ ')
-    WHEN 7 THEN '" ' || source || ' " ( ' || substr(text, 1, 40) || ' ) we '' re ' || text
-    ELSE replace(replace(text, ',', ' ,'), '.', ' .') END)"""
-DETOK_SQL = _detok_sql(WIKI_LINE_SQL)
+# Wiki-like lines made from the documents: section heads, spaced prose, and a title line
+# before every tenth document.
+WIKI_LINES_SQL = """(SELECT doc_id * 2 + 1 AS line, lang, CASE doc_id % 10
+      WHEN 5 THEN '= = ' || source || ' = = ' || replace(text, ' ', ' @-@ ')
+      WHEN 7 THEN '" ' || source || ' " ( ' || substr(text, 1, 40) || ' ) we '' re ' || text
+      ELSE replace(replace(text, ',', ' ,'), '.', ' .') END AS text FROM documents
+    UNION ALL SELECT doc_id * 2, lang, '= ' || source || ' =' FROM documents WHERE doc_id % 10 = 0)"""
+DETOK_SQL = _detok_sql("text")
 
 
 def wiki_lines(spark, sf_dir):
     kind = F.col("doc_id") % 10
-    line = (
-        F.when(kind == 0, F.concat(F.lit("= "), "source", F.lit(" =")))
-        .when(kind == 5, F.concat(F.lit("= = "), "source", F.lit(" = = "), F.replace("text", F.lit(" "), F.lit(" @-@ "))))
+    prose = (
+        F.when(kind == 5, F.concat(F.lit("= = "), "source", F.lit(" = = "), F.replace("text", F.lit(" "), F.lit(" @-@ "))))
         .when(kind == 7, F.concat(F.lit('" '), "source", F.lit(' " ( '), F.substring("text", 1, 40), F.lit(" ) we ' re "), "text"))
         .otherwise(F.replace(F.replace("text", F.lit(","), F.lit(" ,")), F.lit("."), F.lit(" .")))
     )
-    return documents(spark, sf_dir, "source", "lang", "text").select("doc_id", "source", "lang", line.alias("text"))
+    body = F.struct((F.col("doc_id") * 2 + 1).alias("line"), prose.alias("text"))
+    head = F.struct(
+        (F.col("doc_id") * 2).alias("line"), F.concat(F.lit("= "), "source", F.lit(" =")).alias("text")
+    )
+    lines = F.explode(F.when(kind == 0, F.array(head, body)).otherwise(F.array(body)))
+    docs = documents(spark, sf_dir, "source", "lang", "text").select("lang", lines.alias("l"))
+    return docs.select("l.line", "lang", "l.text")
 
 
-@catalog.add("wikitext_detok", f"SELECT doc_id, {DETOK_SQL} AS text FROM documents")
+@catalog.add("wikitext_detok", f"SELECT line, {DETOK_SQL} AS text FROM {WIKI_LINES_SQL}")
 def wikitext_detok(spark, sf_dir):
-    return wiki_lines(spark, sf_dir).select("doc_id", text.wikitext_detok("text").alias("text"))
+    return wiki_lines(spark, sf_dir).select("line", text.wikitext_detok("text").alias("text"))

@@ -83,7 +83,8 @@ DRAWS_SQL = f"""{MIX_SQL},
 bounds AS (SELECT source, weight, sum(weight) OVER (ORDER BY pos)::BIGINT AS hi,
     sum(weight) OVER ()::BIGINT AS total FROM mix),
 tickets AS (SELECT event_id AS id,
-    (('0x' || substr(md5('{SEED}:' || event_id), 1, 8))::BIGINT * (SELECT max(total) FROM bounds)) >> 32 AS t
+    (('0x' || substr(md5('{SEED}:' || event_id), 1, 15))::HUGEINT * (SELECT max(total) FROM bounds)
+      // 1152921504606846976::HUGEINT)::BIGINT AS t
   FROM events),
 draws AS (SELECT id, source FROM tickets JOIN bounds ON t >= hi - weight AND t < hi)"""
 
@@ -191,3 +192,22 @@ def mix_plan(spark, sf_dir):
     at_hand = stats.groupBy("source").agg(F.sum("tokens").alias("tokens"))
     plan = mixing.mix_plan(document_mix(spark, sf_dir), at_hand, BUDGET)
     return plan.withColumn("wanted", F.round("wanted", 4)).withColumn("epochs", F.round("epochs", 6))
+
+
+@catalog.add(
+    "mix_checks",
+    f"""WITH {MIX_SQL}, n AS (SELECT count(*) AS sources, min(weight) AS least FROM mix)
+    SELECT slots, slots >= sources AND least > 0 AS accepted
+    FROM n, (SELECT unnest(range(1, 10)) AS slots)""",
+)
+def mix_checks(spark, sf_dir):
+    """Whether the mix of the documents passes its checks with so many slots."""
+    pairs = dict(mixing.read_mix(document_mix(spark, sf_dir)))
+
+    def accepted(slots: int) -> bool:
+        try:
+            return bool(mixing.validate_mix(pairs, slots, list(pairs)))
+        except ValueError:
+            return False
+
+    return spark.createDataFrame([(n, accepted(n)) for n in range(1, 10)], "slots long, accepted boolean")

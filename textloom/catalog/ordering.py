@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from textloom.catalog import Catalog, documents, table
-from textloom.catalog.cleaning import DETOK_SQL, wiki_lines
+from textloom.catalog.cleaning import DETOK_SQL, WIKI_LINES_SQL, wiki_lines
 from textloom.functions.text import input_target, utrim, wikitext_detok
 from textloom.operators.articles import assemble_articles
-from textloom.operators.chunking import chunk_bounds, chunk_sizes
+from textloom.operators.chunking import assign_chunks, chunk_bounds, chunk_sizes
 from textloom.operators.packing import pack_windows, split_on_eos, to_batches, token_stats
 from textloom.operators.trainlog import debiased_ema, perplexity_rollup
 
@@ -20,7 +20,7 @@ SEQ_LEN = 64
 
 @catalog.add(
     "assemble_articles",
-    f"""WITH lines AS (SELECT lang AS file, doc_id AS ord, {DETOK_SQL} AS line FROM documents),
+    f"""WITH lines AS (SELECT lang AS file, line AS ord, {DETOK_SQL} AS line FROM {WIKI_LINES_SQL}),
     parts AS (SELECT file, ord, starts_with(line, '<SOT>') AS title,
         CASE WHEN starts_with(line, '<SOT>') THEN substr(line, 6) ELSE line END AS body FROM lines),
     numbered AS (SELECT *, sum(title::INT) OVER (PARTITION BY file ORDER BY ord) AS doc FROM parts)
@@ -29,7 +29,7 @@ SEQ_LEN = 64
 )
 def articles(spark, sf_dir):
     lines = wiki_lines(spark, sf_dir).select(
-        F.col("lang").alias("file"), F.col("doc_id").alias("row_idx"),
+        F.col("lang").alias("file"), F.col("line").alias("row_idx"),
         wikitext_detok(utrim("text")).alias("text"),
     )
     return assemble_articles(lines)
@@ -42,23 +42,56 @@ def sized_documents(spark, sf_dir):
     )
 
 
-@catalog.add(
-    "chunk_nextfit",
-    f"""WITH RECURSIVE docs AS (SELECT lang AS source, doc_id AS doc_ord, strlen(text)::BIGINT AS b,
+FIT_SQL = f"""docs AS (SELECT lang AS source, doc_id AS doc_ord, strlen(text)::BIGINT AS b,
         row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS rn FROM documents),
     fit AS (SELECT source, doc_ord, rn, b, b AS used, 0 AS chunk_id FROM docs WHERE rn = 1
       UNION ALL
       SELECT d.source, d.doc_ord, d.rn, d.b,
         CASE WHEN f.used > 0 AND f.used + d.b > {CHUNK_CAP} THEN d.b ELSE f.used + d.b END,
         CASE WHEN f.used > 0 AND f.used + d.b > {CHUNK_CAP} THEN f.chunk_id + 1 ELSE f.chunk_id END
-      FROM fit f JOIN docs d ON d.source = f.source AND d.rn = f.rn + 1)
+      FROM fit f JOIN docs d ON d.source = f.source AND d.rn = f.rn + 1)"""
+BOUNDS_SQL = f"""WITH RECURSIVE {FIT_SQL}
     SELECT source, chunk_id, min(doc_ord) AS lo, max(doc_ord) AS hi, count(*) AS docs,
-      sum(b)::BIGINT AS bytes FROM fit GROUP BY source, chunk_id""",
-)
+      sum(b)::BIGINT AS bytes FROM fit GROUP BY source, chunk_id"""
+
+
+@catalog.add("chunk_nextfit", BOUNDS_SQL)
 def chunk_nextfit(spark, sf_dir):
     return chunk_bounds(chunk_sizes(sized_documents(spark, sf_dir), CHUNK_CAP))
 
 
+@catalog.add("chunk_nextfit_blocks", BOUNDS_SQL)
+def chunk_nextfit_blocks(spark, sf_dir):
+    """The same through small blocks, so that their tables are composed over several levels."""
+    sizes = sized_documents(spark, sf_dir)
+    return chunk_bounds(chunk_sizes(sizes, CHUNK_CAP, block_docs=64, fan_in=2))
+
+
+ASSIGNED_SQL = f"""WITH RECURSIVE {FIT_SQL}
+    SELECT f.source, f.doc_ord, f.chunk_id, d.text FROM fit f JOIN documents d ON d.doc_id = f.doc_ord"""
+
+
+def ordered_documents(spark, sf_dir):
+    return documents(spark, sf_dir, "lang", "text").select(
+        F.col("lang").alias("source"), F.col("doc_id").alias("doc_ord"), "text"
+    )
+
+
+@catalog.add("assign_chunks", ASSIGNED_SQL)
+def documents_with_chunks(spark, sf_dir):
+    out = assign_chunks(ordered_documents(spark, sf_dir), CHUNK_CAP)
+    return out.select("source", "doc_ord", "chunk_id", "text")
+
+
+@catalog.add("assign_chunks_joined", ASSIGNED_SQL)
+def documents_with_joined_chunks(spark, sf_dir):
+    """With a table of ranges that counts as too large to broadcast, and small blocks."""
+    out = assign_chunks(
+        ordered_documents(spark, sf_dir), CHUNK_CAP, block_docs=64, broadcast_bytes=0, fan_in=2
+    )
+    return out.select("source", "doc_ord", "chunk_id", "text")
+
+
 @catalog.add(
     "chunk_prefix",
     f"""WITH docs AS (SELECT lang AS source, doc_id AS doc_ord, strlen(text)::BIGINT AS b,

@@ -138,10 +138,18 @@ def chunks_per_source(spark, sf_dir):
     return chunk_counts(numbered_chunks(spark, sf_dir))
 
 
+def histogram_sql(values: str) -> str:
+    """100 bins of a column x, empty ones too, and a row without a bin for what lies outside."""
+    return f"""WITH vals AS ({values}),
+      counted AS (SELECT CASE WHEN x BETWEEN 0 AND 1 THEN least(floor(x * 100), 99)::INT END AS bin,
+        count(*) AS n FROM vals GROUP BY 1),
+      bins AS (SELECT unnest(range(0, 100))::INT AS bin UNION ALL SELECT NULL)
+      SELECT b.bin, coalesce(n, 0) AS n FROM bins b LEFT JOIN counted c ON b.bin IS NOT DISTINCT FROM c.bin"""
+
+
 @catalog.add(
     "ratio_histogram",
-    f"""SELECT least(floor({ASCII_RATIO_SQL} * 100), 99)::INT AS bin, count(*) AS n
-        FROM documents GROUP BY 1""",
+    histogram_sql(f"SELECT {ASCII_RATIO_SQL} AS x FROM documents"),
 )
 def ratio_histogram(spark, sf_dir):
     return histogram01(documents(spark, sf_dir, "text"), ascii_ratio("text"), 100)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from textloom.catalog import Catalog, documents
+from textloom.catalog import Catalog, documents, table
 from textloom.operators import vocabulary as bpe
 
 catalog = Catalog()
@@ -114,3 +114,51 @@ def roundtrip(spark, sf_dir):
     vocab = learnt(spark, sf_dir)
     coded = bpe.tokenize(documents(spark, sf_dir, "text"), vocab)
     return bpe.detokenize(coded, vocab).select("doc_id", "text")
+
+
+@catalog.add("vocabulary_size", f"WITH {LEARN_SQL} SELECT max(made)::INT AS tokens FROM rec")
+def vocabulary_size(spark, sf_dir):
+    return spark.createDataFrame([(learnt(spark, sf_dir).size(),)], "tokens int")
+
+
+# Texts with special tokens inside: between two copies, in front, or none.
+@catalog.add(
+    "tokenize_specials",
+    f"""WITH {LEARN_SQL}, {FINAL_SQL},
+    parts AS (SELECT doc_id, unnest(CASE doc_id % 3 WHEN 0 THEN [text, '</s>', text]
+        WHEN 1 THEN ['<pad>', text] ELSE [text] END) AS text,
+      generate_subscripts(CASE doc_id % 3 WHEN 0 THEN [text, '</s>', text]
+        WHEN 1 THEN ['<pad>', text] ELSE [text] END, 1) AS part FROM documents),
+    pieces AS (SELECT doc_id, part, unnest(w) AS word, generate_subscripts(w, 1) AS i
+      FROM (SELECT doc_id, part, {PIECES_SQL} AS w FROM parts WHERE text NOT IN ('</s>', '<pad>'))),
+    coded AS (SELECT doc_id, part, string_agg(ids, ' ' ORDER BY i) AS ids
+      FROM pieces JOIN final USING (word) GROUP BY doc_id, part
+      UNION ALL SELECT doc_id, part, CASE text WHEN '</s>' THEN '1' ELSE '2' END FROM parts
+      WHERE text IN ('</s>', '<pad>'))
+    SELECT doc_id, string_agg(ids, ' ' ORDER BY part) || ' 1' AS ids FROM coded GROUP BY doc_id""",
+)
+def tokenize_specials(spark, sf_dir):
+    third = F.col("doc_id") % 3
+    marked = (
+        F.when(third == 0, F.concat("text", F.lit("</s>"), "text"))
+        .when(third == 1, F.concat(F.lit("<pad>"), "text"))
+        .otherwise(F.col("text"))
+    )
+    docs = documents(spark, sf_dir, "text").select("doc_id", marked.alias("text"))
+    coded = bpe.tokenize(docs, learnt(spark, sf_dir))
+    return coded.withColumn("ids", F.array_join("ids", " "))
+
+
+@catalog.add(
+    "dropped_bytes",
+    """WITH known AS (SELECT list(DISTINCT h) || ['20'] AS hs
+      FROM (SELECT unnest(regexp_extract_all(hex(encode(text)), '..')) AS h FROM benchmark))
+    SELECT doc_id, len(list_filter(regexp_extract_all(hex(encode(text)), '..'),
+      lambda h: NOT list_contains(hs, h))) AS dropped FROM documents, known""",
+)
+def dropped_bytes(spark, sf_dir):
+    """Bytes of the documents that a vocabulary learnt on the benchmark texts does not know."""
+    counts = bpe.pretoken_counts(table(spark, sf_dir, "benchmark"))
+    vocab = bpe.learn_bpe(counts, vocab_size=LEARN_SIZE)
+    docs = documents(spark, sf_dir, "text")
+    return docs.select("doc_id", bpe.dropped_bytes(vocab).alias("dropped"))

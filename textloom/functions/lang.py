@@ -15,33 +15,41 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Characteristic words per language, in list order.
-STOP_WORDS: dict[str, str] = {
-    "English": "the of and to in is you that it he "
-    "was for on are with as I his they be "
-    "at one have this from by not but or an",
-    "French": "le la et un une des en du il elle "
-    "ce qui que dans sur pour pas par mais aux "
-    "au ne se est son ses ces mon ton nous "
-    "été être où ça",
-    "German": "der die das und in zu von mit ist auf "
-    "nicht ein eine es ich er sie wir ihr als "
-    "auch für dem den nach bei noch wie über "
-    "schön straße über für können",
-    "Spanish": "el la los las un una y o en de "
-    "que con por para es se del al como "
-    "su sus te le lo sí mi tú él "
-    "años niño mañana está corazón",
-    "Italian": "il la e un una di che per non "
-    "con si del al lo su mi ti ci "
-    "vi gli dei da al ma o lui loro questo "
-    "città perché questo dove anche",
-    "Dutch": "de het en een van op te dat "
-    "die niet met voor als ook zijn aan bij "
-    "door maar hij zij wij jullie hun dit",
-    "Portuguese": "o e um uma de em que não "
-    "por para se dos da das os as eu "
-    "tu ele ela nós vós eles elas te se "
-    "coração país está também pão",
+STOP_WORDS: dict[str, tuple[str, ...]] = {
+    "English": (
+        "the", "of", "and", "to", "in", "is", "you", "that", "it", "he", "was", "for", "on",
+        "are", "with", "as", "I", "his", "they", "be", "at", "one", "have", "this", "from", "by",
+        "not", "but", "or", "an",
+    ),
+    "French": (
+        "le", "la", "et", "un", "une", "des", "en", "du", "il", "elle", "ce", "qui", "que",
+        "dans", "sur", "pour", "pas", "par", "mais", "aux", "au", "ne", "se", "est", "son", "ses",
+        "ces", "mon", "ton", "nous", "été", "être", "où", "ça",
+    ),
+    "German": (
+        "der", "die", "das", "und", "in", "zu", "von", "mit", "ist", "auf", "nicht", "ein",
+        "eine", "es", "ich", "er", "sie", "wir", "ihr", "als", "auch", "für", "dem", "den",
+        "nach", "bei", "noch", "wie", "über", "schön", "straße", "über", "für", "können",
+    ),
+    "Spanish": (
+        "el", "la", "los", "las", "un", "una", "y", "o", "en", "de", "que", "con", "por", "para",
+        "es", "se", "del", "al", "como", "su", "sus", "te", "le", "lo", "sí", "mi", "tú", "él",
+        "años", "niño", "mañana", "está", "corazón",
+    ),
+    "Italian": (
+        "il", "la", "e", "un", "una", "di", "che", "per", "non", "con", "si", "del", "al", "lo",
+        "su", "mi", "ti", "ci", "vi", "gli", "dei", "da", "al", "ma", "o", "lui", "loro",
+        "questo", "città", "perché", "questo", "dove", "anche",
+    ),
+    "Dutch": (
+        "de", "het", "en", "een", "van", "op", "te", "dat", "die", "niet", "met", "voor", "als",
+        "ook", "zijn", "aan", "bij", "door", "maar", "hij", "zij", "wij", "jullie", "hun", "dit",
+    ),
+    "Portuguese": (
+        "o", "e", "um", "uma", "de", "em", "que", "não", "por", "para", "se", "dos", "da", "das",
+        "os", "as", "eu", "tu", "ele", "ela", "nós", "vós", "eles", "elas", "te", "se", "coração",
+        "país", "está", "também", "pão",
+    ),
 }
 
 # Sampling and scoring parameters.
@@ -58,7 +66,7 @@ LANG_BAR = 0.60
 LANGUAGES: tuple[str, ...] = tuple(STOP_WORDS)
 LABELS: tuple[str, ...] = (*LANGUAGES, UNCERTAIN)
 
-_WORD_SETS = {name: sorted({w.lower() for w in ws.split()}) for name, ws in STOP_WORDS.items()}
+_WORD_SETS = {name: sorted({w.lower() for w in ws}) for name, ws in STOP_WORDS.items()}
 _ALL_WORDS = sorted(set().union(*_WORD_SETS.values()))
 
 

@@ -24,12 +24,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.plans.joins import BROADCAST_ROWS
+from textloom.plans.joins import BROADCAST_BYTES, is_small
 from textloom.plans.prefix import idiv, ordinal, running_sum
 from textloom.session import stage
 
@@ -290,9 +289,11 @@ def chunk_sizes(
     ``mode="next_fit"``: a document opens a chunk if the open one holds some
     bytes and would exceed ``max_bytes``. ``mode="prefix"`` cuts at multiples of
     ``max_bytes`` of the running byte count, a coarser rule with no carry.
-    ``doc_ord`` must be unique in its source and is best dense.
+    ``doc_ord`` must be unique in its source and is best dense. Rows with a null size
+    are dropped.
     ``block_docs`` bounds the documents one task holds.
     """
+    sizes = sizes.filter(F.col("n_bytes").isNotNull())
     if mode == "next_fit":
         return _next_fit(sizes, max_bytes, block_docs, fan_in)
     if mode == "prefix":
@@ -315,37 +316,33 @@ def assign_chunks(
     max_bytes: int = MAX_CHUNK_BYTES,
     mode: str = "next_fit",
     block_docs: int = BLOCK_DOCS,
-    broadcast_rows: int = BROADCAST_ROWS,
+    broadcast_bytes: int = BROADCAST_BYTES,
+    fan_in: int = FAN_IN,
 ) -> DataFrame:
-    """Add ``chunk_id`` to ``(source, doc_ord, text, ...)`` rows.
+    """Add ``chunk_id`` to ``(source, doc_ord, text, ...)`` rows; rows with a null text are dropped.
 
-    Chunks are ranges of ``doc_ord``, so with a measured, small number of them
-    each row finds its chunk by binary search in the broadcast range starts and
-    the texts are not shuffled. With more chunks the numbers are joined in by
+    Chunks are ranges of ``doc_ord``. Ranges are cut at blocks of positions, about as
+    many as there are chunks, so a row finds its chunk by an equality of source and
+    block and a test of the few ranges there. The table of ranges is broadcast if it is
+    measured to be small, and the texts are then not shuffled; a larger one is joined by
     document.
     """
-    spark = df.sparkSession
+    df = df.filter(F.col("text").isNotNull())
     sizes = stage(
         df.select("source", "doc_ord", F.octet_length("text").cast("long").alias("n_bytes")),
         "sizes",
     )
-    assigned = stage(chunk_sizes(sizes, max_bytes, mode, block_docs), "chunk-of")
-    bounds = stage(chunk_bounds(assigned).select("source", "chunk_id", "lo"), "chunk-lo")
-    if bounds.limit(broadcast_rows + 1).count() > broadcast_rows:
+    assigned = stage(chunk_sizes(sizes, max_bytes, mode, block_docs, fan_in), "chunk-of")
+    bounds = stage(chunk_bounds(assigned).select("source", "chunk_id", "lo", "hi"), "chunk-lo")
+    if not is_small(bounds, broadcast_bytes):
         return df.join(assigned.drop("n_bytes"), ["source", "doc_ord"])
-
-    table = {
-        source: (rows["lo"].to_numpy(), rows["chunk_id"].to_numpy(dtype=np.int32))
-        for source, rows in bounds.toPandas().sort_values(["source", "lo"]).groupby("source")
-    }
-    shared = spark.sparkContext.broadcast(table)
-
-    @F.pandas_udf("int")
-    def find(source: pd.Series, doc_ord: pd.Series) -> pd.Series:
-        out = np.zeros(len(source), dtype=np.int32)
-        for name, places in source.groupby(source).indices.items():
-            starts, chunks = shared.value[name]
-            out[places] = chunks[np.searchsorted(starts, doc_ord.to_numpy()[places], "right") - 1]
-        return pd.Series(out)
-
-    return df.withColumn("chunk_id", find("source", "doc_ord"))
+    whole = bounds.agg(F.max("hi"), F.min("lo"), F.count("*")).first()
+    width = max(1, ((whole[0] or 0) - (whole[1] or 0) + 1) // max(whole[2], 1))
+    ranges = bounds.select(
+        F.col("source").alias("_s"), "chunk_id", F.col("lo").alias("_lo"), F.col("hi").alias("_hi"),
+        F.explode(F.sequence(idiv(F.col("lo"), width), idiv(F.col("hi"), width))).alias("_b"),
+    )
+    place = F.col("doc_ord")
+    here = (F.col("source") == F.col("_s")) & (idiv(place, width) == F.col("_b"))
+    found = df.join(F.broadcast(ranges), here & place.between(F.col("_lo"), F.col("_hi")))
+    return found.drop("_s", "_b", "_lo", "_hi")

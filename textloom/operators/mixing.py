@@ -32,9 +32,14 @@ def seeded_hash(seed: int, *cols: Column | str) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), *[p.cast("string") for p in parts]))
 
 
-def seeded_uint32(seed: int, *cols: Column | str) -> Column:
-    """Uniform integer in [0, 2^32) from a seed and key columns."""
-    return F.conv(F.substring(seeded_hash(seed, *cols), 1, 8), 16, 10).cast("long")
+# Hex digits, and so bits, of the hash that a weighted draw uses.
+DRAW_DIGITS = 15
+MAX_WEIGHT = 2**62
+
+
+def seeded_draw(seed: int, *cols: Column | str) -> Column:
+    """Uniform integer in [0, 16^DRAW_DIGITS) from a seed and key columns."""
+    return F.conv(F.substring(seeded_hash(seed, *cols), 1, DRAW_DIGITS), 16, 10).cast("long")
 
 
 def read_mix(mix: Mapping[str, int] | DataFrame) -> list[tuple[str, int]]:
@@ -98,15 +103,19 @@ def alloc_slots(mix: DataFrame, slots: int) -> DataFrame:
     )
 
 
-def pick_source(pairs: Sequence[tuple[str, int]], uniform32: Column) -> Column:
-    """Source of a weighted draw from a uniform 32-bit integer."""
+def pick_source(pairs: Sequence[tuple[str, int]], draw: Column) -> Column:
+    """Source of a weighted draw from a uniform integer (see ``seeded_draw``).
+
+    The product of draw and total has up to 122 bits, so it is taken in decimals.
+    """
     total, bounds = 0, []
     for _, weight in pairs:
         total += weight
         bounds.append(total)
-    if total >= 2**31:
-        raise ValueError("weights sum to 2^31 or more")
-    ticket = F.shiftright(uniform32 * F.lit(total).cast("long"), 32)
+    if total >= MAX_WEIGHT:
+        raise ValueError(f"weights sum to {MAX_WEIGHT} or more")
+    product = draw.cast("decimal(19,0)") * F.lit(total).cast("decimal(19,0)")
+    ticket = F.call_function("div", product, F.lit(16**DRAW_DIGITS).cast("decimal(19,0)"))
     passed = F.size(
         F.filter(F.array(*[F.lit(b).cast("long") for b in bounds]), lambda b: b <= ticket)
     )
@@ -117,7 +126,7 @@ def draw_sources(
     rows: DataFrame, mix: Mapping[str, int] | DataFrame, seed: int, key: str = "id"
 ) -> DataFrame:
     """Add a ``source`` drawn by weight, with replacement, to each row."""
-    return rows.withColumn("source", pick_source(validate_mix(mix), seeded_uint32(seed, key)))
+    return rows.withColumn("source", pick_source(validate_mix(mix), seeded_draw(seed, key)))
 
 
 def epoch_permutation(
@@ -126,13 +135,14 @@ def epoch_permutation(
 ) -> DataFrame:
     """Add ``place``: the chunk's position in its source's order for an epoch."""
     hashed = chunks.withColumn("_h", seeded_hash(seed ^ epoch, item))
-    return ordinal(hashed, keys, ["_h", item], "place", hash_block("_h")).drop("_h")
+    block = hash_block("_h", chunks.count())
+    return ordinal(hashed, keys, ["_h", item], "place", block).drop("_h")
 
 
 def seeded_shuffle(df: DataFrame, seed: int, key: str) -> DataFrame:
     """Add ``place``: the row's position in a seeded order of the whole table."""
     hashed = df.withColumn("_h", seeded_hash(seed, key))
-    return ordinal(hashed, [], ["_h", key], "place", hash_block("_h")).drop("_h")
+    return ordinal(hashed, [], ["_h", key], "place", hash_block("_h", df.count())).drop("_h")
 
 
 def worker_shard(

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.plans.prefix import idiv, ordinal, running_sum
+from textloom.session import stage
 
 # Fixed value: id of the end-of-document mark.
 EOS = 1
@@ -18,6 +19,13 @@ def n_tokens(tokens: DataFrame) -> Column:
     return F.col("n_tokens") if "n_tokens" in tokens.columns else F.size("ids")
 
 
+def with_counts(tokens: DataFrame) -> DataFrame:
+    """A token table with ``n_tokens``, staged if it had no such column."""
+    if "n_tokens" in tokens.columns:
+        return tokens
+    return stage(tokens.withColumn("n_tokens", F.size("ids")), "tokens")
+
+
 def pack_windows(tokens: DataFrame, seq_len: int) -> DataFrame:
     """Cut each chunk's concatenated tokens into windows of ``seq_len + 1``, step ``seq_len``.
 
@@ -25,12 +33,16 @@ def pack_windows(tokens: DataFrame, seq_len: int) -> DataFrame:
     share one token; the tail that fills no window is dropped and windows never
     cross chunks. Each document emits only its fragments of the windows it
     touches, and a window meets at most ``seq_len + 1`` fragments, so no task
-    sees a whole chunk.
+    sees a whole chunk. Windows inside a block of documents are put together where the
+    block is; only fragments at the borders of blocks are shuffled once more.
+
+    A table without a stored token count is staged first, so that the ids are made once.
     """
     step = F.lit(seq_len).cast("long")
+    tokens = with_counts(tokens)
     placed = running_sum(
-        tokens.select("source", "chunk_id", "doc_ord", "ids", n_tokens(tokens).alias("n")).filter("n > 0"),
-        ["source", "chunk_id"], ["doc_ord"], F.col("n"), "st",
+        tokens.select("source", "chunk_id", "doc_ord", "ids", F.col("n_tokens").alias("n")).filter("n > 0"),
+        ["source", "chunk_id"], ["doc_ord"], F.col("n"), "st", keep_block="blk",
     )
     st, en = F.col("st"), F.col("st") + F.col("n")
     first = F.greatest(idiv(st + step - 1, step) - 1, F.lit(0))
@@ -44,18 +56,24 @@ def pack_windows(tokens: DataFrame, seq_len: int) -> DataFrame:
             F.slice("ids", (lo - st + 1).cast("int"), (hi - lo).cast("int")).alias("part"),
         )
 
-    return (
-        placed.select(
-            "source", "chunk_id",
-            F.explode(F.transform(F.sequence(first, final), fragment)).alias("f"),
-        )
-        .groupBy("source", "chunk_id", F.col("f.win").alias("win"))
-        .agg(
-            F.sum(F.size("f.part")).alias("n"),
-            F.sort_array(F.collect_list(F.struct("f.lo", "f.part"))).alias("parts"),
+    def joined(parts: DataFrame, *keys: str) -> DataFrame:
+        rows = parts.groupBy("source", "chunk_id", *keys, "win").agg(
+            F.min("lo").alias("lo"),
+            F.sort_array(F.collect_list(F.struct("lo", "part"))).alias("parts"),
         )
-        .filter(F.col("n") == seq_len + 1)
-        .select("source", "chunk_id", "win", F.flatten("parts.part").alias("seq"))
+        return rows.select("source", "chunk_id", "win", "lo", F.flatten("parts.part").alias("part"))
+
+    pieces = placed.select(
+        "source", "chunk_id", "blk",
+        F.explode(F.transform(F.sequence(first, final), fragment)).alias("f"),
+    ).select("source", "chunk_id", "blk", "f.win", "f.lo", "f.part")
+    inside = joined(pieces, "blk")
+    full = F.size("part") == seq_len + 1
+    across = joined(inside.filter(~full))
+    return (
+        inside.filter(full)
+        .unionByName(across.filter(full))
+        .select("source", "chunk_id", "win", F.col("part").alias("seq"))
     )
 
 
@@ -69,13 +87,12 @@ def split_on_eos(stream: DataFrame, eos: int = EOS, order: str = "ord") -> DataF
         F.size("ids") > 0
     )
     marks = F.size(F.filter("ids", lambda t: t == eos))
-    placed = running_sum(pieces, ["source", "chunk_id"], ["ord"], marks, "before").withColumn(
-        "at", F.filter(F.sequence(F.lit(1), F.size("ids")), lambda i: F.get("ids", i - 1) == eos)
-    )
+    summed = running_sum(pieces, ["source", "chunk_id"], ["ord"], marks, "before", total="docs")
     # Tokens after a chunk's last mark are dropped here, before any grouping, so
     # a stream without marks never gathers in one group.
-    totals = pieces.groupBy("source", "chunk_id").agg(F.sum(marks).alias("docs"))
-    placed = placed.join(totals, ["source", "chunk_id"]).filter(F.col("before") < F.col("docs"))
+    placed = summed.filter(F.col("before") < F.col("docs")).withColumn(
+        "at", F.filter(F.sequence(F.lit(1), F.size("ids")), lambda i: F.get("ids", i - 1) == eos)
+    )
     n = F.size("at")
 
     def cut(k: Column) -> Column:

@@ -23,11 +23,24 @@ def chunk_counts(chunks: DataFrame) -> DataFrame:
 
 
 def histogram01(df: DataFrame, value: Column | str, bins: int = 100) -> DataFrame:
-    """Counts of a value on [0, 1] in equal bins; 1.0 falls in the last bin."""
+    """Counts of a value on [0, 1] in equal bins; 1.0 falls in the last bin.
+
+    Every bin has a row, also an empty one. Values outside the range and nulls are
+    counted in a last row without a bin number.
+    """
     value = F.col(value) if isinstance(value, str) else value
-    x = df.select(value.alias("x")).filter(F.col("x").between(0.0, 1.0))
     bin_no = F.least(F.floor(F.col("x") * bins), F.lit(bins - 1)).cast("int")
-    return x.groupBy(bin_no.alias("bin")).agg(F.count("*").alias("n"))
+    inside = F.when(F.col("x").between(0.0, 1.0), bin_no)
+    counted = df.select(value.alias("x")).groupBy(inside.alias("bin")).agg(F.count("*").alias("n"))
+    # One row per bin, so the frame of bins is as small as the result.
+    numbers = df.sparkSession.range(bins + 1).select(
+        F.when(F.col("id") < bins, F.col("id")).cast("int").alias("bin")
+    )
+    return (
+        numbers.alias("b")
+        .join(counted.alias("c"), F.col("b.bin").eqNullSafe(F.col("c.bin")), "left")
+        .select("b.bin", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+    )
 
 
 def keep_rate(df: DataFrame, kept: Column) -> DataFrame:

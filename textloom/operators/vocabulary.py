@@ -3,23 +3,25 @@
 Pre-tokenizing and counting are expressions. Learning keeps the distinct words
 as a distributed table and runs one job per round: apply the merges found so
 far, count adjacent pairs, return the most frequent ones. Only that short list
-and the vocabulary (at most 65,536 entries) reach the driver. Encoding needs no
+and the vocabulary (at most MAX_VOCAB entries) reach the driver. Encoding needs no
 shuffle, because the merges are small enough to be sent to every task.
 """
 
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
+import re
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.operators.packing import EOS
-from textloom.session import stage
+from textloom.session import drop, stage
 
 # Special tokens in id order, vocabulary size, least pair count.
 SPECIAL_TOKENS = ("<s>", "</s>", "<pad>", "<unk>")
@@ -31,8 +33,8 @@ PRETOKEN_PATTERN = (
     r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 )
 
-MAX_VOCAB = 1 << 16
-_SHIFT = 20
+MAX_VOCAB = 1 << 22
+_SHIFT = 31
 _STAGE_EVERY = 12
 _WORDS_PER_TASK = 8192
 
@@ -45,21 +47,34 @@ def _pieces(c: Column) -> Column:
     return F.regexp_extract_all(spaced, F.lit("(?U)" + PRETOKEN_PATTERN), F.lit(0))
 
 
-def pretokenize(c: Column | str, special_in_text: str = "plain") -> Column:
+def pretokenize(
+    c: Column | str, special_in_text: str = "plain", specials: Sequence[str] = SPECIAL_TOKENS
+) -> Column:
     """Pre-tokens of a text, a space put in front unless it has one.
 
     With ``special_in_text="split"`` a literal special token in the text becomes
-    an item of its own and the stretches between are treated as separate texts.
+    an item of its own and the stretches between are treated as separate texts; of
+    special tokens that start alike the longest counts.
     """
     c = F.col(c) if isinstance(c, str) else c
     if special_in_text == "plain":
         return _pieces(c)
     if special_in_text != "split":
         raise ValueError(f"unknown special_in_text: {special_in_text}")
-    special = "|".join(SPECIAL_TOKENS)
-    parts = F.split(c, f"(?={special})|(?<={special})")
+    if not specials:
+        return _pieces(c)
+    special = "|".join(re.escape(s) for s in sorted(specials, key=len, reverse=True))
+    # Special tokens and what stands between them, in turn.
+    marks = F.regexp_extract_all(c, F.lit(f"({special})"), F.lit(1))
+    between = F.split(c, f"(?:{special})", -1)
     cut = F.flatten(
-        F.transform(parts, lambda p: F.when(p.isin(*SPECIAL_TOKENS), F.array(p)).otherwise(_pieces(p)))
+        F.zip_with(
+            between, marks,
+            lambda p, m: F.concat(
+                F.when(p == "", F.array().cast("array<string>")).otherwise(_pieces(p)),
+                F.when(m.isNull(), F.array().cast("array<string>")).otherwise(F.array(m)),
+            ),
+        )
     )
     return F.when(c.rlike(special), cut).otherwise(_pieces(c))
 
@@ -372,7 +387,9 @@ def learn_bpe(
     afterwards. If a token would be made by two different merges, the bound no
     longer holds; learning then goes on from the settled merges in strict rounds.
     """
-    limit = min(vocab_size, MAX_VOCAB)
+    if vocab_size > MAX_VOCAB:
+        raise ValueError(f"a vocabulary holds at most {MAX_VOCAB} tokens")
+    limit = vocab_size
     spark = counts.sparkSession
     spelled = counts.select("word", F.col("n").cast("long").alias("n")).filter(F.length("word") > 0)
     spelled = stage(spelled, "bpe-counts")
@@ -382,7 +399,7 @@ def learn_bpe(
     byte_ids = np.full(256, -1, dtype=np.int64)
     byte_ids[alphabet] = np.arange(len(specials), base)
     # Spread by words, not bytes: a round is work per word on a small table.
-    spread = min(-(-spelled.count() // _WORDS_PER_TASK), spark.sparkContext.defaultParallelism)
+    spread = -(-spelled.count() // _WORDS_PER_TASK)
     start = stage(_spell(spelled.repartition(max(spread, 1)), byte_ids), "bpe-words")
 
     words, pending = start, []
@@ -401,12 +418,15 @@ def learn_bpe(
         best = top[0][2] if top else 0
         settled = [s for s in order if found[s][0] > best]
         if not top or base + len(settled) >= limit:
+            drop(spark, spelled, *{id(t): t for t in (start, words)}.values())
             return _finish(tokens, found, order if not top else settled, base, limit, specials)
         chosen, twice = _choose(top, known, tokens, strict=False)
         if twice and not chosen:
-            return _learn_strict(
+            learnt = _learn_strict(
                 start, tokens, found, settled, base, limit, min_frequency, specials, list_size
             )
+            drop(spark, spelled, *{id(t): t for t in (start, words)}.values())
+            return learnt
         batch: Batch = []
         for l, r, n in chosen:
             new = len(tokens)
@@ -417,7 +437,15 @@ def learn_bpe(
         order = _replay(found, base)
         pending.append(batch)
         if len(pending) >= _STAGE_EVERY:
-            words, pending = stage(_apply_batches(words, pending), "bpe-words"), []
+            words, pending = _restage(words, pending, keep=words is start), []
+
+
+def _restage(words: DataFrame, pending: list[Batch], keep: bool = False) -> DataFrame:
+    """The words after the pending batches; the table before them is deleted."""
+    out = stage(_apply_batches(words, pending), "bpe-words")
+    if not keep:
+        drop(words.sparkSession, words)
+    return out
 
 
 def _learn_strict(start, tokens, found, settled, base, limit, min_frequency, specials, list_size):
@@ -451,7 +479,8 @@ def _learn_strict(start, tokens, found, settled, base, limit, min_frequency, spe
         merges += batch
         pending.append(batch)
         if len(pending) >= _STAGE_EVERY:
-            words, pending = stage(_apply_batches(words, pending), "bpe-words"), []
+            words, pending = _restage(words, pending), []
+    drop(words.sparkSession, words)
     return Vocabulary(names, merges, counts, specials)
 
 
@@ -535,13 +564,22 @@ class _Encoder:
         return self._with_specials(words, out) if split_specials else out
 
     def _with_specials(self, words: pa.Array, out: pa.ListArray) -> pa.ListArray:
-        found = [(i, self.specials[s]) for i, s in enumerate(words.to_pylist()) if s in self.specials]
-        if not found:
+        """One id in place of the spelling of each word that is a special token."""
+        names = pa.array(list(self.specials), pa.string())
+        token = pc.index_in(words.cast(pa.string()), value_set=names)
+        hit = token.is_valid().to_numpy(zero_copy_only=False)
+        if not hit.any():
             return out
-        lists = out.to_pylist()
-        for i, token in found:
-            lists[i] = [token]
-        return pa.array(lists, pa.list_(pa.int32()))
+        sizes = np.diff(out.offsets.to_numpy())
+        ids = out.flatten().to_numpy(zero_copy_only=False)
+        size = np.where(hit, 1, sizes)
+        offsets = np.concatenate(([0], np.cumsum(size)))
+        flat = np.empty(offsets[-1], dtype=np.int32)
+        special = np.repeat(hit, size)
+        flat[~special] = ids[~np.repeat(hit, sizes)]
+        numbers = np.array(list(self.specials.values()), dtype=np.int32)
+        flat[special] = numbers[token.drop_null().to_numpy()]
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat))
 
     def documents(self, docs: pa.Array, split_specials: bool, eos: int | None) -> pa.Array:
         """Ids of documents given as lists of pre-tokens; each distinct word is encoded once."""
@@ -585,7 +623,8 @@ def tokenize(
 ) -> DataFrame:
     """Replace ``text`` by ``ids``, with the end mark appended to each document.
 
-    Bytes the vocabulary has never seen are dropped. Documents stay whole rows:
+    Bytes the vocabulary has never seen are dropped, and so are rows with a null text.
+    Documents stay whole rows:
     pre-tokens are cut by an expression and encoded in the same task, each
     distinct word of an Arrow batch once, so nothing is shuffled.
     """
@@ -598,23 +637,18 @@ def tokenize(
         for batch in batches:
             yield encoder.documents(batch, split, eos)
 
-    return df.withColumn("ids", encode(pretokenize(text, special_in_text))).drop(text)
+    words = pretokenize(text, special_in_text, vocab.specials)
+    return df.filter(F.col(text).isNotNull()).withColumn("ids", encode(words)).drop(text)
 
 
 def dropped_bytes(vocab: Vocabulary, text: str = "text") -> Column:
     """UTF-8 bytes of a text that encoding will drop."""
     known = {t[0] for i, t in enumerate(vocab.tokens) if len(t) == 1 and i >= len(vocab.specials)}
-    unseen = bytes(sorted(set(range(256)) - known))
-
-    @F.arrow_udf("long")
-    def count(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in batches:
-            yield pa.array(
-                [sum(map(t.encode().count, (unseen[i : i + 1] for i in range(len(unseen)))))
-                 for t in batch.to_pylist()], pa.int64()
-            )
-
-    return count(F.col(text))
+    unseen = "".join(f"\\x{b:02x}" for b in range(256) if b not in known)
+    # One character per byte.
+    raw = F.decode(F.encode(F.col(text), "UTF-8"), "ISO-8859-1")
+    left = F.regexp_replace(raw, f"[{unseen}]", "") if unseen else raw
+    return (F.length(raw) - F.length(left)).cast("long")
 
 
 def detokenize(
@@ -627,14 +661,31 @@ def detokenize(
     @F.arrow_udf("string")
     def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         tokens, _, specials = shared.value
-        first = len(specials) if skip_specials else 0
+        sizes = np.array([len(t) for t in tokens], dtype=np.int64)
+        if skip_specials:
+            sizes[: len(specials)] = 0
+        starts = np.concatenate(([0], np.cumsum([len(t) for t in tokens])))
+        letters = np.frombuffer(b"".join(tokens), dtype=np.uint8)
         for batch in batches:
-            yield pa.array(
-                [
-                    b"".join([tokens[i] for i in row if i >= first]).decode("utf-8", "replace")
-                    for row in batch.to_pylist()
-                ],
-                pa.string(),
-            )
+            flat = batch.flatten().to_numpy(zero_copy_only=False)
+            size = sizes[flat]
+            upto = np.concatenate(([0], np.cumsum(size)))
+            data = letters[np.repeat(starts[flat] - upto[:-1], size) + np.arange(upto[-1])]
+            lists = pc.fill_null(pc.list_value_length(batch), 0).to_numpy(zero_copy_only=False)
+            ends = upto[np.concatenate(([0], np.cumsum(lists)))]
+            yield _texts(data.tobytes(), ends, batch.is_valid())
 
     return df.withColumn(out, decode(F.col(ids)))
+
+
+def _texts(data: bytes, ends: np.ndarray, valid: pa.Array) -> pa.Array:
+    """Strings from bytes end to end; invalid UTF-8 becomes replacement characters."""
+    buffers = [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(data)]
+    raw = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends) - 1, buffers)
+    try:
+        texts = raw.cast(pa.large_string()).cast(pa.string())
+    except pa.ArrowInvalid:
+        texts = pa.array(
+            [data[a:z].decode("utf-8", "replace") for a, z in zip(ends, ends[1:])], pa.string()
+        )
+    return pc.if_else(valid, texts, pa.scalar(None, pa.string()))

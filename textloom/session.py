@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -30,18 +31,29 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, **conf: st
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach, as named in ``spark.checkpoint.dir``."""
+    """The folder every executor can reach, as named in ``spark.checkpoint.dir``.
+
+    Where it is unset, a session whose executors are this process gets a temporary
+    folder; a cluster is refused.
+    """
     global _local_dir
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path:
         return path.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
     if _local_dir is None:
         _local_dir = tempfile.TemporaryDirectory(prefix="textloom-")
     return _local_dir.name
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh path in the shared folder, dropped with the staged tables."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _staged.append(path)
+    return path
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
@@ -50,17 +62,27 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     cost a re-read of the files.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = scratch_path(spark, name)
     df.write.parquet(path)
-    _staged.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_path = path
+    return out
+
+
+def drop(spark: SparkSession, *tables: DataFrame) -> None:
+    """Delete staged tables that nothing reads any more."""
+    _delete(spark, [t.staged_path for t in tables])
 
 
 def drop_staged(spark: SparkSession) -> int:
-    """Delete the tables staged by this process, once nothing reads them any more."""
+    """Delete all tables staged by this process, once nothing reads them any more."""
+    return _delete(spark, list(_staged))
+
+
+def _delete(spark: SparkSession, paths: list[str]) -> int:
     conf = spark.sparkContext._jsc.hadoopConfiguration()
-    paths = [spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p) for p in _staged]
-    for path in paths:
+    for name in paths:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(conf).delete(path, True)
-    _staged.clear()
+        _staged.remove(name)
     return len(paths)

@@ -107,17 +107,18 @@ def read_jsonl(
     the split they came from and their place in the task that read it. Staging
     also makes the rows of a gzip file, which is one task, splittable.
     """
-    staged = stage(
-        _jsonl(spark, path, key, None, glob, recursive)
-        .select(
-            F.col("_metadata.file_path").alias("file"),
-            F.col("_metadata.file_block_start").alias("split"),
-            F.monotonically_increasing_id().alias("at"),
-            F.col(f"`{key}`").alias("text"),
-        )
-        .filter(F.col("text").isNotNull()),
-        "jsonl",
+    rows = _jsonl(spark, path, key, None, glob, recursive).select(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("split"),
+        F.col(f"`{key}`").alias("text"),
     )
+    return in_file_order(rows, source)
+
+
+def in_file_order(rows: DataFrame, source: str) -> DataFrame:
+    """``(source, file, doc_ord, text)`` of scanned ``(file, split, text)`` rows, without null texts."""
+    numbered = rows.withColumn("at", F.monotonically_increasing_id())
+    staged = stage(numbered.filter(F.col("text").isNotNull()), "jsonl")
     # Rows of a split are numbered in reading order; the numbers start anywhere.
     base = F.min("at").alias("base")
     splits = staged.groupBy("file", "split").agg(base, (F.max("at") - F.min("at") + 1).alias("rows"))

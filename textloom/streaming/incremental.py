@@ -10,7 +10,10 @@ from pyspark.sql.streaming import StreamingQuery
 
 from textloom.functions.lang import english_filter
 from textloom.functions.text import utrim
+from textloom.operators.chunking import MAX_CHUNK_BYTES, assign_chunks
 from textloom.operators.vocabulary import Vocabulary, tokenize
+from textloom.session import stage
+from textloom.sources.corpus import in_file_order
 from textloom.sources.writers import CODEC
 
 CHUNK_SCHEMA = "doc_ord long, text string, source string, chunk_id int"
@@ -54,21 +57,40 @@ def clean_english(rows: DataFrame) -> DataFrame:
 
 
 def stream_clean(
-    spark: SparkSession, path: str, key: str, out: str, checkpoint: str,
-    clean: Callable[[DataFrame], DataFrame] = clean_english, max_files: int = 1000,
+    spark: SparkSession, path: str, key: str, out: str, checkpoint: str, source: str,
+    clean: Callable[[DataFrame], DataFrame] = clean_english,
+    max_bytes: int = MAX_CHUNK_BYTES, max_files: int = 1000,
 ) -> StreamingQuery:
-    """Clean new JSON-lines files and append the kept texts to a parquet folder."""
+    """Clean new JSON-lines files and cut what is kept into chunks.
+
+    Each micro-batch numbers its documents in file order and its chunks from 0, and
+    writes ``(source, doc_ord, chunk_id, text)`` to its own ``batch_id`` partition, which
+    a batch that is run again replaces.
+    """
     lines = (
         spark.readStream.schema(f"`{key}` string")
         .option("mode", "FAILFAST")
         .option("maxFilesPerTrigger", max_files)
         .json(path)
+        .select(
+            F.col("_metadata.file_path").alias("file"),
+            F.col("_metadata.file_block_start").alias("split"),
+            F.col(f"`{key}`").alias("text"),
+        )
     )
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        kept = stage(clean(in_file_order(batch, source)).select("source", "doc_ord", "text"), "kept")
+        (
+            assign_chunks(kept, max_bytes)
+            .select("source", "doc_ord", "chunk_id", "text")
+            .write.mode("overwrite")
+            .option("compression", CODEC)
+            .parquet(f"{out}/batch_id={batch_id}")
+        )
+
     return (
-        clean(lines.select(F.col(f"`{key}`").alias("text")))
-        .writeStream.format("parquet")
-        .outputMode("append")
-        .option("path", out)
+        lines.writeStream.foreachBatch(write)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()

@@ -10,9 +10,7 @@ def suffix_sort(first: np.ndarray, step: int = 1) -> np.ndarray:
 
     Each round doubles the number of symbols that ranks stand for: positions whose
     rank is shared are sorted by the rank of the position ``step`` further on; settled
-    ones are never moved again. With ``most``, refinement stops once ranks stand for at
-    least so many symbols, and suffixes that agree so far share a rank. A rank is the
-    place of the first suffix of its group.
+    ones are never moved again. A rank is the place of the first suffix of its group.
     """
     n = len(first)
     order = np.argsort(first, kind="stable")

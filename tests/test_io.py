@@ -185,10 +185,14 @@ def test_stream_clean(spark, tmp_path):
     english, other = "the cat is in the house and it is on", "der die das und in zu von mit"
     src, out, mark = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "mark")
     write_lines(src / "1.jsonl", [{"content": f"  {english} 1\n"}, {"content": other}, {"x": 1}])
-    stream_clean(spark, str(src), "content", out, mark).awaitTermination(120)
-    write_lines(src / "2.jsonl", [{"content": f"{english} 2"}])
-    stream_clean(spark, str(src), "content", out, mark).awaitTermination(120)
-    assert texts(spark.read.parquet(out)) == [f"{english} 1", f"{english} 2"]
+    stream_clean(spark, str(src), "content", out, mark, "web", max_bytes=50).awaitTermination(120)
+    write_lines(src / "2.jsonl", [{"content": f"{english} 2"}, {"content": f"{english} 3"}, {"content": english}])
+    stream_clean(spark, str(src), "content", out, mark, "web", max_bytes=50).awaitTermination(120)
+    rows = spark.read.parquet(out).orderBy("batch_id", "doc_ord").collect()
+    assert [r["text"] for r in rows] == [f"{english} {n}" for n in (1, 2, 3)] + [english]
+    # Positions count the lines that have the key; each batch's chunks start at 0.
+    assert [(r["batch_id"], r["doc_ord"], r["chunk_id"]) for r in rows] == [(0, 0, 0), (1, 0, 0), (1, 1, 1), (1, 2, 2)]
+    assert {r["source"] for r in rows} == {"web"}
 
 
 def test_staged_tables(spark, monkeypatch):
@@ -201,5 +205,8 @@ def test_staged_tables(spark, monkeypatch):
     assert sorted(r[0] for r in df.collect()) == list(range(5))
     (path,) = session._staged
     assert path.startswith(session.shared_dir(spark)) and os.path.isdir(path.removeprefix("file:"))
+    other = session.stage(spark.range(2), "two")
+    session.drop(spark, other)
+    assert not os.path.exists(other.staged_path.removeprefix("file:"))
     assert session.drop_staged(spark) == 1
     assert not os.path.exists(path.removeprefix("file:"))

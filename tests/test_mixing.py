@@ -166,3 +166,21 @@ def test_budget_and_plan(spark):
     assert [(r["wanted"], r["tokens"], r["epochs"]) for r in rows] == [
         (300.0, 100, 3.0), (100.0, 0, None), (100.0, 0, None),
     ]
+
+
+def test_draws_with_large_weights(spark):
+    weights = {"a": 2**40, "b": 3 * 2**40, "c": 2**20}
+    rows = mixing.draw_sources(spark.range(20_000), weights, seed=4).groupBy("source").count().collect()
+    counts = {r["source"]: r["count"] for r in rows}
+    assert counts["b"] / 20_000 == pytest.approx(0.75, abs=0.01) and counts.get("c", 0) < 3
+    with pytest.raises(ValueError):
+        mixing.draw_sources(spark.range(1), {"a": 2**62}, seed=4)
+
+
+def test_hash_blocks_grow_with_the_rows(spark):
+    from textloom.plans.prefix import hash_block
+
+    df = spark.range(2000).select(F.md5(F.col("id").cast("string")).alias("h"))
+    for rows, most in ((10, 16), (4096 * 17, 256), (4096 * 300, 2000)):
+        blocks = df.select(hash_block("h", rows).alias("b")).distinct().count()
+        assert blocks <= most and (blocks > most / 4 or most == 2000)

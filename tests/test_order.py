@@ -56,12 +56,12 @@ def test_prefix_chunks(spark):
         chunk_sizes(df, 10, mode="other")
 
 
-@pytest.mark.parametrize("limit", [1_000_000, 3])
+@pytest.mark.parametrize("limit", [1_000_000, 30])
 def test_assign_chunks_both_ways(spark, limit):
     rnd = random.Random(3)
     texts = [("a" if i % 3 else "b", i, "é" * rnd.randint(0, 12)) for i in range(300)]
     df = spark.createDataFrame(texts, "source string, doc_ord long, text string")
-    got = assign_chunks(df, 30, block_docs=50, broadcast_rows=limit).collect()
+    got = assign_chunks(df, 30, block_docs=50, broadcast_bytes=limit).collect()
     assert sorted((r["source"], r["doc_ord"], r["text"]) for r in got) == sorted(texts)
     found = {(r["source"], r["doc_ord"]): r["chunk_id"] for r in got}
     for s in "ab":

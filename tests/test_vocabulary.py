@@ -152,3 +152,33 @@ def test_tables_round_trip(spark):
 def test_nothing_to_learn(spark):
     vocab = learn(spark, {b"a": 3, b"b": 1}, 50)
     assert vocab.merges == [] and vocab.size() == 6
+
+
+def test_own_special_tokens(spark):
+    """Also ones with characters that mean something in a pattern, and one inside another."""
+    specials = ("<a>", "<e>", "[x]", "<e><e>")
+    df = spark.createDataFrame([("ab", 9)], "word string, n long")
+    vocab = bpe.learn_bpe(df, 10, specials=specials)
+    rows = ["ab<e>ab", "[x]", "<e><e>ab", None, "", "ab"]
+    docs = spark.createDataFrame(list(enumerate(rows)), "i int, text string")
+    got = {r["i"]: r["ids"] for r in bpe.tokenize(docs, vocab).collect()}
+    ab = got[5][:-1]
+    assert got[0] == [*ab, 1, *ab, 1]
+    assert got[1] == [2, 1] and got[2] == [3, *ab, 1]
+    assert 3 not in got and got[4] == [1]
+
+
+def test_vocabulary_bound(spark):
+    df = spark.createDataFrame([("ab", 9)], "word string, n long")
+    assert bpe.learn_bpe(df, 100_000).size() > 0
+    with pytest.raises(ValueError):
+        bpe.learn_bpe(df, bpe.MAX_VOCAB + 1)
+
+
+def test_decoding_of_broken_bytes(spark):
+    tokens = [s.encode() for s in bpe.SPECIAL_TOKENS] + ["é".encode()[:1], "é".encode()[1:], b"a"]
+    vocab = bpe.Vocabulary(tokens)
+    rows = [[4, 5, 6, 1], [4], [], None, [0, 6]]
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "i int, ids array<int>")
+    got = {r["i"]: r["text"] for r in bpe.detokenize(df, vocab).collect()}
+    assert got == {0: "éa", 1: "\ufffd", 2: "", 3: None, 4: "a"}

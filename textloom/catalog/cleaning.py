@@ -34,7 +34,7 @@ def trim_unicode(spark, sf_dir):
     "SELECT doc_id, length(text)::BIGINT AS chars, strlen(text)::BIGINT AS bytes FROM documents",
 )
 def text_lengths(spark, sf_dir):
-    return documents(spark, sf_dir, "text").select(
+    return table(spark, sf_dir, "documents").select(
         "doc_id", text.char_length("text").alias("chars"), text.byte_length("text").alias("bytes")
     )
 
@@ -177,7 +177,7 @@ def cut_references(spark, sf_dir):
         F.lit("\n## References\n")
     )
     papers = F.concat("text", mark, "text")
-    return documents(spark, sf_dir, "text").select("doc_id", text.cut_references(papers).alias("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", text.cut_references(papers).alias("text"))
 
 
 def _detok_sql(x: str) -> str:

@@ -7,10 +7,10 @@ draw does not depend on partitioning and a lost task recomputes the same rows.
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterable, Mapping, Sequence
+from collections.abc import Iterable, Iterator, Mapping, Sequence
 from hashlib import md5
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,6 +23,7 @@ TOKENS_PER_PARAMETER = 20.0
 
 MAX_SOURCES = 10_000
 
+_SCHEDULE_ROWS = 8192
 _SCHEDULE_SCHEMA = "source string, chunk_id int, slot int, round long, slots int, wanted long"
 
 
@@ -155,14 +156,29 @@ def worker_shard(
 
 
 def _make_schedule(seed: int):
-    def schedule(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+    def schedule(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Which chunk each slot of one source reads, from which round on.
 
-        Sees one row per chunk, never a window. Slots that fall free in the same
-        round reload in slot order.
+        Sees one row per chunk, never a window, and gives its rows out as it goes. Slots
+        that fall free in the same round reload in slot order.
         """
-        lengths = dict(zip(pdf["chunk_id"], pdf["n"]))
-        wanted, slots = int(pdf["wanted"].iloc[0]), min(int(pdf["slots"].iloc[0]), len(pdf))
+        table = pa.Table.from_batches(list(batches))
+        lengths = dict(zip(table["chunk_id"].to_pylist(), table["n"].to_pylist()))
+        wanted = table["wanted"][0].as_py()
+        slots = min(table["slots"][0].as_py(), len(lengths))
+
+        def given(rows: list[tuple[int, int, int]]) -> pa.RecordBatch:
+            chunk, slot, start = zip(*rows)
+            n = len(rows)
+            return pa.RecordBatch.from_arrays(
+                [
+                    pa.repeat(key[0], n), pa.array(chunk, pa.int32()), pa.array(slot, pa.int32()),
+                    pa.array(start, pa.int64()), pa.repeat(pa.scalar(slots, pa.int32()), n),
+                    pa.repeat(pa.scalar(wanted, pa.int64()), n),
+                ],
+                names=["source", "chunk_id", "slot", "round", "slots", "wanted"],
+            )
+
         queue, epoch, rows = iter(_epoch_order(lengths, seed, 0)), 0, []
         free = [(0, s) for s in range(slots)]
         while free[0][0] * slots + free[0][1] < wanted:
@@ -172,9 +188,13 @@ def _make_schedule(seed: int):
                 epoch += 1
                 queue = iter(_epoch_order(lengths, seed, epoch))
                 chunk = next(queue)
-            rows.append((key[0], chunk, slot, start, slots, wanted))
-            heapq.heapreplace(free, (start + int(lengths[chunk]), slot))
-        return pd.DataFrame(rows, columns=["source", "chunk_id", "slot", "round", "slots", "wanted"])
+            rows.append((chunk, slot, start))
+            if len(rows) == _SCHEDULE_ROWS:
+                yield given(rows)
+                rows = []
+            heapq.heapreplace(free, (start + lengths[chunk], slot))
+        if rows:
+            yield given(rows)
 
     return schedule
 
@@ -200,7 +220,7 @@ def interleave_schedule(
         .join(slots.select("source", "slots"), "source")
         .join(wanted.select("source", "wanted"), "source")
     )
-    return rows.groupBy("source").applyInPandas(_make_schedule(seed), _SCHEDULE_SCHEMA)
+    return rows.groupBy("source").applyInArrow(_make_schedule(seed), _SCHEDULE_SCHEMA)
 
 
 def _window_counts(windows: DataFrame) -> DataFrame:

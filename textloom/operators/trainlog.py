@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textloom.plans.prefix import idiv
+from textloom.plans.prefix import idiv, ordinal
 
 # Steps per interval, weight of the newest interval.
 STAT_INTERVAL = 200
@@ -35,9 +35,10 @@ def perplexity_rollup(log: DataFrame, every: int = STAT_INTERVAL) -> DataFrame:
 def debiased_ema(
     df: DataFrame, alpha: float = EMA_ALPHA, n: str = "interval", x: str = "avg_loss"
 ) -> DataFrame:
-    """Exponential mean with bias correction along ``n`` = 1, 2, ...: adds ``ema``, ``ema_ppl``.
+    """Exponential mean with bias correction in the order of ``n``: adds ``ema``, ``ema_ppl``.
 
-    In closed form ema_k = alpha * sum_i r^(k-i) x_i / (1 - r^k), r = 1 - alpha.
+    A row's place k = 1, 2, ... is counted, so numbers may be missing in ``n``. In closed
+    form ema_k = alpha * sum_i r^(k-i) x_i / (1 - r^k), r = 1 - alpha.
     Rows are summed in blocks short enough for r^-i to stay in range. A block
     reaches later rows through one number, its decayed sum. Those of the last
     ``back`` blocks are added; beyond them r^distance is exactly 0.0 as a double.
@@ -46,10 +47,11 @@ def debiased_ema(
     width = max(1, math.floor(46 / decay))
     back = math.ceil(746 / (decay * width)) + 1
     r = F.lit(1.0 - alpha)
-    place = F.col(n) - 1
+    place = F.col("_k")
     blk, inside = idiv(place, width), (place % width).cast("double")
 
-    rows = df.withColumn("_b", blk).withColumn("_i", inside).withColumn(
+    counted = ordinal(df, [], [n], "_k")
+    rows = counted.withColumn("_b", blk).withColumn("_i", inside).withColumn(
         "_t", F.col(x) * alpha * F.pow(r, -F.col("_i"))
     )
     # Decayed to the last place of the block.
@@ -64,10 +66,10 @@ def debiased_ema(
     )
     upto = Window.partitionBy("_b").orderBy("_i").rowsBetween(Window.unboundedPreceding, 0)
     numer = (F.sum("_t").over(upto) + F.col("_c") * r) * F.pow(r, F.col("_i"))
-    denom = 1.0 - F.pow(r, F.col(n).cast("double"))
+    denom = 1.0 - F.pow(r, (place + 1).cast("double"))
     return (
         rows.join(carried, "_b")
         .withColumn("ema", numer / denom)
         .withColumn("ema_ppl", F.exp("ema"))
-        .drop("_b", "_i", "_t", "_c")
+        .drop("_b", "_i", "_t", "_c", "_k")
     )

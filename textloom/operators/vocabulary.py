@@ -36,7 +36,7 @@ PRETOKEN_PATTERN = (
 MAX_VOCAB = 1 << 22
 _SHIFT = 31
 _STAGE_EVERY = 12
-_WORDS_PER_TASK = 8192
+_WORDS_PER_TASK = 1 << 16
 
 
 # ---------------------------------------------------------------- pre-tokens
@@ -382,30 +382,77 @@ def learn_bpe(
     """Learn merges from ``(word, n)`` counts, the same ones greedy learning finds.
 
     Greedy learning merges the most frequent pair (ties: smallest ids) again and
-    again. Here each round takes all pairs that greedy learning is bound to merge
+    again. Here each free round takes all pairs that greedy learning is bound to merge
     with their present counts, and the merge order is restored from the counts
-    afterwards. If a token would be made by two different merges, the bound no
-    longer holds; learning then goes on from the settled merges in strict rounds.
+    afterwards. If the next token would be one that exists already, the bound does not
+    hold for it; what is settled by then is fixed, one strict round merges that pair, and
+    free rounds go on from there.
     """
     if vocab_size > MAX_VOCAB:
         raise ValueError(f"a vocabulary holds at most {MAX_VOCAB} tokens")
-    limit = vocab_size
     spark = counts.sparkSession
     spelled = counts.select("word", F.col("n").cast("long").alias("n")).filter(F.length("word") > 0)
     spelled = stage(spelled, "bpe-counts")
     alphabet = _alphabet(spelled)
-    tokens = [s.encode() for s in specials] + [bytes([b]) for b in alphabet]
-    base = len(tokens)
+    names = [s.encode() for s in specials] + [bytes([b]) for b in alphabet]
     byte_ids = np.full(256, -1, dtype=np.int64)
-    byte_ids[alphabet] = np.arange(len(specials), base)
+    byte_ids[alphabet] = np.arange(len(specials), len(names))
     # Spread by words, not bytes: a round is work per word on a small table.
     spread = -(-spelled.count() // _WORDS_PER_TASK)
-    start = stage(_spell(spelled.repartition(max(spread, 1)), byte_ids), "bpe-words")
+    words = stage(_spell(spelled.repartition(max(spread, 1)), byte_ids), "bpe-words")
+    drop(spark, spelled)
+
+    merges: list[tuple[int, int, int]] = []
+    merged: list[int] = []
+    while len(names) < vocab_size:
+        found, more = _free_rounds(words, names, vocab_size, min_frequency, list_size)
+        step = []
+        for l, r, n in found:
+            step.append((l, r, len(names)))
+            names.append(names[l] + names[r])
+            merged.append(n)
+        merges += step
+        if not more or len(names) >= vocab_size:
+            break
+        words = _restage(words, _in_batches(step)) if step else words
+        ids = {t: i for i, t in enumerate(names) if i >= len(specials)}
+        step = []
+        top = _top_pairs(words, [], min_frequency, list_size)
+        for l, r, n in _choose(top, set(ids), names, strict=True)[0]:
+            if len(names) >= vocab_size:
+                break
+            made = names[l] + names[r]
+            if made not in ids:
+                ids[made] = len(names)
+                names.append(made)
+            step.append((l, r, ids[made]))
+            merged.append(n)
+        merges += step
+        words = _restage(words, [step])
+    drop(spark, words)
+    return Vocabulary(names, merges, merged, specials)
+
 
+def _restage(words: DataFrame, pending: list[Batch], keep: bool = False) -> DataFrame:
+    """The words after the pending batches; the table before them is deleted."""
+    out = stage(_apply_batches(words, pending), "bpe-words")
+    if not keep:
+        drop(words.sparkSession, words)
+    return out
+
+
+def _free_rounds(
+    start: DataFrame, names: list[bytes], limit: int, min_frequency: int, list_size: int
+) -> tuple[list[tuple[int, int, int]], bool]:
+    """Merges ``(left, right, count)`` in order, until the next one makes a known token.
+
+    Also whether it was that which ended the rounds. New tokens are numbered from
+    ``len(names)`` on.
+    """
+    base, tokens, known = len(names), list(names), set(names)
     words, pending = start, []
     found: dict[int, tuple[int, int, int]] = {}
     order: list[int] = []
-    known = set(tokens)
     while True:
         # Symbols are numbered as found; token order is known only for now.
         symbol = [*range(base), *order]
@@ -416,17 +463,16 @@ def learn_bpe(
             for l, r, n in _top_pairs(words, pending, min_frequency, list_size, rank)
         ]
         best = top[0][2] if top else 0
-        settled = [s for s in order if found[s][0] > best]
-        if not top or base + len(settled) >= limit:
-            drop(spark, spelled, *{id(t): t for t in (start, words)}.values())
-            return _finish(tokens, found, order if not top else settled, base, limit, specials)
-        chosen, twice = _choose(top, known, tokens, strict=False)
-        if twice and not chosen:
-            learnt = _learn_strict(
-                start, tokens, found, settled, base, limit, min_frequency, specials, list_size
-            )
-            drop(spark, spelled, *{id(t): t for t in (start, words)}.values())
-            return learnt
+        settled = [s for s in order if found[s][0] > best] if top else order
+        full = base + len(settled) >= limit
+        chosen, twice = ([], False) if full else _choose(top, known, tokens, strict=False)
+        if not top or full or twice and not chosen:
+            if words is not start:
+                drop(start.sparkSession, words)
+            settled = settled[: limit - base]
+            number = {s: s for s in range(base)} | {s: base + i for i, s in enumerate(settled)}
+            out = [(number[found[s][1]], number[found[s][2]], found[s][0]) for s in settled]
+            return out, bool(top) and not full
         batch: Batch = []
         for l, r, n in chosen:
             new = len(tokens)
@@ -440,60 +486,6 @@ def learn_bpe(
             words, pending = _restage(words, pending, keep=words is start), []
 
 
-def _restage(words: DataFrame, pending: list[Batch], keep: bool = False) -> DataFrame:
-    """The words after the pending batches; the table before them is deleted."""
-    out = stage(_apply_batches(words, pending), "bpe-words")
-    if not keep:
-        drop(words.sparkSession, words)
-    return out
-
-
-def _learn_strict(start, tokens, found, settled, base, limit, min_frequency, specials, list_size):
-    """Go on in merge order after a token turned out to be made twice."""
-    renumber = {s: s for s in range(base)}
-    names, ids, merges, counts = list(tokens[:base]), {}, [], []
-    for sym in settled:
-        n, l, r = found[sym]
-        renumber[sym] = len(names)
-        names.append(tokens[sym])
-        merges.append((renumber[l], renumber[r], renumber[sym]))
-        counts.append(n)
-    ids = {t: i for i, t in enumerate(names) if i >= len(specials)}
-    words = stage(_apply_batches(start, _in_batches(merges)), "bpe-words")
-    pending: list[Batch] = []
-    while len(names) < limit:
-        top = _top_pairs(words, pending, min_frequency, list_size)
-        if not top:
-            break
-        chosen, _ = _choose(top, set(ids), names, strict=True)
-        batch = []
-        for l, r, n in chosen:
-            if len(names) >= limit:
-                break
-            made = names[l] + names[r]
-            if made not in ids:
-                ids[made] = len(names)
-                names.append(made)
-            batch.append((l, r, ids[made]))
-            counts.append(n)
-        merges += batch
-        pending.append(batch)
-        if len(pending) >= _STAGE_EVERY:
-            words, pending = _restage(words, pending), []
-    drop(words.sparkSession, words)
-    return Vocabulary(names, merges, counts, specials)
-
-
-def _finish(tokens, found, order, base, limit, specials) -> Vocabulary:
-    order = order[: max(limit - base, 0)]
-    renumber = {s: s for s in range(base)}
-    renumber.update({s: base + i for i, s in enumerate(order)})
-    merges = [(renumber[found[s][1]], renumber[found[s][2]], renumber[s]) for s in order]
-    return Vocabulary(
-        tokens[:base] + [tokens[s] for s in order], merges, [found[s][0] for s in order], specials
-    )
-
-
 def _alphabet(counts: DataFrame) -> list[int]:
     """Bytes that occur in the words, in alphabet order; at most 256 rows."""
 

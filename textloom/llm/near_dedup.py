@@ -5,11 +5,12 @@ minhashes. A table key is a pair of half keys, one of either collection, so the
 of 2 * HALVES bands give HALVES ** 2 tables. Pairs are formed only from half keys that
 another document shares. Documents with equal sets are one class throughout.
 
-A bucket's members are first compared with one member that a hash of the bucket picks.
-Buckets whose members are then still in several components have all pairs across
-components compared, in blocks of bounded size. So every pair that shares a table key
-ends up either in one component or compared: signatures sift first (see ``AGREE``), full
-sets decide.
+Signatures join bucket mates that may be similar (see ``AGREE``) into clusters: each
+bucket's members with one that a hash of the bucket picks, then, where a bucket still holds
+several clusters, all members across them. This writes only as many pairs as it takes to join
+the clusters. Within a cluster all pairs of full sets are compared, in pairs of blocks of
+bounded size, and links are written as stars. So no pair that shares a table key and passes
+the signatures is left out, and no step writes all pairs of a group.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql.types import StructType
 
 from textloom.llm import arrays
 from textloom.llm.components import components
-from textloom.session import stage
+from textloom.session import drop, stage
 
 #: Words of a shingle, and the least similarity in hundredths.
 SHINGLE = 4
@@ -34,11 +35,12 @@ LEAST = 80
 #: A pair at similarity 0.8 shares no table with probability below 0.0004.
 HALVES = 12
 ROWS = 3
-#: Equal minhashes of 72 from which a pair is looked at: at similarity 0.8 fewer are seen
+#: Equal minhashes of 72 from which a pair may be similar: at similarity 0.8 fewer are seen
 #: with probability below 0.0002.
 AGREE = 44
-#: Members of a bucket that are compared as one block.
+#: Members of a bucket or cluster that are compared as one block, and bytes of their sets.
 BLOCK = 256
+BLOCK_BYTES = 4 << 20
 
 _HASHES = 2 * HALVES * ROWS
 _rng = np.random.default_rng(20_240_501)
@@ -124,54 +126,68 @@ def _set_task(size: int, schema: pa.Schema):
     return run
 
 
-def _similar_task(least: int, schema: pa.Schema):
-    """Keeps the pairs whose sets are similar enough."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            good = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                one, two = np.frombuffer(x.as_py(), "<u8"), np.frombuffer(y.as_py(), "<u8")
-                both = len(np.intersect1d(one, two, assume_unique=True))
-                good.append(100 * both >= least * (len(one) + len(two) - both))
-            kept = batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
-            yield pa.RecordBatch.from_arrays(kept.columns, schema=schema)
-
-    return run
-
-
-def _agreeing(signs: np.ndarray, sizes: np.ndarray, rows: np.ndarray, least: int) -> np.ndarray:
-    """For one member (the last of ``rows``) against the others: which may be similar."""
-    same = (signs[rows] == signs[rows[-1]]).sum(axis=1) >= AGREE
-    low, high = np.minimum(sizes[rows], sizes[rows[-1]]), np.maximum(sizes[rows], sizes[rows[-1]])
-    return same & (100 * low >= least * high)
-
-
-def _across_task(least: int):
-    """Pairs across components in each block pair of a bucket, sifted by signatures."""
+def _local_roots(linked: np.ndarray) -> np.ndarray:
+    """For a symmetric boolean matrix, the least member of each one's component."""
+    root = np.arange(len(linked))
+    linked = linked | np.eye(len(linked), dtype=bool)
+    while True:
+        least = np.where(linked, root[None, :], len(root)).min(axis=1)
+        least = np.minimum(least, least[least])
+        if (least == root).all():
+            return root
+        root = least
+
+
+def _similar(sets: list[np.ndarray], least: int) -> np.ndarray:
+    """Which pairs of sets are similar enough, by counts of what they share."""
+    n = len(sets)
+    size = np.array([len(s) for s in sets], np.int64)
+    owner = np.repeat(np.arange(n), size)
+    shingle = np.concatenate(sets)
+    by = np.argsort(shingle, kind="stable")
+    shingle, owner = shingle[by], owner[by]
+    new = np.ones(len(shingle), bool)
+    new[1:] = shingle[1:] != shingle[:-1]
+    column = np.cumsum(new) - 1
+    shared = np.bincount(column)[column] > 1
+    column, owner = column[shared], owner[shared]
+    column = np.unique(column, return_inverse=True)[1]
+    both = np.zeros((n, n))
+    wide = 4096
+    for first in range(0, (int(column[-1]) if len(column) else -1) + 1, wide):
+        a, z = np.searchsorted(column, [first, first + wide])
+        block = np.zeros((n, min(wide, int(column[-1]) + 1 - first)), np.float32)
+        block[owner[a:z], column[a:z] - first] = 1
+        both += block @ block.T  # sums below 2 ** 24 are exact
+    return 100 * both >= least * (size[:, None] + size[None, :] - both)
+
+
+def _groups(table: pa.Table, names: list[str]) -> np.ndarray:
+    """Bounds of the runs of equal values in these columns of a sorted table."""
+    edge = np.zeros(table.num_rows + 1, bool)
+    edge[0] = edge[-1] = True
+    for name in names:
+        values = table[name].to_numpy()
+        edge[1:-1] |= values[1:] != values[:-1]
+    return np.flatnonzero(edge)
+
+
+def _confirm_task(least: int):
+    """Links found in each block pair of a cluster, as stars: full sets decide."""
 
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("key", "ascending"), ("p", "ascending"), ("q", "ascending")])
-        ids, comp = table["node"].to_numpy(), table["root"].to_numpy()
-        part, sizes = table["part"].to_numpy(), table["n"].to_numpy()
-        p, q = table["p"].to_numpy(), table["q"].to_numpy()
-        raw = b"".join(table["sign"].to_pylist())
-        signs = np.frombuffer(raw, "<u4").reshape(-1, _HASHES)
-        edge = np.ones(len(ids) + 1, bool)
-        key = table["key"].to_numpy()
-        edge[1:-1] = (key[1:] != key[:-1]) | (p[1:] != p[:-1]) | (q[1:] != q[:-1])
-        cuts = np.flatnonzero(edge)
-        found: set[tuple[int, int]] = set()
-        for a, b in zip(cuts, cuts[1:]):
-            for k in range(a + 1, b):
-                # Two members of one block meet in the pair of that block with itself.
-                fit = (comp[a:k] != comp[k]) & ((part[a:k] != part[k]) | (p[k] == q[k]))
-                if fit.any():
-                    rows = np.append(a + np.flatnonzero(fit), k)
-                    good = rows[:-1][_agreeing(signs, sizes, rows, least)[:-1]]
-                    found.update((min(x, ids[k]), max(x, ids[k])) for x in ids[good])
-        pairs = np.array(sorted(found), np.int64).reshape(-1, 2)
-        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+        names = ["cluster", "p", "q"]
+        table = table.sort_by([(n, "ascending") for n in [*names, "node"]])
+        nodes, raw = table["node"].to_numpy(), table["shingles"].to_pylist()
+        one, two = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        cuts = _groups(table, names)
+        for a, z in zip(cuts, cuts[1:]):
+            sets = [np.frombuffer(x, "<u8") for x in raw[a:z]]
+            root = _local_roots(_similar(sets, least))
+            moved = root != np.arange(z - a)
+            one.append(nodes[a:z][moved])
+            two.append(nodes[a:z][root[moved]])
+        return pa.table({"a": np.concatenate(one), "b": np.concatenate(two)})
 
     return run
 
@@ -199,13 +215,33 @@ def _sift(pairs: DataFrame, classes: DataFrame, least: int) -> DataFrame:
     return both.select("a", "b", "sx", "sy").mapInArrow(run, schema)
 
 
-def _confirm(pairs: DataFrame, sets: DataFrame, least: int) -> DataFrame:
-    """The pairs whose full sets are similar enough."""
-    one = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sx"))
-    two = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sy"))
-    schema = StructType.fromDDL("a long, b long")
-    both = pairs.join(one, "a").join(two, "b").select("a", "b", "sx", "sy")
-    return both.mapInArrow(_similar_task(least, to_arrow_schema(schema)), schema)
+def _forest_task(least: int):
+    """Per block pair of a bucket, just enough pairs to join the components that may be linked."""
+
+    def run(table: pa.Table) -> pa.Table:
+        names = ["key", "p", "q"]
+        table = table.sort_by([(n, "ascending") for n in [*names, "node"]])
+        nodes, roots = table["node"].to_numpy(), table["root"].to_numpy()
+        sizes = table["n"].to_numpy()
+        signs = np.frombuffer(b"".join(table["sign"].to_pylist()), "<u4").reshape(-1, _HASHES)
+        found: set[tuple[int, int]] = set()
+        cuts = _groups(table, names)
+        for a, z in zip(cuts, cuts[1:]):
+            label = roots[a:z].copy()
+            for k in range(1, z - a):
+                rows = np.flatnonzero(label[:k] != label[k])
+                same = (signs[a + rows] == signs[a + k]).sum(axis=1) >= AGREE
+                low, high = np.minimum(sizes[a + rows], sizes[a + k]), np.maximum(sizes[a + rows], sizes[a + k])
+                rows = rows[same & (100 * low >= least * high)]
+                for other in np.unique(label[rows]):
+                    x = rows[np.argmax(label[rows] == other)]
+                    found.add((int(nodes[a + x]), int(nodes[a + k])))
+                for other in np.unique(label[rows]):
+                    label[label == other] = label[k]
+        pairs = np.array(sorted(found), np.int64).reshape(-1, 2)
+        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+    return run
 
 
 def _buckets(classes: DataFrame) -> DataFrame:
@@ -228,34 +264,83 @@ def _buckets(classes: DataFrame) -> DataFrame:
         .select("key", "size", F.col("code").bitwiseXOR(turn).alias("lead")),
         "many",
     )
-    return stage(keys.join(many, "key"), "members")
+    members = stage(keys.join(many, "key"), "members")
+    drop(classes.sparkSession, halves, shared, met, keys, many)
+    return members
+
+
+def _blocks(rows: DataFrame, group: str, blocks: str, *columns: str) -> DataFrame:
+    """Deal the members of a group to blocks, and each to all pairs of its block with another."""
+    return (
+        rows.withColumn("part", F.pmod(F.xxhash64("node"), F.col(blocks)).cast("int"))
+        .withColumn("o", F.explode(F.expr(f"sequence(0, CAST({blocks} AS INT) - 1)")))
+        .withColumns({"p": F.least("part", "o"), "q": F.greatest("part", "o")})
+        .select(group, "p", "q", "node", *columns)
+    )
 
 
-def _unsettled(members: DataFrame, roots: DataFrame, classes: DataFrame, least: int) -> DataFrame:
-    """Pairs across components in buckets of three or more that hold several components."""
-    large = members.filter("size > 2").join(
-        roots.select("node", "root"), "node", "left"
+def _clusters(members: DataFrame, classes: DataFrame, least: int) -> DataFrame:
+    """``(node, root)``: groups closed under "share a table key and may be similar by signature"."""
+    picked = (
+        members.filter("node <> lead")
+        .select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b"))
+        .distinct()
+    )
+    star = stage(_sift(picked, classes, least), "star")
+    roots = stage(components(star), "roots")
+    large = stage(
+        members.filter("size > 2")
+        .join(roots, "node", "left")
+        .select("key", "node", "size", F.coalesce("root", "node").alias("root")),
+        "large",
     )
-    large = stage(large.withColumn("root", F.coalesce("root", "node")), "large")
     split = (
         large.groupBy("key")
         .agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max("size").alias("size"))
         .filter("lo <> hi")
-        .select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
-    )
-    rows = (
-        large.join(stage(split, "split"), "key")
-        .withColumn("part", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-        .withColumn("o", F.explode(F.expr("sequence(0, blocks - 1)")))
-        .withColumns({"p": F.least("part", "o"), "q": F.greatest("part", "o")})
-        .select("key", "p", "q", "part", "node", "root")
+        .select("key", F.ceil(F.col("size") / BLOCK).alias("blocks"))
     )
-    rows = stage(rows, "blocks")
-    bins = max(1, -(-rows.count() // 20_000))
+    rows = stage(_blocks(large.join(stage(split, "split"), "key"), "key", "blocks", "root"), "rows")
+    bins = -(-rows.count() // 20_000)
+    if not bins:
+        return roots
     full = rows.join(classes.select("node", "sign", "n"), "node").withColumn(
         "bin", F.pmod(F.xxhash64("key", "p", "q"), F.lit(bins))
     )
-    return full.groupBy("bin").applyInArrow(_across_task(least), "a long, b long").distinct()
+    more = full.groupBy("bin").applyInArrow(_forest_task(least), "a long, b long").distinct()
+    more = stage(more, "more")
+    if not more.limit(1).count():
+        return roots
+    stars = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
+    return stage(components(stars.unionByName(more)), "roots")
+
+
+def _sets_of(source: DataFrame, sought: DataFrame, size: int) -> DataFrame:
+    """``(node, shingles)`` of the classes sought, from the text of a row of each."""
+    schema = StructType.fromDDL("class binary, shingles binary")
+    texts = source.alias("s").join(
+        sought.alias("t"), F.col("s._key").eqNullSafe(F.col("t._key")), "left_semi"
+    )
+    found = texts.select("_text").mapInArrow(_set_task(size, to_arrow_schema(schema)), schema)
+    by_class = found.join(sought.select("class", "node"), "class").select("node", "shingles")
+    return by_class.dropDuplicates(["node"])
+
+
+def _links(clusters: DataFrame, sets: DataFrame, least: int) -> DataFrame:
+    """Confirmed links within the clusters, as stars."""
+    held = clusters.join(sets.select("node", F.octet_length("shingles").alias("bytes")), "node")
+    count = held.groupBy("root").agg(
+        F.greatest(
+            F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("bytes") / BLOCK_BYTES)
+        ).alias("blocks")
+    )
+    sized = held.join(stage(count, "count"), "root").withColumnRenamed("root", "cluster")
+    rows = stage(_blocks(sized, "cluster", "blocks", "bytes"), "rows")
+    bins = max(1, (rows.agg(F.sum("bytes")).first()[0] or 0) // BLOCK_BYTES)
+    full = rows.drop("bytes").join(sets, "node").withColumn(
+        "bin", F.pmod(F.xxhash64("cluster", "p", "q"), F.lit(bins))
+    )
+    return full.groupBy("bin").applyInArrow(_confirm_task(least), "a long, b long")
 
 
 def near_duplicates(
@@ -287,35 +372,10 @@ def near_duplicates(
         .withColumn("node", F.monotonically_increasing_id()),
         "classes",
     )
-    members = _buckets(classes)
-    picked = (
-        members.filter("node <> lead")
-        .select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b"))
-        .distinct()
-    )
-    tested = stage(picked, "picked")
-    first = stage(_sift(tested, classes, least), "sifted")
-    wanted = (
-        first.select(F.explode(F.array("a", "b")).alias("node"))
-        .unionByName(members.filter("size > 2").select("node"))
-        .distinct()
-    )
-    sought = stage(classes.join(wanted, "node", "left_semi").select("node", "class", "_key"), "sought")
-    pair = StructType.fromDDL("class binary, shingles binary")
-    texts = source.alias("s").join(
-        sought.alias("t"), F.col("s._key").eqNullSafe(F.col("t._key")), "left_semi"
-    )
-    found = texts.select("_text").mapInArrow(_set_task(size, to_arrow_schema(pair)), pair)
-    sets = stage(
-        found.dropDuplicates(["class"]).join(sought.select("class", "node"), "class").select("node", "shingles"),
-        "sets",
-    )
-    links = stage(_confirm(first, sets, least), "links")
-    roots = stage(components(links), "roots")
-    more = _unsettled(members, roots, classes, least).join(tested, ["a", "b"], "left_anti")
-    more = stage(_confirm(more, sets, least), "links")
-    if more.limit(1).count():
-        roots = stage(components(links.unionByName(more)), "roots")
+    clusters = _clusters(_buckets(classes), classes, least)
+    sought = stage(clusters.join(classes.select("node", "class", "_key"), "node"), "sought")
+    sets = stage(_sets_of(source, sought, size), "sets")
+    roots = stage(components(stage(_links(clusters, sets, least), "links")), "roots")
     named = classes.select("class", "node", "_key").join(roots, "node", "left")
     least_key = (
         named.withColumn("root", F.coalesce("root", "node"))

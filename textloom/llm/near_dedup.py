@@ -6,7 +6,7 @@ of 2 * HALVES bands give HALVES ** 2 tables. Pairs are formed only from half key
 another document shares. Documents with equal sets are one class throughout.
 
 Signatures join bucket mates that may be similar (see ``AGREE``) into clusters: each
-bucket's members with one that a hash of the bucket picks, then, where a bucket still holds
+bucket's members with one that the bucket picks, then, where a bucket still holds
 several clusters, all members across them. This writes only as many pairs as it takes to join
 the clusters. Within a cluster all pairs of full sets are compared, in pairs of blocks of
 bounded size, and links are written as stars. So no pair that shares a table key and passes
@@ -255,8 +255,9 @@ def _buckets(classes: DataFrame) -> DataFrame:
     first = met.filter(F.col("i") < HALVES).select("node", F.col("half").alias("x"))
     second = met.filter(F.col("i") >= HALVES).select("node", F.col("half").alias("y"))
     keys = stage(first.join(second, "node").select("node", F.xxhash64("x", "y").alias("key")), "keys")
-    # The picked member is the least after its id is turned over by bits of the key.
-    turn = F.col("key").bitwiseAND(F.lit((1 << 62) - 1))
+    # The picked member is the least in one of four orders of the ids, so that the buckets of
+    # a large group pick few different members.
+    turn = F.col("key").bitwiseAND(F.lit(3)) * F.lit(0x1249_2492_4924_9249)
     many = stage(
         keys.groupBy("key")
         .agg(F.count(F.lit(1)).alias("size"), F.min(F.col("node").bitwiseXOR(turn)).alias("code"))

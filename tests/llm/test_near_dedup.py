@@ -48,6 +48,7 @@ def test_against_brute_force(spark):
 def test_loose_groups(spark, monkeypatch):
     """Copies that differ from a base by more and more words: links form chains and gaps."""
     monkeypatch.setattr(near_dedup, "BLOCK", 3)
+    monkeypatch.setattr(near_dedup, "SIGN_BLOCK", 3)
     rng, rows = random.Random(5), []
     base = prose(rng, 120).split()
     for i in range(60):

@@ -38,7 +38,9 @@ ROWS = 3
 #: Equal minhashes of 72 from which a pair may be similar: at similarity 0.8 fewer are seen
 #: with probability below 0.0002.
 AGREE = 44
-#: Members of a bucket or cluster that are compared as one block, and bytes of their sets.
+#: Members of a bucket whose signatures are compared as one block.
+SIGN_BLOCK = 1024
+#: Members of a cluster that are compared as one block, and bytes of their sets.
 BLOCK = 256
 BLOCK_BYTES = 4 << 20
 
@@ -299,7 +301,7 @@ def _clusters(members: DataFrame, classes: DataFrame, least: int) -> DataFrame:
         large.groupBy("key")
         .agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max("size").alias("size"))
         .filter("lo <> hi")
-        .select("key", F.ceil(F.col("size") / BLOCK).alias("blocks"))
+        .select("key", F.ceil(F.col("size") / SIGN_BLOCK).alias("blocks"))
     )
     rows = stage(_blocks(large.join(stage(split, "split"), "key"), "key", "blocks", "root"), "rows")
     bins = -(-rows.count() // 20_000)

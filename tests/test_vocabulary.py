@@ -81,6 +81,17 @@ def test_strict_rounds_give_the_same(spark, monkeypatch):
     assert any(calls) and vocab.tokens == tokens and vocab.merges == merges
 
 
+def test_settled_merges_are_fixed_in_between(spark, monkeypatch):
+    rnd = random.Random(8)
+    words = {
+        "".join(rnd.choice("abcde") for _ in range(rnd.randint(1, 10))).encode(): rnd.randint(1, 9)
+        for _ in range(100)
+    }
+    monkeypatch.setattr(bpe, "_SETTLE", 5)
+    vocab = learn(spark, words, 60)
+    assert (vocab.tokens, vocab.merges) == greedy(words, 60)
+
+
 def test_matches_public_library(spark):
     tokenizers = pytest.importorskip("tokenizers")
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")

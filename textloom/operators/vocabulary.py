@@ -36,6 +36,7 @@ PRETOKEN_PATTERN = (
 MAX_VOCAB = 1 << 22
 _SHIFT = 31
 _STAGE_EVERY = 12
+_SETTLE = 2048
 _WORDS_PER_TASK = 1 << 16
 
 
@@ -405,16 +406,18 @@ def learn_bpe(
     merges: list[tuple[int, int, int]] = []
     merged: list[int] = []
     while len(names) < vocab_size:
-        found, more = _free_rounds(words, names, vocab_size, min_frequency, list_size)
+        found, end = _free_rounds(words, names, vocab_size, min_frequency, list_size)
         step = []
         for l, r, n in found:
             step.append((l, r, len(names)))
             names.append(names[l] + names[r])
             merged.append(n)
         merges += step
-        if not more or len(names) >= vocab_size:
+        if end == "done" or len(names) >= vocab_size:
             break
         words = _restage(words, _in_batches(step)) if step else words
+        if end == "long":
+            continue
         ids = {t: i for i, t in enumerate(names) if i >= len(specials)}
         step = []
         top = _top_pairs(words, [], min_frequency, list_size)
@@ -443,11 +446,12 @@ def _restage(words: DataFrame, pending: list[Batch], keep: bool = False) -> Data
 
 def _free_rounds(
     start: DataFrame, names: list[bytes], limit: int, min_frequency: int, list_size: int
-) -> tuple[list[tuple[int, int, int]], bool]:
-    """Merges ``(left, right, count)`` in order, until the next one makes a known token.
+) -> tuple[list[tuple[int, int, int]], str]:
+    """Merges ``(left, right, count)`` in order, and what ended the rounds.
 
-    Also whether it was that which ended the rounds. New tokens are numbered from
-    ``len(names)`` on.
+    ``twice``: the next merge makes a known token; ``long``: _SETTLE merges are settled, and
+    their order need not be restored in every further round; ``done``: no pair is left, or
+    the limit is reached. New tokens are numbered from ``len(names)`` on.
     """
     base, tokens, known = len(names), list(names), set(names)
     words, pending = start, []
@@ -465,14 +469,15 @@ def _free_rounds(
         best = top[0][2] if top else 0
         settled = [s for s in order if found[s][0] > best] if top else order
         full = base + len(settled) >= limit
-        chosen, twice = ([], False) if full else _choose(top, known, tokens, strict=False)
-        if not top or full or twice and not chosen:
+        long = len(settled) >= _SETTLE
+        chosen, twice = ([], False) if full or long else _choose(top, known, tokens, strict=False)
+        if not chosen:
             if words is not start:
                 drop(start.sparkSession, words)
             settled = settled[: limit - base]
             number = {s: s for s in range(base)} | {s: base + i for i, s in enumerate(settled)}
             out = [(number[found[s][1]], number[found[s][2]], found[s][0]) for s in settled]
-            return out, bool(top) and not full
+            return out, "done" if not top or full else "long" if long else "twice"
         batch: Batch = []
         for l, r, n in chosen:
             new = len(tokens)

@@ -15,7 +15,8 @@ from textloom.llm import arrays
 LENGTH = 200
 GRAM = 24
 _SPAN = LENGTH - GRAM + 1
-_PLACE = np.uint64((1 << 28) - 1)
+#: Low bits that hold a position, enough for the longest string that Spark has.
+_PLACE = np.uint64((1 << 31) - 1)
 
 
 def _sliding_least(values: np.ndarray, width: int) -> np.ndarray:
@@ -30,21 +31,20 @@ def _sliding_least(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def anchor_ranges(
-    data: np.ndarray, bounds: np.ndarray
+    data: np.ndarray, bounds: np.ndarray, prefix: np.ndarray
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(text, first start, starts, hash) of all ranges of starts that share an anchor.
 
     Starts count from the beginning of their text; texts shorter than ``LENGTH`` have none.
+    ``prefix`` is the prefix hash of the data.
     """
     none = np.zeros(0, np.int64)
     if len(data) < LENGTH:
         return none, none, none, none
-    if len(data) > int(_PLACE):
-        raise ValueError("a text may have 268 million bytes at most")
-    prefix = arrays.prefix_hash(data)
-    at = np.arange(len(data) - GRAM + 1)
-    hashes = arrays.range_hash(prefix, at, at + GRAM)
-    anchor = _sliding_least((hashes & ~_PLACE) | at.astype(np.uint64), _SPAN) & _PLACE
+    hashes = arrays.window_hash(prefix, GRAM)
+    ranked = hashes & ~_PLACE
+    ranked |= np.arange(len(hashes), dtype=np.uint64)
+    anchor = _sliding_least(ranked, _SPAN) & _PLACE
     anchor = anchor.astype(np.int64)
     size = np.diff(bounds)
     change = np.zeros(len(data) + 1, np.int32)

@@ -8,8 +8,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Bytes of text handled at once in a task; a longer text is handled alone.
-WORK_BYTES = 1 << 21
+#: Bytes of text handled at once in a task, so that arrays of eight bytes for each stay in
+#: the caches; a longer text is handled alone.
+WORK_BYTES = 1 << 18
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -113,6 +114,14 @@ def range_hash(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
     return mix((prefix[ends] - prefix[starts]) * down[starts])
 
 
+def window_hash(prefix: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of all ranges of ``size`` bytes, as ``range_hash`` gives them."""
+    _, down = _tables(len(prefix))
+    out = prefix[size:] - prefix[:-size]
+    out *= down[: len(out)]
+    return mix(out)
+
+
 def run_hash(hashes: np.ndarray, n: int) -> np.ndarray:
     """Hashes of every ``n`` consecutive hashes."""
     count = len(hashes) - n + 1

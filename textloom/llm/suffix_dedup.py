@@ -33,7 +33,7 @@ from pyspark.sql.types import StructType
 from textloom.llm import arrays
 from textloom.llm.anchors import LENGTH, anchor_ranges
 from textloom.llm.suffixes import capped_prefixes, suffix_sort
-from textloom.session import stage
+from textloom.session import drop, stage
 
 #: Bytes of contexts that a shard sorts, about.
 SHARD_BYTES = 1 << 20
@@ -45,9 +45,9 @@ _FULL, _SHIP = 1, 2
 
 def _ranges(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, ...]:
     """(text, first start, starts, anchor hash, context hash)."""
-    text, first, starts, anchor = anchor_ranges(data, bounds)
-    at = bounds[text] + first
     prefix = arrays.prefix_hash(data)
+    text, first, starts, anchor = anchor_ranges(data, bounds, prefix)
+    at = bounds[text] + first
     context = arrays.range_hash(prefix, at, at + starts + LENGTH - 1).view(np.int64)
     return text, first, starts, anchor, context
 
@@ -79,50 +79,61 @@ def _anchor_task(schema: pa.Schema):
     return run
 
 
+def _key(text: np.ndarray, anchor: np.ndarray, context: np.ndarray) -> np.ndarray:
+    """One number for a context in a text of the piece at hand."""
+    mixed = arrays.mix(anchor.view(np.uint64) + arrays.mix(context.view(np.uint64)))
+    return arrays.mix(mixed + text.astype(np.uint64))
+
+
 def _context_task(schema: pa.Schema):
     """Covered byte ranges, and contexts to be compared, of the texts that have any."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            nodes = batch.column(0).to_numpy()
             for i, j, data, bounds in arrays.work(batch.column(1)):
                 text, first, starts, anchor, context = _ranges(data, bounds)
-                rows: dict[str, list] = {f.name: [] for f in schema}
-                cut = np.searchsorted(text, np.arange(j - i + 1))
-                for row in range(j - i):
-                    node = batch.column(0)[i + row].as_py()
-                    hashes, contexts, codes = (
-                        np.array(batch.column(k)[i + row].values) for k in (2, 3, 4)
-                    )
-                    by = np.lexsort((contexts, hashes))
-                    wanted = {
-                        (h, c): code
-                        for h, c, code in zip(
-                            hashes[by].tolist(), contexts[by].tolist(), codes[by].tolist()
-                        )
-                    }
-                    shipped = set()
-                    for k in range(cut[row], cut[row + 1]):
-                        pair = (int(anchor[k]), int(context[k]))
-                        code = wanted.get(pair, 0)
-                        at, n = int(first[k]), int(starts[k])
-                        ship = code & _SHIP and pair not in shipped
-                        if code & _FULL:
-                            _add(rows, node, at, at + n + LENGTH - 1, None, None)
-                        if ship:
-                            shipped.add(pair)
-                            a = int(bounds[row]) + at
-                            body = data[a : a + n + LENGTH - 1].tobytes()
-                            _add(rows, node, at, n, pair[0], body)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(rows[f.name], f.type) for f in schema], schema=schema
+                lists = [batch.column(k).slice(i, j - i) for k in (2, 3, 4)]
+                size = lists[0].value_lengths().to_numpy()
+                wanted = [x.flatten().to_numpy() for x in lists]
+                keys = _key(np.repeat(np.arange(j - i), size), *wanted[:2])
+                by = np.argsort(keys)
+                keys, codes = keys[by], wanted[2][by]
+                own = _key(text, anchor, context)
+                at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
+                code = np.where(keys[at] == own, codes[at], 0)
+                full = np.flatnonzero(code & _FULL)
+                node, start, stop = _joined(
+                    nodes[i + text[full]], first[full], first[full] + starts[full] + LENGTH - 1
+                )
+                yield _parts(schema, node, start, stop)
+                ship = np.flatnonzero(code & _SHIP)
+                ship = ship[np.unique(own[ship], return_index=True)[1]]
+                heads = bounds[text[ship]] + first[ship]
+                tails = heads + starts[ship] + LENGTH - 1
+                bodies = [data[a:z].tobytes() for a, z in zip(heads.tolist(), tails.tolist())]
+                yield _parts(
+                    schema, nodes[i + text[ship]], first[ship], starts[ship], anchor[ship], bodies
                 )
 
     return run
 
 
-def _add(rows: dict[str, list], *cells) -> None:
-    for column, cell in zip(rows.values(), cells):
-        column.append(cell)
+def _parts(schema, node, start, stop, anchor=None, bodies=None) -> pa.RecordBatch:
+    cells = [node, start, stop, anchor, bodies]
+    return pa.RecordBatch.from_arrays(
+        [pa.nulls(len(node), f.type) if c is None else pa.array(c, f.type) for c, f in zip(cells, schema)],
+        schema=schema,
+    )
+
+
+def _joined(node: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Ranges of each node that touch or overlap as one; they come in order of their starts."""
+    new = np.ones(len(node), bool)
+    new[1:] = (node[1:] != node[:-1]) | (start[1:] > stop[:-1])
+    heads = np.flatnonzero(new)
+    tails = np.append(heads[1:], len(node)) - 1
+    return node[heads], start[heads], stop[tails[: len(heads)]]
 
 
 def _covered(node: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -262,8 +273,11 @@ def _cut_task(schema: pa.Schema):
     return run
 
 
-def _repeated(units: DataFrame) -> DataFrame:
-    """``(node, hashes, contexts, codes)``: what each text must cover or have compared."""
+def _repeated(units: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """``(node, hashes, contexts, codes)``: what each text must cover or have compared.
+
+    Also the staged tables that this is read from.
+    """
     occurrences = units.select(
         "node",
         (F.col("copies") > 1).alias("copied"),
@@ -278,21 +292,24 @@ def _repeated(units: DataFrame) -> DataFrame:
         .filter("ship OR twice")
         .select("h", "ship")
     )
-    met = stage(occurrences.join(stage(hashes, "hashes"), "h"), "met")
+    hashes = stage(hashes, "hashes")
+    met = stage(occurrences.join(hashes, "h"), "met")
     contexts = met.groupBy("h", "c").agg(
         F.min("node").alias("lo"),
         ((F.min("node") != F.max("node")) | F.max("again") | F.max("copied")).alias("full"),
     )
-    judged = met.join(stage(contexts, "contexts"), ["h", "c"])
+    contexts = stage(contexts, "contexts")
+    judged = met.join(contexts, ["h", "c"])
     ship = F.when(F.col("ship") & (F.col("node") == F.col("lo")), _SHIP).otherwise(0)
     full = F.when(F.col("full") & ~F.col("copied"), _FULL).otherwise(0)
-    return (
+    codes = (
         judged.withColumn("code", (ship + full).cast("int"))
         .filter("code > 0")
         .groupBy("node")
         .agg(F.collect_list(F.struct("h", "c", "code")).alias("x"))
         .select("node", F.col("x.h").alias("hashes"), F.col("x.c").alias("contexts"), F.col("x.code").alias("codes"))
     )
+    return codes, [hashes, met, contexts]
 
 
 def _compared(contexts: DataFrame) -> DataFrame:
@@ -356,7 +373,8 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
         .withColumn("node", F.monotonically_increasing_id()),
         "units",
     )
-    wanted = _repeated(units).join(units.select("node", "class", "_key"), "node")
+    codes, used = _repeated(units)
+    wanted = codes.join(units.select("node", "class", "_key"), "node")
     texts = source.alias("s").join(
         wanted.alias("w"),
         (F.col("s.class") == F.col("w.class")) & F.col("s._key").eqNullSafe(F.col("w._key")),
@@ -364,6 +382,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     found = stage(
         texts.select("node", "_text", "hashes", "contexts", "codes").dropDuplicates(["node"]), "texts"
     )
+    drop(docs.sparkSession, *used)
     made = StructType.fromDDL("node long, start long, stop long, h long, body binary")
     parts = stage(found.mapInArrow(_context_task(to_arrow_schema(made)), made), "parts")
     whole = parts.filter("h IS NULL").select("node", "start", "stop")

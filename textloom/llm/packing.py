@@ -10,6 +10,8 @@ made them: only one short row per piece does.
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -17,12 +19,13 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import regex
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
+from tokenizers import Tokenizer
 
 from textloom.session import stage
 
@@ -68,11 +71,6 @@ class Encoder:
     """
 
     def __init__(self, path: str) -> None:
-        import json
-
-        import tiktoken
-        from tokenizers import Tokenizer
-
         self.slow = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
@@ -81,16 +79,29 @@ class Encoder:
         self.fast = tiktoken.Encoding(
             "file", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={}
         )
-        special = "|".join(regex.escape(t["content"]) for t in spec["added_tokens"])
-        self.odd = regex.compile(
-            r"[^\x00-ſ‐-‧€]|\S{500}|\s{500}" + (f"|{special}" if special else "")
-        )
+        self.special = [t["content"] for t in spec["added_tokens"]]
+
+    def plain(self, text: str) -> bool:
+        if not text.isascii() and _OTHER.search(text):
+            return False
+        if any(s in text for s in self.special):
+            return False
+        if len(text) < _RUN:
+            return True
+        sizes = list(map(len, text.split()))
+        blank = len(text) - sum(sizes) - len(sizes)
+        return max(sizes, default=0) < _RUN and (blank < _RUN - 2 or not _BLANKS.search(text))
 
     def __call__(self, text: str) -> np.ndarray:
-        if self.odd.search(text):
-            return np.array(self.slow.encode(text, add_special_tokens=False).ids, "<u4")
-        return np.array(self.fast.encode_ordinary(text), "<u4")
+        if self.plain(text):
+            return np.array(self.fast.encode_ordinary(text), "<u4")
+        return np.array(self.slow.encode(text, add_special_tokens=False).ids, "<u4")
+
 
+#: Characters outside the plain scripts, and how long a run may be.
+_OTHER = re.compile(r"[^\x00-\u017f\u2010-\u2027\u20ac]")
+_RUN = 500
+_BLANKS = re.compile(r"\s{500}")
 
 #: Fixed value: the public pattern that splits text before byte-level merges.
 _PATTERN = (

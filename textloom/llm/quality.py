@@ -37,8 +37,6 @@ SAMPLE = 8_000
 SMOOTHING = 1.0
 PENALTY = 1.0
 EPOCHS = 12
-#: Bytes whose n-grams a task looks at together.
-WORK = 1 << 19
 
 
 @dataclass
@@ -115,7 +113,7 @@ def _gram_task(schema: pa.Schema):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, j, data, bounds in arrays.work(batch.column(1), WORK):
+            for i, j, data, bounds in arrays.work(batch.column(1)):
                 buckets, owner = indicators(data, bounds)
                 cut = np.searchsorted(owner, np.arange(j - i + 1))
                 rows = [buckets[a:b].astype("<i4").tobytes() for a, b in zip(cut, cut[1:])]
@@ -221,30 +219,37 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int
     return train_model(joined.select("text", "label"))
 
 
-def _score_task(model: Model | None, schema: pa.Schema):
+def _score_task(model: Model | None, place: int, schema: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = np.full(batch.num_rows, 0.5)
             if model is not None:
-                for i, j, data, bounds in arrays.work(batch.column(batch.num_columns - 1), WORK):
+                for i, j, data, bounds in arrays.work(batch.column(place)):
                     out[i:j] = model.score(model.margins(*indicators(data, bounds), j - i))
-            columns = [c.cast(f.type) for c, f in zip(batch.columns[:-1], schema)]
+            columns = [c.cast(f.type) for c, f in zip(batch.columns, list(schema)[:-1])]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(out)], schema=schema)
 
     return run
 
 
-def score(docs: DataFrame, model: Model | None, text: str = "text", out: str = "score") -> DataFrame:
-    """All columns, and the score of every whole text, between 0 and 1.
+def score(
+    docs: DataFrame,
+    model: Model | None,
+    text: str = "text",
+    out: str = "score",
+    keep: list[str] | None = None,
+) -> DataFrame:
+    """The ``keep`` columns (all by default), and the score of every whole text, from 0 to 1.
 
     Null and empty texts get the score of no n-gram at all; without a model every
     score is 0.5. A column named like the result is replaced. Repeated rows stay.
     """
-    names = [c for c in docs.columns if c != out]
-    rows = docs.select(
-        *(F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(names)),
-        F.col(f"`{text}`").alias("_text"),
+    names = [c for c in keep or docs.columns if c != out]
+    sent = names if text in names else [*names, text]
+    rows = docs.select(*(F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(sent)))
+    schema = StructType(
+        [*rows.schema.fields[: len(names)], *StructType.fromDDL("_score double").fields]
     )
-    fields = [*rows.schema.fields[:-1], *StructType.fromDDL("_score double").fields]
-    scored = rows.mapInArrow(_score_task(model, to_arrow_schema(StructType(fields))), StructType(fields))
+    task = _score_task(model, sent.index(text), to_arrow_schema(schema))
+    scored = rows.mapInArrow(task, schema)
     return scored.select(*(F.col(f"_c{i}").alias(c) for i, c in enumerate(names)), F.col("_score").alias(out))

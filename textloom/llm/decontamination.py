@@ -28,6 +28,9 @@ WINDOW = 10
 #: Distinct windows that are sent to the tasks together; more windows take more passes.
 BLOCK_WINDOWS = 1 << 17
 
+#: Bytes of texts in a shard, about; its index is built and searched at once.
+SHARD_BYTES = 1 << 21
+
 #: Digits, a-z and all bytes of characters beyond ASCII; A-Z is lowered first.
 _WORD = np.zeros(256, bool)
 _WORD[48:58] = _WORD[97:123] = _WORD[128:] = True
@@ -44,9 +47,16 @@ class Phrases:
 
 
 def _hashed_words(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, ...]:
-    data = arrays.lower(data)
-    starts, ends, count = arrays.words(data, bounds, _WORD)
-    return starts, ends, count, arrays.range_hash(arrays.prefix_hash(data), starts, ends)
+    """Starts, ends, words of each text, and hashes; hashing goes piece by piece."""
+    found = []
+    for i, j in arrays.spans(bounds):
+        piece = arrays.lower(data[bounds[i] : bounds[j]])
+        starts, ends, count = arrays.words(piece, bounds[i : j + 1] - bounds[i], _WORD)
+        hashes = arrays.range_hash(arrays.prefix_hash(piece), starts, ends)
+        found.append((starts + bounds[i], ends + bounds[i], count, hashes))
+    none = np.zeros(0, np.int64)
+    found = found or [(none, none, none, none.view(np.uint64))]
+    return tuple(np.concatenate(x) for x in zip(*found))
 
 
 def _window_task(size: int, schema: pa.Schema):
@@ -125,8 +135,11 @@ def occurrences(word: np.ndarray, count: np.ndarray, phrases: Phrases) -> tuple[
     return phrase, back[index.locate(rows)]
 
 
-def _hit_task(phrases, schema: pa.Schema):
-    """Adds to each text's hit words (as byte ranges), their number, and the items found."""
+def _hit_task(phrases, schema: pa.Schema, cut: bool):
+    """Adds to each text's hit words (as byte ranges), their number, and the items found.
+
+    With ``cut``, the text comes out without those ranges.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sought = phrases.value
@@ -136,7 +149,7 @@ def _hit_task(phrases, schema: pa.Schema):
             old_ranges = batch.column(names.index("_ranges"))
             old_items = batch.column(names.index("_items"))
             total = []
-            for i, j, data, bounds in arrays.work(batch.column(names.index("_text"))):
+            for i, j, data, bounds in arrays.work(batch.column(names.index("_text")), SHARD_BYTES):
                 starts, ends, count, word = _hashed_words(data, bounds)
                 phrase, at = occurrences(word, count, sought)
                 change = np.zeros(len(word) + 1, np.int64)
@@ -168,10 +181,16 @@ def _hit_task(phrases, schema: pa.Schema):
                 "_ranges": pa.array(ranges, pa.binary()),
                 "_items": pa.array(items, pa.list_(pa.string())),
             }
+            if cut:
+                texts = batch.column(names.index("_text"))
+                done["_text"] = pa.array(
+                    [t.as_py() if r is None else _cut(t.as_py(), r) for t, r in zip(texts, ranges)],
+                    pa.string(),
+                )
             yield pa.RecordBatch.from_arrays(
                 [
-                    done[f.name] if f.name in done else batch.column(k).cast(f.type)
-                    for k, f in enumerate(schema)
+                    done[f.name] if f.name in done else batch.column(names.index(f.name)).cast(f.type)
+                    for f in schema
                 ],
                 schema=schema,
             )
@@ -189,19 +208,26 @@ def _merged(starts: np.ndarray, ends: np.ndarray, marked: np.ndarray, origin: in
 
 
 def find_hits(
-    docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, text: str = "text", block: int = BLOCK_WINDOWS
+    docs: DataFrame,
+    benchmark: DataFrame,
+    size: int = WINDOW,
+    key: str | list[str] = "doc_id",
+    text: str = "text",
+    block: int = BLOCK_WINDOWS,
+    cut: bool = False,
 ) -> DataFrame:
-    """All columns (as ``_c0``, ``_c1``, ...) and what the text shares with the benchmark.
+    """The ``key`` columns (as ``_c0``, ``_c1``, ...) and what the text shares with the benchmark.
 
     ``_words`` and ``_hit`` count words, ``_items`` lists the items with a window in the
     text (sorted as strings), ``_ranges`` holds the removal spans as pairs of byte
-    offsets. A null text has no words; an empty benchmark hits nothing; repeated rows stay.
-    Windows are sent in blocks of a bounded size, one pass over the texts for each.
+    offsets; with ``cut``, ``_text`` is the text without them. A null text has no words
+    and stays null; an empty benchmark hits nothing; repeated rows stay. Other columns are
+    not read. Windows are sent in blocks of a bounded size, one pass over the texts for each.
     """
     windows = stage(benchmark_windows(benchmark, size), "windows")
     blocks = max(1, -(-windows.count() // block))
     out = docs.select(
-        *(F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(docs.columns)),
+        *(F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate([key] if isinstance(key, str) else key)),
         F.col(f"`{text}`").cast("string").alias("_text"),
         F.lit(None).cast("long").alias("_words"),
         F.lit(None).cast("long").alias("_hit"),
@@ -211,7 +237,10 @@ def find_hits(
     for b in range(blocks):
         part = windows.filter(F.pmod(F.xxhash64("words"), F.lit(blocks)) == b).collect()
         sent = docs.sparkSession.sparkContext.broadcast(_phrases(part))
-        out = out.mapInArrow(_hit_task(sent, to_arrow_schema(out.schema)), out.schema)
+        last = b == blocks - 1
+        fields = [f for f in out.schema if f.name != "_text" or cut or not last]
+        schema = StructType(fields)
+        out = out.mapInArrow(_hit_task(sent, to_arrow_schema(schema), cut and last), schema)
     return out
 
 
@@ -223,28 +252,9 @@ def _cut(text: str, ranges: bytes) -> str:
     return b"".join([*out, data[at:]]).decode()
 
 
-def _cut_task(place: int, schema: pa.Schema):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ranges = batch.column(batch.num_columns - 1)
-            texts = [
-                t.as_py() if not r.is_valid else _cut(t.as_py(), r.as_py())
-                for t, r in zip(batch.column(place), ranges)
-            ]
-            columns = [c.cast(f.type) for c, f in zip(batch.columns, schema)]
-            columns[place] = pa.array(texts, schema.field(place).type)
-            yield pa.RecordBatch.from_arrays(columns, schema=schema)
-
-    return run
-
-
 def remove_hits(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, text: str = "text") -> DataFrame:
     """The documents with every removal span cut out of the text; other texts stay as they are."""
-    names = docs.columns
-    found = find_hits(docs, benchmark, size, text).select(
-        *(f"_c{i}" for i in range(len(names))), "_ranges"
-    )
-    schema = StructType(found.schema.fields[:-1])
-    out = found.mapInArrow(_cut_task(names.index(text), to_arrow_schema(schema)), schema)
-    return out.toDF(*names)
-
+    others = [c for c in docs.columns if c != text]
+    found = find_hits(docs, benchmark, size, others, text, cut=True)
+    named = {c: F.col(f"_c{i}") for i, c in enumerate(others)} | {text: F.col("_text")}
+    return found.select(*(named[c].alias(c) for c in docs.columns))

@@ -136,7 +136,7 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predicted language of every whole text, learned from two of three folds."""
     docs = table(spark, sf_dir, "documents")
     rows = docs.select("doc_id", "text", language.held_out().alias("held_out"))
-    out = language.predict(rows, language.learn(docs))
+    out = language.predict(rows, language.learn(docs), keep=["doc_id", "held_out"])
     return out.select("doc_id", "held_out", "lang_pred", "score")
 
 
@@ -146,7 +146,7 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = quality.learn(docs, table(spark, sf_dir, "labels"))
     rows = docs.select("doc_id", "text", quality.held_out().alias("held_out"))
-    out = quality.score(rows, model)
+    out = quality.score(rows, model, keep=["doc_id", "held_out"])
     kept = F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted")
     return out.select("doc_id", "held_out", "score", kept)
 
@@ -154,7 +154,7 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What every document shares with the benchmark, by windows of 10 words."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = table(spark, sf_dir, "documents")
     found = decontamination.find_hits(docs, table(spark, sf_dir, "benchmark"))
     return found.select(
         F.col("_c0").alias("doc_id"),

@@ -44,7 +44,8 @@ def test_network_pooling_matches_plain_convolution():
     network = language.Network(["a", "b"])
     network.start()
     text = np.frombuffer(b"some text of a window, no more", np.uint8)
-    windows, _, _ = language.cut_windows(text, np.array([0, len(text)]))
+    _, start, held = language.place_windows(np.array([0, len(text)]))
+    windows = language.read_windows(text, start, held)
     pooled, _ = network.pooled(windows)
     k = 0
     for width in language.WIDTHS:

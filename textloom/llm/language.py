@@ -30,6 +30,8 @@ FILTERS = 16
 EMBEDDING = 8
 #: Labelled texts per language that the network is fitted on, about.
 SAMPLE = 1_500
+#: Labelled texts in all, about; with very many languages each gets fewer.
+SAMPLE_ALL = 60_000
 #: Windows of each of them, evenly spaced.
 SAMPLE_WINDOWS = 3
 #: Windows that a task handles at once.
@@ -127,27 +129,28 @@ class Network:
                     setattr(self, k, (getattr(self, k) - rate * up / down).astype(np.float32))
 
 
-def cut_windows(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All windows of all texts, the text each belongs to, and the bytes it holds.
-
-    A text's last window is filled up with zero bytes; an empty text has none.
-    """
+def place_windows(bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text, start and size of all windows of all texts; an empty text has none."""
     size = np.diff(bounds)
     count = -(-size // WINDOW)
     owner = np.repeat(np.arange(len(size)), count)
     first = np.repeat(np.cumsum(count) - count, count)
     start = bounds[:-1][owner] + (np.arange(len(owner)) - first) * WINDOW
-    held = np.minimum(bounds[1:][owner] - start, WINDOW)
-    place = start[:, None] + np.arange(WINDOW)[None, :]
-    windows = np.append(data, np.uint8(0))[np.minimum(place, len(data))]
-    windows[np.arange(WINDOW)[None, :] >= held[:, None]] = 0
-    return windows, owner, held
+    return owner, start, np.minimum(bounds[1:][owner] - start, WINDOW)
+
+
+def read_windows(data: np.ndarray, start: np.ndarray, held: np.ndarray) -> np.ndarray:
+    """The bytes of windows, filled up with zeros."""
+    inside = np.arange(WINDOW)[None, :]
+    windows = data[np.minimum(start[:, None] + inside, len(data) - 1)]
+    windows[inside >= held[:, None]] = 0
+    return windows
 
 
 def _train(frame: pd.DataFrame) -> pd.DataFrame:
     frame = frame.sort_values(["label", "text"]).reset_index(drop=True)
     data, bounds = arrays.utf8(pa.array(frame["text"], pa.string()))
-    windows, owner, _ = cut_windows(data, bounds)
+    owner, start, held = place_windows(bounds)
     # Evenly spaced windows of each text.
     count = np.bincount(owner, minlength=len(frame))
     place = np.arange(len(owner)) - (np.cumsum(count) - count)[owner]
@@ -158,7 +161,7 @@ def _train(frame: pd.DataFrame) -> pd.DataFrame:
     label = np.searchsorted(languages, frame["label"].to_numpy())[owner[kept]]
     network = Network(languages)
     network.start()
-    network.fit(windows[kept], label)
+    network.fit(read_windows(data, start[kept], held[kept]), label)
     return pd.DataFrame({"network": [pickle.dumps(vars(network))]})
 
 
@@ -167,16 +170,16 @@ def train_network(labelled: DataFrame, per_language: int = SAMPLE) -> Network |
 
     ``labelled`` has ``text`` and ``label``. Texts are drawn by a hash of themselves,
     at a rate that follows from the measured count of their language, and only
-    ``SAMPLE_WINDOWS`` windows' worth of each is sent. Null labels, null and empty texts
+    ``SAMPLE_WINDOWS`` windows' worth of each is sent; ``SAMPLE_ALL`` bounds them all. Null labels, null and empty texts
     take no part; without any row there is no network.
     """
     rows = labelled.filter("label IS NOT NULL AND text IS NOT NULL AND text <> ''")
     counts = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
     if not counts:
         return None
-    chance = F.lit(0.0)
-    for label, n in sorted(counts.items()):
-        chance = F.when(F.col("label") == label, min(1.0, per_language / n)).otherwise(chance)
+    less = min(1.0, SAMPLE_ALL / sum(min(n, per_language) for n in counts.values()))
+    rates = [(label, less * min(1.0, per_language / n)) for label, n in sorted(counts.items())]
+    chances = F.broadcast(rows.sparkSession.createDataFrame(rates, "label string, chance double"))
     draw = F.pmod(F.xxhash64("text"), F.lit(1 << 20)) / F.lit(float(1 << 20))
     # Evenly spaced slices, as long as the windows that are used.
     length, part = F.length("text"), WINDOW
@@ -185,12 +188,13 @@ def train_network(labelled: DataFrame, per_language: int = SAMPLE) -> Network |
         for k in range(SAMPLE_WINDOWS)
     ]
     text = F.when(length <= part * SAMPLE_WINDOWS, F.col("text")).otherwise(F.concat(*slices))
-    sample = rows.filter(draw < chance).select(text.alias("text"), "label")
+    sample = rows.join(chances, "label").filter(draw < F.col("chance"))
+    sample = sample.select(text.alias("text"), "label")
     fitted = sample.groupBy().applyInPandas(_train, "network binary").collect()
     return Network(**pickle.loads(fitted[0]["network"])) if fitted else None
 
 
-def _predict_task(network: Network | None, schema: pa.Schema):
+def _predict_task(network: Network | None, place: int, schema: pa.Schema):
     def scores(column: pa.Array) -> tuple[list[str | None], np.ndarray]:
         has_letter = pc.fill_null(pc.match_substring_regex(column, r"\p{L}"), False).to_numpy(False)
         names, best = [UNKNOWN] * len(column), np.zeros(len(column))
@@ -198,10 +202,10 @@ def _predict_task(network: Network | None, schema: pa.Schema):
             return names, best
         for i, j, data, bounds in arrays.work(column):
             total = np.zeros((j - i, len(network.languages)))
-            windows, owner, held = cut_windows(data, bounds)
+            owner, start, held = place_windows(bounds)
             for at in range(0, len(owner), BATCH):
                 part = slice(at, at + BATCH)
-                logs = network.log_probabilities(windows[part])
+                logs = network.log_probabilities(read_windows(data, start[part], held[part]))
                 np.add.at(total, owner[part], logs * held[part, None])
             mean = total / np.maximum(np.diff(bounds), 1)[:, None]
             p = np.exp(mean - mean.max(axis=1, keepdims=True))
@@ -214,10 +218,10 @@ def _predict_task(network: Network | None, schema: pa.Schema):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names, best = scores(batch.column(batch.num_columns - 1))
+            names, best = scores(batch.column(place))
             yield pa.RecordBatch.from_arrays(
                 [
-                    *(c.cast(f.type) for c, f in zip(batch.columns, schema)),
+                    *(c.cast(f.type) for c, f in zip(batch.columns, list(schema)[:-2])),
                     pa.array(names, pa.string()),
                     pa.array(best),
                 ],
@@ -227,24 +231,23 @@ def _predict_task(network: Network | None, schema: pa.Schema):
     return run
 
 
-def predict(docs: DataFrame, network: Network | None, text: str = "text") -> DataFrame:
-    """All columns, and ``lang_pred`` and ``score`` of every whole text.
+def predict(
+    docs: DataFrame, network: Network | None, text: str = "text", keep: list[str] | None = None
+) -> DataFrame:
+    """The ``keep`` columns (all by default), and ``lang_pred`` and ``score`` of every whole text.
 
     ``lang_pred`` is a learned language, or ``und`` with score 0 for a null text, one
     without a letter, or where nothing was learned. Ties go to the language that comes
     first. Columns named like the results are replaced. Repeated rows stay.
     """
-    names = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    kept = [f"_c{i}" for i in range(len(names))]
-    rows = docs.select(
-        *(F.col(f"`{c}`").alias(k) for c, k in zip(names, kept)),
-        F.col(f"`{text}`").alias("_text"),
-    )
-    schema = StructType(
-        [*rows.schema.fields, *StructType.fromDDL("lang_pred string, score double").fields]
-    )
-    out = rows.mapInArrow(_predict_task(network, to_arrow_schema(schema)), schema)
-    return out.select(*(F.col(k).alias(c) for c, k in zip(names, kept)), "lang_pred", "score")
+    names = [c for c in keep or docs.columns if c not in ("lang_pred", "score")]
+    sent = names if text in names else [*names, text]
+    rows = docs.select(*(F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(sent)))
+    results = StructType.fromDDL("lang_pred string, score double").fields
+    schema = StructType([*rows.schema.fields[: len(names)], *results])
+    task = _predict_task(network, sent.index(text), to_arrow_schema(schema))
+    out = rows.mapInArrow(task, schema)
+    return out.select(*(F.col(f"_c{i}").alias(c) for i, c in enumerate(names)), "lang_pred", "score")
 
 
 def held_out(key: str = "doc_id", folds: int = 3, fold: int = 1) -> Column:

@@ -16,6 +16,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from textloom.session import stage
+
 #: Rows that are numbered together, about; more blocks follow from more rows.
 BLOCK_ROWS = 1 << 14
 
@@ -105,10 +107,12 @@ def slots(df: DataFrame, group: str, order: Sequence[str], out: str = "slot") ->
 
     Rows are cut into blocks by a hash of ``order``, as many as the measured
     number of rows asks for, and numbered in each block; one total per block goes
-    through the window over the group. No task sees a whole group.
+    through the window over the group. No task sees a whole group. ``df`` is read three
+    times, so it should be a stored table.
     """
-    groups = max(1, df.select(group).distinct().count())
-    blocks = max(1, math.ceil(df.count() / (groups * BLOCK_ROWS)))
+    each = df.groupBy(group).count()
+    groups, rows = each.agg(F.count("*"), F.coalesce(F.sum("count"), F.lit(0))).first()
+    blocks = max(1, math.ceil(rows / (max(1, groups) * BLOCK_ROWS)))
     tagged = df.withColumn("_block", F.pmod(F.xxhash64(*order), F.lit(blocks)))
     before = Window.partitionBy(group).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
@@ -146,4 +150,4 @@ def shard_rows(
             "grown_shard": tree_shard(F.col(key), grown(tree)),
         }
     )
-    return slots(rows, "shard", [key, "text_crc32", "size"])
+    return slots(stage(rows, "sharded"), "shard", [key, "text_crc32", "size"])

@@ -29,7 +29,7 @@ WINDOW = 10
 BLOCK_WINDOWS = 1 << 17
 
 #: Bytes of texts in a shard, about; its index is built and searched at once.
-SHARD_BYTES = 1 << 21
+SHARD_BYTES = 1 << 20
 
 #: Digits, a-z and all bytes of characters beyond ASCII; A-Z is lowered first.
 _WORD = np.zeros(256, bool)
@@ -144,60 +144,67 @@ def _hit_task(phrases, schema: pa.Schema, cut: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sought = phrases.value
         for batch in batches:
-            hits, ranges, items = [], [], []
             names = batch.schema.names
-            old_ranges = batch.column(names.index("_ranges"))
-            old_items = batch.column(names.index("_items"))
-            total = []
             for i, j, data, bounds in arrays.work(batch.column(names.index("_text")), SHARD_BYTES):
-                starts, ends, count, word = _hashed_words(data, bounds)
-                phrase, at = occurrences(word, count, sought)
-                change = np.zeros(len(word) + 1, np.int64)
-                np.add.at(change, at, 1)
-                np.add.at(change, at + sought.sizes[phrase], -1)
-                hit = np.cumsum(change[:-1]) > 0
-                last = np.cumsum(count)
-                text = np.searchsorted(last, at, "right")
-                pairs = np.unique(text * len(sought.sizes) + phrase) if len(at) else at
-                in_text: dict[int, set[str]] = {}
-                for pair in pairs.tolist():
-                    row, p = divmod(pair, len(sought.sizes))
-                    in_text.setdefault(row, set()).update(sought.items[p])
-                for row in range(j - i):
-                    old, a, b = old_ranges[i + row].as_py(), last[row] - count[row], last[row]
-                    marked = hit[a:b]
-                    if old:
-                        before = np.frombuffer(old, "<i8").reshape(-1, 2)
-                        inside = starts[a:b] - bounds[row]
-                        k = np.searchsorted(before[:, 0], inside, "right") - 1
-                        marked = marked | ((k >= 0) & (inside < before[np.maximum(k, 0), 1]))
-                    total.append(int(count[row]))
-                    hits.append(int(marked.sum()))
-                    ranges.append(_merged(starts[a:b], ends[a:b], marked, int(bounds[row])))
-                    items.append(sorted(set(old_items[i + row].as_py() or ()) | in_text.get(row, set())))
-            done = {
-                "_words": pa.array(total, pa.int64()),
-                "_hit": pa.array(hits, pa.int64()),
-                "_ranges": pa.array(ranges, pa.binary()),
-                "_items": pa.array(items, pa.list_(pa.string())),
-            }
-            if cut:
-                texts = batch.column(names.index("_text"))
-                done["_text"] = pa.array(
-                    [t.as_py() if r is None else _cut(t.as_py(), r) for t, r in zip(texts, ranges)],
-                    pa.string(),
+                shard = batch.slice(i, j - i)
+                done = _shard_hits(shard, data, bounds, sought)
+                if cut:
+                    texts = zip(shard.column(names.index("_text")), done["_ranges"])
+                    done["_text"] = pa.array(
+                        [_cut(t.as_py(), r.as_py()) if r.is_valid else t.as_py() for t, r in texts],
+                        pa.string(),
+                    )
+                # One shard at a time, so that a task holds little besides its input batch.
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        done[f.name] if f.name in done else shard.column(names.index(f.name)).cast(f.type)
+                        for f in schema
+                    ],
+                    schema=schema,
                 )
-            yield pa.RecordBatch.from_arrays(
-                [
-                    done[f.name] if f.name in done else batch.column(names.index(f.name)).cast(f.type)
-                    for f in schema
-                ],
-                schema=schema,
-            )
 
     return run
 
 
+def _shard_hits(
+    shard: pa.RecordBatch, data: np.ndarray, bounds: np.ndarray, sought: Phrases
+) -> dict[str, pa.Array]:
+    """The result columns of one shard, what earlier blocks of phrases found included."""
+    names = shard.schema.names
+    old_ranges, old_items = (shard.column(names.index(c)) for c in ("_ranges", "_items"))
+    starts, ends, count, word = _hashed_words(data, bounds)
+    phrase, at = occurrences(word, count, sought)
+    change = np.zeros(len(word) + 1, np.int64)
+    np.add.at(change, at, 1)
+    np.add.at(change, at + sought.sizes[phrase], -1)
+    hit = np.cumsum(change[:-1]) > 0
+    last = np.cumsum(count)
+    text = np.searchsorted(last, at, "right")
+    pairs = np.unique(text * len(sought.sizes) + phrase) if len(at) else at
+    in_text: dict[int, set[str]] = {}
+    for pair in pairs.tolist():
+        row, p = divmod(pair, len(sought.sizes))
+        in_text.setdefault(row, set()).update(sought.items[p])
+    hits, ranges, items = [], [], []
+    for row in range(shard.num_rows):
+        old, a, b = old_ranges[row].as_py(), last[row] - count[row], last[row]
+        marked = hit[a:b]
+        if old:
+            before = np.frombuffer(old, "<i8").reshape(-1, 2)
+            inside = starts[a:b] - bounds[row]
+            k = np.searchsorted(before[:, 0], inside, "right") - 1
+            marked = marked | ((k >= 0) & (inside < before[np.maximum(k, 0), 1]))
+        hits.append(int(marked.sum()))
+        ranges.append(_merged(starts[a:b], ends[a:b], marked, int(bounds[row])))
+        items.append(sorted(set(old_items[row].as_py() or ()) | in_text.get(row, set())))
+    return {
+        "_words": pa.array(count, pa.int64()),
+        "_hit": pa.array(hits, pa.int64()),
+        "_ranges": pa.array(ranges, pa.binary()),
+        "_items": pa.array(items, pa.list_(pa.string())),
+    }
+
+
 def _merged(starts: np.ndarray, ends: np.ndarray, marked: np.ndarray, origin: int) -> bytes | None:
     """Byte ranges of maximal runs of marked words, the gaps between their words included."""
     if not marked.any():

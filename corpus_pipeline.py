@@ -39,7 +39,8 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     groups = stage(near_dedup.near_duplicates(docs).filter("kept").select("doc_id"), "kept")
     rows = groups.groupBy("doc_id").count()
-    out = docs.join(rows.filter("count = 1"), "doc_id", "left_semi")
+    # The list of ids grows with the input, so it is never broadcast, at no size.
+    out = docs.join(rows.filter("count = 1").hint("merge"), "doc_id", "left_semi")
     again = rows.filter("count > 1")
     if again.limit(1).count():
         repeated = docs.join(again, "doc_id", "left_semi")

@@ -319,10 +319,13 @@ def _clusters(members: DataFrame, classes: DataFrame, least: int) -> DataFrame:
 
 
 def _sets_of(source: DataFrame, sought: DataFrame, size: int) -> DataFrame:
-    """``(node, shingles)`` of the classes sought, from the text of a row of each."""
+    """``(node, shingles)`` of the classes sought, from the text of a row of each.
+
+    The list grows with the input, so it is never broadcast, at no size.
+    """
     schema = StructType.fromDDL("class binary, shingles binary")
     texts = source.alias("s").join(
-        sought.alias("t"), F.col("s._key").eqNullSafe(F.col("t._key")), "left_semi"
+        sought.hint("merge").alias("t"), F.col("s._key").eqNullSafe(F.col("t._key")), "left_semi"
     )
     found = texts.select("_text").mapInArrow(_set_task(size, to_arrow_schema(schema)), schema)
     by_class = found.join(sought.select("class", "node"), "class").select("node", "shingles")

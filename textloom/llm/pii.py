@@ -27,7 +27,11 @@ LEAST_SCORE = 0.5
 
 @dataclass(frozen=True)
 class Kind:
-    """``must``: a pattern without which a text has no such span (a cheap first test)."""
+    """``must``: a pattern without which a text has no such span (a cheap first test).
+
+    Where ``ends`` is given, the pattern matches only the head of a span and captures what
+    may follow; ``ends`` makes of both the confirmed span and whether its length is sure.
+    """
 
     name: str
     pattern: str
@@ -36,6 +40,7 @@ class Kind:
     score: float = 1.0
     raised_by: str = ""
     lowered_by: str = ""
+    ends: Callable[[Column], Column] | None = None
 
 
 def _digits(span: Column) -> Column:
@@ -70,6 +75,53 @@ def mod97(span: Column) -> Column:
     return rest == 1
 
 
+#: Characters of an account number, and how many the countries have that fixed them.
+IBAN_LENGTHS = range(15, 35)
+_FIXED = (
+    "NO15 BE16 DK18 FI18 FK18 FO18 GL18 NL18 SD18 MK19 SI19 AT20 BA20 EE20 KZ20 LT20 LU20 MN20 XK20 CH21 HR21 "
+    "LI21 LV21 BG22 BH22 CR22 DE22 GB22 GE22 IE22 ME22 RS22 VA22 AE23 GI23 IL23 IQ23 OM23 SO23 TL23 AD24 CZ24 "
+    "ES24 MD24 PK24 RO24 SA24 SE24 SK24 TN24 VG24 LY25 PT25 ST25 IS26 TR26 BI27 DJ27 FR27 GR27 IT27 MC27 MR27 "
+    "SM27 AL28 AZ28 BY28 CY28 DO28 GT28 HN28 HU28 LB28 NI28 PL28 SV28 BR29 EG29 PS29 QA29 UA29 JO30 KW30 MU30 "
+    "YE30 MT31 SC31 LC32 RU33"
+).split()
+
+
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed one time however often it is named."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def _account_pattern(n: int) -> str:
+    """An account number of n characters in groups of four, with or without spaces."""
+    groups, rest = divmod(n - 4, 4)
+    tail = rf"\x20?[A-Z0-9]{{{rest}}}" if rest else ""
+    return rf"^[A-Z0-9]{{4}}(?:\x20?[A-Z0-9]{{4}}){{{groups}}}{tail}(?![A-Za-z0-9])"
+
+
+def account_number(seen: Column) -> Column:
+    """``(span, sure)``: the account number that a text starts with; a null span where none is.
+
+    All ends that leave no word or group cut are tested by mod-97. The length that the
+    country fixed comes first (``sure``), then the longest.
+    """
+    ends = [F.regexp_extract(seen, _account_pattern(n), 0) for n in reversed(IBAN_LENGTHS)]
+
+    def fixed(c: Column) -> Column:
+        length = F.length(F.replace(c, F.lit(" "), F.lit("")))
+        return F.array_contains(F.lit(_FIXED), F.concat(F.substring(c, 1, 2), length.cast("string")))
+
+    def chosen(valid: Column) -> Column:
+        return _once(
+            F.filter(valid, fixed),
+            lambda sure: F.struct(
+                F.coalesce(F.get(sure, 0), F.get(valid, 0)).alias("span"),
+                (F.size(sure) > 0).alias("sure"),
+            ),
+        )
+
+    return _once(F.filter(F.array(*ends), lambda c: (c != "") & mod97(c)), chosen)
+
+
 def _digit_count(span: Column, least: int, most: int) -> Column:
     return F.length(_digits(span)).between(least, most)
 
@@ -105,11 +157,12 @@ BASE = (EMAIL, IP, CARD, PHONE)
 #: security number needs a context word, as nine digits are often something else.
 IBAN = Kind(
     "iban",
-    r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}+(?:\x20?[A-Z0-9]{1,3})?+(?![A-Za-z0-9])",
+    r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?=(?:\x20?[A-Z0-9]{4}){2}\x20?[A-Z0-9]{3})(?=([\x20A-Za-z0-9]{11,39}+))",
     "",
-    mod97,
+    lambda s: F.lit(True),
     score=0.9,
     raised_by=r"(?i)\b(iban|account|konto|compte|cuenta)",
+    ends=account_number,
 )
 SSN = Kind(
     "ssn",
@@ -153,6 +206,70 @@ def _proposed(text: Column, kind: Kind) -> Column:
     return F.when(may & text.rlike(kind.pattern), placed).otherwise(none)
 
 
+def _ended(text: Column, kind: Kind) -> Column:
+    """As ``_proposed``, where ``kind.ends`` tells the end of every head, heads inside spans too.
+
+    Spans do not overlap: those of a sure length go first, then the leftmost.
+    """
+    none = F.array().cast("array<struct<start:int,end:int,span:string,sure:boolean>>")
+    head, tail = (F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(k)) for k in (0, 1))
+    ended = F.zip_with(
+        head,
+        tail,
+        lambda h, t: F.struct(F.length(h).alias("head"), kind.ends(F.concat(h, t)).alias("m")),
+    )
+    gaps = F.split(text, kind.pattern, -1)
+    placed = F.aggregate(
+        F.zip_with(gaps, ended, lambda g, e: F.struct(F.length(g).alias("gap"), e.alias("e"))),
+        F.struct(F.lit(0).alias("at"), none.alias("out")),
+        lambda acc, x: F.when(x["e"].isNull(), acc).otherwise(
+            F.struct(
+                (acc["at"] + x["gap"] + x["e"]["head"]).alias("at"),
+                F.when(x["e"]["m"]["span"].isNull(), acc["out"])
+                .otherwise(
+                    F.concat(
+                        acc["out"],
+                        F.array(
+                            F.struct(
+                                (acc["at"] + x["gap"]).alias("start"),
+                                (acc["at"] + x["gap"] + F.length(x["e"]["m"]["span"])).alias("end"),
+                                x["e"]["m"]["span"].alias("span"),
+                                x["e"]["m"]["sure"].alias("sure"),
+                            )
+                        ),
+                    )
+                )
+                .alias("out"),
+            )
+        ),
+    )["out"]
+
+    def apart(spans: Column) -> Column:
+        return F.aggregate(
+            spans,
+            F.struct(F.lit(0).alias("at"), none.alias("out")),
+            lambda acc, s: F.when(s["start"] < acc["at"], acc).otherwise(
+                F.struct(s["end"].alias("at"), F.concat(acc["out"], F.array(s)).alias("out"))
+            ),
+        )["out"]
+
+    def chosen(spans: Column, sure: Column) -> Column:
+        free = F.filter(
+            spans,
+            lambda s: ~s["sure"]
+            & ~F.exists(sure, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])),
+        )
+        return F.array_sort(F.concat(sure, apart(free)))
+
+    spans = _once(
+        placed,
+        lambda p: F.when(F.size(p) == 0, p).otherwise(
+            _once(apart(F.filter(p, lambda s: s["sure"])), lambda sure: chosen(p, sure))
+        ),
+    )
+    return F.when(text.rlike(kind.pattern), spans).otherwise(none)
+
+
 def _score(text: Column, span: Column, kind: Kind) -> Column:
     """The kind's score, more beside words that name it, less beside words that explain it away."""
     score = F.lit(kind.score)
@@ -172,7 +289,8 @@ def _score(text: Column, span: Column, kind: Kind) -> Column:
 
 
 def _confirmed(text: Column, kind: Kind, rank: int) -> Column:
-    kept = F.filter(_proposed(text, kind), lambda s: kind.valid(s["span"]))
+    found = _ended(text, kind) if kind.ends else _proposed(text, kind)
+    kept = F.filter(found, lambda s: kind.valid(s["span"]))
     return F.transform(
         kept,
         lambda s: F.struct(

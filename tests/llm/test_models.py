@@ -34,6 +34,22 @@ def test_language_of_awkward_rows(spark, docs):
     assert language.predict(odd.limit(0), network).collect() == []
 
 
+def test_few_texts_with_very_many_copies(spark, monkeypatch):
+    """Every language is learned, and copies do not fill the sample."""
+    texts = [(f"text {k} of language {k % 30}", f"l{k % 30:02d}") for k in range(90)]
+    one = spark.createDataFrame(texts, "text string, label string")
+    rows = one.crossJoin(spark.range(2_000).select()).repartition(4)
+    network = language.train_network(rows)
+    assert network.languages == [f"l{k:02d}" for k in range(30)]
+    sample = language.training_sample(rows).collect()
+    assert sorted(map(tuple, sample)) == sorted(texts)
+    fewer = language.training_sample(rows, 1).collect()
+    assert {r.label for r in fewer} == set(network.languages) and len(fewer) < 90
+    monkeypatch.setattr(language, "SAMPLE_ALL", 10)
+    least = language.training_sample(rows).collect()
+    assert {r.label for r in least} == set(network.languages) and len(least) < 60
+
+
 def test_nothing_learned(spark):
     none = spark.createDataFrame([(1, "text", None)], "doc_id long, text string, lang string")
     assert language.learn(none) is None

@@ -28,7 +28,7 @@ WINDOW = 256
 WIDTHS = (2, 3, 4)
 FILTERS = 16
 EMBEDDING = 8
-#: Labelled texts per language that the network is fitted on, about.
+#: Distinct labelled texts per language that the network is fitted on, about.
 SAMPLE = 1_500
 #: Labelled texts in all, about; with very many languages each gets fewer.
 SAMPLE_ALL = 60_000
@@ -165,22 +165,28 @@ def _train(frame: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"network": [pickle.dumps(vars(network))]})
 
 
-def train_network(labelled: DataFrame, per_language: int = SAMPLE) -> Network | None:
-    """A network fitted on about ``per_language`` texts of each language.
+def training_sample(labelled: DataFrame, per_language: int = SAMPLE) -> DataFrame | None:
+    """``(text, label)``: about ``per_language`` distinct texts of each language, at least one.
 
-    ``labelled`` has ``text`` and ``label``. Texts are drawn by a hash of themselves,
-    at a rate that follows from the measured count of their language, and only
-    ``SAMPLE_WINDOWS`` windows' worth of each is sent; ``SAMPLE_ALL`` bounds them all. Null labels, null and empty texts
-    take no part; without any row there is no network.
+    Distinct texts are counted and drawn, by a hash of themselves, so copies change neither
+    the rate nor the sample. Only ``SAMPLE_WINDOWS`` windows' worth of each is kept.
+    ``SAMPLE_ALL`` bounds them all, unless there are more languages than that.
     """
-    rows = labelled.filter("label IS NOT NULL AND text IS NOT NULL AND text <> ''")
-    counts = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
+    rows = labelled.filter("label IS NOT NULL AND text IS NOT NULL AND text <> ''").select(
+        "label", "text", F.xxhash64("text").alias("hash")
+    )
+    distinct = rows.select("label", "hash").distinct()
+    seen = distinct.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.min("hash").alias("least"))
+    counts = sorted((r["label"], r["n"], r["least"]) for r in seen.collect())
     if not counts:
         return None
-    less = min(1.0, SAMPLE_ALL / sum(min(n, per_language) for n in counts.values()))
-    rates = [(label, less * min(1.0, per_language / n)) for label, n in sorted(counts.items())]
-    chances = F.broadcast(rows.sparkSession.createDataFrame(rates, "label string, chance double"))
-    draw = F.pmod(F.xxhash64("text"), F.lit(1 << 20)) / F.lit(float(1 << 20))
+    less = min(1.0, SAMPLE_ALL / sum(min(n, per_language) for _, n, _ in counts))
+    rates = [(label, less * min(1.0, per_language / n), least) for label, n, least in counts]
+    chances = F.broadcast(
+        rows.sparkSession.createDataFrame(rates, "label string, chance double, least long")
+    )
+    draw = F.pmod("hash", F.lit(1 << 20)) / F.lit(float(1 << 20))
+    drawn = (draw < F.col("chance")) | (F.col("hash") == F.col("least"))
     # Evenly spaced slices, as long as the windows that are used.
     length, part = F.length("text"), WINDOW
     slices = [
@@ -188,8 +194,19 @@ def train_network(labelled: DataFrame, per_language: int = SAMPLE) -> Network |
         for k in range(SAMPLE_WINDOWS)
     ]
     text = F.when(length <= part * SAMPLE_WINDOWS, F.col("text")).otherwise(F.concat(*slices))
-    sample = rows.join(chances, "label").filter(draw < F.col("chance"))
-    sample = sample.select(text.alias("text"), "label")
+    sample = rows.join(chances, "label").filter(drawn).select(text.alias("text"), "label", "hash")
+    return sample.dropDuplicates(["label", "hash"]).select("text", "label")
+
+
+def train_network(labelled: DataFrame, per_language: int = SAMPLE) -> Network | None:
+    """A network fitted on about ``per_language`` distinct texts of each language.
+
+    ``labelled`` has ``text`` and ``label``; ``training_sample`` draws the texts. Null
+    labels, null and empty texts take no part; without any row there is no network.
+    """
+    sample = training_sample(labelled, per_language)
+    if sample is None:
+        return None
     fitted = sample.groupBy().applyInPandas(_train, "network binary").collect()
     return Network(**pickle.loads(fitted[0]["network"])) if fitted else None
 

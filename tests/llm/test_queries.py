@@ -26,7 +26,7 @@ def test_matches_sql(spark, name):
 
 def test_all_are_registered():
     names = set(contract.queries())
-    assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{k}" for k in range(1, 11)}
+    assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{k}" for k in range(1, 14)}
     assert set(queries.QUERIES) | {"pipeline"} <= names
 
 

@@ -9,7 +9,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.catalog import table
-from textloom.llm import decontamination, language, near_dedup, packing, pii, quality, sharding, suffix_dedup, topk, url_lists
+from textloom.llm import (
+    decontamination, language, lm_scoring, near_dedup, packing, pii, quality, sharding, suffix_dedup, topk, url_lists,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -202,3 +204,12 @@ def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes of every document under 200-byte strings that start elsewhere too."""
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of every whole text, learned from nine of ten folds."""
+    docs = table(spark, sf_dir, "documents")
+    held_out = quality.held_out(folds=10)
+    found = lm_scoring.score_texts(docs, ~held_out)
+    return found.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")

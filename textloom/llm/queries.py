@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from textloom.catalog import table
 from textloom.llm import (
-    decontamination, language, lm_scoring, near_dedup, packing, pii, quality, sharding, suffix_dedup, topk, url_lists,
+    decontamination, fill_in_middle, language, lm_scoring, near_dedup, packing, pii, quality, sharding, suffix_dedup, topk, url_lists,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -213,3 +213,19 @@ def op11_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = quality.held_out(folds=10)
     found = lm_scoring.score_texts(docs, ~held_out)
     return found.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@query
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text cut at two ranks of code points, and put together again."""
+    made = fill_in_middle.fill_in_middle(table(spark, sf_dir, "documents"))
+    back = fill_in_middle.restored(F.col("output"), F.col("form"))
+    return made.select(
+        "doc_id",
+        "n",
+        "form",
+        "prefix_chars",
+        "middle_chars",
+        F.sha2(F.col("output").cast("binary"), 256).alias("output_sha256"),
+        F.sha2(back.cast("binary"), 256).alias("restored_sha256"),
+    )

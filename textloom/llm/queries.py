@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from textloom.catalog import table
 from textloom.llm import (
-    decontamination, fill_in_middle, language, lm_scoring, near_dedup, packing, pii, quality, sharding, suffix_dedup, topk, url_lists,
+    decontamination, fill_in_middle, language, lm_scoring, near_dedup, packing, pii, quality, sharding, source_audit, suffix_dedup, topk, url_lists,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -229,3 +229,45 @@ def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.col("output").cast("binary"), 256).alias("output_sha256"),
         F.sha2(back.cast("binary"), 256).alias("restored_sha256"),
     )
+
+
+@query
+def op12_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the kept terms of every (lang, source) differ from other sources and from the language."""
+    return source_audit.source_divergence(table(spark, sf_dir, "documents"))
+
+
+SQL["op12_source_audit"] = """
+WITH d AS (
+  SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[a-z\\x{80}-\\x{10FFFF}]+') AS ts
+  FROM documents),
+t AS (SELECT row, lang, source, unnest(ts) AS term FROM d),
+kept AS (SELECT lang, term FROM t GROUP BY ALL HAVING count(DISTINCT row) >= 3),
+v AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+c AS (SELECT lang, source, term, count(*) AS n FROM t JOIN kept USING (lang, term) GROUP BY ALL),
+groups AS (SELECT DISTINCT lang, source FROM d),
+g AS (
+  SELECT groups.lang, groups.source, coalesce(any_value(v.v), 0) AS v, coalesce(sum(c.n), 0) + coalesce(any_value(v.v), 0) AS total
+  FROM groups LEFT JOIN v USING (lang) LEFT JOIN c ON c.lang = groups.lang AND c.source = groups.source GROUP BY ALL),
+cell AS (
+  SELECT g.lang, g.source, kept.term, coalesce(c.n, 0) AS n,
+    1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 1)) // g.total::HUGEINT AS p
+  FROM g JOIN kept USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = kept.term),
+whole AS (
+  SELECT lang, term, 1 + (1000000000::HUGEINT * (sum(n) + 1)) // (sum(sum(n)) OVER (PARTITION BY lang) + count(*) OVER (PARTITION BY lang))::HUGEINT AS q
+  FROM c GROUP BY lang, term),
+pair AS (
+  SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) AS value
+  FROM cell a JOIN cell b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+every AS (
+  SELECT x.lang, x.source, 'pair' AS part, y.source AS item, coalesce(pair.value, 0) AS value
+  FROM groups x JOIN groups y ON x.lang = y.lang AND x.source <> y.source
+  LEFT JOIN pair ON pair.lang = x.lang AND pair.source = x.source AND pair.item = y.source
+  UNION ALL
+  SELECT lang, source, 'term', term, ((p - q) * (p - q)) // q FROM cell JOIN whole USING (lang, term) WHERE n > 0 AND p > q),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM every)
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INT AS rank FROM ranked WHERE part = 'pair' OR rank <= 200
+"""

@@ -58,6 +58,8 @@ _BYTES = terms.byte_map(_IS_WORD)
 _END = np.uint64(0x6A09E667F3BCC909)
 _PAIR = np.uint64(0xBB67AE8584CAA73B)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
+#: Keys have 48 bits.
+_SPARE = np.uint64(16)
 
 
 def thresholds(growth: float = GROWTH) -> np.ndarray:
@@ -81,18 +83,21 @@ class Texts:
     words: terms.Words
     token: np.ndarray
     row: np.ndarray
-    single: np.ndarray  # keys of the distinct words, the end last
+    hashes: np.ndarray  # of the distinct words, the end last
+
+    def keys(self) -> np.ndarray:
+        return self.hashes >> _SPARE
 
     def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Word before and word of every distinct pair, and the pair of each token."""
-        n = len(self.single)
+        n = len(self.hashes)
         before = np.empty_like(self.token)
         before[:1], before[1:] = n - 1, self.token[:-1]
         distinct, which = np.unique(before * n + self.token, return_inverse=True)
         return distinct // n, distinct % n, which
 
     def pair_keys(self, before: np.ndarray, word: np.ndarray) -> np.ndarray:
-        return arrays.mix(self.single[before] * _PAIR + self.single[word])
+        return arrays.mix(self.hashes[before] * _PAIR + self.hashes[word]) >> _SPARE
 
 
 def _texts(data: np.ndarray, bounds: np.ndarray) -> Texts:
@@ -104,8 +109,8 @@ def _texts(data: np.ndarray, bounds: np.ndarray) -> Texts:
     is_end[end] = True
     token = np.full(len(is_end), len(words.names), np.int64)
     token[~is_end] = words.code
-    single = np.append(arrays.mix(terms.string_hash(words.names)), _END)
-    return Texts(words, token, np.repeat(np.arange(n), many + 1), single)
+    hashes = np.append(arrays.mix(terms.string_hash(words.names)), _END)
+    return Texts(words, token, np.repeat(np.arange(n), many + 1), hashes)
 
 
 # ------------------------------------------------------------------ counting
@@ -135,19 +140,27 @@ def word_counts(texts: DataFrame) -> DataFrame:
 
 def _block_of(key: np.ndarray, blocks: int) -> np.ndarray:
     """Block of a key; it never falls as keys rise."""
-    return ((key >> np.uint64(32)) * np.uint64(blocks)) >> np.uint64(32)
+    return ((key >> np.uint64(16)) * np.uint64(blocks)) >> np.uint64(32)
 
 
 def _gram_task(blocks: int, schema: pa.Schema):
-    """Sorted keys of words and pairs with their counts, one row for each block they meet."""
+    """Sorted keys of words and pairs with their counts, one row for each block they meet.
+
+    A key takes six bytes and a count one; a higher count is dealt out over several entries.
+    """
 
     def packed(keys: list[np.ndarray], counts: list[np.ndarray]) -> pa.RecordBatch:
         key, count = _summed(np.concatenate(keys), np.concatenate(counts))
+        times = -(-count // 255)
+        key, count = np.repeat(key, times), np.repeat(count, times)
+        share = np.arange(len(key)) - np.repeat(np.cumsum(times) - times, times)
+        count = np.minimum(count - 255 * share, 255).astype(np.uint8)
         cut = np.searchsorted(_block_of(key, blocks), np.arange(blocks + 1))
         met = np.flatnonzero(np.diff(cut))
+        short = key.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
         rows = [
             pa.array(met, pa.int32()),
-            pa.array([key[cut[b] : cut[b + 1]].tobytes() for b in met], pa.binary()),
+            pa.array([short[cut[b] : cut[b + 1]].tobytes() for b in met], pa.binary()),
             pa.array([count[cut[b] : cut[b + 1]].tobytes() for b in met], pa.binary()),
         ]
         return pa.RecordBatch.from_arrays(rows, schema=schema)
@@ -158,8 +171,8 @@ def _gram_task(blocks: int, schema: pa.Schema):
             for _, _, data, bounds in arrays.work(batch.column(0), PIECE_BYTES):
                 texts = _texts(data, bounds)
                 before, word, which = texts.pairs()
-                keys += [texts.single, texts.pair_keys(before, word)]
-                counts += [np.bincount(texts.token, minlength=len(texts.single)), np.bincount(which)]
+                keys += [texts.keys(), texts.pair_keys(before, word)]
+                counts += [np.bincount(texts.token, minlength=len(texts.hashes)), np.bincount(which)]
                 held += len(keys[-1]) + len(keys[-2])
                 if held >= GATHERED:
                     yield packed(keys, counts)
@@ -205,8 +218,11 @@ def build_block(key: np.ndarray, count: np.ndarray, probes: int = PROBES) -> np.
 
 def _block_task(probes: int, schema: pa.Schema):
     def run(group: pa.Table) -> pa.Table:
-        key = np.frombuffer(b"".join(group["keys"].to_pylist()), np.uint64)
-        count = np.frombuffer(b"".join(group["counts"].to_pylist()), np.int64)
+        short = np.frombuffer(b"".join(group["keys"].to_pylist()), np.uint8).reshape(-1, 6)
+        wide = np.zeros((len(short), 8), np.uint8)
+        wide[:, :6] = short
+        key = wide.view("<u8").ravel().astype(np.uint64)
+        count = np.frombuffer(b"".join(group["counts"].to_pylist()), np.uint8).astype(np.int64)
         bits = build_block(*_summed(key, count), probes)
         rows = [[group["block"][0].as_py()], [len(bits)], [bits.tobytes()]]
         return pa.table([pa.array(x, t) for x, t in zip(rows, schema.types)], schema=schema)
@@ -311,16 +327,24 @@ def build_filter(
 
 @dataclass
 class Frequent:
-    """Frequent words by hash, with their counts, and the count of ends."""
+    """Frequent words with their counts, and the count of ends; tasks sort them by hash."""
 
-    hashes: np.ndarray
     names: pa.Array
     counts: np.ndarray
     ends: int
+    hashes: np.ndarray | None = None
+
+    def _sort(self) -> None:
+        hashes = terms.string_hash(self.names)
+        order = np.argsort(hashes)
+        self.hashes, self.counts = hashes[order], self.counts[order]
+        self.names = self.names.take(pa.array(order))
 
     def find(self, names: pa.Array) -> np.ndarray:
         """Count of every name, -1 for those that are not here; strings decide, not hashes."""
         out = np.full(len(names), -1, np.int64)
+        if self.hashes is None:
+            self._sort()
         if not len(self.hashes) or not len(names):
             return out
         own = terms.string_hash(names)
@@ -356,12 +380,9 @@ def frequent_words(counts: DataFrame, most: int = FREQUENT_BYTES) -> Frequent:
     ends = counts.filter("word IS NULL").first()
     ends = ends["n"] if ends else 0
     if least is None:
-        return Frequent(np.zeros(0, np.uint64), pa.array([], pa.large_string()), np.zeros(0, np.int64), ends)
+        return Frequent(pa.array([], pa.large_string()), np.zeros(0, np.int64), ends)
     rows = words.filter(rank >= least).toArrow()
-    names = rows["word"].combine_chunks().cast(pa.large_string())
-    hashes = terms.string_hash(names)
-    order = np.argsort(hashes)
-    return Frequent(hashes[order], names.take(pa.array(order)), rows["n"].to_numpy()[order], ends)
+    return Frequent(rows["word"].combine_chunks().cast(pa.large_string()), rows["n"].to_numpy(), ends)
 
 
 def _score_task(model: CountFilter, frequent: Broadcast, total: int, distinct: int, schema: pa.Schema):
@@ -378,7 +399,7 @@ def _score_task(model: CountFilter, frequent: Broadcast, total: int, distinct: i
                 here = exact[texts.token] >= 0
                 gain = np.log10((np.maximum(exact, 0) + ADDED) / room)[texts.token]
                 known = here & (exact[texts.token] > 0)
-                level = model.levels(texts.single)
+                level = model.levels(texts.keys())
                 before, word, which = texts.pairs()
                 both = np.minimum(level[before], level[word])
                 pair = value[model.levels(texts.pair_keys(before, word), both)]
@@ -391,7 +412,7 @@ def _score_task(model: CountFilter, frequent: Broadcast, total: int, distinct: i
                     np.bincount(texts.row, chance[which], n),
                 ]
                 left = ~here
-                names = len(texts.single)
+                names = len(texts.hashes)
                 rest, many = np.unique(texts.row[left] * names + texts.token[left], return_counts=True)
                 cut = np.searchsorted(rest // names, np.arange(n + 1)).astype(np.int32)
                 lists = pa.ListArray.from_arrays(

@@ -5,7 +5,7 @@ the first bytes of all terms are counted by distinct documents, prefixes below t
 threshold are discarded, the others are extended to the next width, and so on until only
 complete terms are left. A document lies in one piece of one task, so distinct documents
 of a prefix add up over pieces; only sums are shuffled, and the strings of rare terms
-hardly ever. What is kept of a level reaches the next one as a bitmap of a fixed size; a
+hardly ever. What is kept of a level reaches the next one as a bitmap of a bounded size; a
 prefix that it lets through by mistake is counted exactly and discarded a level later.
 
 Occurrences are then counted for the kept terms by source. Sums over all kept terms for
@@ -37,7 +37,9 @@ WIDTHS = (6, 12, 48)
 WIDER = 16
 #: Bytes of text handled at once.
 PIECE_BYTES = 8 << 20
-#: Bits of the bitmap that tells which prefixes go on, in blocks of bits set together.
+#: Bits of the bitmap that tells which prefixes go on: so many for each, up to a bound, in
+#: blocks of bits set together.
+PREFIX_BITS = 16
 BITMAP_BITS = 1 << 27
 BITMAP_BLOCK = 1 << 20
 #: Sources in a block, and terms in a bucket, about.
@@ -56,14 +58,10 @@ _BYTES = terms.byte_map(_IS_TERM)
 # ------------------------------------------------------------- kept terms
 
 
-def _bits_of(lang: np.ndarray, names: pa.Array) -> np.ndarray:
-    """Bit of each (hash of language, prefix)."""
+def _bits_of(lang: np.ndarray, names: pa.Array, size: int) -> np.ndarray:
+    """Bit of each (hash of language, prefix) among ``size`` bits."""
     key = arrays.mix(lang + arrays.mix(terms.string_hash(names)))
-    return (key % np.uint64(BITMAP_BITS)).astype(np.int64)
-
-
-def _marked(bitmap: np.ndarray, bit: np.ndarray) -> np.ndarray:
-    return ((bitmap[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1).astype(bool)
+    return (key % np.uint64(size)).astype(np.int64)
 
 
 class _Piece:
@@ -85,7 +83,8 @@ class _Piece:
         """Which (language, term) have their first bytes (all of them: None) marked."""
         cut = self.names if width is None else pc.binary_slice(self.names, 0, width)
         lang = terms.string_hash(self.langs.cast(pa.large_binary()))
-        return _marked(bitmap, _bits_of(lang[self.lang], cut.take(pa.array(self.term))))
+        bit = _bits_of(lang[self.lang], cut.take(pa.array(self.term)), 8 * len(bitmap))
+        return ((bitmap[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1).astype(bool)
 
 
 def _level_task(width: int, before: int, bitmap: Broadcast | None, schema: pa.Schema):
@@ -119,11 +118,11 @@ def _level_task(width: int, before: int, bitmap: Broadcast | None, schema: pa.Sc
     return run
 
 
-def _bit_task(schema: pa.Schema):
+def _bit_task(size: int, schema: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lang, key = (batch.column(c).cast(pa.large_binary()) for c in (0, 1))
-            bit = _bits_of(terms.string_hash(lang), key)
+            bit = _bits_of(terms.string_hash(lang), key, size)
             columns = [pa.array(bit // BITMAP_BLOCK, pa.int32()), pa.array(bit % BITMAP_BLOCK, pa.int32())]
             yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
@@ -141,10 +140,12 @@ def _bitmap_task(schema: pa.Schema):
 
 
 def _bitmap(keys: DataFrame) -> Broadcast:
-    """The bits of ``(lang, key)`` rows, sent to all tasks: BITMAP_BITS at any number of rows."""
+    """The bits of ``(lang, key)`` rows, sent to all tasks: BITMAP_BITS at most at any number of rows."""
     bits, blocks = StructType.fromDDL("block int, bit int"), StructType.fromDDL("block int, bits binary")
-    found = keys.select("lang", "key").mapInArrow(_bit_task(to_arrow_schema(bits)), bits).distinct()
-    out = np.zeros(BITMAP_BITS // 8, np.uint8)
+    many = min(BITMAP_BITS, PREFIX_BITS * keys.count())
+    many = max(1, -(-many // BITMAP_BLOCK)) * BITMAP_BLOCK
+    found = keys.select("lang", "key").mapInArrow(_bit_task(many, to_arrow_schema(bits)), bits).distinct()
+    out = np.zeros(many // 8, np.uint8)
     size = BITMAP_BLOCK // 8
     for r in found.groupBy("block").applyInArrow(_bitmap_task(to_arrow_schema(blocks)), blocks).collect():
         out[r["block"] * size : (r["block"] + 1) * size] = np.frombuffer(r["bits"], np.uint8)

@@ -48,6 +48,11 @@ def split(data: np.ndarray, bounds: np.ndarray, mapped: np.ndarray) -> Words:
 
 
 def string_hash(names: pa.Array) -> np.ndarray:
-    """64-bit hashes of distinct strings."""
+    """64-bit hashes of strings, computed piece by piece so that tables of powers stay small."""
     data, bounds = arrays.utf8(names)
-    return arrays.range_hash(arrays.prefix_hash(data), bounds[:-1], bounds[1:])
+    out = np.zeros(len(names), np.uint64)
+    for i, j in arrays.spans(bounds):
+        prefix = arrays.prefix_hash(data[bounds[i] : bounds[j]])
+        inner = bounds[i : j + 1] - bounds[i]
+        out[i:j] = arrays.range_hash(prefix, inner[:-1], inner[1:])
+    return out

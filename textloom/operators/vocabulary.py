@@ -1,9 +1,9 @@
 """Byte-level BPE: pre-tokens, merge learning in rounds, encoding, decoding.
 
 Pre-tokenizing and counting are expressions. Learning keeps the distinct words
-as a distributed table and runs one job per round: apply the merges found so
-far, count adjacent pairs, return the most frequent ones. Only that short list
-and the vocabulary (at most MAX_VOCAB entries) reach the driver. Encoding needs no
+as a distributed table with the pairs they hold and runs one job per round: visit the
+words that hold a pair merged last, and sum by how much they change the pair counts. Only
+a list of the most frequent pairs and the vocabulary (at most MAX_VOCAB entries) reach the driver. Encoding needs no
 shuffle, because the merges are small enough to be sent to every task.
 """
 
@@ -21,6 +21,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.operators.packing import EOS
+from textloom.operators.pair_counts import PairList, top_pairs
+from textloom.operators.symbols import (
+    Batch, Lookup, Words, apply_batch, from_lists, from_strings, lookups_of,
+)
 from textloom.session import drop, stage
 
 # Special tokens in id order, vocabulary size, least pair count.
@@ -34,8 +38,9 @@ PRETOKEN_PATTERN = (
 )
 
 MAX_VOCAB = 1 << 22
-_SHIFT = 31
 _STAGE_EVERY = 12
+#: Pairs that are followed at once.
+LIST_SIZE = 20_000
 _SETTLE = 2048
 _WORDS_PER_TASK = 1 << 16
 
@@ -139,160 +144,23 @@ def _byte_order(b: int) -> int:
     return b if printable(b) else 256 + sum(not printable(x) for x in range(b))
 
 
-# ------------------------------------------------- symbol arrays inside tasks
-
-
-@dataclass
-class _Words:
-    """Words of one batch as a flat symbol array with word numbers."""
-
-    syms: np.ndarray
-    word: np.ndarray
-    n: int
-
-    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
-        """Positions whose right neighbour is in the same word, and the pair keys."""
-        at = np.flatnonzero(self.word[1:] == self.word[:-1])
-        return at, (self.syms[at] << _SHIFT) | self.syms[at + 1]
-
-    def merge(self, at: np.ndarray, new: np.ndarray) -> None:
-        """Join the symbols at ``at`` with their right neighbours.
-
-        Neighbouring positions occur only in runs of one symbol paired with
-        itself; there every second one is taken, from the left.
-        """
-        if not len(at):
-            return
-        head = np.concatenate(([True], np.diff(at) != 1))
-        start = np.maximum.accumulate(np.where(head, np.arange(len(at)), 0))
-        take = (np.arange(len(at)) - start) % 2 == 0
-        at, new = at[take], new[take]
-        self.syms[at] = new
-        keep = np.ones(len(self.syms), dtype=bool)
-        keep[at + 1] = False
-        self.syms, self.word = self.syms[keep], self.word[keep]
-
-    def to_arrow(self) -> pa.Array:
-        offsets = np.zeros(self.n + 1, dtype=np.int32)
-        np.cumsum(np.bincount(self.word, minlength=self.n), out=offsets[1:])
-        return pa.ListArray.from_arrays(offsets, pa.array(self.syms.astype(np.int32)))
-
-
-def _from_lists(lists: pa.ListArray) -> _Words:
-    sizes = np.diff(lists.offsets.to_numpy())
-    syms = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-    return _Words(syms, np.repeat(np.arange(len(sizes)), sizes), len(sizes))
-
-
-def _from_strings(words: pa.Array, byte_ids: np.ndarray) -> _Words:
-    """Byte symbols of words; bytes outside the alphabet are dropped."""
-    raw = words.cast(pa.large_binary())
-    offsets = np.frombuffer(raw.buffers()[1], dtype=np.int64)[raw.offset : raw.offset + len(raw) + 1]
-    data = raw.buffers()[2]
-    flat = np.frombuffer(data, dtype=np.uint8)[offsets[0] : offsets[-1]] if data else np.zeros(0, np.uint8)
-    syms = byte_ids[flat]
-    word = np.repeat(np.arange(len(raw)), np.diff(offsets))
-    known = syms >= 0
-    return _Words(syms[known], word[known], len(raw))
-
-
-class _Lookup:
-    """Sorted pair keys with a value each."""
-
-    def __init__(self, pairs: list[tuple[int, int]], values: list[int]):
-        keys = np.array([(l << _SHIFT) | r for l, r in pairs], dtype=np.int64)
-        order = np.argsort(keys)
-        self.keys, self.values = keys[order], np.array(values, dtype=np.int64)[order]
-
-    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Mask of the known keys, and the values of those."""
-        if not len(self.keys):
-            return np.zeros(len(keys), dtype=bool), np.zeros(0, dtype=np.int64)
-        slot = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        hit = self.keys[slot] == keys
-        return hit, self.values[slot[hit]]
-
-
 # ------------------------------------------------------------------- learning
 
-Batch = list[tuple[int, int, int]]
-
-
-def _apply_batch(words: _Words, lookup: _Lookup) -> None:
-    at, keys = words.pairs()
-    hit, new = lookup.find(keys)
-    words.merge(at[hit], new)
-
-
-def _lookups(batches: list[Batch]) -> list[_Lookup]:
-    return [_Lookup([(l, r) for l, r, _ in b], [n for _, _, n in b]) for b in batches]
-
-
 def _apply_batches(words: DataFrame, batches: list[Batch]) -> DataFrame:
     if not batches:
         return words
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lookups = _lookups(batches)
+        lookups = lookups_of(batches)
         for rb in stream:
-            w = _from_lists(rb.column("syms"))
+            w = from_lists(rb.column("syms"))
             for lookup in lookups:
-                _apply_batch(w, lookup)
+                apply_batch(w, lookup)
             yield pa.RecordBatch.from_arrays([rb.column("n"), w.to_arrow()], names=["n", "syms"])
 
     return words.mapInArrow(run, "n long, syms array<int>")
 
 
-def _pair_counts(
-    words: DataFrame, batches: list[Batch], rank: np.ndarray | None = None
-) -> DataFrame:
-    """Counts of adjacent pairs after the batches; summed per task, then by Spark.
-
-    ``rank`` renames the symbols, so that sorting pairs sorts by token order.
-    """
-
-    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lookups = _lookups(batches)
-        keys, sums = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-        for rb in stream:
-            w = _from_lists(rb.column("syms"))
-            for lookup in lookups:
-                _apply_batch(w, lookup)
-            if rank is not None:
-                w.syms = rank[w.syms]
-            at, pairs = w.pairs()
-            weights = rb.column("n").to_numpy()[w.word[at]]
-            keys, where = np.unique(np.concatenate((keys, pairs)), return_inverse=True)
-            # Sums in doubles are exact below 2^53.
-            sums = np.bincount(where, np.concatenate((sums, weights)), len(keys)).astype(np.int64)
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(keys >> _SHIFT, pa.int32()),
-                pa.array(keys & ((1 << _SHIFT) - 1), pa.int32()),
-                pa.array(sums, pa.int64()),
-            ],
-            names=["l", "r", "n"],
-        )
-
-    parts = words.mapInArrow(run, "l int, r int, n long")
-    return parts.groupBy("l", "r").agg(F.sum("n").alias("n"))
-
-
-def _top_pairs(
-    words: DataFrame, pending: list[Batch], min_frequency: int, n: int,
-    rank: np.ndarray | None = None,
-) -> list[tuple[int, int, int]]:
-    """The first ``n`` pairs ``(l, r, count)`` in the order of greedy learning."""
-    rows = (
-        _pair_counts(words, pending, rank)
-        .filter(F.col("n") >= max(min_frequency, 1))
-        .orderBy(F.col("n").desc(), "l", "r")
-        .limit(n)
-        .toArrow()
-    )
-    return list(zip(*(rows.column(c).to_pylist() for c in ("l", "r", "n"))))
-
-
 def _replay(merges: dict[int, tuple[int, int, int]], base: int) -> list[int]:
     """True order of merges found so far: by count at merge time, ties by the
     ids of the parts, a merge coming after the merges that make its parts.
@@ -378,7 +246,7 @@ def learn_bpe(
     vocab_size: int = VOCAB_SIZE,
     min_frequency: int = MIN_FREQUENCY,
     specials: tuple[str, ...] = SPECIAL_TOKENS,
-    list_size: int = 5_000,
+    list_size: int = LIST_SIZE,
 ) -> Vocabulary:
     """Learn merges from ``(word, n)`` counts, the same ones greedy learning finds.
 
@@ -420,7 +288,7 @@ def learn_bpe(
             continue
         ids = {t: i for i, t in enumerate(names) if i >= len(specials)}
         step = []
-        top = _top_pairs(words, [], min_frequency, list_size)
+        top = top_pairs(words, [], min_frequency, list_size)
         for l, r, n in _choose(top, set(ids), names, strict=True)[0]:
             if len(names) >= vocab_size:
                 break
@@ -452,26 +320,43 @@ def _free_rounds(
     ``twice``: the next merge makes a known token; ``long``: _SETTLE merges are settled, and
     their order need not be restored in every further round; ``done``: no pair is left, or
     the limit is reached. New tokens are numbered from ``len(names)`` on.
+
+    Counts are followed by differences. Where more pairs than the list may hold have the
+    highest count, that round counts all words and takes them in token order.
     """
     base, tokens, known = len(names), list(names), set(names)
     words, pending = start, []
     found: dict[int, tuple[int, int, int]] = {}
     order: list[int] = []
+    listed: PairList | None = None
+
+    def restaged() -> DataFrame:
+        return _restage(words, pending, keep=words is start) if pending else words
+
     while True:
         # Symbols are numbered as found; token order is known only for now.
         symbol = [*range(base), *order]
         rank = np.zeros(len(symbol), dtype=np.int64)
         rank[symbol] = np.arange(len(symbol))
-        top = [
-            (symbol[l], symbol[r], n)
-            for l, r, n in _top_pairs(words, pending, min_frequency, list_size, rank)
-        ]
+        if listed is None or not (listed.counts or listed.complete):
+            if listed:
+                listed.close()
+            words, pending = restaged(), []
+            listed = PairList(words, len(tokens), min_frequency, list_size)
+        if listed.counts or listed.complete:
+            top = [(l, r, n) for (l, r), n in listed.counts.items()]
+            top.sort(key=lambda p: (-p[2], rank[p[0]], rank[p[1]]))
+        else:
+            counted = top_pairs(words, [], min_frequency, list_size, rank)
+            top, listed = [(symbol[l], symbol[r], n) for l, r, n in counted], None
         best = top[0][2] if top else 0
         settled = [s for s in order if found[s][0] > best] if top else order
         full = base + len(settled) >= limit
         long = len(settled) >= _SETTLE
         chosen, twice = ([], False) if full or long else _choose(top, known, tokens, strict=False)
         if not chosen:
+            if listed:
+                listed.close()
             if words is not start:
                 drop(start.sparkSession, words)
             settled = settled[: limit - base]
@@ -487,8 +372,12 @@ def _free_rounds(
             batch.append((l, r, new))
         order = _replay(found, base)
         pending.append(batch)
-        if len(pending) >= _STAGE_EVERY:
-            words, pending = _restage(words, pending, keep=words is start), []
+        if listed is None:
+            continue
+        listed.follow(pending)
+        if len(pending) >= _STAGE_EVERY and listed.counts:
+            words, pending = restaged(), []
+            listed.rehold(words, len(tokens))
 
 
 def _alphabet(counts: DataFrame) -> list[int]:
@@ -498,7 +387,7 @@ def _alphabet(counts: DataFrame) -> list[int]:
         seen = np.zeros(256, dtype=bool)
         identity = np.arange(256, dtype=np.int64)
         for rb in stream:
-            seen[_from_strings(rb.column("word"), identity).syms] = True
+            seen[from_strings(rb.column("word"), identity).syms] = True
         yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(seen), pa.int32())], names=["b"])
 
     rows = counts.select("word").mapInArrow(run, "b int").distinct().collect()
@@ -508,7 +397,7 @@ def _alphabet(counts: DataFrame) -> list[int]:
 def _spell(counts: DataFrame, byte_ids: np.ndarray) -> DataFrame:
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in stream:
-            syms = _from_strings(rb.column("word"), byte_ids).to_arrow()
+            syms = from_strings(rb.column("word"), byte_ids).to_arrow()
             yield pa.RecordBatch.from_arrays([rb.column("n"), syms], names=["n", "syms"])
 
     return counts.select("n", "word").mapInArrow(run, "n long, syms array<int>")
@@ -528,11 +417,11 @@ class _Encoder:
                 self.byte_ids[token[0]] = i
         # A pair learnt again later keeps its last rank.
         last = {(l, r): rank for rank, (l, r, _) in enumerate(merges)}
-        self.ranks = _Lookup(list(last), list(last.values()))
+        self.ranks = Lookup(list(last), list(last.values()))
         self.new_ids = np.array([new for _, _, new in merges] or [0], dtype=np.int64)
 
     def words(self, words: pa.Array, split_specials: bool) -> pa.ListArray:
-        w = _from_strings(words, self.byte_ids)
+        w = from_strings(words, self.byte_ids)
         done_syms, done_word = [], []
         while len(w.syms):
             at, keys = w.pairs()
@@ -548,7 +437,7 @@ class _Encoder:
             if open_words.sum() * 2 < len(open_words):
                 done_syms.append(w.syms[~open_words])
                 done_word.append(w.word[~open_words])
-                w = _Words(w.syms[open_words], w.word[open_words], w.n)
+                w = Words(w.syms[open_words], w.word[open_words], w.n)
                 at, keys = w.pairs()
                 hit, rank = self.ranks.find(keys)
                 at = at[hit]
@@ -557,7 +446,7 @@ class _Encoder:
         syms = np.concatenate([*done_syms, w.syms])
         word = np.concatenate([*done_word, w.word])
         order = np.argsort(word, kind="stable")
-        out = _Words(syms[order], word[order], w.n).to_arrow()
+        out = Words(syms[order], word[order], w.n).to_arrow()
         return self._with_specials(words, out) if split_specials else out
 
     def _with_specials(self, words: pa.Array, out: pa.ListArray) -> pa.ListArray:

@@ -82,7 +82,7 @@ def test_few_wrong_answers_with_the_usual_filter(spark):
 
 def test_levels_are_never_too_low():
     rng = np.random.default_rng(1)
-    key = rng.integers(0, 1 << 62, 40_000).astype(np.uint64)
+    key = rng.integers(0, 1 << 48, 40_000).astype(np.uint64)
     count = rng.zipf(1.5, len(key)).clip(max=10**9).astype(np.int64)
     bits = lm_scoring.build_block(key, count)
     segment = lm_scoring.Segment(0, np.array([0, len(bits)]), bits, lm_scoring.PROBES)
@@ -94,7 +94,7 @@ def test_levels_are_never_too_low():
     level = np.searchsorted(lm_scoring.thresholds(), count, "right")
     read = model.levels(key)
     assert (read >= level).all() and (read > level).mean() < 0.08
-    other = rng.integers(0, 1 << 62, 40_000).astype(np.uint64)
+    other = rng.integers(0, 1 << 48, 40_000).astype(np.uint64)
     assert 0.03 < (model.levels(other) > 0).mean() < 0.09
     assert model.levels(key, np.minimum(level, 2)).max() == 2
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from textloom.catalog import Catalog, table
 from textloom.catalog.cleaning import PROBS_SQL
 from textloom.catalog.ordering import (
-    ASSIGNED_SQL, CHUNK_CAP, TOKENS_SQL, ordered_documents, stand_in_tokens,
+    ASSIGNED_SQL, CHUNK_CAP, FIT_SQL, TOKENS_SQL, ordered_documents, stand_in_tokens,
 )
 from textloom.catalog.scans import ASCII_RATIO_SQL
 from textloom.catalog.tokens import FINAL_SQL, LEARN_SQL, PIECES_SQL, learnt
@@ -19,9 +19,10 @@ from textloom.functions import lang
 from textloom.operators import packing
 from textloom.operators.chunking import assign_chunks
 from textloom.operators.vocabulary import tokenize
+from textloom.plans.token_job import tokenize_pending
 from textloom.session import scratch_path
 from textloom.sources import corpus, manifest, writers
-from textloom.streaming.incremental import stream_clean, stream_tokens
+from textloom.streaming.incremental import stream_chunks, stream_clean, stream_tokens
 
 catalog = Catalog()
 
@@ -215,3 +216,58 @@ def texts_of_a_stream(spark, sf_dir):
     rows = spark.read.parquet(f"{path}/out")
     size = F.octet_length("text").cast("long")
     return rows.filter("chunk_id >= 0 AND doc_ord >= 0").select("source", "text", size.alias("b"))
+
+
+@catalog.add(
+    "token_job",
+    f"""WITH RECURSIVE {FIT_SQL}, {LEARN_SQL.removeprefix("RECURSIVE ")}, {FINAL_SQL},
+    pieces AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i
+      FROM (SELECT doc_id, {PIECES_SQL} AS w FROM documents)),
+    coded AS (SELECT doc_id, md5(string_agg(ids, ' ' ORDER BY i) || ' 1') AS digest
+      FROM pieces JOIN final USING (word) GROUP BY doc_id)
+    SELECT f.source, f.chunk_id, f.doc_ord, coalesce(digest, md5('1')) AS digest
+    FROM fit f LEFT JOIN coded ON doc_id = doc_ord""",
+)
+def token_job(spark, sf_dir):
+    """A job that was stopped: a third of the chunks is there, a third in part; then it runs again, twice."""
+    path = scratch_path(spark, "job")
+    writers.write_chunks(assign_chunks(ordered_documents(spark, sf_dir), CHUNK_CAP), f"{path}/chunks")
+    chunks, vocab = corpus.all_chunks(spark, f"{path}/chunks"), learnt(spark, sf_dir)
+    third = F.col("chunk_id") % 3
+    stopped = chunks.filter((third == 0) | ((third == 1) & (F.col("doc_ord") % 2 == 0)))
+    writers.write_tokens(tokenize(stopped, vocab), f"{path}/tokens")
+    left = [tokenize_pending(spark, f"{path}/chunks", f"{path}/tokens", vocab) for _ in range(2)]
+    out = writers.read_tokens(spark, f"{path}/tokens").select(
+        "source", "chunk_id", "doc_ord", F.md5(F.array_join("ids", " ")).alias("digest")
+    )
+    # The second run finds nothing to do.
+    return out.filter(F.lit(left[1] == 0))
+
+
+@catalog.add(
+    "stream_chunks",
+    f"""WITH RECURSIVE {PROBS_SQL}, kept AS (SELECT doc_id, text, strlen(text)::BIGINT AS b,
+        row_number() OVER (ORDER BY doc_id) AS rn FROM probs
+      WHERE {ASCII_RATIO_SQL} > {lang.ASCII_BAR} AND p[1] > {lang.LANG_BAR}),
+    placed AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS doc_ord FROM documents),
+    fit AS (SELECT doc_id, rn, b AS used, 0 AS chunk_id FROM kept WHERE rn = 1
+      UNION ALL
+      SELECT k.doc_id, k.rn, CASE WHEN f.used > 0 AND f.used + k.b > {CHUNK_CAP} THEN k.b ELSE f.used + k.b END,
+        CASE WHEN f.used > 0 AND f.used + k.b > {CHUNK_CAP} THEN f.chunk_id + 1 ELSE f.chunk_id END
+      FROM fit f JOIN kept k ON k.rn = f.rn + 1)
+    SELECT 'web' AS source, doc_ord, chunk_id, text FROM fit JOIN placed USING (doc_id) JOIN kept USING (doc_id)""",
+)
+def chunks_of_a_stream(spark, sf_dir):
+    """English documents that arrive in three parts; the stream is started anew for each."""
+    path = scratch_path(spark, "stream")
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("content"))
+    low, high = rows.agg(F.min("doc_id"), F.max("doc_id")).first()
+    for part in range(3):
+        cut = F.floor((F.col("doc_id") - low) * 3 / (high - low + 1))
+        ranged = rows.filter(cut == part).repartitionByRange(3, "doc_id").sortWithinPartitions("doc_id")
+        ranged.write.json(f"{path}/lines/part={part}")
+        stream_chunks(
+            spark, f"{path}/lines", "content", f"{path}/out", f"{path}/state", "web",
+            clean=lang.english_filter, max_bytes=CHUNK_CAP,
+        ).awaitTermination()
+    return spark.read.parquet(f"{path}/out").select("source", "doc_ord", "chunk_id", "text")

@@ -232,17 +232,26 @@ def _make_replay(max_bytes: int):
     return replay
 
 
-def _next_fit(sizes: DataFrame, max_bytes: int, block_docs: int, fan_in: int) -> DataFrame:
+def _entered(df: DataFrame, carry: DataFrame | None) -> DataFrame:
+    """Rows with the bytes of their source's open chunk and its number; 0 and 0 if nothing is carried."""
+    if carry is None:
+        zero = F.lit(0).cast("long")
+        return df.select("*", zero.alias("carry"), zero.alias("chunk"))
+    return df.join(carry.select("source", "carry", "chunk"), "source", "left").fillna(0, ["carry", "chunk"])
+
+
+def _next_fit(
+    sizes: DataFrame, max_bytes: int, block_docs: int, fan_in: int, carry: DataFrame | None = None
+) -> DataFrame:
     placed = ordinal(sizes.select("source", "doc_ord", "n_bytes"), ["source"], ["doc_ord"], "n")
     blocked = stage(
         placed.select("source", "doc_ord", "n_bytes", idiv(F.col("n"), block_docs).alias("blk")),
         "blocked-sizes",
     )
     blocks = (blocked.agg(F.max("blk")).first()[0] or 0) + 1
-    start = [F.lit(0).cast("long").alias("carry"), F.lit(0).cast("long").alias("chunk")]
     replay = _make_replay(max_bytes)
     if blocks == 1:
-        whole = blocked.select("*", *start).groupBy("source", "blk")
+        whole = _entered(blocked, carry).groupBy("source", "blk")
         return whole.applyInArrow(replay, _ASSIGN_SCHEMA)
 
     steps = blocked.groupBy("source", "blk").applyInArrow(_make_steps(max_bytes), _STEP_SCHEMA)
@@ -253,9 +262,7 @@ def _next_fit(sizes: DataFrame, max_bytes: int, block_docs: int, fan_in: int) ->
         levels.append(stage(up, "steps"))
         blocks = -(-blocks // fan_in)
 
-    carries = (
-        levels[-1].select("*", *start).groupBy("source").applyInArrow(_descend, _CARRY_SCHEMA)
-    )
+    carries = _entered(levels[-1], carry).groupBy("source").applyInArrow(_descend, _CARRY_SCHEMA)
     for lower in reversed(levels[:-1]):
         entered = carries.withColumnRenamed("blk", "grp")
         carries = (
@@ -283,6 +290,7 @@ def chunk_sizes(
     mode: str = "next_fit",
     block_docs: int = BLOCK_DOCS,
     fan_in: int = FAN_IN,
+    carry: DataFrame | None = None,
 ) -> DataFrame:
     """Chunk numbers for ``(source, doc_ord, n_bytes)`` rows.
 
@@ -291,11 +299,14 @@ def chunk_sizes(
     ``max_bytes`` of the running byte count, a coarser rule with no carry.
     ``doc_ord`` must be unique in its source and is best dense. Rows with a null size
     are dropped.
-    ``block_docs`` bounds the documents one task holds.
+    ``block_docs`` bounds the documents one task holds. Next-fit goes on from ``carry``
+    (source, carry, chunk): the bytes and the number of each source's open chunk.
     """
     sizes = sizes.filter(F.col("n_bytes").isNotNull())
     if mode == "next_fit":
-        return _next_fit(sizes, max_bytes, block_docs, fan_in)
+        return _next_fit(sizes, max_bytes, block_docs, fan_in, carry)
+    if carry is not None:
+        raise ValueError("only next_fit goes on from an open chunk")
     if mode == "prefix":
         return _prefix_chunks(sizes, max_bytes)
     raise ValueError(f"unknown mode: {mode}")
@@ -311,6 +322,23 @@ def chunk_bounds(assigned: DataFrame) -> DataFrame:
     )
 
 
+def open_chunks(assigned: DataFrame, carry: DataFrame | None = None) -> DataFrame:
+    """``(source, carry, chunk)``: each source's open chunk after the documents of ``chunk_sizes``."""
+    sums = assigned.groupBy("source", "chunk_id").agg(F.sum("n_bytes").alias("bytes"))
+    last = sums.groupBy("source").agg(F.max(F.struct("chunk_id", "bytes")).alias("l"))
+    after = last.select("source", F.col("l.bytes").alias("carry"), F.col("l.chunk_id").cast("long").alias("chunk"))
+    if carry is None:
+        return after
+    before = carry.select("source", F.col("carry").alias("_c"), F.col("chunk").alias("_k"))
+    # What was carried in still counts if the chunk is the same; a source without documents keeps its own.
+    same = F.when(F.col("_k") == F.col("chunk"), F.col("_c")).otherwise(0)
+    return after.join(before, "source", "full").select(
+        "source",
+        F.coalesce(F.col("carry") + F.coalesce(same, F.lit(0)), F.col("_c")).alias("carry"),
+        F.coalesce("chunk", "_k").alias("chunk"),
+    )
+
+
 def assign_chunks(
     df: DataFrame,
     max_bytes: int = MAX_CHUNK_BYTES,
@@ -318,6 +346,7 @@ def assign_chunks(
     block_docs: int = BLOCK_DOCS,
     broadcast_bytes: int = BROADCAST_BYTES,
     fan_in: int = FAN_IN,
+    carry: DataFrame | None = None,
 ) -> DataFrame:
     """Add ``chunk_id`` to ``(source, doc_ord, text, ...)`` rows; rows with a null text are dropped.
 
@@ -325,14 +354,19 @@ def assign_chunks(
     many as there are chunks, so a row finds its chunk by an equality of source and
     block and a test of the few ranges there. The table of ranges is broadcast if it is
     measured to be small, and the texts are then not shuffled; a larger one is joined by
-    document.
+    document. ``carry`` is that of ``chunk_sizes``.
     """
     df = df.filter(F.col("text").isNotNull())
     sizes = stage(
         df.select("source", "doc_ord", F.octet_length("text").cast("long").alias("n_bytes")),
         "sizes",
     )
-    assigned = stage(chunk_sizes(sizes, max_bytes, mode, block_docs, fan_in), "chunk-of")
+    assigned = stage(chunk_sizes(sizes, max_bytes, mode, block_docs, fan_in, carry), "chunk-of")
+    return with_chunks(df, assigned, broadcast_bytes)
+
+
+def with_chunks(df: DataFrame, assigned: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Join the chunk numbers of a staged ``chunk_sizes`` to the documents."""
     bounds = stage(chunk_bounds(assigned).select("source", "chunk_id", "lo", "hi"), "chunk-lo")
     if not is_small(bounds, broadcast_bytes):
         return df.join(assigned.drop("n_bytes"), ["source", "doc_ord"])

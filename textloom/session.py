@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import re
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _local_dir: tempfile.TemporaryDirectory | None = None
 _staged: list[str] = []
+_scopes = threading.local()
 
 
 def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, **conf: str) -> SparkSession:
@@ -51,9 +55,32 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder, dropped with the staged tables."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     _staged.append(path)
+    for scope in getattr(_scopes, "open", []):
+        scope.append(path)
     return path
 
 
+@contextmanager
+def staged_scope(spark: SparkSession) -> Iterator[None]:
+    """Drop the tables that this thread stages inside, once the block is left.
+
+    What is returned from the block must have been written elsewhere by then.
+    """
+    own: list[str] = []
+    _scopes.open = [*getattr(_scopes, "open", []), own]
+    try:
+        yield
+    finally:
+        _scopes.open = _scopes.open[:-1]
+        _delete(spark, [p for p in own if p in _staged])
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path exists in the file system that its name belongs to."""
+    found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(found)
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 

@@ -16,7 +16,7 @@ CODEC_LEVEL = "3"
 TOKENS_SCHEMA = "doc_ord long, ids array<int>, n_tokens int, source string, chunk_id int"
 
 
-def _write_by_chunk(df: DataFrame, path: str, mode: str) -> None:
+def _write_by_chunk(df: DataFrame, path: str, mode: str, whole: bool = True) -> None:
     # Rebalancing gathers a chunk where it can and lets AQE split it where it is
     # larger than the advisory size, so no writer gets a whole hot chunk.
     (
@@ -25,6 +25,7 @@ def _write_by_chunk(df: DataFrame, path: str, mode: str) -> None:
         .write.mode(mode)
         .option("compression", CODEC)
         .option("parquet.compression.codec.zstd.level", CODEC_LEVEL)
+        .option("partitionOverwriteMode", "static" if whole else "dynamic")
         .partitionBy("source", "chunk_id")
         .parquet(path)
     )
@@ -41,8 +42,19 @@ def write_tokens(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     The token count is stored too: passes that only need lengths then leave the
     ids unread.
     """
-    rows = df.select("source", "chunk_id", "doc_ord", "ids", F.size("ids").alias("n_tokens"))
-    _write_by_chunk(rows, path, mode)
+    _write_by_chunk(_with_size(df), path, mode)
+
+
+def _with_size(df: DataFrame) -> DataFrame:
+    return df.select("source", "chunk_id", "doc_ord", "ids", F.size("ids").alias("n_tokens"))
+
+
+def replace_tokens(df: DataFrame, path: str) -> None:
+    """Write the token chunks of ``df`` in place of those of a token table; others are not touched.
+
+    Every replaced chunk appears as a whole: partitions are moved into place when all are written.
+    """
+    _write_by_chunk(_with_size(df), path, "overwrite", whole=False)
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:

@@ -8,17 +8,21 @@ from textloom.llm import decontamination
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
+NAMELESS = "ten words that stand in an item without any id"
+
+
 def bench_rows():
     rng = random.Random(9)
     rows = [(i, prose(rng, 30)) for i in range(8)]
     rows += [(20, texts()[0][1][5:400]), (21, "Short ITEM, here"), (22, "x"), (23, ""), (24, None), (25, rows[0][1])]
-    return rows + [(None, "no id"), (20, rows[1][1])]
+    return rows + [(None, "no id"), (20, rows[1][1]), (None, NAMELESS), (None, rows[2][1])]
 
 
 def doc_rows():
     bench = dict(r for r in bench_rows() if r[1])
     rows = texts()
     rows += [(70, "before " + bench[2].upper() + " after"), (71, bench[3] + " " + bench[3]), (72, "a short-item HERE!")]
+    rows += [(76, f"before {NAMELESS.upper()} after"), (77, "a text with no id")]
     rows += [(73, " ".join(bench[4].split()[:9])), (74, bench[0]), (75, "日本 " + bench[5] + " é")]
     return rows
 
@@ -27,9 +31,9 @@ def brute():
     windows = {}
     for item, text in bench_rows():
         w = words(WORD, text)
-        if item is not None and w:
+        if w:
             for k in range(max(1, len(w) - 9)):
-                windows.setdefault(tuple(w[k : k + 10]), set()).add(str(item))
+                windows.setdefault(tuple(w[k : k + 10]), set()).update([str(item)] if item is not None else [])
     out = []
     for key, text in doc_rows():
         w, hit, items = words(WORD, text), set(), set()

@@ -79,13 +79,13 @@ def _window_task(size: int, schema: pa.Schema):
 def benchmark_windows(benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
     """``(words, items)``: every distinct window of the benchmark and the items that hold it.
 
-    An item of fewer words than a window is one window. Items with a null id or text,
-    or without words, have none.
+    An item of fewer words than a window is one window. Items with a null text, or without
+    words, have none. The windows of an item without an id count like others, but no list names it.
     """
     schema = StructType.fromDDL("item string, words binary")
     rows = benchmark.select(
         F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").alias("text")
-    ).dropna()
+    ).filter("text IS NOT NULL")
     found = rows.mapInArrow(_window_task(size, to_arrow_schema(schema)), schema)
     return found.groupBy("words").agg(F.sort_array(F.collect_set("item")).alias("items"))
 

@@ -38,11 +38,15 @@ def test_against_replay(spark):
     entries += entries[:5] + [(None, "com", day(0), "add"), ("p", None, day(0), "add"), ("p", "com", None, "add")]
     captures = [(i, rng.choice(URLS), day(rng.randrange(-5, 320))) for i in range(300)]
     captures += [captures[0], (900, URLS[0], None), (None, URLS[0], day(100))]
+    # Repeated captures that certainly meet an entry.
+    entries.append(("p", "certain.example", day(0), "add"))
+    captures += [(901, "http://certain.example/x", day(50))] * 3
     got = url_lists.url_verdicts(
         spark.createDataFrame(captures, "page_id long, url string, fetched date").withColumn("pattern", F.lit(1)),
         spark.createDataFrame(entries, "list string, pattern string, at date, action string"),
     ).collect()
     assert len(got) == len(set(captures))
+    assert [(r.blocked, r.n_matches) for r in got if r.page_id == 901] == [(True, 1)]
     for r in got:
         state = {}
         for name, pattern, at, action in sorted(

@@ -90,7 +90,7 @@ h AS (
     lead(since) OVER (PARTITION BY list, pattern ORDER BY since) AS upto
   FROM e),
 k AS (
-  SELECT page_id, url, fetched, unnest(list_distinct(list_concat(
+  SELECT DISTINCT page_id, url, fetched, unnest(list_distinct(list_concat(
     list_transform(range(1, len(string_split(host, '.')) + 1),
       lambda n: array_to_string(list_slice(string_split(host, '.'), -n, -1), '.')),
     list_transform(range(1, len(segs) + 1),

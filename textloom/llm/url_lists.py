@@ -109,7 +109,8 @@ def url_verdicts(
 ) -> DataFrame:
     """Whether each capture was listed when it was fetched, and by which lists.
 
-    Returns one row per distinct (key, URL, fetch time): ``blocked``, ``n_matches``
+    Returns one row per distinct (key, URL, fetch time), a repeated capture counting once:
+    ``blocked``, ``n_matches``
     (patterns of lists in force) and ``lists`` (sorted, comma-joined, empty if
     none). A null URL, one without a host, and a null fetch time meet no entry.
     Empty lists block nothing; an empty table of captures gives no rows. Only the
@@ -117,7 +118,7 @@ def url_verdicts(
     """
     base = captures.select(
         F.col(key).alias("_key"), F.col(url).alias("_url"), F.col(fetched).alias("_at")
-    ).withColumn("_sec", _seconds(F.col("_at")))
+    ).distinct().withColumn("_sec", _seconds(F.col("_at")))
     until = base.agg(F.max("_sec")).first()[0] or 0
     held = intervals(entries, until)
     wanted = base.withColumn(

@@ -5,7 +5,7 @@ import re
 
 #: Columns that clash with names used inside the operators.
 CLASHES = ("_key _text _c0 _words class node score lang_pred pii held_out text_crc32 h c task "
-           "window label kept count").split()
+           "window label kept count _pii _pii0 _PII3 _pii5 place").split()
 
 
 def lower(text):

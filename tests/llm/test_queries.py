@@ -1,11 +1,13 @@
 """Registered queries against their SQL and against plain versions, and the pipeline."""
 
+import itertools
 import zlib
 
 import corpus_pipeline
 import numpy as np
 import pandas as pd
 import pytest
+from cases import CLASHES, words
 from oracle import connect, difference
 
 import __spark_entry__ as contract
@@ -50,6 +52,43 @@ def test_op8_columns(spark, docs):
         assert r.grown_shard in (r.shard, 24)
 
 
+def first_of_each(texts):
+    """Smallest id of every group that links at 80 per cent of five-word shingles join."""
+    sets = {}
+    for i, t in texts.items():
+        w = words(r"[^\x20\x09-\x0D]+", t)
+        sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+    root = {i: i for i in texts}
+
+    def find(i):
+        return i if root[i] == i else find(root[i])
+
+    for a, b in itertools.combinations(sorted(texts), 2):
+        if sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+            x, y = sorted((find(a), find(b)))
+            root[y] = x
+    return {find(i) for i in texts}
+
+
+def test_near_duplicates_count_five_words():
+    """Pairs between the rules of four and of five words, and chains, by the plain version itself."""
+    base = [f"w{k}" for k in range(80)]
+    near = ["x" if k in (20, 60) else w for k, w in enumerate(base)]
+    assert first_of_each({1: " ".join(base), 2: " ".join(near)}) == {1, 2}  # 66 of 86
+    once = ["x" if k == 20 else w for k, w in enumerate(base)]
+    assert first_of_each({1: " ".join(base), 2: " ".join(once), 3: "a b"}) == {1, 3}  # 71 of 81
+
+
+def test_near_duplicate_stage_counts_five_words(spark):
+    base = [f"w{k}" for k in range(80)]
+    rows = {1: base, 2: ["x" if k in (20, 60) else w for k, w in enumerate(base)]}
+    rows[3] = ["x" if k == 40 else w for k, w in enumerate([f"v{k}" for k in range(80)])]
+    rows[4] = [f"v{k}" for k in range(80)]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in rows.items()], "doc_id long, text string")
+    kept = {r.doc_id for r in corpus_pipeline.one_of_each(spark, df, SF).collect()}
+    assert kept == first_of_each({i: " ".join(w) for i, w in rows.items()}) == {1, 2, 3}
+
+
 def test_pipeline_stage_by_stage(spark, docs):
     rows = spark.read.parquet(f"{SF}/documents.parquet")
     columns = rows.columns
@@ -59,8 +98,7 @@ def test_pipeline_stage_by_stage(spark, docs):
         assert rows.columns == columns
         kept[name] = rows.toPandas().set_index("doc_id")
     assert set(kept["language"].index) == set(docs.index)  # every text here has a language
-    groups = queries.op5_near_dedup(spark, SF).toPandas().set_index("doc_id")
-    assert set(kept["near_dedup"].index) == set(groups.index[groups["kept"]])
+    assert set(kept["near_dedup"].index) == first_of_each(kept["language"]["text"].to_dict())
     hits = queries.op10_decontamination(spark, SF).toPandas().set_index("doc_id")
     for i, r in kept["decontamination"].iterrows():
         assert (r["text"] == docs.loc[i, "text"]) == (not hits.loc[i, "contaminated"])
@@ -82,11 +120,36 @@ def test_pipeline_keeps_rows_without_ids(spark):
         schema,
     )
     out = corpus_pipeline.one_of_each(spark, rows, SF).collect()
-    assert sorted((r.doc_id or 0) for r in out) == [0, 1, 2]
+    assert sorted((r.doc_id or 0) for r in out) == [1, 2]  # the row without an id is a near copy
     masked = corpus_pipeline.without_personal_data(spark, rows, SF).collect()
     assert sorted(np.sign(r.doc_id or 0) for r in masked) == [0, 1, 1, 1]
 
 
+def test_stages_with_clashing_columns_and_empty_tables(spark):
+    """Every stage but the last returns the columns it got, with their values."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").filter("doc_id < 40")
+    extra = [c for c in CLASHES if c not in docs.columns]
+    for k, name in enumerate(extra):
+        docs = docs.selectExpr("*", f"{k} + doc_id AS `{name}`")
+    plain = {r.doc_id: tuple(r[c] for c in extra) for r in docs.collect()}
+    for name, fn in corpus_pipeline.STAGES[:-1]:
+        out = fn(spark, docs, SF)
+        assert out.columns == docs.columns, name
+        assert all(tuple(r[c] for c in extra) == plain[r.doc_id] for r in out.collect()), name
+        assert fn(spark, docs.limit(0), SF).count() == 0, name
+    assert corpus_pipeline.packed(spark, docs.limit(0), SF).count() == 0
+
+
+def test_near_duplicates_with_null_and_repeated_ids(spark):
+    """One row of every group, also where ids are missing or stand for two texts."""
+    text = " ".join(f"w{k}" for k in range(40))
+    other = " ".join(f"v{k}" for k in range(40))
+    rows = [(None, text), (None, text), (None, other), (5, other), (5, text), (5, text), (6, text), (None, "alone here")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = sorted(((r.doc_id or 0), r.text) for r in corpus_pipeline.one_of_each(spark, df, SF).collect())
+    assert out == sorted([(5, text), (5, other), (0, "alone here")])
+
+
 def test_run(spark, docs):
     got = corpus_pipeline.run(spark, SF)
     assert got.columns[:3] == ["doc_id", "start", "length"]

@@ -303,6 +303,12 @@ def _confirmed(text: Column, kind: Kind, rank: int) -> Column:
     )
 
 
+def _free_names(docs: DataFrame, n: int) -> list[str]:
+    """Names that no column of the documents has, in upper or lower case."""
+    used = {c.lower() for c in docs.columns}
+    return [name for name in (f"_pii{k}" for k in range(n + len(used))) if name not in used][:n]
+
+
 def find_spans(docs: DataFrame, text: str = "text", out: str = "pii") -> DataFrame:
     """Add the confirmed spans of every text, sorted by start and then by kind.
 
@@ -314,12 +320,13 @@ def find_spans(docs: DataFrame, text: str = "text", out: str = "pii") -> DataFra
     """
     body = F.coalesce(F.col(text), F.lit(""))
     kinds = (*BASE, *ADDED)
-    ranked = {f"_pii{rank}": _confirmed(body, kind, rank) for rank, kind in enumerate(kinds)}
+    free = _free_names(docs, len(kinds))
+    ranked = {free[rank]: _confirmed(body, kind, rank) for rank, kind in enumerate(kinds)}
     found = docs.withColumns(ranked)
-    base = F.concat(*(F.col(f"_pii{r}") for r in range(len(BASE))))
-    numbers = F.concat(F.col("_pii2"), F.col("_pii3"))
+    base = F.concat(*(F.col(n) for n in free[: len(BASE)]))
+    numbers = F.concat(F.col(free[2]), F.col(free[3]))
     added = F.filter(
-        F.concat(*(F.col(f"_pii{r}") for r in range(len(BASE), len(BASE) + len(ADDED)))),
+        F.concat(*(F.col(n) for n in free[len(BASE) :])),
         lambda s: (s["score"] >= LEAST_SCORE)
         & ~F.exists(numbers, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])),
     )

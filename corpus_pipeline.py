@@ -20,38 +20,56 @@ ORACLE_SQL = None
 LEAST_LANGUAGE = 0.3
 
 
+#: Words of a shingle in the near-duplicate stage.
+SHINGLE_WORDS = 5
+
+
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a learned language; those without a letter or with no likely language go.
 
-    The network learns from the stage's own input.
+    The network learns from the stage's own input. Null and empty texts have no letter, so they
+    go; whole texts count, however long; repeated rows stay. All columns stay as they are, whatever
+    their names. Where no language can be learned, as in an empty table, nothing stays.
     """
     names = docs.columns
-    judged = language.predict(docs, language.learn(docs))
+    held = [f"_d{i}" for i in range(len(names))]
+    rows = docs.select(*(F.col(f"`{c}`").alias(h) for c, h in zip(names, held)))
+    judged = language.predict(rows, language.learn(docs), text=held[names.index("text")])
     kept = (F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE)
-    return judged.filter(kept).select(*names)
+    return judged.filter(kept).select(*(F.col(h).alias(c) for c, h in zip(names, held)))
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: the one with the smallest id.
 
-    Rows without an id name no group, so they stay; of rows that repeat an id and a text
-    one stays.
+    A row is known by its id and its text, so an id that occurs with two texts is two
+    documents, and rows without an id take part like others, after those with one. Of rows that
+    repeat an id and a text one stays. Null and empty texts resemble nothing and stay. An
+    empty table gives an empty one; columns are kept whatever their names.
     """
-    groups = stage(near_dedup.near_duplicates(docs).filter("kept").select("doc_id"), "kept")
-    rows = groups.groupBy("doc_id").count()
-    # The list of ids grows with the input, so it is never broadcast, at no size.
-    out = docs.join(rows.filter("count = 1").hint("merge"), "doc_id", "left_semi")
+    row = "_row" + "_" * max(map(len, docs.columns), default=0)
+    place = F.struct(
+        F.col("doc_id").isNull().alias("nameless"),
+        F.coalesce("doc_id", F.lit(0)).alias("id"),
+        F.xxhash64("text").alias("text"),
+    )
+    keyed = docs.withColumn(row, place)
+    groups = near_dedup.near_duplicates(keyed, key=row, size=SHINGLE_WORDS)
+    rows = stage(groups.filter("kept").select(row), "kept").groupBy(row).count()
+    # The list of rows grows with the input, so it is never broadcast, at no size.
+    out = keyed.join(rows.filter("count = 1").hint("merge"), row, "left_semi")
     again = rows.filter("count > 1")
     if again.limit(1).count():
-        repeated = docs.join(again, "doc_id", "left_semi")
-        out = out.unionByName(repeated.dropDuplicates(["doc_id", "text"]))
-    return out.unionByName(docs.filter("doc_id IS NULL"))
+        repeated = keyed.join(again, row, "left_semi")
+        out = out.unionByName(repeated.dropDuplicates([row]))
+    return out.drop(row)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages that they share with the benchmark.
 
-    ``n_chars`` follows the text. Documents that share nothing are not touched.
+    ``n_chars`` follows the text. Documents that share nothing are not touched; null texts stay
+    null; rows are neither dropped nor merged. An empty benchmark or table changes nothing.
     """
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     cut = decontamination.remove_hits(docs, benchmark)
@@ -59,14 +77,21 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a mark in place of every span of personal data; ``n_chars`` follows."""
+    """Documents with a mark in place of every span of personal data; ``n_chars`` follows.
+
+    Null texts stay null, other rows and columns as they are, whatever their names.
+    """
     names = docs.columns
-    masked = pii.mask(pii.find_spans(docs, out="_pii"), spans="_pii").select(*names)
+    spans = "_spans" + "_" * max(map(len, names), default=0)
+    masked = pii.mask(pii.find_spans(docs, out=spans), spans=spans).select(*(F.col(f"`{c}`") for c in names))
     return masked.withColumn("n_chars", F.length("text").cast("long"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where every piece of every document lies in sequences of 1024 tokens."""
+    """Where every piece of every document lies in sequences of 1024 tokens.
+
+    A null text counts as empty; an empty table gives no pieces.
+    """
     return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 

@@ -11,7 +11,9 @@ from textloom.catalog.ordering import (
 )
 from textloom.operators import mixing
 from textloom.operators.packing import pack_windows, token_stats
-from textloom.plans.prefix import idiv
+from textloom.plans.prefix import idiv, ordinal
+from textloom.session import scratch_path
+from textloom.sources import writers
 
 catalog = Catalog()
 
@@ -98,6 +100,28 @@ def draw_sources(spark, sf_dir):
     return mixing.draw_sources(event_ids(spark, sf_dir), document_mix(spark, sf_dir), SEED)
 
 
+@catalog.add("draw_sources_table", f"WITH {DRAWS_SQL} SELECT id, source FROM draws")
+def draw_sources_table(spark, sf_dir):
+    """The same draws through a table of cells, which may hold any number of sources."""
+    return mixing.draw_from_table(event_ids(spark, sf_dir), document_mix(spark, sf_dir), SEED)
+
+
+# Every document is a source of its own, with its length as the weight.
+@catalog.add(
+    "draw_documents",
+    f"""WITH bounds AS (SELECT doc_id, n_chars, sum(n_chars) OVER (ORDER BY doc_id)::BIGINT AS hi,
+        sum(n_chars) OVER ()::BIGINT AS total FROM documents),
+    tickets AS (SELECT event_id AS id, (('0x' || substr(md5('{SEED}:' || event_id), 1, 15))::HUGEINT
+        * (SELECT max(total) FROM bounds) // 1152921504606846976::HUGEINT)::BIGINT AS t FROM events),
+    met AS (SELECT id, t, doc_id, n_chars, hi FROM tickets ASOF JOIN bounds ON t < hi)
+    SELECT id, doc_id::VARCHAR AS source FROM met WHERE t >= hi - n_chars""",
+)
+def draw_documents(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("n_chars").alias("weight"))
+    mix = ordinal(docs, [], ["doc_id"], "pos").select("pos", F.col("doc_id").cast("string").alias("source"), "weight")
+    return mixing.draw_from_table(event_ids(spark, sf_dir), mix, SEED)
+
+
 # The round-robin one chunk load at a time: `free` lists the round in which each
 # slot falls free; the first of the smallest loads the next chunk of the order.
 OPEN_CHUNKS = 8
@@ -175,6 +199,31 @@ def resume_filter(spark, sf_dir):
     return batches.withColumn("items", F.array_join("items", " "))
 
 
+def written_batches(spark, sf_dir):
+    path = scratch_path(spark, "batches")
+    writers.write_batches(lineitem_batches(spark, sf_dir), path, per_part=32)
+    return path
+
+
+@catalog.add(
+    "resume_batches", f"WITH {BATCHES_SQL} SELECT batch_id, items FROM batches WHERE batch_id >= 100"
+)
+def resume_batches(spark, sf_dir):
+    """Batches written in order and read again from one of them on; earlier files are not opened."""
+    batches = writers.read_batches(spark, written_batches(spark, sf_dir), 100)
+    return batches.withColumn("items", F.array_join("items", " "))
+
+
+@catalog.add(
+    "batch_manifest",
+    f"""WITH {BATCHES_SQL} SELECT (batch_id // 32)::INT AS part, min(batch_id) AS lo, max(batch_id) AS hi,
+        count(*) AS batches FROM batches GROUP BY 1""",
+)
+def batch_manifest(spark, sf_dir):
+    out = writers.read_batch_manifest(spark, written_batches(spark, sf_dir))
+    return out.select("part", "lo", "hi", "batches")
+
+
 # 353M parameters, batches of 4 sequences of 512 tokens.
 BUDGET = mixing.token_budget(353_000_000, 4, 512)[1]
 
@@ -202,12 +251,6 @@ def mix_plan(spark, sf_dir):
 )
 def mix_checks(spark, sf_dir):
     """Whether the mix of the documents passes its checks with so many slots."""
-    pairs = dict(mixing.read_mix(document_mix(spark, sf_dir)))
-
-    def accepted(slots: int) -> bool:
-        try:
-            return bool(mixing.validate_mix(pairs, slots, list(pairs)))
-        except ValueError:
-            return False
-
-    return spark.createDataFrame([(n, accepted(n)) for n in range(1, 10)], "slots long, accepted boolean")
+    mix = document_mix(spark, sf_dir)
+    slots = spark.range(1, 10).select(F.col("id").alias("slots"))
+    return mixing.mix_verdicts(mix, slots, mix).select("slots", "accepted")

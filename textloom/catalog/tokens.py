@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from textloom.catalog import Catalog, documents, table
 from textloom.operators import vocabulary as bpe
+from textloom.session import scratch_path
 
 catalog = Catalog()
 
@@ -42,6 +43,17 @@ def pretoken_counts(spark, sf_dir):
     return bpe.pretoken_counts(documents(spark, sf_dir, "text"))
 
 
+# Every document many times over, in stretches of some 500 characters.
+@catalog.add(
+    "pretoken_counts_long",
+    f"""WITH {COUNTS_SQL.replace("FROM documents", "FROM (SELECT array_to_string([text for i in range(20)], ' ') AS text FROM documents)")}
+    SELECT word, n FROM counts""",
+)
+def pretoken_counts_long(spark, sf_dir):
+    docs = documents(spark, sf_dir, "text")
+    return bpe.pretoken_counts(docs.select(F.array_join(F.array_repeat("text", 20), " ").alias("text")), length=500)
+
+
 # Greedy learning one merge at a time. A word is spelled '<12><45>...' in token
 # ids; each step finds the most frequent pair of all words and replaces it.
 LEARN_SQL = f"""{COUNTS_SQL},
@@ -118,7 +130,10 @@ def roundtrip(spark, sf_dir):
 
 @catalog.add("vocabulary_size", f"WITH {LEARN_SQL} SELECT max(made)::INT AS tokens FROM rec")
 def vocabulary_size(spark, sf_dir):
-    return spark.createDataFrame([(learnt(spark, sf_dir).size(),)], "tokens int")
+    """Counted from the stored vocabulary."""
+    path = scratch_path(spark, "vocabulary")
+    learnt(spark, sf_dir).vocab_table(spark).write.parquet(path)
+    return spark.read.parquet(path).agg(F.count("*").cast("int").alias("tokens"))
 
 
 # Texts with special tokens inside: between two copies, in front, or none.

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.plans.joins import join_measured
-from textloom.plans.prefix import hash_block, idiv, ordinal, position_block
+from textloom.plans.prefix import hash_block, idiv, ordinal, position_block, running_sum
 from textloom.session import stage
 
 # Fixed value: training tokens per model parameter.
@@ -130,6 +130,81 @@ def draw_sources(
     return rows.withColumn("source", pick_source(validate_mix(mix), seeded_draw(seed, key)))
 
 
+def draw_cells(mix: DataFrame) -> DataFrame:
+    """``(cell, lo, hi, source, total, width)``: where the tickets of each source lie.
+
+    ``mix`` holds ``(pos, source, weight)`` with dense positions from 0. The tickets from 0 to the sum of
+    the weights are cut into as many cells of equal width as there are sources, so there are at most two
+    rows a cell on average, whatever the weights are. Weights that are not positive,
+    and sums of MAX_WEIGHT or more, are errors.
+    """
+    weight = F.col("weight").cast("long")
+    whole = F.sum(F.col("weight").cast("decimal(38,0)"))
+    facts = mix.agg(whole.alias("total"), F.count("*").alias("n"), F.count_if(weight.isNull() | (weight <= 0)).alias("bad"))
+    total, n, bad = facts.first()
+    if bad:
+        raise ValueError(f"{bad} weights are not positive")
+    if total is not None and total >= MAX_WEIGHT:
+        raise ValueError(f"weights sum to {MAX_WEIGHT} or more")
+    total = int(total or 0)
+    width = -(-total // max(n, 1)) or 1
+    placed = running_sum(mix.select("pos", "source", weight.alias("weight")), [], ["pos"], F.col("weight"), "lo")
+    hi = F.col("lo") + F.col("weight")
+    return placed.select(
+        F.explode(F.sequence(idiv(F.col("lo"), width), idiv(hi - 1, width))).alias("cell"),
+        "lo", hi.alias("hi"), "source", F.lit(total).cast("long").alias("total"), F.lit(width).cast("long").alias("width"),
+    )
+
+
+def draw_from_table(rows: DataFrame, mix: DataFrame, seed: int, key: str = "id") -> DataFrame:
+    """``draw_sources`` for a mix of any number of sources: the same draws.
+
+    A row's ticket names its cell, and only the sources that reach into the cell are compared. The
+    cells are sent to all tasks if they are measured to be small, and joined otherwise.
+    """
+    cells = stage(draw_cells(mix), "cells")
+    facts = cells.select("total", "width").first()
+    if facts is None:
+        return rows.withColumn("source", F.lit(None).cast("string")).limit(0)
+    product = seeded_draw(seed, key).cast("decimal(19,0)") * F.lit(facts["total"]).cast("decimal(19,0)")
+    ticket = F.call_function("div", product, F.lit(16**DRAW_DIGITS).cast("decimal(19,0)"))
+    drawn = rows.withColumn("_ticket", ticket).withColumn("_cell", idiv(F.col("_ticket"), facts["width"]))
+    sought = cells.select(
+        F.col("cell").alias("_cell"), F.col("lo").alias("_lo"), F.col("hi").alias("_hi"), "source"
+    )
+    met = join_measured(drawn, sought, ["_cell"])
+    inside = (F.col("_ticket") >= F.col("_lo")) & (F.col("_ticket") < F.col("_hi"))
+    return met.filter(inside).drop("_ticket", "_cell", "_lo", "_hi")
+
+
+def mix_verdicts(mix: DataFrame, slots: DataFrame, at_hand: DataFrame | None = None) -> DataFrame:
+    """``(slots, accepted, reason)`` for each number of slots in a table, as one plan.
+
+    A mix is refused if a weight is not positive, if a source has no chunks in ``at_hand``
+    (source), or if there are fewer slots than sources; ``reason`` says which comes first,
+    and is null for an accepted one.
+    """
+    weight = F.col("weight")
+    bad = F.count_if(weight.isNull() | (weight <= 0))
+    facts = mix.agg(F.count("*").alias("sources"), bad.alias("bad"))
+    absent = F.lit(0)
+    if at_hand is not None:
+        absent = mix.join(at_hand.select("source"), "source", "left_anti").agg(F.count("*")).scalar()
+    reason = (
+        F.when(facts.select("bad").scalar() > 0, "a weight is not positive")
+        .when(absent > 0, "a source has no chunks")
+        .when(F.col("slots") < facts.select("sources").scalar(), "fewer slots than sources")
+    )
+    return slots.select("slots", reason.isNull().alias("accepted"), reason.alias("reason"))
+
+
+def checked_mix(mix: DataFrame, slots: int, at_hand: DataFrame | None = None) -> DataFrame:
+    """The mix itself; reading it fails with the reason if the mix is refused for so many slots."""
+    asked = mix.sparkSession.range(slots, slots + 1).select(F.col("id").alias("slots"))
+    reason = mix_verdicts(mix, asked, at_hand).select("reason").scalar()
+    return mix.filter(F.when(reason.isNotNull(), F.raise_error(reason).cast("boolean")).otherwise(True))
+
+
 def epoch_permutation(
     chunks: DataFrame, seed: int, epoch: int, keys: Sequence[str] = ("source",),
     item: str = "chunk_id",

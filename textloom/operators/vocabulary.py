@@ -38,6 +38,8 @@ PRETOKEN_PATTERN = (
 )
 
 MAX_VOCAB = 1 << 22
+#: Characters of a stretch of a long text.
+STRETCH = 1 << 16
 _STAGE_EVERY = 12
 #: Pairs that are followed at once.
 LIST_SIZE = 20_000
@@ -85,10 +87,29 @@ def pretokenize(
     return F.when(c.rlike(special), cut).otherwise(_pieces(c))
 
 
-def pretoken_counts(df: DataFrame, text: str = "text") -> DataFrame:
-    """Distinct pre-tokens with counts; combined in each task before the shuffle."""
+def stretches(c: Column | str, length: int = STRETCH) -> Column:
+    """A text as an array of stretches that can be pre-tokenized one by one, with the same result.
+
+    A cut lies in front of a space between two characters that are no white space. No
+    pre-token reaches over it: only white space can hold a space that is not its first
+    character, and it cannot hold what stands before. No pre-token that ends there looks further,
+    since the look-ahead belongs to white space; and a stretch that begins with a space gets no
+    other. A stretch has ``length`` characters and ends at the next such place; a text without
+    one, and a text that is not longer, stays whole.
+    """
+    c = F.col(c) if isinstance(c, str) else c
+    cut = f"(?Us).{{{length}}}.*?\\S(?= \\S)|(?s).+"
+    return F.when(F.length(c) <= length, F.array(c)).otherwise(F.regexp_extract_all(c, F.lit(cut), F.lit(0)))
+
+
+def pretoken_counts(df: DataFrame, text: str = "text", length: int = STRETCH) -> DataFrame:
+    """Distinct pre-tokens with counts; combined in each task before the shuffle.
+
+    Long texts are cut into stretches first, so no row holds all pre-tokens of a book.
+    """
     return (
-        df.select(F.explode(pretokenize(text)).alias("word"))
+        df.select(F.explode(stretches(text, length)).alias("text"))
+        .select(F.explode(pretokenize("text")).alias("word"))
         .groupBy("word")
         .agg(F.count("*").alias("n"))
     )

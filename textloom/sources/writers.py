@@ -62,6 +62,46 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(TOKENS_SCHEMA).parquet(path)
 
 
+def write_batches(batches: DataFrame, path: str, per_part: int = 4096, mode: str = "errorifexists") -> None:
+    """Write ``(batch_id, ...)`` rows in order: ``per_part`` consecutive batches a partition, sorted.
+
+    A manifest beside them lists the range of batch numbers of every partition.
+    """
+    part = F.expr(f"CAST(batch_id DIV {per_part} AS INT)")
+    (
+        batches.withColumn("part", part)
+        .repartition("part")
+        .sortWithinPartitions("part", "batch_id")
+        .write.mode(mode)
+        .option("compression", CODEC)
+        .partitionBy("part")
+        .parquet(f"{path}/batches")
+    )
+    spark = batches.sparkSession
+    ranges = spark.read.parquet(f"{path}/batches").groupBy("part").agg(
+        F.min("batch_id").alias("lo"), F.max("batch_id").alias("hi"), F.count("*").alias("batches")
+    )
+    kept = ranges.withColumn("per_part", F.lit(per_part))
+    kept.coalesce(1).write.mode("overwrite" if mode == "overwrite" else "errorifexists").parquet(f"{path}/manifest")
+
+
+def read_batch_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """``(part, lo, hi, batches, per_part)`` of written batches."""
+    return spark.read.parquet(f"{path}/manifest")
+
+
+def read_batches(spark: SparkSession, path: str, iteration: int = 0) -> DataFrame:
+    """Written batches from a saved iteration on; partitions that end before it are not opened."""
+    first = read_batch_manifest(spark, path).filter(F.col("hi") >= iteration).agg(F.min("part")).first()[0]
+    root = f"{path}/batches"
+    if first is None:
+        return spark.read.parquet(root).filter(F.lit(False)).drop("part")
+    # The schema comes from the first partition that is read, too.
+    schema = spark.read.option("basePath", root).parquet(f"{root}/part={first}").schema
+    rows = spark.read.schema(schema).parquet(root)
+    return rows.filter((F.col("part") >= first) & (F.col("batch_id") >= iteration)).drop("part")
+
+
 def pending_chunks(chunks: DataFrame, done: DataFrame) -> DataFrame:
     """Rows of ``chunks`` whose (source, chunk_id) is not in ``done`` yet."""
     return chunks.join(done.select("source", "chunk_id"), ["source", "chunk_id"], "left_anti")

@@ -91,7 +91,7 @@ def test_stretches_keep_pre_tokens(spark):
     for length in (1, 5, 17):
         cut = df.select("i", F.posexplode(bpe.stretches("text", length)).alias("p", "part"))
         joined = cut.groupBy("i").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p", "part"))), lambda s: s["part"]), "").alias("t"))
-        assert {r["i"]: r["t"] for r in joined.collect()} == {i: t or "" for i, t in enumerate(texts)}
+        assert {r["i"]: r["t"] for r in joined.collect()} == {i: t for i, t in enumerate(texts) if t is not None}
         words = cut.filter("part IS NOT NULL").select("i", "p", F.posexplode(bpe.pretokenize("part")).alias("q", "w")).collect()
         whole = df.filter("text IS NOT NULL").select("i", F.posexplode(bpe.pretokenize("text")).alias("q", "w")).collect()
         got, want = Counter(), Counter()
@@ -112,4 +112,4 @@ def test_counts_of_a_very_long_text(spark):
     assert parts[0] < 1.1 * bpe.STRETCH and parts[1] > 700
     n = 50_000_000 // len(line)
     got = {r["word"]: r["n"] for r in bpe.pretoken_counts(text).collect()}
-    assert got["The"] + got[" The"] == n and got[" cat"] == got["'s"] == got[" mice"] == n and got["\n"] == n
+    assert got[" The"] == n and "The" not in got and got[" cat"] == got["'s"] == got[" mice"] == n and got["\n"] == n

@@ -113,3 +113,31 @@ def test_counts_of_a_very_long_text(spark):
     n = 50_000_000 // len(line)
     got = {r["word"]: r["n"] for r in bpe.pretoken_counts(text).collect()}
     assert got[" The"] == n and "The" not in got and got[" cat"] == got["'s"] == got[" mice"] == n and got["\n"] == n
+
+
+def test_articles_over_block_borders(spark):
+    """Documents inside a block, at its borders and over several blocks; no group is larger than a block."""
+    from textloom.functions.text import TITLE_MARK
+    from textloom.operators.articles import assemble_articles
+    from textloom.plans.prefix import BLOCK_WIDTH
+
+    rnd, rows = random.Random(3), []
+    for f in "xy":
+        n = 3 * BLOCK_WIDTH + 500 if f == "x" else 90
+        for i in range(n):
+            title = rnd.random() < 0.01 and not BLOCK_WIDTH - 50 < i < 2 * BLOCK_WIDTH + 20 or i in (BLOCK_WIDTH, 3 * BLOCK_WIDTH)
+            rows.append((f, i, (TITLE_MARK if title else "") + rnd.choice(["", "a", "line b"])))
+    df = spark.createDataFrame(rows, "file string, row_idx long, text string").repartition(5)
+    want, doc = {}, None
+    for f, i, t in rows:
+        if doc is None or doc[0] != f or t.startswith(TITLE_MARK):
+            doc = (f, i)
+        t = t.removeprefix(TITLE_MARK)
+        if t:
+            want.setdefault(doc, []).append((i, t))
+    want = sorted((f, v[0][0], "".join(t + "\n" for _, t in v)) for (f, _), v in want.items())
+    assert sorted(map(tuple, assemble_articles(df).collect())) == want
+    longest = max(len(t.encode()) for _, _, t in want)
+    assert assemble_articles(df, max_bytes=longest).count() == len(want)
+    with pytest.raises(PySparkException, match=f"a document has {longest} bytes"):
+        assemble_articles(df, max_bytes=longest - 1).collect()

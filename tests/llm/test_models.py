@@ -2,6 +2,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from cases import documents
+from pyspark.sql import functions as F
 
 from textloom.llm import arrays, language, quality
 
@@ -98,6 +99,26 @@ def test_quality_with_one_label_or_none(spark, docs):
     labels = spark.createDataFrame([], "doc_id long, quality int")
     assert quality.learn(docs, labels) is None
     assert quality.score(docs.limit(1), None).first().score == 0.5
+    one = docs.select("doc_id", F.lit(1).alias("quality"))
+    assert quality.learn(docs, one) is None
+
+
+def test_quality_sample_is_bounded_in_rows_and_bytes(spark, docs, monkeypatch):
+    """An id that stands for many texts counts once; long texts are thinned out or left out."""
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    seen = []
+    monkeypatch.setattr(quality, "train_model", lambda rows: seen.append(rows.collect()))
+    quality.learn(docs, labels)
+    copies = docs.filter("doc_id < 30").withColumn("text", F.concat("text", F.lit(" more")))
+    quality.learn(docs.unionByName(copies).unionByName(copies), labels)
+    assert len(seen[0]) == len(seen[1])
+    size = sum(len(r.text.encode()) for r in seen[0])
+    quality.learn(docs, labels, most_bytes=size // 2)
+    thinned = sum(len(r.text.encode()) for r in seen[2])
+    assert 0 < thinned < 0.75 * size
+    assert max(len(r.text.encode()) for r in seen[2]) <= size // 32
+    quality.learn(docs, labels, most=20)
+    assert 0 < len(seen[3]) < 45
 
 
 def test_dual_descent_separates():

@@ -23,6 +23,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from textloom.llm import arrays
+from textloom.session import drop, stage
 
 #: Lengths of the n-grams in bytes.
 GRAMS = (1, 2, 3)
@@ -33,6 +34,8 @@ PATTERNS = 8
 SHARES = 16
 #: Labelled rows that the model is fitted on, about.
 SAMPLE = 8_000
+#: Bytes of their texts together, about; a text of more than a sixteenth of it is not learned from.
+SAMPLE_BYTES = 64 << 20
 #: Added to the class counts.
 SMOOTHING = 1.0
 PENALTY = 1.0
@@ -159,6 +162,8 @@ def _logistic(margin: np.ndarray, label: np.ndarray) -> tuple[float, float]:
 
 
 def _fit(frame: pd.DataFrame) -> pd.DataFrame:
+    if frame["label"].nunique() < 2:
+        return pd.DataFrame({"model": []})
     frame = frame.sort_values(["label", "grams"])
     rows = [np.frombuffer(g, "<i4") for g in frame["grams"]]
     label = frame["label"].to_numpy()
@@ -204,19 +209,34 @@ def held_out(key: str = "doc_id", folds: int = 5, fold: int = 0) -> Column:
     return F.coalesce(crc % folds == fold, F.lit(False))
 
 
-def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int = SAMPLE) -> Model | None:
+def _draw(rate: float, *keys: Column) -> Column:
+    """Whether a row is drawn, by a hash of its keys."""
+    return F.pmod(F.xxhash64(*keys), F.lit(1 << 20)) / F.lit(float(1 << 20)) < rate
+
+
+def learn(
+    docs: DataFrame, labels: DataFrame, label: str = "quality", most: int = SAMPLE, most_bytes: int = SAMPLE_BYTES
+) -> Model | None:
     """The model of a corpus, from about ``most`` labelled documents outside the held-out fold.
 
     They are drawn by a hash of their ids, at a rate that follows from the measured
     count of labels, so the broadcast side of the join is bounded. A document with
-    several labels takes the smallest.
+    several labels takes the smallest, one with several texts that of the least hash. If the texts
+    drawn have more than ``most_bytes`` together, they are thinned out at a second rate.
     """
     usable = labels.filter(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & ~held_out())
     rate = min(1.0, most / max(1, usable.count()))
-    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    sample = usable.filter(draw < rate).groupBy("doc_id").agg(F.min(label).alias("label"))
-    joined = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
-    return train_model(joined.select("text", "label"))
+    sample = usable.filter(_draw(rate, F.col("doc_id"))).groupBy("doc_id").agg(F.min(label).alias("label"))
+    texts = docs.select("doc_id", "text").filter(F.octet_length("text") <= most_bytes // 16)
+    joined = texts.join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(
+        F.min("label").alias("label"), F.min_by("text", F.xxhash64("text")).alias("text")
+    )
+    drawn = stage(joined, "labelled")
+    size = drawn.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    kept = drawn.filter(_draw(min(1.0, most_bytes / max(1, size)), F.col("doc_id"), F.lit("bytes")))
+    model = train_model(kept.select("text", "label"))
+    drop(docs.sparkSession, drawn)
+    return model
 
 
 def _score_task(model: Model | None, place: int, schema: pa.Schema):

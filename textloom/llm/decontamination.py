@@ -229,7 +229,8 @@ def find_hits(
     text (sorted as strings), ``_ranges`` holds the removal spans as pairs of byte
     offsets; with ``cut``, ``_text`` is the text without them. A null text has no words
     and stays null; an empty benchmark hits nothing; repeated rows stay. Other columns are
-    not read. Windows are sent in blocks of a bounded size, one pass over the texts for each.
+    not read. Windows are sent in blocks of a bounded size, one pass over the texts for each;
+    between passes the texts are staged, so a task holds one block at a time.
     """
     windows = stage(benchmark_windows(benchmark, size), "windows")
     blocks = max(1, -(-windows.count() // block))
@@ -248,6 +249,8 @@ def find_hits(
         fields = [f for f in out.schema if f.name != "_text" or cut or not last]
         schema = StructType(fields)
         out = out.mapInArrow(_hit_task(sent, to_arrow_schema(schema), cut and last), schema)
+        if not last:
+            out = stage(out, "hits")
     return out
 
 

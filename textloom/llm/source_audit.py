@@ -33,10 +33,10 @@ from textloom.session import stage
 #: Documents of a language that a kept term occurs in, at least.
 LEAST_DOCS = 3
 #: Widths of the prefixes in bytes; the last one goes on growing by the factor.
-WIDTHS = (6, 12, 48)
+WIDTHS = (8, 24)
 WIDER = 16
 #: Bytes of text handled at once.
-PIECE_BYTES = 8 << 20
+PIECE_BYTES = 5 << 20
 #: Bits of the bitmap that tells which prefixes go on: so many for each, up to a bound, in
 #: blocks of bits set together.
 PREFIX_BITS = 16

@@ -41,9 +41,9 @@ STRENGTH = 16.0
 GROWTH = 1.5
 PROBES = 4
 #: Bytes of text handled at once; segments are swept once for each such piece.
-PIECE_BYTES = 8 << 20
+PIECE_BYTES = 4 << 20
 #: n-grams that a task gathers before it sends their counts on.
-GATHERED = 1 << 22
+GATHERED = 1 << 21
 #: n-grams of one block, about: what the tasks of the count send for it.
 BLOCK_GRAMS = 1 << 20
 #: Bytes of a segment, and segments that a worker keeps open.

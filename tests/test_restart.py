@@ -32,8 +32,8 @@ def files(path):
     }
 
 
-def scan_files(df):
-    """Files that the scan of the texts has opened, by its own metric."""
+def scan_files(df, column="text"):
+    """Files that the scan of a column has opened, by its own metric."""
     node = df._jdf.queryExecution().executedPlan()
     todo = [node]
     while todo:
@@ -42,7 +42,7 @@ def scan_files(df):
             node = node.executedPlan()
         if node.nodeName().endswith("QueryStage"):
             node = node.plan()
-        if node.nodeName().startswith("Scan parquet") and "text" in node.output().mkString(","):
+        if node.nodeName().startswith("Scan parquet") and column in node.output().mkString(","):
             return node.metrics().apply("numFiles").value()
         todo += [node.children().apply(i) for i in range(node.children().size())]
     raise AssertionError("no scan of texts")
@@ -106,6 +106,23 @@ def test_pending_chunks_prune_the_scan(spark, tables):
     assert rows(bpe.tokenize(joined, vocab)) == rows(bpe.tokenize(todo, vocab))
 
 
+def test_drawn_chunks_prune_the_token_scan(spark, tables):
+    from textloom.session import stage
+
+    chunks, tokens, vocab = tables
+    token_job.tokenize_pending(spark, chunks, tokens, vocab)
+    every = writers.read_tokens(spark, tokens)
+    order = stage(every.select("source", "chunk_id").distinct(), "order")
+    drawn = writers.read_token_chunks(spark, tokens, order.filter("chunk_id < 2 AND source = 'a'"))
+    assert rows(drawn) == rows(every.filter("chunk_id < 2 AND source = 'a'"))
+    drawn.collect()
+    assert "dynamicpruning" in drawn._jdf.queryExecution().executedPlan().toString()
+    opened = [f for f in files(tokens) if "source=a/chunk_id=0/" in f or "source=a/chunk_id=1/" in f]
+    assert scan_files(drawn, "ids") == len(opened) < len(files(tokens))
+    joined = writers.read_token_chunks(spark, tokens, order.filter("chunk_id < 2"), broadcast_bytes=0)
+    assert rows(joined) == rows(every.filter("chunk_id < 2"))
+
+
 def test_no_partition_metadata_is_read_as_text(spark, tables):
     """Progress needs no text and no ids."""
     chunks, tokens, vocab = tables

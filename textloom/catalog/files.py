@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from textloom.catalog import Catalog, table
 from textloom.catalog.cleaning import PROBS_SQL
 from textloom.catalog.ordering import (
-    ASSIGNED_SQL, CHUNK_CAP, FIT_SQL, TOKENS_SQL, ordered_documents, stand_in_tokens,
+    ASSIGNED_SQL, CHUNK_CAP, TOKENS_SQL, fit_sql, ordered_documents, stand_in_tokens,
 )
 from textloom.catalog.scans import ASCII_RATIO_SQL
 from textloom.catalog.tokens import FINAL_SQL, LEARN_SQL, PIECES_SQL, learnt
@@ -218,9 +218,13 @@ def texts_of_a_stream(spark, sf_dir):
     return rows.filter("chunk_id >= 0 AND doc_ord >= 0").select("source", "text", size.alias("b"))
 
 
+# Larger chunks, since the job writes every one of them up to three times.
+JOB_CAP = 5 * CHUNK_CAP
+
+
 @catalog.add(
     "token_job",
-    f"""WITH RECURSIVE {FIT_SQL}, {LEARN_SQL.removeprefix("RECURSIVE ")}, {FINAL_SQL},
+    f"""WITH RECURSIVE {fit_sql(JOB_CAP)}, {LEARN_SQL.removeprefix("RECURSIVE ")}, {FINAL_SQL},
     pieces AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i
       FROM (SELECT doc_id, {PIECES_SQL} AS w FROM documents)),
     coded AS (SELECT doc_id, md5(string_agg(ids, ' ' ORDER BY i) || ' 1') AS digest
@@ -231,7 +235,7 @@ def texts_of_a_stream(spark, sf_dir):
 def token_job(spark, sf_dir):
     """A job that was stopped: a third of the chunks is there, a third in part; then it runs again, twice."""
     path = scratch_path(spark, "job")
-    writers.write_chunks(assign_chunks(ordered_documents(spark, sf_dir), CHUNK_CAP), f"{path}/chunks")
+    writers.write_chunks(assign_chunks(ordered_documents(spark, sf_dir), JOB_CAP), f"{path}/chunks")
     chunks, vocab = corpus.all_chunks(spark, f"{path}/chunks"), learnt(spark, sf_dir)
     third = F.col("chunk_id") % 3
     stopped = chunks.filter((third == 0) | ((third == 1) & (F.col("doc_ord") % 2 == 0)))

@@ -12,7 +12,7 @@ from textloom.catalog.ordering import (
 from textloom.operators import mixing
 from textloom.operators.packing import pack_windows, token_stats
 from textloom.plans.prefix import idiv, ordinal
-from textloom.session import scratch_path
+from textloom.session import scratch_path, stage
 from textloom.sources import writers
 
 catalog = Catalog()
@@ -199,6 +199,25 @@ def resume_filter(spark, sf_dir):
     return batches.withColumn("items", F.array_join("items", " "))
 
 
+@catalog.add(
+    "drawn_chunk_tokens",
+    f"""WITH {tokens_sql(CHUNKS)},
+    drawn AS (SELECT source, chunk_id, row_number() OVER (PARTITION BY source
+        ORDER BY md5(xor({SEED}, 1) || ':' || chunk_id), chunk_id) - 1 AS place
+      FROM (SELECT DISTINCT source, chunk_id FROM tokens))
+    SELECT source, chunk_id, doc_ord, md5(array_to_string(ids, ' ')) AS digest
+    FROM tokens JOIN drawn USING (source, chunk_id) WHERE place < 2""",
+)
+def drawn_chunk_tokens(spark, sf_dir):
+    """The first two chunks of each source in the order of an epoch; the scan opens no other chunks."""
+    path = scratch_path(spark, "tokens")
+    writers.write_tokens(stand_in_tokens(spark, sf_dir, CHUNKS), path)
+    chunks = writers.read_tokens(spark, path).select("source", "chunk_id").distinct()
+    order = stage(mixing.epoch_permutation(chunks, SEED, 1).select("source", "chunk_id", "place"), "order")
+    drawn = writers.read_token_chunks(spark, path, order.filter("place < 2"))
+    return drawn.select("source", "chunk_id", "doc_ord", F.md5(F.array_join("ids", " ")).alias("digest"))
+
+
 def written_batches(spark, sf_dir):
     path = scratch_path(spark, "batches")
     writers.write_batches(lineitem_batches(spark, sf_dir), path, per_part=32)

@@ -42,14 +42,19 @@ def sized_documents(spark, sf_dir):
     )
 
 
-FIT_SQL = f"""docs AS (SELECT lang AS source, doc_id AS doc_ord, strlen(text)::BIGINT AS b,
+def fit_sql(cap: int) -> str:
+    """Next-fit, one document at a time."""
+    return f"""docs AS (SELECT lang AS source, doc_id AS doc_ord, strlen(text)::BIGINT AS b,
         row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS rn FROM documents),
     fit AS (SELECT source, doc_ord, rn, b, b AS used, 0 AS chunk_id FROM docs WHERE rn = 1
       UNION ALL
       SELECT d.source, d.doc_ord, d.rn, d.b,
-        CASE WHEN f.used > 0 AND f.used + d.b > {CHUNK_CAP} THEN d.b ELSE f.used + d.b END,
-        CASE WHEN f.used > 0 AND f.used + d.b > {CHUNK_CAP} THEN f.chunk_id + 1 ELSE f.chunk_id END
+        CASE WHEN f.used > 0 AND f.used + d.b > {cap} THEN d.b ELSE f.used + d.b END,
+        CASE WHEN f.used > 0 AND f.used + d.b > {cap} THEN f.chunk_id + 1 ELSE f.chunk_id END
       FROM fit f JOIN docs d ON d.source = f.source AND d.rn = f.rn + 1)"""
+
+
+FIT_SQL = fit_sql(CHUNK_CAP)
 BOUNDS_SQL = f"""WITH RECURSIVE {FIT_SQL}
     SELECT source, chunk_id, min(doc_ord) AS lo, max(doc_ord) AS hi, count(*) AS docs,
       sum(b)::BIGINT AS bytes FROM fit GROUP BY source, chunk_id"""

@@ -97,12 +97,12 @@ def bpe_merges(spark, sf_dir):
     return vocab.merge_table(spark).join(counts, "rank")
 
 
-# No SQL: a recursion over some ten thousand merges is out of its reach. Tests hold learning
+# No SQL: a recursion over some thousand merges is out of its reach. Tests hold learning
 # until no pair occurs twice against learning one merge at a time.
 @catalog.add("bpe_full")
 def bpe_full(spark, sf_dir):
-    """The vocabulary of all documents at its production size, or until no pair occurs twice."""
-    vocab = bpe.learn_bpe(bpe.pretoken_counts(documents(spark, sf_dir, "text")))
+    """The vocabulary of the benchmark texts at its production size, or until no pair occurs twice."""
+    vocab = bpe.learn_bpe(bpe.pretoken_counts(table(spark, sf_dir, "benchmark")))
     counts = spark.createDataFrame(list(enumerate(vocab.counts)), "rank int, pair_count long")
     return vocab.merge_table(spark).join(counts, "rank")
 

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textloom.plans.joins import BROADCAST_BYTES, is_small
+
 # Codec and level of the chunk files.
 CODEC = "zstd"
 CODEC_LEVEL = "3"
@@ -62,6 +64,20 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(TOKENS_SCHEMA).parquet(path)
 
 
+def read_token_chunks(
+    spark: SparkSession, path: str, wanted: DataFrame, broadcast_bytes: int = BROADCAST_BYTES
+) -> DataFrame:
+    """The tokens of the chunks named in ``wanted`` (source, chunk_id), and the files of no others.
+
+    ``wanted`` should be a staged table with a condition on it. Its rows prune the partitions when the scan
+    starts, if they are measured to be small enough to be sent to all tasks; otherwise they are joined.
+    """
+    names = wanted.select("source", "chunk_id")
+    if is_small(names, broadcast_bytes):
+        names = F.broadcast(names)
+    return read_tokens(spark, path).join(names, ["source", "chunk_id"], "left_semi")
+
+
 def write_batches(batches: DataFrame, path: str, per_part: int = 4096, mode: str = "errorifexists") -> None:
     """Write ``(batch_id, ...)`` rows in order: ``per_part`` consecutive batches a partition, sorted.
 

@@ -63,13 +63,14 @@ def test_empty_table(spark):
     assert near_dedup.near_duplicates(documents(spark, [])).collect() == []
 
 
-def test_misses_are_rare():
-    """Pairs of sets at similarity 0.8 share a table key."""
+@pytest.mark.parametrize("size,shift", [(200, 22), (200, 10), (9, 1), (18, 2)])
+def test_misses_are_rare(size, shift):
+    """Pairs of sets at similarity 0.8 and 0.9 share a table key; also short sets."""
     rng = np.random.default_rng(1)
     missed = 0
     for _ in range(300):
-        pool = rng.integers(0, 1 << 62, 220, dtype=np.uint64)
-        signs = np.array([near_dedup.signature(pool[:200]), near_dedup.signature(pool[22:])])
+        pool = rng.integers(0, 1 << 62, size + (20 if size == 200 and shift == 22 else shift), dtype=np.uint64)
+        signs = np.array([near_dedup.signature(pool[:size]), near_dedup.signature(pool[shift:])])
         keys = near_dedup.half_keys(signs)
         same = keys[0] == keys[1]
         missed += not (same[: near_dedup.HALVES].any() and same[near_dedup.HALVES :].any())

@@ -23,7 +23,6 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from textloom.llm import arrays
-from textloom.session import drop, stage
 
 #: Lengths of the n-grams in bytes.
 GRAMS = (1, 2, 3)
@@ -221,22 +220,18 @@ def learn(
 
     They are drawn by a hash of their ids, at a rate that follows from the measured
     count of labels, so the broadcast side of the join is bounded. A document with
-    several labels takes the smallest, one with several texts that of the least hash. If the texts
-    drawn have more than ``most_bytes`` together, they are thinned out at a second rate.
+    several labels takes the smallest; equal rows count once. If the texts drawn have more
+    than ``most_bytes`` together, they are thinned out at a second rate, by a hash of id and text.
     """
     usable = labels.filter(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & ~held_out())
     rate = min(1.0, most / max(1, usable.count()))
     sample = usable.filter(_draw(rate, F.col("doc_id"))).groupBy("doc_id").agg(F.min(label).alias("label"))
     texts = docs.select("doc_id", "text").filter(F.octet_length("text") <= most_bytes // 16)
-    joined = texts.join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(
-        F.min("label").alias("label"), F.min_by("text", F.xxhash64("text")).alias("text")
-    )
-    drawn = stage(joined, "labelled")
-    size = drawn.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    kept = drawn.filter(_draw(min(1.0, most_bytes / max(1, size)), F.col("doc_id"), F.lit("bytes")))
-    model = train_model(kept.select("text", "label"))
-    drop(docs.sparkSession, drawn)
-    return model
+    joined = texts.join(F.broadcast(sample), "doc_id")
+    size = joined.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    kept = joined.filter(_draw(min(1.0, most_bytes / max(1, size)), F.col("doc_id"), F.col("text")))
+    rows = kept.groupBy("doc_id", "text").agg(F.min("label").alias("label"))
+    return train_model(rows.select("text", "label"))
 
 
 def _score_task(model: Model | None, place: int, schema: pa.Schema):

@@ -220,7 +220,7 @@ def drawn_chunk_tokens(spark, sf_dir):
 
 def written_batches(spark, sf_dir):
     path = scratch_path(spark, "batches")
-    writers.write_batches(lineitem_batches(spark, sf_dir), path, per_part=32)
+    writers.write_batches(lineitem_batches(spark, sf_dir), path, per_part=100)
     return path
 
 
@@ -235,7 +235,7 @@ def resume_batches(spark, sf_dir):
 
 @catalog.add(
     "batch_manifest",
-    f"""WITH {BATCHES_SQL} SELECT (batch_id // 32)::INT AS part, min(batch_id) AS lo, max(batch_id) AS hi,
+    f"""WITH {BATCHES_SQL} SELECT (batch_id // 100)::INT AS part, min(batch_id) AS lo, max(batch_id) AS hi,
         count(*) AS batches FROM batches GROUP BY 1""",
 )
 def batch_manifest(spark, sf_dir):

@@ -47,10 +47,10 @@ GATHERED = 1 << 21
 #: n-grams of one block, about: what the tasks of the count send for it.
 BLOCK_GRAMS = 1 << 20
 #: Bytes of a segment, and segments that a worker keeps open.
-SEGMENT_BYTES = 32 << 20
-OPEN_SEGMENTS = 4
+SEGMENT_BYTES = 12 << 20
+OPEN_SEGMENTS = 8
 #: Bytes of the frequent words sent to all tasks, with their counts.
-FREQUENT_BYTES = 24 << 20
+FREQUENT_BYTES = 16 << 20
 
 _IS_WORD = np.ones(256, bool)
 _IS_WORD[[32, 9, 10, 11, 12, 13]] = False

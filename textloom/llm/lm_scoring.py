@@ -41,14 +41,14 @@ STRENGTH = 16.0
 GROWTH = 1.5
 PROBES = 4
 #: Bytes of text handled at once; segments are swept once for each such piece.
-PIECE_BYTES = 4 << 20
+PIECE_BYTES = 2 << 20
 #: n-grams that a task gathers before it sends their counts on.
-GATHERED = 1 << 21
+GATHERED = 1 << 20
 #: n-grams of one block, about: what the tasks of the count send for it.
 BLOCK_GRAMS = 1 << 20
 #: Bytes of a segment, and segments that a worker keeps open.
 SEGMENT_BYTES = 12 << 20
-OPEN_SEGMENTS = 8
+OPEN_SEGMENTS = 3
 #: Bytes of the frequent words sent to all tasks, with their counts.
 FREQUENT_BYTES = 16 << 20
 

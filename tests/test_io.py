@@ -210,3 +210,18 @@ def test_staged_tables(spark, monkeypatch):
     assert not os.path.exists(other.staged_path.removeprefix("file:"))
     assert session.drop_staged(spark) == 1
     assert not os.path.exists(path.removeprefix("file:"))
+
+
+def test_ordered_files_grow_in_number(spark, tmp_path):
+    """Files in id order hold a bounded number of bytes each, however many there are."""
+    from textloom.catalog.files import in_id_order
+
+    rows = spark.createDataFrame([(i * 7 % 400, "é" * 25) for i in range(400)], "doc_id long, text string")
+    assert in_id_order(rows, "text", 3).rdd.getNumPartitions() == 3
+    dealt = in_id_order(rows, "text", 3, file_bytes=1000)
+    assert dealt.rdd.getNumPartitions() == 20
+    dealt.write.parquet(str(tmp_path / "x"))
+    ids = [spark.read.parquet(str(f)).toArrow()["doc_id"].to_pylist() for f in sorted((tmp_path / "x").glob("*.parquet"))]
+    assert max(map(len, ids)) < 40
+    assert [i for part in ids for i in part] == list(range(400))
+    assert in_id_order(rows.limit(0), "text", 3).count() == 0

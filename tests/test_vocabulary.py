@@ -193,3 +193,42 @@ def test_decoding_of_broken_bytes(spark):
     df = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "i int, ids array<int>")
     got = {r["i"]: r["text"] for r in bpe.detokenize(df, vocab).collect()}
     assert got == {0: "éa", 1: "\ufffd", 2: "", 3: None, 4: "a"}
+
+
+def test_batches_are_coded_in_spans(monkeypatch):
+    """Ids and texts are those of rows taken alone, however few are put together at once."""
+    import pyarrow as pa
+
+    vocab = bpe.Vocabulary([b"<s>", b"</s>", b"a", b"b", b"\xc3", b"\xa9", b"ab", b"\xc3\xa9"], [(2, 3, 6), (4, 5, 7)], [2, 2], ("<s>", "</s>"))
+    encoder = bpe._Encoder(vocab.tokens, vocab.merges, vocab.specials)
+    decoder = bpe._Decoder(vocab.tokens, 2)
+    rng = random.Random(5)
+    docs = [[rng.choice(["ab", "ba", "é", "</s>", "x", "abab" * 9]) for _ in range(rng.choice([0, 1, 7, 40]))] for _ in range(60)]
+    docs = pa.array([["unused"], *docs], pa.list_(pa.string())).slice(1)
+    alone = [encoder.documents(docs.slice(i, 1), True, 1)[0].as_py() for i in range(60)]
+    for most in (1, 13, 1 << 20):
+        monkeypatch.setattr(bpe, "WORK_ITEMS", most)
+        coded = encoder.documents(docs, True, 1)
+        assert coded.to_pylist() == alone
+        ids = pa.array([*alone[:30], None, *alone[30:], [4, 2]], pa.list_(pa.int32()))
+        texts = decoder.texts(ids).to_pylist()
+        assert texts[30] is None and texts[-1] == "�a"
+        want = ["".join(w for w in d if w not in ("</s>", "x")) for d in docs.to_pylist()]
+        assert texts[:30] + texts[31:-1] == want
+    assert encoder.documents(docs.slice(0, 0), True, 1).to_pylist() == [] == decoder.texts(ids.slice(0, 0)).to_pylist()
+
+
+def test_decoding_memory_does_not_follow_the_batch():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    decoder = bpe._Decoder([b"", b"", *[bytes([97 + i]) * 4 for i in range(20)]], 2)
+    peaks = []
+    for rows in (1_000, 4_000):
+        ids = pa.array([[2 + i % 20 for i in range(1000)]] * rows, pa.list_(pa.int32()))
+        tracemalloc.start()
+        assert len(decoder.texts(ids)) == rows
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert peaks[1] < 1.2 * peaks[0] < 100e6

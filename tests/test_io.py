@@ -225,3 +225,14 @@ def test_ordered_files_grow_in_number(spark, tmp_path):
     assert max(map(len, ids)) < 40
     assert [i for part in ids for i in part] == list(range(400))
     assert in_id_order(rows.limit(0), "text", 3).count() == 0
+
+
+def test_stream_tokens_spreads_few_files(spark, tmp_path):
+    """A micro-batch of one file is tokenized by all cores."""
+    root, out, mark = (str(tmp_path / n) for n in ("chunks", "tokens", "mark"))
+    df = spark.createDataFrame([("a", 0, i, f"text {i}") for i in range(200)], "source string, chunk_id int, doc_ord long, text string")
+    writers.write_chunks(df.coalesce(1), root)
+    vocab = bpe.Vocabulary([b"<s>", b"</s>", *[bytes([b]) for b in range(32, 127)]], specials=("<s>", "</s>"))
+    stream_tokens(spark, root, out, mark, vocab).awaitTermination(120)
+    assert spark.read.parquet(out).count() == 200
+    assert len(list((tmp_path / "tokens" / "batch_id=0").glob("*.parquet"))) > 1

@@ -12,6 +12,7 @@ from textloom.functions.lang import english_filter
 from textloom.functions.text import utrim
 from textloom.operators.chunking import MAX_CHUNK_BYTES, assign_chunks, chunk_sizes, open_chunks, with_chunks
 from textloom.operators.vocabulary import Vocabulary, tokenize
+from textloom.plans.joins import spread
 from textloom.session import stage, staged_scope
 from textloom.sources.corpus import in_file_order
 from textloom.sources.writers import CODEC
@@ -36,7 +37,8 @@ def stream_tokens(
     )
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        ids = tokenize(batch.filter(F.col("text").isNotNull()), vocab)
+        # A few files are a few tasks, however many cores there are.
+        ids = tokenize(spread(batch.filter(F.col("text").isNotNull()), "doc_ord"), vocab)
         (
             ids.select("source", "chunk_id", "doc_ord", "ids", F.size("ids").alias("n_tokens"))
             .write.mode("overwrite")

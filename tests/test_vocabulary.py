@@ -2,10 +2,13 @@
 
 import json
 import random
+import re
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
+from textloom.operators import symbols
 from textloom.operators import vocabulary as bpe
 
 
@@ -232,3 +235,23 @@ def test_decoding_memory_does_not_follow_the_batch():
         peaks.append(tracemalloc.get_traced_memory()[1])
         tracemalloc.stop()
     assert peaks[1] < 1.2 * peaks[0] < 100e6
+
+
+def test_only_distinct_units_are_pretokenized(spark):
+    """Texts are cut before spaces between two characters that are no white space; equal units are one row."""
+    import pyarrow as pa
+
+    white = "\t \n\x0b\x85\xa0\u1680\u2000\u200a\u2028\u202f\u205f\u3000"
+    rnd = random.Random(5)
+    texts = ["".join(rnd.choice(white + "    aé\u0420\xe0\u4e00\U0001f600\x1c1'") for _ in range(rnd.randint(0, 60))) for _ in range(400)]
+    texts += ["", " ", "one two", " two", "x" * 50, None]
+    cut = [u for part in symbols.units(pa.array(texts)) for u in part.to_pylist()]
+    want = [re.sub(f"(?<=[^{white}]) (?=[^{white}])", "\0 ", t).split("\0") for t in texts if t]
+    assert cut == [u for w in want for u in w]
+
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    plain = df.select(F.explode(bpe.pretokenize("text")).alias("word")).groupBy("word").count()
+    for length in (1 << 16, 7):
+        assert sorted(bpe.pretoken_counts(df, length=length).collect()) == sorted(plain.collect())
+    (counted,) = bpe._count_units(iter([pa.record_batch([pa.array(["one two two", " two two", "one"] * 1000)], names=["text"])]))
+    assert dict(zip(*counted.to_pydict().values())) == {"one": 2000, " two": 4000}

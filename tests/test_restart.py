@@ -70,6 +70,40 @@ def test_only_unfinished_chunks_are_written(spark, tables, tmp_path):
     assert files(tokens) == after
 
 
+def test_small_chunks_share_folders(spark, tables, tmp_path):
+    """Three chunks a folder: few files, the same rows, and a run goes on inside a folder."""
+    vocab, root, tokens = tables[2], str(tmp_path / "few"), str(tmp_path / "few tokens")
+    df = assign_chunks(documents(spark), 200)
+    writers.write_chunks(df, root, per_folder=3)
+    texts = corpus.all_chunks(spark, root)
+    assert sorted(texts.select(*df.columns).collect()) == sorted(df.collect())
+    n = texts.select("source", "chunk_id").distinct().count()
+    folders = {os.path.dirname(f) for f in files(root)}
+    assert len(folders) < n / 2 and all("/chunks_by_3=" in f for f in folders)
+    want = rows(bpe.tokenize(texts, vocab))
+
+    # Of the first folder of a one chunk is finished, one in part; the others of a are, and none of b.
+    done = "source = 'a' AND chunk_id <> 1 AND NOT (chunk_id = 2 AND doc_ord % 2 = 0)"
+    writers.write_tokens(bpe.tokenize(texts.filter(done), vocab), tokens, per_folder=3)
+    before = files(tokens)
+    of_a = texts.filter("source = 'a'").select("chunk_id").distinct().count()
+    assert token_job.tokenize_pending(spark, root, tokens, vocab) == n - of_a + 2
+    assert rows(writers.read_tokens(spark, tokens)) == want
+    after = files(tokens)
+    untouched = {f for f in before if "source=a/chunks_by_3=0/" not in f}
+    assert untouched and {f: after.get(f) for f in untouched} == {f: before[f] for f in untouched}
+    assert token_job.tokenize_pending(spark, root, tokens, vocab) == 0
+    assert files(tokens) == after
+    drawn = writers.read_token_chunks(spark, tokens, texts.select("source", "chunk_id").filter("chunk_id = 4").distinct())
+    assert rows(drawn) == [r for r in want if r[1] == 4]
+
+    # A token table that is not there yet gets the folders of the texts.
+    token_job.tokenize_pending(spark, root, str(tmp_path / "new"), vocab)
+    assert rows(writers.read_tokens(spark, str(tmp_path / "new"))) == want
+    assert corpus.per_folder_of(spark, str(tmp_path / "new")) == 3
+    assert writers.chunks_per_folder(1 << 28) == 1 and writers.chunks_per_folder(20_000) > 1000
+
+
 def test_a_run_that_fails_can_be_repeated(spark, tables):
     chunks, tokens, vocab = tables
     replaced = token_job.replace_tokens

@@ -186,3 +186,22 @@ def test_ema(spark, alpha):
     for x, y in zip(xs, got):
         numer, denom = x * alpha + numer * (1 - alpha), alpha + denom * (1 - alpha)
         assert y == pytest.approx(numer / denom, rel=1e-9)
+
+
+def test_windows_are_cut_from_stretches():
+    """Documents in order of their place leave fragments at the ends of a stretch only, in any batches."""
+    import pyarrow as pa
+
+    from textloom.operators.packing import _cut_task
+
+    schema = pa.schema([("source", pa.string()), ("chunk_id", pa.int32()), ("win", pa.int64()), ("lo", pa.int64()), ("part", pa.list_(pa.int32()))])
+    sizes, rows, at = [3, 1, 9, 2, 2, 14, 5, 1, 1, 6], [], 7
+    for n in sizes:
+        rows.append({"source": "a", "chunk_id": 2, "st": at, "ids": list(range(at, at + n))})
+        at += n
+    kinds = {"source": pa.string(), "chunk_id": pa.int32(), "st": pa.int64(), "ids": pa.list_(pa.int32())}
+    for size in (1, 3, 10):
+        batches = [pa.RecordBatch.from_pylist(rows[i : i + size], schema=pa.schema(kinds)) for i in range(0, 10, size)]
+        whole, rest = ([r for b in _cut_task(4, w, schema)(iter(batches)) for r in b.to_pylist()] for w in (True, False))
+        assert [(r["win"], r["part"]) for r in whole] == [(w, list(range(4 * w, 4 * w + 5))) for w in range(2, 12)]
+        assert [(r["win"], r["lo"], r["part"]) for r in rest] == [(1, 7, [7, 8])] + ([] if at == 49 else [(12, 48, list(range(48, at)))])

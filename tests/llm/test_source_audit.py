@@ -4,11 +4,13 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from cases import CLASHES, lower, prose
 from pyspark.sql import functions as F
 
-from textloom.llm import source_audit
+from textloom.llm import arrays, source_audit
 
 TERM = re.compile(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
 
@@ -107,3 +109,18 @@ def test_long_text_and_no_rows(spark):
     got = source_audit.source_divergence(table(spark, rows))
     assert sorted(map(tuple, got.collect())) == plain(rows)
     assert source_audit.source_divergence(table(spark, rows).limit(0)).collect() == []
+
+
+def test_later_levels_take_long_terms_only():
+    """A level looks at no term that an earlier one has settled; distinct keys need no sort."""
+    batch = pa.record_batch([pa.array(["a bb ccc", "ccc dddd a", ""]), pa.array(["x", "y", "x"])], names=["text", "lang"])
+    for longer, want in ((0, [("x", "a"), ("x", "bb"), ("x", "ccc"), ("y", "a"), ("y", "ccc"), ("y", "dddd")]),
+                         (2, [("x", "ccc"), ("y", "ccc"), ("y", "dddd")]), (9, [])):
+        (work,) = arrays.work(batch.column(0), 1 << 20)
+        piece = source_audit._Piece(batch, *work, longer)
+        names = piece.names.cast(pa.large_string()).to_pylist()
+        assert sorted((piece.langs[int(l)].as_py(), names[t]) for l, t in zip(piece.lang, piece.term)) == want
+    key = np.array([5, 1, 5, 0, 9])
+    for most in (10, 1 << 40):
+        found, place = source_audit._distinct(key, most)
+        assert found.tolist() == [0, 1, 5, 9] and place.tolist() == [2, 1, 2, 0, 3]

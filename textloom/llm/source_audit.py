@@ -64,18 +64,32 @@ def _bits_of(lang: np.ndarray, names: pa.Array, size: int) -> np.ndarray:
     return (key % np.uint64(size)).astype(np.int64)
 
 
+def _distinct(key: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys in order, all below ``most``, and the place of each key among them."""
+    if most > 4 * len(key) + PIECE_BYTES:
+        return np.unique(key, return_inverse=True)
+    mark = np.zeros(most, bool)
+    mark[key] = True
+    return np.flatnonzero(mark), (np.cumsum(mark) - 1)[key]
+
+
 class _Piece:
-    """Distinct (row, term) of some texts with their counts, and the distinct (language, term)."""
+    """Distinct (row, term) of some texts with their counts, and the distinct (language, term).
 
-    def __init__(self, batch: pa.RecordBatch, i: int, j: int, data: np.ndarray, bounds: np.ndarray) -> None:
-        words = terms.split(data, bounds, _BYTES)
+    Only terms of more than ``longer`` bytes take part.
+    """
+
+    def __init__(
+        self, batch: pa.RecordBatch, i: int, j: int, data: np.ndarray, bounds: np.ndarray, longer: int = 0
+    ) -> None:
+        words = terms.split(data, bounds, _BYTES, longer)
         lang = batch.column(1).slice(i, j - i).dictionary_encode()
         self.langs, row_lang = lang.dictionary, lang.indices.to_numpy(zero_copy_only=False)
         self.names = words.names.cast(pa.large_binary())
         n = max(len(self.names), 1)
         pair, self.times = np.unique(words.row * n + words.code, return_counts=True)
         self.row = pair // n
-        both, self.which = np.unique(row_lang[self.row].astype(np.int64) * n + pair % n, return_inverse=True)
+        both, self.which = _distinct(row_lang[self.row].astype(np.int64) * n + pair % n, len(self.langs) * n)
         self.lang, self.term = both // n, both % n
         self.size = pc.binary_length(self.names).to_numpy(zero_copy_only=False).astype(np.int64)[self.term]
 
@@ -93,10 +107,8 @@ def _level_task(width: int, before: int, bitmap: Broadcast | None, schema: pa.Sc
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j, data, bounds in arrays.work(batch.column(0), PIECE_BYTES):
-                piece = _Piece(batch, i, j, data, bounds)
-                inside = piece.size > before
-                if bitmap is not None:
-                    inside &= piece.passing(before, bitmap.value)
+                piece = _Piece(batch, i, j, data, bounds, before)
+                inside = np.ones(len(piece.size), bool) if bitmap is None else piece.passing(before, bitmap.value)
                 cut = pc.binary_slice(piece.names, 0, width).dictionary_encode()
                 prefix = cut.indices.to_numpy(zero_copy_only=False).astype(np.int64)
                 n = max(len(cut.dictionary), 1)

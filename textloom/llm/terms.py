@@ -27,8 +27,8 @@ def byte_map(is_word: np.ndarray) -> np.ndarray:
     return np.where(is_word, out, np.uint8(32)).astype(np.uint8)
 
 
-def split(data: np.ndarray, bounds: np.ndarray, mapped: np.ndarray) -> Words:
-    """Words of texts given end to end as UTF-8; ``mapped`` comes from ``byte_map``.
+def split(data: np.ndarray, bounds: np.ndarray, mapped: np.ndarray, longer: int = 0) -> Words:
+    """Words of more than ``longer`` bytes of texts given end to end as UTF-8; ``mapped`` comes from ``byte_map``.
 
     A byte below 128 stands for itself in UTF-8, so replacing such bytes keeps texts valid.
     """
@@ -39,7 +39,7 @@ def split(data: np.ndarray, bounds: np.ndarray, mapped: np.ndarray) -> Words:
     row = pc.list_parent_indices(lists).to_numpy(zero_copy_only=False)
     flat = lists.flatten()
     # Spaces at the ends of a text leave empty pieces.
-    some = pc.binary_length(flat).to_numpy(zero_copy_only=False) > 0
+    some = pc.binary_length(flat).to_numpy(zero_copy_only=False) > longer
     if not some.all():
         flat, row = flat.filter(pa.array(some)), row[some]
     coded = flat.dictionary_encode()

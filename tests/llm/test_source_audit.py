@@ -124,3 +124,49 @@ def test_later_levels_take_long_terms_only():
     for most in (10, 1 << 40):
         found, place = source_audit._distinct(key, most)
         assert found.tolist() == [0, 1, 5, 9] and place.tolist() == [2, 1, 2, 0, 3]
+
+
+class _All:
+    value = np.full(1 << 10, 255, np.uint8)
+
+
+@pytest.mark.parametrize("held", [1, 1 << 20])
+def test_pieces_of_a_task_are_summed(monkeypatch, held):
+    """What a task gives out holds each key once, however many pieces its texts make, until it holds too much."""
+    monkeypatch.setattr(source_audit, "PIECE_BYTES", 40)
+    monkeypatch.setattr(source_audit, "HELD_ROWS", held)
+    texts, langs, sources = ["a bb a ccc ccccc", "ccc a dddd", "", "bb a ?", "a a ccc"] * 3, list("xyxyx") * 3, list("stsst") * 3
+    batch = pa.record_batch([pa.array(texts), pa.array(langs), pa.array(sources)], names=["text", "lang", "source"])
+    counts, docs = Counter(), Counter()
+    for text, lang, source in zip(texts, langs, sources):
+        words = TERM.findall(text)
+        counts.update((lang, w, source) for w in words)
+        docs.update({(lang, w[:3].encode(), len(w) <= 3) for w in words})
+    level = pa.schema([("lang", pa.string()), ("key", pa.binary()), ("complete", pa.bool_()), ("docs", pa.int64())])
+    count = pa.schema([("lang", pa.string()), ("term", pa.string()), ("source", pa.list_(pa.string())), ("n", pa.list_(pa.int64()))])
+    found = [r for b in source_audit._level_task(3, 0, None, level)(iter([batch, batch])) for r in b.to_pylist()]
+    parts = [r for b in source_audit._count_task(_All, count)(iter([batch, batch])) for r in b.to_pylist()]
+    got, summed = Counter(), Counter()
+    for r in found:
+        got[r["lang"], r["key"], r["complete"]] += r["docs"]
+    for r in parts:
+        for source, n in zip(r["source"], r["n"]):
+            summed[r["lang"], r["term"], source] += n
+    assert got == docs + docs and summed == counts + counts
+    assert (len(found) == len(docs)) == (len(parts) == len({k[:2] for k in counts})) == (held > 1)
+
+
+def test_counts_meet_kept_terms_without_a_sort(spark):
+    rows = [("ab cd ab", "en", "s", i) for i in range(4)]
+    docs = table(spark, rows).select("text", "lang", "source")
+    counts = source_audit.term_counts(docs, source_audit.kept_terms(docs))
+    assert "SortMergeJoin" not in counts._jdf.queryExecution().simpleString()
+    assert sorted(map(tuple, counts.collect())) == [("en", "ab", "s", 8, 8), ("en", "cd", "s", 4, 4)]
+
+
+def test_parts_at_the_end_of_longs(spark):
+    """Parts are the same in longs and in decimals, and change over without an overflow."""
+    ends = [0, 5, *(source_audit._FITTING + k for k in (-2, -1, 0, 1)), 10**12]
+    rows = spark.createDataFrame([(c, t) for c in ends for t in (c + 1, c + 7, 3 * c + 2)], "count long, total long")
+    parts = rows.select("count", "total", source_audit._parts(F.col("count"), F.col("total")).alias("part"))
+    assert all(r.part == 1 + 10**9 * (r["count"] + 1) // r.total for r in parts.collect())

@@ -37,6 +37,8 @@ WIDTHS = (8, 24)
 WIDER = 16
 #: Bytes of text handled at once.
 PIECE_BYTES = 5 << 20
+#: Rows of sums that a task gathers from its pieces, about, before it gives them out.
+HELD_ROWS = 1 << 20
 #: Bits of the bitmap that tells which prefixes go on: so many for each, up to a bound, in
 #: blocks of bits set together.
 PREFIX_BITS = 16
@@ -53,14 +55,17 @@ SCALE = 1_000_000_000
 _IS_TERM = np.zeros(256, bool)
 _IS_TERM[65:91] = _IS_TERM[97:123] = _IS_TERM[128:] = True
 _BYTES = terms.byte_map(_IS_TERM)
+_WHOLE = pa.array([False, True])
+#: Counts below this give a product with SCALE that a long holds.
+_FITTING = (2**63 - 1) // SCALE
 
 
 # ------------------------------------------------------------- kept terms
 
 
-def _bits_of(lang: np.ndarray, names: pa.Array, size: int) -> np.ndarray:
-    """Bit of each (hash of language, prefix) among ``size`` bits."""
-    key = arrays.mix(lang + arrays.mix(terms.string_hash(names)))
+def _bits_of(lang: np.ndarray, name: np.ndarray, size: int) -> np.ndarray:
+    """Bit of each (hash of language, hash of prefix) among ``size`` bits."""
+    key = arrays.mix(lang + arrays.mix(name))
     return (key % np.uint64(size)).astype(np.int64)
 
 
@@ -70,11 +75,11 @@ def _distinct(key: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
         return np.unique(key, return_inverse=True)
     mark = np.zeros(most, bool)
     mark[key] = True
-    return np.flatnonzero(mark), (np.cumsum(mark) - 1)[key]
+    return np.flatnonzero(mark), (np.cumsum(mark, dtype=np.int32)[key] - 1).astype(np.int64)
 
 
 class _Piece:
-    """Distinct (row, term) of some texts with their counts, and the distinct (language, term).
+    """Row and (language, term) of every word of some texts, and the distinct (language, term).
 
     Only terms of more than ``longer`` bytes take part.
     """
@@ -85,11 +90,9 @@ class _Piece:
         words = terms.split(data, bounds, _BYTES, longer)
         lang = batch.column(1).slice(i, j - i).dictionary_encode()
         self.langs, row_lang = lang.dictionary, lang.indices.to_numpy(zero_copy_only=False)
-        self.names = words.names.cast(pa.large_binary())
+        self.names, self.row = words.names.cast(pa.large_binary()), words.row
         n = max(len(self.names), 1)
-        pair, self.times = np.unique(words.row * n + words.code, return_counts=True)
-        self.row = pair // n
-        both, self.which = _distinct(row_lang[self.row].astype(np.int64) * n + pair % n, len(self.langs) * n)
+        both, self.which = _distinct(row_lang.astype(np.int64)[words.row] * n + words.code, len(self.langs) * n)
         self.lang, self.term = both // n, both % n
         self.size = pc.binary_length(self.names).to_numpy(zero_copy_only=False).astype(np.int64)[self.term]
 
@@ -97,35 +100,84 @@ class _Piece:
         """Which (language, term) have their first bytes (all of them: None) marked."""
         cut = self.names if width is None else pc.binary_slice(self.names, 0, width)
         lang = terms.string_hash(self.langs.cast(pa.large_binary()))
-        bit = _bits_of(lang[self.lang], cut.take(pa.array(self.term)), 8 * len(bitmap))
+        bit = _bits_of(lang[self.lang], terms.string_hash(cut)[self.term], 8 * len(bitmap))
         return ((bitmap[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1).astype(bool)
 
 
+class _Sums:
+    """Sums of rows (language, name, kind) over consecutive pieces of a task."""
+
+    def __init__(self) -> None:
+        self.parts: list[tuple[np.ndarray, ...]] = []
+        self.names: list[pa.Array] = []
+        self.langs: dict[str, int] = {}
+        self.kinds: dict[str | bool, int] = {}
+        self.held = self.known = 0
+
+    def add(
+        self, langs: pa.Array, lang: np.ndarray, names: pa.Array, name: np.ndarray,
+        kinds: pa.Array, kind: np.ndarray, value: np.ndarray,
+    ) -> None:
+        """Rows as places in three arrays of distinct values, and what they add."""
+        places = []
+        for known, own, at in ((self.langs, langs, lang), (self.kinds, kinds, kind)):
+            places.append(np.array([known.setdefault(x, len(known)) for x in own.to_pylist()], np.int32)[at])
+        used, name = _distinct(name, len(names))
+        self.parts.append((places[0], (name + self.known).astype(np.int32), places[1], value))
+        self.names.append(names.take(pa.array(used)))
+        self.held, self.known = self.held + len(value), self.known + len(used)
+
+    def total(self) -> tuple[pa.Array, pa.Array, np.ndarray, pa.Array, np.ndarray]:
+        """Language and name of each pair in order; the pair, kind and sum of each row, by pair."""
+        lang, name, kind, value = (np.concatenate(x) for x in zip(*self.parts))
+        names = pa.concat_arrays(self.names).dictionary_encode()
+        n, kinds = max(len(names.dictionary), 1), max(len(self.kinds), 1)
+        name = names.indices.to_numpy(zero_copy_only=False)[name]
+        pair, place = _distinct(lang.astype(np.int64) * n + name, len(self.langs) * n)
+        row, place = _distinct(place * kinds + kind, len(pair) * kinds)
+        sums = np.bincount(place, value, len(row)).astype(np.int64)
+        return (
+            pa.array(list(self.langs), pa.string()).take(pa.array(pair // n)), names.dictionary.take(pa.array(pair % n)),
+            row // kinds, pa.array(list(self.kinds)).take(pa.array(row % kinds)), sums,
+        )
+
+
 def _level_task(width: int, before: int, bitmap: Broadcast | None, schema: pa.Schema):
     """Documents of every prefix of ``width`` bytes whose shorter prefix is still in."""
 
+    def put(sums: _Sums) -> pa.RecordBatch:
+        langs, names, pair, complete, docs = sums.total()
+        pair = pa.array(pair)
+        columns = [langs.take(pair), names.take(pair), complete, pa.array(docs)]
+        return pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, schema)], schema=schema)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = _Sums()
         for batch in batches:
             for i, j, data, bounds in arrays.work(batch.column(0), PIECE_BYTES):
                 piece = _Piece(batch, i, j, data, bounds, before)
-                inside = np.ones(len(piece.size), bool) if bitmap is None else piece.passing(before, bitmap.value)
                 cut = pc.binary_slice(piece.names, 0, width).dictionary_encode()
                 prefix = cut.indices.to_numpy(zero_copy_only=False).astype(np.int64)
                 n = max(len(cut.dictionary), 1)
                 # A complete term is told from the prefix of a longer one.
                 key = ((piece.lang * n + prefix[piece.term]) << 1) | (piece.size <= width)
-                key, which = np.unique(key, return_inverse=True)
-                going = inside[piece.which]
-                met = np.unique(which[piece.which[going]] * (j - i) + piece.row[going])
-                docs = np.bincount(met // max(j - i, 1), minlength=len(key))
+                key, which = _distinct(key, 2 * n * len(piece.langs))
+                row, which = piece.row, which[piece.which]
+                if bitmap is not None:
+                    going = piece.passing(before, bitmap.value)[piece.which]
+                    row, which = row[going], which[going]
+                shift = len(key).bit_length()
+                met = np.sort((row << shift) | which)
+                met = met[np.append(True, met[1:] != met[:-1])] if len(met) else met
+                docs = np.bincount(met & ((1 << shift) - 1), minlength=len(key))
                 key, docs = key[docs > 0], docs[docs > 0]
-                columns = [
-                    piece.langs.take(pa.array((key >> 1) // n)),
-                    cut.dictionary.take(pa.array((key >> 1) % n)),
-                    pa.array((key & 1).astype(bool)),
-                    pa.array(docs, pa.int64()),
-                ]
-                yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, schema)], schema=schema)
+                if len(key):
+                    sums.add(piece.langs, (key >> 1) // n, cut.dictionary, (key >> 1) % n, _WHOLE, key & 1, docs)
+                if sums.held >= HELD_ROWS:
+                    yield put(sums)
+                    sums = _Sums()
+        if sums.held:
+            yield put(sums)
 
     return run
 
@@ -134,7 +186,7 @@ def _bit_task(size: int, schema: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lang, key = (batch.column(c).cast(pa.large_binary()) for c in (0, 1))
-            bit = _bits_of(terms.string_hash(lang), key, size)
+            bit = _bits_of(terms.string_hash(lang), terms.string_hash(key), size)
             columns = [pa.array(bit // BITMAP_BLOCK, pa.int32()), pa.array(bit % BITMAP_BLOCK, pa.int32())]
             yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
@@ -189,27 +241,39 @@ def kept_terms(docs: DataFrame, least: int = LEAST_DOCS, widths: tuple[int, ...]
 
 
 def _count_task(bitmap: Broadcast, schema: pa.Schema):
-    """Sources and occurrences of every (language, term) of a piece whose bit is set."""
+    """Sources and occurrences of every (language, term) of some pieces whose bit is set."""
+
+    def put(sums: _Sums) -> pa.RecordBatch:
+        langs, names, pair, source, times = sums.total()
+        cut = pa.array(np.append(np.flatnonzero(np.diff(pair, prepend=-1)), len(pair)).astype(np.int32))
+        columns = [
+            langs, names.cast(pa.large_string()),
+            pa.ListArray.from_arrays(cut, source.cast(pa.string())), pa.ListArray.from_arrays(cut, pa.array(times)),
+        ]
+        return pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, schema)], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = _Sums()
         for batch in batches:
             for i, j, data, bounds in arrays.work(batch.column(0), PIECE_BYTES):
                 piece = _Piece(batch, i, j, data, bounds)
                 source = batch.column(2).slice(i, j - i).dictionary_encode()
-                own = source.indices.to_numpy(zero_copy_only=False).astype(np.int64)[piece.row]
+                own = source.indices.to_numpy(zero_copy_only=False).astype(np.int64)
                 n = max(len(source.dictionary), 1)
                 going = piece.passing(None, bitmap.value)[piece.which]
-                entry, at = np.unique(piece.which[going] * n + own[going], return_inverse=True)
-                times = np.bincount(at, piece.times[going], len(entry)).astype(np.int64)
-                met, first = np.unique(entry // n, return_index=True)
-                cut = pa.array(np.append(first, len(entry)).astype(np.int32))
-                columns = [
-                    piece.langs.take(pa.array(piece.lang[met])),
-                    piece.names.take(pa.array(piece.term[met])).cast(pa.large_string()),
-                    pa.ListArray.from_arrays(cut, source.dictionary.take(pa.array(entry % n)).cast(pa.string())),
-                    pa.ListArray.from_arrays(cut, pa.array(times)),
-                ]
-                yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, schema)], schema=schema)
+                key = piece.which[going] * n + own[piece.row[going]]
+                entry, at = _distinct(key, len(piece.term) * n)
+                if len(entry):
+                    both = entry // n
+                    sums.add(
+                        piece.langs, piece.lang[both], piece.names, piece.term[both],
+                        source.dictionary, entry % n, np.bincount(at, minlength=len(entry)),
+                    )
+                if sums.held >= HELD_ROWS:
+                    yield put(sums)
+                    sums = _Sums()
+        if sums.held:
+            yield put(sums)
 
     return run
 
@@ -219,17 +283,22 @@ def term_counts(docs: DataFrame, kept: DataFrame) -> DataFrame:
     schema = StructType.fromDDL("lang string, term string, source array<string>, n array<long>")
     task = _count_task(_bitmap(kept.withColumnRenamed("term", "key")), to_arrow_schema(schema))
     parts = docs.select("text", "lang", "source").mapInArrow(task, schema)
-    # Both sides are dealt by (lang, term), and so are the sums and totals that follow.
-    found = parts.join(kept.hint("merge"), ["lang", "term"], "left_semi")
-    entries = found.select("lang", "term", F.inline(F.arrays_zip("source", "n")))
-    sums = entries.groupBy("lang", "term", "source").agg(F.sum("n").alias("n"))
-    return sums.withColumn("all", F.sum("n").over(Window.partitionBy("lang", "term")))
+    # Both sides are dealt by (term, lang), and so are the sums and totals that follow. The
+    # kept terms of a partition are far fewer than the counts, which need no order to meet them.
+    found = parts.join(kept.hint("shuffle_hash"), ["term", "lang"], "left_semi")
+    entries = found.select("lang", "term", "n", F.posexplode("source").alias("k", "source"))
+    sums = entries.withColumn("n", F.expr("n[k]")).groupBy("term", "lang", "source").agg(F.sum("n").alias("n"))
+    # Terms first: rows are sorted by the first bytes of what stands first.
+    total = F.sum("n").over(Window.partitionBy("term", "lang"))
+    return sums.select("lang", "term", "source", "n", total.alias("all"))
 
 
 def _parts(count: Column, total: Column) -> Column:
-    """1 + floor(SCALE * (count + 1) / total), exact."""
+    """1 + floor(SCALE * (count + 1) / total), exact: in decimals where a long does not hold the product."""
     top = F.lit(SCALE).cast("decimal(10,0)") * (count + 1).cast("decimal(20,0)")
-    return F.call_function("div", top, total.cast("decimal(20,0)")) + 1
+    wide = F.call_function("div", top, total.cast("decimal(20,0)"))
+    short = F.call_function("div", F.lit(SCALE).cast("long") * (count + 1), total)
+    return F.when(count < _FITTING, short).otherwise(wide) + 1
 
 
 def _pair_task(schema: pa.Schema):
@@ -246,9 +315,9 @@ def _pair_task(schema: pa.Schema):
         by = np.argsort(sources["at"].to_numpy())
         index, zero = (sources[c].to_numpy()[by] for c in ("at", "zero"))
         a, b = (np.flatnonzero(index // SOURCE_BLOCK == x) for x in (first, second))
-        lists = pa.concat_arrays(rows["entries"].chunks)
-        size = lists.value_lengths().to_numpy(zero_copy_only=False)
-        at, part = (lists.flatten().field(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+        code = rows["term"].combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False)
+        order, size = np.argsort(code, kind="stable"), np.bincount(code)
+        at, part = (rows[c].to_numpy()[order] for c in ("place", "part"))
         place, end = np.searchsorted(index, at), np.concatenate([[0], np.cumsum(size)])
         ways = [(a, b)] if first == second else [(a, b), (b, a)]
         totals = [np.zeros((len(x), len(y)), np.int64) for x, y in ways]
@@ -276,22 +345,16 @@ def _pair_task(schema: pa.Schema):
 def _pair_sums(counts: DataFrame, groups: DataFrame) -> DataFrame:
     """``(lang, own, other, total, terms)``: sums over those terms that meet the blocks of both.
 
-    A term goes to each pair of blocks of which it meets one, with its entries there.
+    An entry of a term goes to each pair of blocks with its own, so a term that meets a pair
+    is there with its entries in both.
     """
     block = f"CAST(floor(at / {SOURCE_BLOCK}) AS INT)"
     placed = join_measured(counts, groups.select("lang", "source", "at", "total", "blocks"), ["lang", "source"])
-    entry = F.struct("at", _parts(F.col("n"), F.col("total")).alias("part"))
-    by_term = placed.groupBy("lang", "term", "blocks").agg(F.collect_list(entry).alias("entries"))
     buckets = max(1, -(-counts.count() // BUCKET_TERMS))
-    pairs = f"""array_distinct(flatten(transform(
-        array_distinct(transform(entries, e -> CAST(floor(e.at / {SOURCE_BLOCK}) AS INT))),
-        m -> transform(sequence(0, blocks - 1), o -> struct(least(m, o) AS first, greatest(m, o) AS second)))))"""
-    dealt = by_term.select(
-        "lang", "entries", F.expr(f"pmod(xxhash64(term), {buckets})").alias("bucket"), F.explode(F.expr(pairs)).alias("pair")
-    ).select(
-        "lang", "pair.first", "pair.second", "bucket",
-        F.expr(f"filter(entries, e -> CAST(floor(e.at / {SOURCE_BLOCK}) AS INT) IN (pair.first, pair.second))").alias("entries"),
-    )
+    dealt = placed.select(
+        "lang", "term", F.col("at").alias("place"), _parts(F.col("n"), F.col("total")).alias("part"), F.expr(block).alias("m"),
+        F.expr(f"pmod(xxhash64(term), {buckets})").alias("bucket"), F.explode(F.expr("sequence(0, blocks - 1)")).alias("o"),
+    ).select("lang", "term", "place", "part", "bucket", F.least("m", "o").alias("first"), F.greatest("m", "o").alias("second"))
     partners = groups.filter("kept > 0").select(
         "lang", "at", "zero", F.expr(block).alias("block"), F.explode(F.expr("sequence(0, blocks - 1)")).alias("o")
     )
@@ -300,7 +363,7 @@ def _pair_sums(counts: DataFrame, groups: DataFrame) -> DataFrame:
         F.explode(F.expr(f"sequence(0L, {buckets - 1}L)")).alias("bucket"),
     )
     schema = StructType.fromDDL("lang string, own long, other long, total long, terms long")
-    keys = ["lang", "first", "second", "bucket"]
+    keys = ["bucket", "first", "second", "lang"]
     sums = dealt.groupBy(*keys).cogroup(sources.groupBy(*keys)).applyInArrow(_pair_task(to_arrow_schema(schema)), schema)
     return sums.groupBy("lang", "own", "other").agg(F.sum("total").alias("total"), F.sum("terms").alias("terms"))
 
@@ -348,8 +411,10 @@ def source_divergence(
         _parts(F.col("n"), F.col("total")).alias("p"), _parts(F.col("all"), F.col("lang_total")).alias("q"),
     )
     found = compared.filter("p > q").withColumn("value", _divergence(F.col("p"), F.col("q"))).drop("p", "q")
-    order = Window.partitionBy(*both).orderBy(F.desc("value"), "item")
-    by_term = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
+    order = [F.desc("value"), F.col("item")]
+    # A number in front decides most comparisons of the sort.
+    in_group = Window.partitionBy(F.xxhash64(*both), *both).orderBy(*order)
+    by_term = found.withColumn("rank", F.row_number().over(in_group)).filter(F.col("rank") <= top)
 
     other = groups.select("lang", F.col("source").alias("item"), F.col("at").alias("other"), F.col("zero").alias("q"))
     pairs = groups.withColumnRenamed("at", "own").join(other, "lang").filter("own <> other")
@@ -359,4 +424,4 @@ def source_divergence(
     by_pair = pairs.join(sums, ["lang", "own", "other"], "left").select(
         *both, F.lit("pair").alias("part"), "item", value.alias("value")
     )
-    return by_pair.withColumn("rank", F.row_number().over(order)).unionByName(by_term)
+    return by_pair.withColumn("rank", F.row_number().over(Window.partitionBy(*both).orderBy(*order))).unionByName(by_term)

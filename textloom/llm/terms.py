@@ -33,7 +33,7 @@ def split(data: np.ndarray, bounds: np.ndarray, mapped: np.ndarray, longer: int
     A byte below 128 stands for itself in UTF-8, so replacing such bytes keeps texts valid.
     """
     n = len(bounds) - 1
-    buffers = [None, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(mapped[data])]
+    buffers = [None, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(data.tobytes().translate(mapped.tobytes()))]
     texts = pa.LargeStringArray.from_buffers(n, *buffers[1:])
     lists = pc.ascii_split_whitespace(texts)
     row = pc.list_parent_indices(lists).to_numpy(zero_copy_only=False)

@@ -15,7 +15,7 @@ sources is ever written for a single term.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +38,7 @@ WIDER = 16
 #: Bytes of text handled at once.
 PIECE_BYTES = 5 << 20
 #: Rows of sums that a task gathers from its pieces, about, before it gives them out.
-HELD_ROWS = 1 << 20
+HELD_ROWS = 5 << 17
 #: Bits of the bitmap that tells which prefixes go on: so many for each, up to a bound, in
 #: blocks of bits set together.
 PREFIX_BITS = 16
@@ -128,9 +128,10 @@ class _Sums:
         self.held, self.known = self.held + len(value), self.known + len(used)
 
     def total(self) -> tuple[pa.Array, pa.Array, np.ndarray, pa.Array, np.ndarray]:
-        """Language and name of each pair in order; the pair, kind and sum of each row, by pair."""
+        """Language and name of each pair in order; the pair, kind and sum of each row, by pair. The rows are let go."""
         lang, name, kind, value = (np.concatenate(x) for x in zip(*self.parts))
         names = pa.concat_arrays(self.names).dictionary_encode()
+        self.parts, self.names = [], []
         n, kinds = max(len(names.dictionary), 1), max(len(self.kinds), 1)
         name = names.indices.to_numpy(zero_copy_only=False)[name]
         pair, place = _distinct(lang.astype(np.int64) * n + name, len(self.langs) * n)
@@ -142,37 +143,14 @@ class _Sums:
         )
 
 
-def _level_task(width: int, before: int, bitmap: Broadcast | None, schema: pa.Schema):
-    """Documents of every prefix of ``width`` bytes whose shorter prefix is still in."""
-
-    def put(sums: _Sums) -> pa.RecordBatch:
-        langs, names, pair, complete, docs = sums.total()
-        pair = pa.array(pair)
-        columns = [langs.take(pair), names.take(pair), complete, pa.array(docs)]
-        return pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, schema)], schema=schema)
+def _summed(add: Callable[..., None], put: Callable[[_Sums], pa.RecordBatch]):
+    """A task that gives out what ``put`` makes of the sums to which ``add`` adds each piece."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = _Sums()
         for batch in batches:
-            for i, j, data, bounds in arrays.work(batch.column(0), PIECE_BYTES):
-                piece = _Piece(batch, i, j, data, bounds, before)
-                cut = pc.binary_slice(piece.names, 0, width).dictionary_encode()
-                prefix = cut.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-                n = max(len(cut.dictionary), 1)
-                # A complete term is told from the prefix of a longer one.
-                key = ((piece.lang * n + prefix[piece.term]) << 1) | (piece.size <= width)
-                key, which = _distinct(key, 2 * n * len(piece.langs))
-                row, which = piece.row, which[piece.which]
-                if bitmap is not None:
-                    going = piece.passing(before, bitmap.value)[piece.which]
-                    row, which = row[going], which[going]
-                shift = len(key).bit_length()
-                met = np.sort((row << shift) | which)
-                met = met[np.append(True, met[1:] != met[:-1])] if len(met) else met
-                docs = np.bincount(met & ((1 << shift) - 1), minlength=len(key))
-                key, docs = key[docs > 0], docs[docs > 0]
-                if len(key):
-                    sums.add(piece.langs, (key >> 1) // n, cut.dictionary, (key >> 1) % n, _WHOLE, key & 1, docs)
+            for piece in arrays.work(batch.column(0), PIECE_BYTES):
+                add(sums, batch, *piece)
                 if sums.held >= HELD_ROWS:
                     yield put(sums)
                     sums = _Sums()
@@ -182,6 +160,38 @@ def _level_task(width: int, before: int, bitmap: Broadcast | None, schema: pa.Sc
     return run
 
 
+def _level_task(width: int, before: int, bitmap: Broadcast | None, schema: pa.Schema):
+    """Documents of every prefix of ``width`` bytes whose shorter prefix is still in."""
+
+    def put(sums: _Sums) -> pa.RecordBatch:
+        langs, names, pair, complete, docs = sums.total()
+        pair = pa.array(pair)
+        columns = [langs.take(pair), names.take(pair), complete, pa.array(docs)]
+        return pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, schema)], schema=schema)
+
+    def add(sums: _Sums, batch: pa.RecordBatch, i: int, j: int, data: np.ndarray, bounds: np.ndarray) -> None:
+        piece = _Piece(batch, i, j, data, bounds, before)
+        cut = pc.binary_slice(piece.names, 0, width).dictionary_encode()
+        prefix = cut.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        n = max(len(cut.dictionary), 1)
+        # A complete term is told from the prefix of a longer one.
+        key = ((piece.lang * n + prefix[piece.term]) << 1) | (piece.size <= width)
+        key, which = _distinct(key, 2 * n * len(piece.langs))
+        row, which = piece.row, which[piece.which]
+        if bitmap is not None:
+            going = piece.passing(before, bitmap.value)[piece.which]
+            row, which = row[going], which[going]
+        shift = len(key).bit_length()
+        met = np.sort((row << shift) | which)
+        met = met[np.append(True, met[1:] != met[:-1])] if len(met) else met
+        docs = np.bincount(met & ((1 << shift) - 1), minlength=len(key))
+        key, docs = key[docs > 0], docs[docs > 0]
+        if len(key):
+            sums.add(piece.langs, (key >> 1) // n, cut.dictionary, (key >> 1) % n, _WHOLE, key & 1, docs)
+
+    return _summed(add, put)
+
+
 def _bit_task(size: int, schema: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -252,30 +262,18 @@ def _count_task(bitmap: Broadcast, schema: pa.Schema):
         ]
         return pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, schema)], schema=schema)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = _Sums()
-        for batch in batches:
-            for i, j, data, bounds in arrays.work(batch.column(0), PIECE_BYTES):
-                piece = _Piece(batch, i, j, data, bounds)
-                source = batch.column(2).slice(i, j - i).dictionary_encode()
-                own = source.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-                n = max(len(source.dictionary), 1)
-                going = piece.passing(None, bitmap.value)[piece.which]
-                key = piece.which[going] * n + own[piece.row[going]]
-                entry, at = _distinct(key, len(piece.term) * n)
-                if len(entry):
-                    both = entry // n
-                    sums.add(
-                        piece.langs, piece.lang[both], piece.names, piece.term[both],
-                        source.dictionary, entry % n, np.bincount(at, minlength=len(entry)),
-                    )
-                if sums.held >= HELD_ROWS:
-                    yield put(sums)
-                    sums = _Sums()
-        if sums.held:
-            yield put(sums)
-
-    return run
+    def add(sums: _Sums, batch: pa.RecordBatch, i: int, j: int, data: np.ndarray, bounds: np.ndarray) -> None:
+        piece = _Piece(batch, i, j, data, bounds)
+        source = batch.column(2).slice(i, j - i).dictionary_encode()
+        own = source.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        n = max(len(source.dictionary), 1)
+        going = piece.passing(None, bitmap.value)[piece.which]
+        entry, at = _distinct(piece.which[going] * n + own[piece.row[going]], len(piece.term) * n)
+        if len(entry):
+            both, times = entry // n, np.bincount(at, minlength=len(entry))
+            sums.add(piece.langs, piece.lang[both], piece.names, piece.term[both], source.dictionary, entry % n, times)
+
+    return _summed(add, put)
 
 
 def term_counts(docs: DataFrame, kept: DataFrame) -> DataFrame:
